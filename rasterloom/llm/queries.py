@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, packing, simhash, tokenfiles
+from . import bpe, langid, linededup, packing, simhash, syncmers, tokenfiles, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and the SHA-256 of the text that is left."""
+    found = linededup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_and_edit(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and its number of byte_bpe_50k ids, found in flat token files."""
     return tokenfiles.token_counts(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
@@ -36,7 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op7_token_counts, op8_byte_bpe, op9_simhash_near_dedup, op10_language_id)
+    f.__name__: f for f in (op1_warc_round_trip, op3_line_dedup, op4_best_fit_packing, op6_document_fingerprints, op7_token_counts, op8_byte_bpe, op9_simhash_near_dedup, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {}
