@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, linededup, packing, simhash, syncmers, tokenfiles, warc
+from . import bpe, embeddings, langid, linededup, packing, simhash, substrings, syncmers, tokenfiles, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the text that is left."""
     found = linededup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), count=True)
@@ -28,6 +32,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_and_edit(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_round_trip, op3_line_dedup, op4_best_fit_packing, op6_document_fingerprints, op7_token_counts, op8_byte_bpe, op9_simhash_near_dedup, op10_language_id)
+    f.__name__: f for f in (op1_warc_round_trip, op2_substring_dedup, op3_line_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_document_fingerprints, op7_token_counts, op8_byte_bpe, op9_simhash_near_dedup, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {}
