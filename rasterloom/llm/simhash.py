@@ -219,7 +219,7 @@ def link_fingerprints(distinct: DataFrame, ws: Workspace, budget: int = 4, node_
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4, node_rows: int = 4096, in_task: int | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, fp long, component_id (the smallest doc_id reachable by links).
+    """One row per row of docs (doc_id, text): doc_id, fp long, component_id (the smallest doc_id reachable by links), root (a fingerprint that names the component).
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows each give a row.
     Rows with a null doc_id get their component's smallest doc_id, null where it has none. Other columns are not
@@ -233,14 +233,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: i
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = ws.save(of, "roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each near-duplicate group: that with the smallest doc_id stays (one of
-    the rows, if rows repeat that doc_id). Rows with a null doc_id can't be named and stay. Keeps docs' columns."""
-    found = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id")
-    kept = Workspace(docs.sparkSession, "simhash").save(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    the group's rows, if rows repeat that doc_id). Rows with a null doc_id can't be named and stay. Keeps docs' columns."""
+    found = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id", "fp", "root")
+    kept = Workspace(docs.sparkSession, "simhash").save(found, "kept")
+    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
+    once = docs.join(ids.where("n = 1"), "doc_id", "left_semi")
+    own = F.pandas_udf(lambda s: pd.Series(fingerprints(list(s)).view(np.int64)), "long")
+    repeated = docs.join(ids.where("n > 1"), "doc_id", "left_semi").withColumn("_fp", own(F.col("text").cast("string")))
+    names = kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root")).distinct()
+    repeated = repeated.join(names, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_of"))).dropDuplicates(["doc_id", "_root"])
+    return once.unionByName(repeated.select(*docs.columns)).unionByName(docs.where("doc_id is null")).select(*docs.columns)
