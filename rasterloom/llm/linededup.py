@@ -2,17 +2,18 @@
 
 A line's hash is the first 32 bits of its MD5. A rolling hash over the hashes of the last two lines ends a chunk where it is divisible by
 ``every``; boundaries depend on those lines alone, so an insertion shifts no boundary but its own. Chunks with two lines or more that aren't blank
-are counted over all documents. Those that share a 64-bit hash are then grouped by their bytes, and of equal ones all but the first
-(by doc_id, nulls first, then place in the document) are removed.
+are grouped over all documents by their bytes, and of equal ones all but the first (by doc_id, nulls first, then place in the document) are removed.
 
-Counting sends one hash per chunk, pre-aggregated; only chunks that repeat (by hash) are grouped as text. A chunk in very many documents meets in
-partial aggregates; the joins carry no grouping above them, so a skewed side can be split.
+Chunks move as text once, in a count that is pre-aggregated where they are read, so a chunk in very many documents moves once a task. From there on a 64-bit hash stands for a chunk, where the count has shown that
+only one text has it; chunks whose hash several texts share are joined as text. Rows with places are joined without a grouping above, so a skewed side can be split.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .storage import Workspace
+
 
 def _chunks(text: Column, every: int) -> dict[str, Column]:
     """Columns to add one after the other; the last, _chunks, has the chunks: array<struct<text, lines, solid>>."""
@@ -33,39 +34,49 @@ def _with_chunks(docs: DataFrame, every: int) -> DataFrame:
     return docs.drop("_lines", "_hashes", "_ends", "_starts")
 
 
-def repeated_chunks(docs: DataFrame, every: int = 4) -> DataFrame:
+def repeated_chunks(docs: DataFrame, every: int = 4, bits: int = 64) -> DataFrame:
     """(doc_id, digest, removed array<int>, n_removed): places of the chunks to remove, for documents that have any. digest: xxhash64 of the text, which
-    tells apart documents that share a doc_id."""
+    tells apart documents that share a doc_id. bits: of the hash, fewer of which only cost time."""
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    each = _with_chunks(slim, every).select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode("_chunks").alias("place", "c")).where("c.solid")
-    each = each.select("doc_id", "digest", "place", F.col("c.text").alias("chunk"), F.col("c.lines").alias("lines"), F.xxhash64("c.text").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = each.join(often, "h", "left_semi")
-    first = again.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "place")).alias("first")).where("n > 1").select("h", "chunk", "first")
-    gone = again.join(first, ["h", "chunk"]).where(~F.struct("doc_id", "digest", "place").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("place", "lines")).alias("gone")).select(
-        "doc_id", "digest", F.col("gone.place").alias("removed"), F.aggregate(F.col("gone.lines"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed")
-    )
-
-
-def remove_repeated_lines(docs: DataFrame, every: int = 4, count: bool = False) -> DataFrame:
+    # The outer form: for the inner one, Spark infers a filter on the array's size and inlines all of its expression into it.
+    each = _with_chunks(slim, every).select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode_outer("_chunks").alias("place", "c")).where("c.solid")
+    each = each.select("doc_id", "digest", "place", F.col("c.text").alias("chunk"), F.col("c.lines").alias("lines"), F.shiftrightunsigned(F.xxhash64("c.text"), 64 - bits).alias("h"))
+    ws = Workspace(docs.sparkSession, "lines")
+    texts = each.groupBy("h", "chunk").agg(F.count("*").alias("n"))
+    often = ws.save(texts.groupBy("h").agg(F.count("*").alias("texts"), F.max("n").alias("n")).where("n > 1"), "often")
+    where = F.struct("doc_id", "digest", "place")
+
+    def later(rows: DataFrame, keys: list[str]) -> DataFrame:
+        first = rows.groupBy(*keys).agg(F.min(where).alias("first"))
+        return rows.join(first, keys).where(~where.eqNullSafe(F.col("first"))).select("doc_id", "digest", "place", "lines")
+
+    gone = later(each.drop("chunk").join(often.where("texts = 1").select("h"), "h", "left_semi"), ["h"])
+    if not often.where("texts > 1").isEmpty():
+        gone = gone.unionByName(later(each.join(often.where("texts > 1").select("h"), "h", "left_semi"), ["h", "chunk"]))
+    gone = gone.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("place", "lines")).alias("gone"))
+    return gone.select("doc_id", "digest", F.col("gone.place").alias("removed"), F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["lines"]).alias("n_removed"))
+
+
+def remove_repeated_lines(docs: DataFrame, every: int = 4, count: bool = False, bits: int = 64) -> DataFrame:
     """docs (any columns, among them doc_id and text) with the repeated chunks' lines taken out of text; n_chars, if it is there, follows.
     count: also n_lines and n_removed.
 
     Null texts stay null (no lines), empty ones have one empty line. Rows that repeat doc_id and text are one document: they lose the same chunks, and not to each other. No rows give no rows.
     A document all of whose chunks are removed keeps its row, with an empty text.
     """
-    gone = repeated_chunks(docs, every).withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "removed": "_removed", "n_removed": "_n"})
+    gone = repeated_chunks(docs, every, bits).withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "removed": "_removed", "n_removed": "_n"})
     rows = docs.withColumn("_text", F.col("text").cast("string"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64("_text") == F.col("_digest")), "left")
     cut = F.col("_removed").isNotNull()
-    plain = rows.where(~cut).select(*docs.columns, F.lit(0).cast("long").alias("_n"), F.size(F.split("_text", "\n", -1)).alias("_size"))
-    plain = plain.withColumn("_size", F.when(F.col("text").isNull(), 0).otherwise(F.col("_size")))
-    changed = _with_chunks(rows.where(cut), every)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1), "_removed")
-    changed = changed.withColumn("_size", F.aggregate(F.col("_chunks.lines"), F.lit(0), lambda a, x: a + x)).withColumn("text", F.array_join(F.transform(F.filter(kept, lambda i: i >= 0), lambda i: F.get("_chunks.text", i)), "\n"))
+    for name, col in _chunks(F.when(cut, F.col("_text")), every).items():  # null, and cheap, for documents that lose nothing
+        rows = rows.withColumn(name, col)
+    rows = rows.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_chunks") - 1, F.lit(1)), "_removed"))
+    rows = rows.withColumn("_left", F.array_join(F.transform("_kept", lambda i: F.get("_chunks", i)["text"]), "\n"))
+    out = {"text": F.when(cut, F.col("_left")).otherwise(F.col("_text"))}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    both = plain.unionByName(changed.select(*docs.columns, "_n", "_size"))
-    extra = [F.col("_size").cast("long").alias("n_lines"), F.col("_n").alias("n_removed")] if count else []
-    return both.select(*docs.columns, *extra)
+        out["n_chars"] = F.when(cut, F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    extra = []
+    if count:
+        n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.split("_text", "\n", -1))).cast("long")
+        extra = [n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed")]
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns], *extra)
