@@ -98,5 +98,6 @@ def token_counts(docs: DataFrame, path: str | None = None, eod: int = 50256, wid
     listing = write_token_files(docs, ws, path, eod, width, file_bytes)
     files = listing.where("ordinal = 0").select("file", "file_ids")
     files = files.repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism))
+    # Spark would take the rows of the scan for as few as its blocks are, and broadcast them.
     found = separator_scan(files, f"{ws.path}/tokens", eod, width, block)
-    return listing.select("file", "ordinal", "doc_id").join(found, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "token_start")
+    return listing.select("file", "ordinal", "doc_id").join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "token_start")
