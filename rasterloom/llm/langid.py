@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 UNKNOWN = "und"
 #: Bytes whose n-grams are looked up at once.
 RUN = 1 << 20
+#: Languages that a filter can hold.
+LANGUAGES = 1024
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -97,9 +99,14 @@ def fit(docs: DataFrame, sample: int = 2000, grams: int = 6000, slots: int = 1 <
     """A filter learned from docs (doc_id, text, lang) with text and lang: about ``sample`` whole documents of each language, chosen
     by a hash of doc_id, and the ``grams`` n-grams of a language that most of its documents hold (ties: smaller ones)."""
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    share = docs.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    counts = docs.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counts:
+        return LanguageFilter.build({}, slots, hashes)
+    share = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, sample / n)])
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = docs.join(share, "lang").where(roll < F.col("share")).select("lang", "text")
+    chosen = docs.where(roll < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
