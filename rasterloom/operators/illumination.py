@@ -41,7 +41,9 @@ def clahe_tables(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8
     spill = counts.join(area, ["image", "ty", "tx"]).groupBy("image", "ty", "tx").agg(F.max("n").alias("n"), F.max("most").alias("most"), F.sum(F.greatest(F.col("c") - F.col("most"), F.lit(0))).alias("spill"))
     every = spill.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(255)))).withColumn("v", F.col("v").cast("double")).join(counts, ["image", "ty", "tx", "v"], "left")
     share = F.floor(F.col("spill") / 256)
-    rest = F.when(F.col("v") < F.col("spill") - 256 * share, 1).otherwise(0)
+    left = F.col("spill") - 256 * share  # goes to every so many-th value
+    stride = F.greatest(F.floor(256 / F.greatest(left, F.lit(1))), F.lit(1))
+    rest = F.when((F.col("v") % stride == 0) & (F.col("v") / stride < left), 1).otherwise(0)
     level = F.least(F.coalesce("c", F.lit(0)), F.col("most")) + share + rest
     w = Window.partitionBy("image", "ty", "tx").orderBy("v")
     return every.withColumn("cdf", F.sum(level).over(w)).select("image", "ty", "tx", "v", F.least(F.rint(F.col("cdf") * 255.0 / F.col("n")), F.lit(255.0)).alias("mapped"))
@@ -53,7 +55,7 @@ def clahe(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> D
     tables = clahe_tables(px, clip, grid)
 
     def corner(at: str, size: str, n: int) -> list[Column]:
-        f = F.col(at) * n / F.col(size) - 0.5 + F.lit(0.5 * n) / F.col(size)
+        f = F.col(at) * n / F.col(size) - 0.5
         low = F.floor(f)
         bound = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
         return [F.array(F.struct(bound(low).alias("t"), (1 - (f - low)).alias("w")), F.struct(bound(low + 1).alias("t"), (f - low).alias("w")))]

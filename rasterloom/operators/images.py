@@ -47,13 +47,12 @@ def warp(px: DataFrame, m: Sequence[float], height: int, width: int, method: str
     grid = grid.withColumns({"bx": base("u").cast("long"), "by": base("v0").cast("long")}).withColumns({"fx": F.col("u") - F.col("bx"), "fy": F.col("v0") - F.col("by")})
     for axis, f in (("wy", "fy"), ("wx", "fx")):
         grid = grid.withColumn(axis, F.array(*[w.cast("double") for _, w in _taps(F.col(f), method)]))
-        if method == "lanczos":
-            grid = grid.withColumn("total", F.aggregate(axis, F.lit(0.0), lambda a, x: a + x)).withColumn(axis, F.transform(axis, lambda w: w / F.col("total")))
     low = min(k for k, _ in _taps(F.lit(0.0), method))
-    asked = grid.select("image", "y", "x", "bx", "by", "wx", F.posexplode("wy").alias("j", "vy")).select("image", "y", "x", "bx", "by", "j", "vy", F.posexplode("wx").alias("i", "vx"))
+    asked = grid.select("image", "y", "x", "bx", "by", "wx", F.posexplode_outer("wy").alias("j", "vy")).select("image", "y", "x", "bx", "by", "j", "vy", F.posexplode_outer("wx").alias("i", "vx"))
     asked = asked.select("image", "y", "x", (F.col("by") + F.col("j") + low).alias("sy"), (F.col("bx") + F.col("i") + low).alias("sx"), (F.col("vy") * F.col("vx")).alias("w"))
     found = asked.join(px.select("image", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["image", "sy", "sx"], "left")
-    return found.groupBy("image", "y", "x").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(float(border)))).alias("v"))
+    total = F.sum(F.col("w") * F.coalesce("v", F.lit(float(border))))
+    return found.groupBy("image", "y", "x").agg((total / F.sum("w") if method == "lanczos" else total).alias("v"))
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def ratio_match(source: DataFrame, reference: DataFrame, ratio: float = 0.75, no
         for k in range(0, len(src), BLOCK):
             part = src.iloc[k: k + BLOCK]
             if hamming:
-                d = np.bitwise_count(part["descriptor"].to_numpy()[:, None] ^ r[None, :]).astype(float)
+                d = np.bitwise_count((part["descriptor"].to_numpy()[:, None] ^ r[None, :]).view(np.uint64)).astype(float)
                 two = np.argsort(d, axis=1, kind="stable")[:, :2]
                 dist = np.take_along_axis(d, two, axis=1)
             else:
@@ -265,12 +265,12 @@ def occupancy(points: DataFrame, width: float, height: float, grid: int = 8) ->
 
 
 def repeatable(a: DataFrame, b: DataFrame, radius: float = 6.0) -> DataFrame:
-    """Points of a (image, idx, x, y) with a point of b within ``radius``: a range semi-join by cells of that size, of which a point looks at nine."""
+    """Points of a (image, idx, x, y) with a point of b nearer than ``radius``: a range semi-join by cells of that size, of which a point looks at nine."""
     cell = lambda c: F.floor(F.col(c) / radius)
     near = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = a.withColumn("c", F.explode(near)).select("image", "idx", "x", "y", "c.cx", "c.cy")
     right = b.select("image", F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy")).dropDuplicates()
-    ok = (left["image"] == right["image"]) & (left["cx"] == right["cx"]) & (left["cy"] == right["cy"]) & ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= radius * radius)
+    ok = (left["image"] == right["image"]) & (left["cx"] == right["cx"]) & (left["cy"] == right["cy"]) & ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 < radius * radius)
     return left.join(right, ok, "left_semi").select("image", "idx", "x", "y").distinct()
 
 

@@ -243,7 +243,7 @@ def hist_equalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT ty, tx, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY 1, 2), m AS (SELECT *, greatest(CAST(floor(2.0 * n / 256) AS BIGINT), 1) AS most FROM a),
 s AS (SELECT m.ty, m.tx, n, most, CAST(sum(greatest(c - most, 0)) AS BIGINT) AS spill FROM m JOIN c ON m.ty = c.ty AND m.tx = c.tx GROUP BY 1, 2, 3, 4),
 e AS (SELECT s.*, CAST(u.i AS DOUBLE) AS v FROM s, (SELECT unnest(range(256)) AS i) u),
-l AS (SELECT e.ty, e.tx, e.v, n, least(coalesce(c, 0), most) + spill // 256 + CASE WHEN e.v < spill % 256 THEN 1 ELSE 0 END AS lev FROM e LEFT JOIN c ON e.ty = c.ty AND e.tx = c.tx AND e.v = c.v)
+l AS (SELECT e.ty, e.tx, e.v, n, least(coalesce(c, 0), most) + spill // 256 + CASE WHEN e.v % greatest(256 // greatest(spill % 256, 1), 1) = 0 AND e.v / greatest(256 // greatest(spill % 256, 1), 1) < spill % 256 THEN 1 ELSE 0 END AS lev FROM e LEFT JOIN c ON e.ty = c.ty AND e.tx = c.tx AND e.v = c.v)
 SELECT ty, tx, v, least(round_even(sum(lev) OVER (PARTITION BY ty, tx ORDER BY v) * 255.0::DOUBLE / n, 0), 255) AS mapped FROM l""")
 def clahe_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return illumination.clahe_tables(t.raster(spark, sf_dir)).select("ty", "tx", "v", "mapped")
@@ -313,7 +313,7 @@ def cell_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.occupancy(t.events(spark, sf_dir), 1000, 500).select("image", F.rint(F.col("occupancy") * 64).cast("long").alias("cells"))
 
 
-@query(f"WITH {t.SQL_EVENTS} SELECT a.image, a.idx FROM pts a WHERE a.idx % 2 = 0 AND EXISTS (SELECT 1 FROM pts b WHERE b.idx % 2 = 1 AND a.image = b.image AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36)")
+@query(f"WITH {t.SQL_EVENTS} SELECT a.image, a.idx FROM pts a WHERE a.idx % 2 = 0 AND EXISTS (SELECT 1 FROM pts b WHERE b.idx % 2 = 1 AND a.image = b.image AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 36)")
 def repeatability_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = t.events(spark, sf_dir)
     return points.repeatable(pts.where("idx % 2 = 0"), pts.where("idx % 2 = 1")).select("image", "idx")
