@@ -137,19 +137,27 @@ class BundleWriter:
         self.out.close()
 
 
-def assign_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def assign_types(pages: DataFrame, ws: Workspace, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (binary), digest (hex SHA-1), revisit, refers_to. Of equal payloads of at least ``least_bytes`` bytes the row with the largest page_id is the response
     (null ids last; of repeated rows one); the rest revisit it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "rid": F.monotonically_increasing_id()})
-    chief = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
-    # Rows may repeat the largest page_id; then the last of them is the response.
-    each = rows.groupBy("digest", "page_id").agg(F.max("rid").alias("last"), F.count("*").alias("copies")).withColumnsRenamed({"digest": "_d", "page_id": "_p"})
-    chief = chief.join(each, (F.col("digest") == F.col("_d")) & F.col("refers_to").eqNullSafe(F.col("_p"))).select(F.col("digest").alias("_digest"), "refers_to", "last", "copies")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    each = rows.groupBy("digest", "page_id").agg(F.max("url").alias("top_url"), F.count("*").alias("copies"))
+    top = each.groupBy("digest").agg(F.max("page_id").alias("refers_to"))
+    each = each.withColumnsRenamed({"digest": "_d", "page_id": "_p"})
+    chief = top.join(each, (F.col("digest") == F.col("_d")) & F.col("refers_to").eqNullSafe(F.col("_p"))).select(F.col("digest").alias("_digest"), "refers_to", "top_url", "copies")
+    chief = ws.save(chief, "chief")
     joined = rows.join(chief, rows["digest"] == chief["_digest"])
-    response = F.col("page_id").eqNullSafe(F.col("refers_to")) & ((F.col("copies") == 1) | (F.col("rid") == F.col("last")))
-    revisit = (F.octet_length("payload") >= least_bytes) & ~response
-    return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
+    large = F.octet_length("payload") >= least_bytes
+    at_top = F.col("page_id").eqNullSafe(F.col("refers_to"))
+    columns = ["page_id", "url", "payload", "digest", "revisit", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to")]
+    plain = joined.where(~(at_top & (F.col("copies") > 1))).withColumn("revisit", large & ~at_top)
+    if chief.where("copies > 1").isEmpty():
+        return plain.select(*columns)
+    # Rows that repeat the largest page_id: equal rows are counted, and one of them (the largest url) is the response.
+    again = joined.where(at_top & (F.col("copies") > 1)).groupBy("page_id", "url", "payload", "digest", "refers_to", "top_url").agg(F.count("*").alias("n"))
+    again = again.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("revisit", large & ~(F.col("url").eqNullSafe(F.col("top_url")) & (F.col("k") == 1)))
+    return plain.select(*columns).unionByName(again.select(*columns))
 
 
 INDEX = "page_id long, archive string, archive_bytes long, frame int, frame_offset long, record_bytes long"
@@ -192,7 +200,7 @@ def write_archives(pages: DataFrame, ws: Workspace, least_bytes: int = 0, archiv
         for b in run(batches):
             yield pa.Table.from_batches([b]).select(schema.names).cast(schema).combine_chunks().to_batches()[0]
 
-    return ws.save(assign_types(pages, least_bytes).mapInArrow(typed, INDEX), "index")
+    return ws.save(assign_types(pages, ws, least_bytes).mapInArrow(typed, INDEX), "index")
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
