@@ -27,10 +27,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .storage import Workspace, open_fs, shuffle_partitions
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("stop", IntegerType())]))
 #: Text hashed at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -93,7 +93,8 @@ def encode_sorted(values: np.ndarray) -> bytes:
     """Ascending distinct values as gaps of as few bytes as suit their mean; a gap that is too large takes several entries."""
     gaps = np.diff(values.astype(np.int64), prepend=-1) - 1
     mean = float(gaps.mean()) + 1 if len(gaps) else 1.0
-    width = min(4, max(1, math.ceil((math.log2(mean) + 4) / 8)))
+    # Gaps of hashes are about exponential: a width's cost is its bytes times the entries that a gap takes on average.
+    width = min(range(1, 5), key=lambda w: w / -math.expm1(-((1 << 8 * w) - 1) / mean))
     top = (1 << 8 * width) - 1
     more = gaps // top
     flat = np.full(int(more.sum()) + len(gaps), top, np.uint32)
@@ -307,6 +308,7 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
     for made, reduce, files, coded in ((probe, anchors, anchor_files, True), (windows, repeats, repeat_files, False)):
         found = slim.mapInArrow(made, sent).groupBy("bucket").applyInPandas(reduce, back)
         found.groupBy("_run").applyInPandas(store(files, coded), "_run long").count()
+    ws.drop("anchors")
     return repeat_files
 
 
