@@ -62,4 +62,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_round_trip, op2_substring_dedup, op3_line_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_document_fingerprints, op7_token_counts, op8_byte_bpe, op9_simhash_near_dedup, op10_language_id)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT page_id, strlen(html) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS chief,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chief THEN chief END AS refers_to FROM k""",
+    "op2_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+s AS (SELECT doc_id, k, w[k] AS word, CASE WHEN k + 34 <= len(w) THEN array_to_string(w[k:k + 34], ' ') END AS win FROM i),
+r AS (SELECT doc_id, k, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM s),
+c AS (SELECT doc_id, k, word, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+g AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "op3_line_dedup": """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
+i AS (SELECT doc_id, ls, hs, unnest(range(1, len(ls) + 1)) AS k FROM h),
+e AS (SELECT doc_id, k, ls[k] AS line, CASE WHEN k = len(ls) OR (hs[k] + 31 * CASE WHEN k > 1 THEN hs[k - 1] ELSE 0 END) % 4 = 0 THEN 1 ELSE 0 END AS closes FROM i),
+c AS (SELECT *, sum(closes) OVER (PARTITION BY doc_id ORDER BY k) - closes AS place FROM e),
+ch AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY k) AS chunk, count(*) AS lines, count(*) FILTER (trim(line) <> '') > 1 AS solid FROM c GROUP BY 1, 2),
+f AS (SELECT *, solid AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM ch)
+SELECT doc_id, CAST(sum(lines) AS BIGINT) AS n_lines, CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY 1
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
+SELECT a AS vec_id, coalesce(max(n_links), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach LEFT JOIN n USING (a) GROUP BY 1""",
+}
