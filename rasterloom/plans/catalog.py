@@ -671,6 +671,27 @@ def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.latest(jobs, "job_id", "ts", ["event_id"]).select("job_id", "status", step.alias("step"))
 
 
+SQL_MOVES = """st AS (SELECT CAST(user_id AS VARCHAR) AS job_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+mv AS (SELECT job_id, k, status, CAST(NULL AS VARCHAR) AS previous, status = 'pending' AS valid, CASE WHEN status = 'pending' THEN status END AS now FROM st WHERE k = 1
+  UNION ALL SELECT st.job_id, st.k, st.status, now, coalesce(CASE WHEN now IS NULL THEN st.status = 'pending' WHEN now = 'pending' THEN st.status = 'running' WHEN now = 'running' THEN st.status IN ('completed', 'failed') END, false),
+    CASE WHEN coalesce(CASE WHEN now IS NULL THEN st.status = 'pending' WHEN now = 'pending' THEN st.status = 'running' WHEN now = 'running' THEN st.status IN ('completed', 'failed') END, false) THEN st.status ELSE now END FROM mv JOIN st ON st.job_id = mv.job_id AND st.k = mv.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {SQL_MOVES} SELECT job_id, status, coalesce(previous, 'none') AS previous, valid, count(*) AS n FROM mv GROUP BY 1, 2, 3, 4")
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job states as a stream, against the state each job has so far."""
+    import tempfile
+    import uuid
+
+    from ..streaming import jobs
+
+    status = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    states = t.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-")
+    moves = jobs.replay(states, f"{shared.rstrip('/')}/jobs-{uuid.uuid4().hex}")
+    return moves.groupBy("job_id", "status", F.coalesce("previous", F.lit("none")).alias("previous"), "valid").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {t.SQL_TIES}, z AS (SELECT pair_id, idx, rx - sx AS ex, ry - sy AS ey, sx, sy FROM ties), l AS (SELECT *, CASE WHEN ex * ex + ey * ey > 0 THEN least(greatest(((500 - sx) * ex + (400 - sy) * ey) / (ex * ex + ey * ey), 0), 1) ELSE 0 END AS t FROM z), d AS (SELECT pair_id, idx, round(sqrt(pow(500 - (sx + t * ex), 2) + pow(400 - (sy + t * ey), 2)), 9) AS d FROM l) SELECT pair_id, idx, {R6('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY d, idx) AS k FROM d WHERE d < 15) q WHERE k = 1")
 def hover_hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.nearest_hit(t.ties(spark, sf_dir), 500.0, 400.0).select("pair_id", "idx", r6("distance").alias("distance"))

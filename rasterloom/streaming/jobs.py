@@ -70,3 +70,13 @@ def process(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[
         mark(ended, F.col("status"), F.col("message")).write.mode("append").json(folder)
 
     return read_stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replay(states: DataFrame, folder: str) -> DataFrame:
+    """The transitions of a finished table of states (job_id, status, updated): written to ``folder`` as documents, streamed once, and read back."""
+    spark = states.sparkSession
+    rows = states.select("job_id", "status", F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("string").alias("reference_path"), F.lit(None).cast("string").alias("message"), "updated")
+    rows.write.json(f"{folder}/states")
+    query = transitions(read_stream(spark, f"{folder}/states"), "3650 days").writeStream.format("parquet").option("path", f"{folder}/moves").option("checkpointLocation", f"{folder}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_id string, status string, previous string, valid boolean").parquet(f"{folder}/moves")
