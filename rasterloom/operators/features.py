@@ -139,3 +139,37 @@ def decode_heatmap(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=0, keepdims=True))
     p = (e / e.sum(axis=0, keepdims=True))[:-1]
     return p.reshape(8, 8, *p.shape[1:]).transpose(2, 0, 3, 1).reshape(8 * p.shape[1], 8 * p.shape[2])
+
+
+def decode_detections(scores: np.ndarray, descriptors: np.ndarray, most: int = 8192, radius: int = 4, least: float = 0.005, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keypoints of a network's outputs, as ``keypoints`` gives them: (65, h, w) cell scores and (d, h, w) descriptors. Peaks of the map within ``radius``, the strongest ``most``; descriptors are sampled
+    bilinearly (corners aligned, zero outside) and scaled to length one."""
+    heat = decode_heatmap(scores)
+    if mask is not None:
+        heat = np.where(mask[: heat.shape[0], : heat.shape[1]] > 0, heat, 0)
+    padded = np.pad(heat, radius, constant_values=-np.inf)
+    top = np.lib.stride_tricks.sliding_window_view(padded, (2 * radius + 1, 2 * radius + 1)).max((2, 3))
+    y, x = np.nonzero((heat == top) & (heat >= least))
+    order = np.lexsort((x, y, -heat[y, x]))[:most]
+    y, x = y[order], x[order]
+    _, h, w = descriptors.shape
+    fy, fx = y * (h - 1) / max(1, heat.shape[0] - 1), x * (w - 1) / max(1, heat.shape[1] - 1)
+    y0, x0 = np.floor(fy).astype(int), np.floor(fx).astype(int)
+    out = np.zeros((len(y), descriptors.shape[0]))
+    for j in (0, 1):
+        for i in (0, 1):
+            weight = np.where(j, fy - y0, 1 - fy + y0) * np.where(i, fx - x0, 1 - fx + x0)
+            inside = (y0 + j < h) & (x0 + i < w)
+            out[inside] += weight[inside, None] * descriptors[:, y0[inside] + j, x0[inside] + i].T
+    out /= np.linalg.norm(out, axis=1, keepdims=True) + 1e-8
+    return np.column_stack([x, y, np.full(len(y), 8.0), np.zeros(len(y)), heat[y, x]]), out
+
+
+#: Detectors by the name that the settings use: (image, most) to (rows of x, y, scale, orientation, response; descriptors). Networks are added by whoever has their weights.
+DETECTORS = {"sift": keypoints}
+
+
+def detector(name: str):
+    if name not in DETECTORS:
+        raise NotImplementedError(f"detector {name!r} needs weights: add it to DETECTORS")
+    return DETECTORS[name]

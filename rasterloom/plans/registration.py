@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.features import blur, keypoints
+from ..operators.features import blur, detector
 from ..operators.illumination import phase_congruency_array
 from ..operators.points import affine_array, distances, homography_array, reject_array
 from .config import RegistrationConfig
@@ -141,6 +141,10 @@ def match(a: np.ndarray, b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+#: Matchers by the name that the settings use: (descriptors, descriptors, ratio) to (source indexes, reference indexes, confidences).
+MATCHERS = {"bf": match}
+
+
 def refine(source: np.ndarray, reference: np.ndarray, src: np.ndarray, dst: np.ndarray, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept indexes, refined reference points, correlations)."""
     w, r = patch // 2, SEARCH
@@ -253,9 +257,11 @@ def plausible(m: np.ndarray) -> bool:
 
 
 def _pass(config: RegistrationConfig, a: np.ndarray, b: np.ndarray, scales: tuple[float, float], raw: tuple[np.ndarray, np.ndarray], model: str | None) -> Fit:
-    pa, da = keypoints(a, config.max_keypoints)
-    pb, db = keypoints(b, config.max_keypoints)
-    i, j, conf = match(da, db, config.lowe_ratio)
+    if config.matching_method not in MATCHERS:
+        raise NotImplementedError(f"matcher {config.matching_method!r} needs weights: add it to MATCHERS")
+    find = detector(config.detection_method)
+    (pa, da), (pb, db) = find(a, config.max_keypoints), find(b, config.max_keypoints)
+    i, j, conf = MATCHERS[config.matching_method](da, db, config.lowe_ratio)
     src, dst = pa[i, :2] / scales[0], pb[j, :2] / scales[1]
     if model is None:
         span = np.ptp(src, axis=0).max() if len(src) else 0
@@ -341,20 +347,16 @@ def register_pairs(pairs: DataFrame, config: RegistrationConfig, out: str | None
 
 
 def _one(pair_id: str, source: str, reference: str, config: RegistrationConfig, out: str | None) -> tuple:
+    from ..operators.rules import DEFAULT_RESOLUTION, sensor_of
     from ..sources import codecs
-    from ..sources.raster import _open
+    from ..sources.raster import _open, load_pair
 
     try:
-        rasters = []
-        for path in (source, reference):
-            files, at = _open(path)
-            with files.open_input_file(at) as f:
-                rasters.append(codecs.read_any(path, f.read()))
+        s, r = load_pair(source, reference)
     except Exception as e:
         return pair_id, False, None, None, None, None, "load", f"{type(e).__name__}: {e}", 0.0
-    s, r = rasters
-    size = lambda x: abs(x.geotransform[1]) if x.geotransform and x.crs else 1.0
-    found = register_arrays(s.data[0], r.data[0], config, size(s), size(r))
+    size = lambda x, path: abs(x.geotransform[1]) if x.geotransform and x.crs else DEFAULT_RESOLUTION[sensor_of(path, x.tags)]
+    found = register_arrays(s.data[0], r.data[0], config, size(s, source), size(r, reference))
     if not found["success"]:
         return pair_id, False, None, None, None, None, found["stage"], found["error"], found["seconds"]
     fit, path = found["matches"], None

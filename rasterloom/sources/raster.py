@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import math
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -143,6 +145,74 @@ def _meta(path: str, data: bytes) -> tuple:
         return path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
+class OpenRaster:
+    """A raster whose windows are read on demand: TIFFs by ranges, other formats as a whole."""
+
+    def __init__(self, path: str):
+        files, at = _open(path)
+        self.path, self.file = path, files.open_input_file(at)
+        self.read = lambda offset, size: self.file.read_at(size, offset)
+        self.whole: codecs.Raster | None = None
+        head = self.read(0, 4)
+        if path.lower().endswith((".tif", ".tiff", ".img", ".pds")) and head[:2] in (b"II", b"MM"):
+            try:
+                self.order, self.header = codecs.tiff_header(self.read)
+            except (struct.error, ValueError, IndexError) as e:
+                raise codecs.CorruptRaster(str(e)) from e
+            self.bands, self.height, self.width = self.header.get(codecs.SAMPLES, (1,))[0], self.header[codecs.HEIGHT][0], self.header[codecs.WIDTH][0]
+            info = codecs.tiff_info(self.header)
+        else:
+            self.whole = codecs.read_any(path, self.file.read())
+            self.bands, self.height, self.width = self.whole.data.shape
+            info = {k: getattr(self.whole, k) for k in ("crs", "geotransform", "nodata", "tags")}
+        self.crs, self.geotransform, self.nodata, self.tags = info["crs"], info["geotransform"], info["nodata"], info["tags"]
+
+    def window(self, row: int, col: int, height: int, width: int) -> codecs.Raster:
+        """All bands of a window; its geotransform is the window's own."""
+        if self.whole is not None:
+            data = self.whole.data[:, row: row + height, col: col + width]
+        else:
+            data = codecs.tiff_window(self.read, self.order, self.header, row, col, height, width)
+        geo = self.geotransform
+        if geo:
+            c, a, b, f, d, e = geo
+            geo = (c + a * col + b * row, a, b, f + d * col + e * row, d, e)
+        return codecs.Raster(data, self.crs, geo, self.nodata, self.tags)
+
+    def centre(self, most: int) -> tuple[int, int, int, int]:
+        h, w = min(self.height, most), min(self.width, most)
+        return (self.height - h) // 2, (self.width - w) // 2, h, w
+
+    def box(self) -> tuple[float, float, float, float]:
+        """left, bottom, right, top."""
+        c, a, b, f, d, e = self.geotransform
+        xs, ys = [c + a * i + b * j for i in (0, self.width) for j in (0, self.height)], [f + d * i + e * j for i in (0, self.width) for j in (0, self.height)]
+        return min(xs), min(ys), max(xs), max(ys)
+
+    def window_of(self, box: tuple[float, float, float, float], most: int) -> tuple[int, int, int, int]:
+        """The whole pixels that cover a box, inside the raster, at least one, cut to the centre where a side exceeds ``most``."""
+        c, a, b, f, d, e = self.geotransform
+        inverse = np.linalg.inv(np.array([[a, b], [d, e]]))
+        corners = np.array([inverse @ (x - c, y - f) for x in (box[0], box[2]) for y in (box[1], box[3])]).round(6)
+        out = []
+        for low, high, full in ((corners[:, 1].min(), corners[:, 1].max(), self.height), (corners[:, 0].min(), corners[:, 0].max(), self.width)):
+            at = max(0, math.floor(low))
+            n = max(1, min(math.ceil(high - low), full - at))
+            out.append((at + max(0, (n - most) // 2), min(n, most)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
+
+
+def load_pair(source: str, reference: str, most: int = 4096) -> tuple[codecs.Raster, codecs.Raster]:
+    """The parts of two rasters that show the same ground, at most ``most`` pixels a side; where they have no common reference system, or boxes that don't meet, the centre of each."""
+    a, b = OpenRaster(source), OpenRaster(reference)
+    if a.crs and a.crs == b.crs and a.geotransform and b.geotransform:
+        p, q = a.box(), b.box()
+        common = max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])
+        if common[2] > common[0] and common[3] > common[1]:
+            return a.window(*a.window_of(common, most)), b.window(*b.window_of(common, most))
+    return a.window(*a.centre(most)), b.window(*b.centre(most))
+
+
 def pixels(tiles: DataFrame) -> DataFrame:
     """(image, band, y, x, v) of tiles."""
 

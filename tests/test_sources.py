@@ -191,6 +191,22 @@ def test_heatmap_decoding():
     assert heat.shape == (16, 24) and np.unravel_index(heat.argmax(), heat.shape) == (11, 21) and heat[11, 21] > 0.99
 
 
+def test_decoded_detections():
+    rng = np.random.default_rng(2)
+    scores, descriptors = np.full((65, 5, 6), -9.0), rng.normal(size=(16, 5, 6))
+    scores[64] = 5
+    for cell, y, x, v in ((10, 1, 1, 20), (11, 1, 1, 19), (40, 3, 4, 15)):  # the second is beside the first
+        scores[cell, y, x] = v
+    points, d = features.decode_detections(scores, descriptors)
+    assert [tuple(p[:2]) for p in points] == [(32, 29), (10, 9)] and np.allclose(np.linalg.norm(d, axis=1), 1)
+    assert len(features.decode_detections(scores, descriptors, most=1)[0]) == 1
+    mask = np.zeros((40, 48))
+    mask[20:] = 1
+    assert [tuple(p[:2]) for p in features.decode_detections(scores, descriptors, mask=mask)[0]] == [(32, 29)]
+    got = register_arrays(np.ones((64, 64)), np.ones((64, 64)), RegistrationConfig(illumination_method="clahe", detection_method="superpoint"))
+    assert not got["success"] and "needs weights" in got["error"]
+
+
 @pytest.mark.parametrize("name", "ABCDEFG")
 def test_scenes(name):
     side = 512 if name == "G" else 256
@@ -214,3 +230,30 @@ def test_register_pairs(spark, tmp_path):
     assert not got["gone"].success and got["gone"].stage == "load" and not got["bad"].success
     written = codecs.read_tiff(open(got["ok"].output, "rb").read())
     assert written.data.shape == (2, 200, 200) and written.geotransform == GEO
+
+
+def test_overlapping_windows(tmp_path):
+    data = np.arange(100 * 120, dtype=np.uint16).reshape(1, 100, 120)
+    place = lambda name, geo, crs="EPSG:32633": (tmp_path / name).write_bytes(codecs.write_tiff(codecs.Raster(data, crs, geo), 32)) and str(tmp_path / name)
+    a, b = place("a.tif", (0.0, 1.0, 0.0, 100.0, 0.0, -1.0)), place("b.tif", (40.0, 0.5, 0.0, 90.0, 0.0, -0.5))
+    s, r = raster.load_pair(a, b)
+    np.testing.assert_array_equal(s.data, data[:, 10:60, 40:100])
+    np.testing.assert_array_equal(r.data, data)
+    assert s.geotransform == (40.0, 1.0, 0.0, 90.0, 0.0, -1.0)
+    s, _ = raster.load_pair(a, b, 20)
+    assert s.data.shape == (1, 20, 20) and s.geotransform[0] == 60.0
+    far = place("c.tif", (500.0, 1.0, 0.0, 100.0, 0.0, -1.0))
+    s, r = raster.load_pair(a, far, 50)
+    np.testing.assert_array_equal(s.data, data[:, 25:75, 35:85])
+    touching = place("d.tif", (120.0, 1.0, 0.0, 100.0, 0.0, -1.0))
+    assert raster.load_pair(a, touching, 4096)[0].data.shape == (1, 100, 120)
+    other = place("e.tif", (0.0, 1.0, 0.0, 100.0, 0.0, -1.0), "EPSG:32634")
+    assert raster.load_pair(a, other)[0].data.shape == (1, 100, 120)
+
+
+def test_sensors(spark):
+    rows = [("/d/X_OHRC_1.tif", "", ""), ("/d/m1_NAC.tif", "tmc", ""), ("/d/a.tif", "", "KAGUYA cam"), ("/d/a.tif", "iirs", "ohrc"), ("/ohrc/a.tif", "", "")]
+    df = spark.createDataFrame(rows, "path string, s string, i string")
+    got = [r[0] for r in df.select(rules.sensor(F.col("path"), F.col("s"), F.col("i"))).collect()]
+    assert got == ["ohrc", "lro_nac", "selene", "iirs", "unknown"]
+    assert got == [rules.sensor_of(p, {"SENSOR_NAME": s, "INSTRUMENT_NAME": i}) for p, s, i in rows]
