@@ -147,32 +147,38 @@ MATCHERS = {"bf": match}
 
 def refine(source: np.ndarray, reference: np.ndarray, src: np.ndarray, dst: np.ndarray, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept indexes, refined reference points, correlations)."""
-    w, r = patch // 2, SEARCH
-    kept, points, scores = [], [], []
-    for k, ((sx, sy), (rx, ry)) in enumerate(zip(np.rint(src).astype(int), np.rint(dst).astype(int))):
-        if sx < w or sy < w or sx + w >= source.shape[1] or sy + w >= source.shape[0] or rx < w + r or ry < w + r or rx + w + r >= reference.shape[1] or ry + w + r >= reference.shape[0]:
-            continue
-        a = source[sy - w: sy + w + 1, sx - w: sx + w + 1]
-        b = reference[ry - w - r: ry + w + r + 1, rx - w - r: rx + w + r + 1]
-        if a.std() < 1e-4 or b.std() < 1e-4:
-            continue
-        windows = np.lib.stride_tricks.sliding_window_view(b, a.shape)
-        a0, b0 = a - a.mean(), windows - windows.mean((2, 3), keepdims=True)
-        ncc = np.tensordot(b0, a0, 2) / (np.sqrt((a0**2).sum() * (b0**2).sum((2, 3))) + 1e-12)
-        py, px = np.unravel_index(ncc.argmax(), ncc.shape)
-        if ncc[py, px] < LEAST_NCC:
-            continue
-        step = [0.0, 0.0]
-        for axis, at in ((0, px), (1, py)):
-            if 0 < at < 2 * r:
-                before, after = (ncc[py, px - 1], ncc[py, px + 1]) if axis == 0 else (ncc[py - 1, px], ncc[py + 1, px])
-                bend = 2 * ncc[py, px] - before - after
-                if abs(bend) > 1e-5:
-                    step[axis] = (after - before) / (2 * bend)
-        kept.append(k)
-        points.append((rx - r + px + step[0], ry - r + py + step[1]))
-        scores.append(ncc[py, px])
-    return np.array(kept, int), np.array(points).reshape(-1, 2), np.array(scores)
+    w, r, n = patch // 2, SEARCH, 2 * SEARCH + 1
+    (sx, sy), (rx, ry) = (np.rint(p).astype(int).reshape(-1, 2).T for p in (src, dst))
+    inside = lambda x, y, m, img: (x >= m) & (y >= m) & (x + m < img.shape[1]) & (y + m < img.shape[0])
+    at = np.flatnonzero(inside(sx, sy, w, source) & inside(rx, ry, w + r, reference))
+    kept, points, scores = [np.zeros(0, int)], [np.zeros((0, 2))], [np.zeros(0)]
+    for k in range(0, len(at), 1000):
+        i = at[k: k + 1000]
+        near, far = np.arange(-w, w + 1), np.arange(-w - r, w + r + 1)
+        a = source[sy[i, None, None] + near[:, None], sx[i, None, None] + near].astype(np.float64)
+        b = reference[ry[i, None, None] + far[:, None], rx[i, None, None] + far].astype(np.float64)
+        varied = (a.std((1, 2)) >= 1e-4) & (b.std((1, 2)) >= 1e-4)
+        i, a, b = i[varied], a[varied], b[varied]
+        a -= a.mean((1, 2), keepdims=True)
+        size, ncc = np.sqrt((a * a).sum((1, 2))), np.zeros((len(i), n, n))
+        for dy in range(n):
+            for dx in range(n):
+                c = b[:, dy: dy + 2 * w + 1, dx: dx + 2 * w + 1]
+                spread = np.einsum("kij,kij->k", c, c) - c.sum((1, 2)) ** 2 / c[0].size if len(i) else np.zeros(0)
+                ncc[:, dy, dx] = np.einsum("kij,kij->k", a, c) / (size * np.sqrt(np.maximum(spread, 0)) + 1e-12)
+        py, px = np.unravel_index(ncc.reshape(len(i), -1).argmax(1), (n, n))
+        row = np.arange(len(i))
+        peak, step = ncc[row, py, px], []
+        for place, before, after in ((px, (py, px - 1), (py, px + 1)), (py, (py - 1, px), (py + 1, px))):
+            l, h = ncc[row, np.clip(before[0], 0, n - 1), np.clip(before[1], 0, n - 1)], ncc[row, np.clip(after[0], 0, n - 1), np.clip(after[1], 0, n - 1)]
+            bend = 2 * peak - l - h
+            ok = (place > 0) & (place < n - 1) & (np.abs(bend) > 1e-5)
+            step.append(np.where(ok, (h - l) / np.where(ok, 2 * bend, 1), 0))
+        good = peak >= LEAST_NCC
+        kept.append(i[good])
+        points.append(np.column_stack([rx[i] - r + px + step[0], ry[i] - r + py + step[1]])[good])
+        scores.append(peak[good])
+    return np.concatenate(kept), np.concatenate(points), np.concatenate(scores)
 
 
 def warp(img: np.ndarray, m: np.ndarray, shape: tuple[int, int], method: str = "bilinear", border: float = 0.0) -> np.ndarray:
