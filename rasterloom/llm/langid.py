@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+
 UNKNOWN = "und"
 #: Bytes whose n-grams are looked up at once.
 RUN = 1 << 20
@@ -127,17 +128,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """docs, all columns, with lang_pred and score (double, 0 to 1) of their text. No letter or null: ``und``, 0. Columns of those names are replaced."""
+def _with_found(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+    """docs and _found, struct<lang_pred, score>."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in s], columns=["lang_pred", "score"])
 
-    found = F.pandas_udf(run, "lang_pred string, score double")(F.col("text").cast("string"))
+    return docs.withColumn("_found", F.pandas_udf(run, "lang_pred string, score double")(F.col("text").cast("string")))
+
+
+def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
+    """docs, all columns, with lang_pred and score (double, 0 to 1) of their text. No letter or null: ``und``, 0. Columns of those names are replaced."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, found.alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
+    return _with_found(docs.select(*kept), model).select(*kept, "_found.lang_pred", "_found.score")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -153,5 +158,5 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.2, **options) -> DataFrame:
     """docs without those whose language is ``und`` or scores under ``least``; docs' columns."""
     model = fit(docs.where(~held_out()).where("doc_id is not null"), **options)
-    found = predict(docs.withColumn("_text", F.col("text")), model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    found = _with_found(docs, model)
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select(*docs.columns)

@@ -242,9 +242,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id", "fp", "root")
     kept = Workspace(docs.sparkSession, "simhash").save(found, "kept")
     ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = docs.join(ids.where("n = 1"), "doc_id", "left_semi")
-    own = F.pandas_udf(lambda s: pd.Series(fingerprints(list(s)).view(np.int64)), "long")
-    repeated = docs.join(ids.where("n > 1"), "doc_id", "left_semi").withColumn("_fp", own(F.col("text").cast("string")))
-    names = kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root")).distinct()
-    repeated = repeated.join(names, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_of"))).dropDuplicates(["doc_id", "_root"])
-    return once.unionByName(repeated.select(*docs.columns)).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    out = docs.join(ids.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    many = ids.where("n > 1")
+    if not many.isEmpty():
+        own = F.pandas_udf(lambda s: pd.Series(fingerprints(list(s)).view(np.int64)), "long")
+        names = kept.join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root")).distinct()
+        repeated = docs.join(names, F.col("doc_id") == F.col("_id")).where(own(F.col("text").cast("string")) == F.col("_of"))
+        out = out.unionByName(repeated.dropDuplicates(["doc_id", "_root"]).select(*docs.columns))
+    return out.select(*docs.columns)

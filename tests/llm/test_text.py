@@ -280,6 +280,13 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+def test_following_ranges(spark):
+    numbers = [0, 3, 4, 9, 10, 11, 30]
+    for width in (1, 4, 1000):
+        got = syncmers._following(spark.createDataFrame([(n,) for n in numbers], "range long"), width).collect()
+        assert {r["range"]: r._next for r in got} == dict(zip(numbers, [*numbers[1:], 0]))
+
+
 def test_edits_move_few_anchors(spark):
     rng = random.Random(3)
     words = [f"w{rng.randint(0, 400)}" for _ in range(500)]
@@ -316,5 +323,6 @@ def test_language_id(spark):
     relabelled = docs.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang")))
     assert ordered(langid.identify(relabelled).collect()) == ordered(found)
     kept = langid.keep_known(docs)
+    assert {r.score for r in kept.collect()} == {1.0}  # the column that was there
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(300)) and not kept.where("doc_id in (1000, 1001, 1002)").count()
     assert langid.identify(docs.limit(0)).count() == 0
