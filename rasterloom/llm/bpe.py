@@ -6,12 +6,13 @@ that is compatible with the last token before it (the pair, encoded as a whole,
 table; an edit keeps the table up to where it begins. Walking back from the end gives the ids.
 
 Texts are split by the pattern first; each match is encoded separately. A worker keeps the results of matches it has
-seen, in a table of bounded size; it is emptied when full, which changes no result.
+seen lately, in tables of bounded size, which changes no result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .tokenizers_public import default_path, split_pattern, tiktoken_ranks
 
-CACHE = 400_000
+CACHE = 600_000
 #: Above every rank.
 NEVER = 1 << 40
 
@@ -89,18 +90,33 @@ class PrefixBPE:
         return True
 
     def extend(self, last: list[int], data: bytes) -> list[int]:
-        """Fills ``last`` (the last token of each prefix of data that it holds already) up to all of data."""
-        get = self.ranks.get
+        """Fills ``last`` (the last token of each prefix of data that it holds already) up to all of data. As only one token is right, the order of trial is free: first the place where the
+        last token of the prefix before began, then the last bytes, then the rest."""
+        get, known, bytes_of, add = self.ranks.get, self._pairs.get, self.bytes_of, last.append
         for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = get(data[begin:end])
-                if token is not None and (self.compatible(last[begin - 1], token) if begin else self.sound(token)):
-                    last.append(token)
-                    break
+            before = end - 1 - len(bytes_of[last[-1]]) if last else 0
+            tried = (before, end - 1, end - 2, end - 3)
+            for begin in tried:
+                token = get(data[begin:end]) if begin >= 0 else None
+                if token is not None:
+                    if not begin:
+                        ok = self.sound(token)
+                    elif (ok := known(pair := (last[begin - 1], token))) is None:
+                        ok = self.compatible(*pair)
+                    if ok:
+                        add(token)
+                        break
             else:
-                raise ValueError(f"no token ends at byte {end} of {data[:end]!r}")
+                add(self._other(last, data, end, tried))
         return last
 
+    def _other(self, last: list[int], data: bytes, end: int, tried: tuple[int, ...]) -> int:
+        for begin in range(max(0, end - self.longest), end):
+            if begin not in tried and (token := self.ranks.get(data[begin:end])) is not None:
+                if self.compatible(last[begin - 1], token) if begin else self.sound(token):
+                    return token
+        raise ValueError(f"no token ends at byte {end} of {data[:end]!r}")
+
     def walk(self, last: list[int], end: int | None = None) -> list[int]:
         """The ids of the prefix of ``end`` bytes."""
         end, out = len(last) if end is None else end, []
@@ -136,35 +152,81 @@ class PrefixTable:
         return self.bpe.walk(self.last, prefix)
 
 
-class _Pieces(dict):
-    """Match to (decimal ids joined by commas, number of ids, decoded bytes)."""
+class _Recent(dict):
+    """A table that keeps what was asked for lately: when it is full, it becomes the old one, and what is asked for again moves back."""
 
-    def __init__(self, bpe: PrefixBPE):
+    def __init__(self, most: int):
         super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key: str) -> tuple[str, bytes]:
+        found = self.old.get(key) or self.make(key)
+        if len(key) <= 40:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+class _Pieces(_Recent):
+    """Match to (decimal ids joined by commas, decoded bytes)."""
+
+    def __init__(self, bpe: PrefixBPE, most: int):
+        super().__init__(most)
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[str, int, bytes]:
-        ids = self.bpe.encode_piece(piece.encode("utf-8", "replace"))
-        found = (",".join(map(str, ids)), len(ids), b"".join([self.bpe.bytes_of[i] for i in ids]))
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+    def make(self, piece: str) -> tuple[str, bytes]:
+        ids, bytes_of = self.bpe.encode_piece(piece.encode("utf-8", "replace")), self.bpe.bytes_of
+        return (str(ids[0]), bytes_of[ids[0]]) if len(ids) == 1 else (",".join(map(str, ids)), b"".join([bytes_of[i] for i in ids]))
+
+
+class _Stretches(_Recent):
+    """The same for what stands between two single spaces, with the space before it; its matches are those of the text. A match that begins with the space is found here without it."""
+
+    def __init__(self, split, pieces: _Pieces, most: int):
+        super().__init__(most)
+        self.split, self.pieces = split, pieces
+
+    def make(self, stretch: str) -> tuple[str, bytes]:
+        head, *rest = self.split(" " + stretch)
+        if not rest:
+            return self.pieces.make(head)
+        # The first match is shorter than the stretch, so this ends.
+        parts = [self[head[1:]] if len(head) > 1 else self.pieces[head], *map(self.pieces.__getitem__, rest)]
+        return ",".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+
+
+def _joined(parts) -> tuple[str, bytes]:
+    parts = list(parts)
+    return ",".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str, pattern: str):
+def _worker(path: str, pattern: str, spaced: bool):
     import regex
 
-    return regex.compile(pattern, regex.V0), _Pieces(PrefixBPE(tiktoken_ranks(path)))
+    split, pieces = regex.compile(pattern, regex.V0).findall, _Pieces(PrefixBPE(tiktoken_ranks(path)), CACHE // 4)
+    # A space beside white space, or at an end, belongs to a run, which one match may take.
+    white = "".join(re.escape(chr(c)) for c in range(0x110000) if regex.match(r"\s", chr(c)))
+    odd = re.compile(f" [{white}]|[{white}] |^ | $").search
+    return split, pieces, _Stretches(split, pieces, CACHE) if spaced else None, odd
 
 
 def encode_text(text: str | None, path: str, pattern: str) -> tuple[str, int, bytes]:
-    """(ids joined by commas, number of ids, decoded bytes) of a whole text; null: empty."""
-    split, pieces = _worker(path, pattern)
-    if len(pieces) > CACHE:
-        pieces.clear()
-    found = list(map(pieces.__getitem__, split.findall(text or "")))
-    return ",".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])
+    """(ids joined by commas, number of ids, decoded bytes) of a whole text; null: empty.
+
+    With the public pattern no match holds a single space but as its first character, so texts are cut before single spaces first, which spares most searches.
+    """
+    text = text or ""
+    split, pieces, stretches, odd = _worker(path, pattern, pattern == split_pattern())
+    if stretches is None or not text or odd(text):
+        ids, data = _joined(map(pieces.__getitem__, split(text)))
+    else:
+        head, *rest = text.split(" ")
+        first, parts = _joined(map(pieces.__getitem__, split(head))), list(map(stretches.__getitem__, rest))
+        ids, data = ",".join([first[0], *[x[0] for x in parts]]), b"".join([first[1], *[x[1] for x in parts]])
+    return ids, ids.count(",") + 1 if ids else 0, data
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
