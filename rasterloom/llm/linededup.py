@@ -46,13 +46,15 @@ def repeated_chunks(docs: DataFrame, every: int = 4, bits: int = 64) -> DataFram
     often = ws.save(texts.groupBy("h").agg(F.count("*").alias("texts"), F.max("n").alias("n")).where("n > 1"), "often")
     where = F.struct("doc_id", "digest", "place")
 
-    def later(rows: DataFrame, keys: list[str]) -> DataFrame:
-        first = rows.groupBy(*keys).agg(F.min(where).alias("first"))
+    def later(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+        """Rows but the first of their keys. Firsts are pre-aggregated where rows are read, and stored: so the join that brings them to the rows has plain shuffles on both sides, which Spark splits where they are skewed."""
+        first = ws.save(rows.groupBy(*keys).agg(F.min(where).alias("first")).join(wanted, "h", "left_semi"), f"first{len(keys)}")
         return rows.join(first, keys).where(~where.eqNullSafe(F.col("first"))).select("doc_id", "digest", "place", "lines")
 
-    gone = later(each.drop("chunk").join(often.where("texts = 1").select("h"), "h", "left_semi"), ["h"])
-    if not often.where("texts > 1").isEmpty():
-        gone = gone.unionByName(later(each.join(often.where("texts > 1").select("h"), "h", "left_semi"), ["h", "chunk"]))
+    gone = later(each.drop("chunk"), ["h"], often.where("texts = 1").select("h"))
+    shared = often.where("texts > 1").select("h")
+    if not shared.isEmpty():
+        gone = gone.unionByName(later(each.join(shared, "h", "left_semi"), ["h", "chunk"], shared))
     gone = gone.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("place", "lines")).alias("gone"))
     return gone.select("doc_id", "digest", F.col("gone.place").alias("removed"), F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["lines"]).alias("n_removed"))
 
