@@ -97,6 +97,17 @@ def doc_ranges(docs: DataFrame, rows: int) -> Column:
     return out.cast("long")
 
 
+def _following(ranges: DataFrame, width: int = 4096) -> DataFrame:
+    """(range, _next): the next of the ranges that there are, the first after the last. Within blocks of ``width`` numbers by a window; from block to block by a window over one row a block."""
+    block = F.floor(F.col("range") / width)
+    within = Window.partitionBy("_block").orderBy("range")
+    rows = ranges.withColumn("_block", block).withColumn("_near", F.lead("range").over(within))
+    order = Window.orderBy("_block")
+    blocks = ranges.groupBy(block.alias("_block")).agg(F.min("range").alias("_low"))
+    blocks = blocks.select("_block", F.coalesce(F.lead("_low").over(order), F.first("_low").over(order)).alias("_far"))
+    return rows.join(blocks, "_block").select("range", F.coalesce("_near", "_far").alias("_next"))
+
+
 def _edited(df: DataFrame, k: int, s: int, size: int) -> DataFrame:
     """From text, next_text, sketch, next_sketch: the edited text's columns and the likenesses."""
     cut = F.floor(F.col("n_chars") / 4).cast("int")
@@ -128,8 +139,7 @@ def fingerprint_and_edit(docs: DataFrame, k: int = K, s: int = S, size: int = SI
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     found = ws.save(rows.select(*columns, "range", "is_first", "is_last", F.when(edge, F.col("text")).alias("text"), F.when(edge, F.col("sketch")).alias("sketch")), "rows")
     firsts = found.where("is_first").select("range", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    order = Window.orderBy("range")  # one row per range
-    following = firsts.select("range").withColumn("_next", F.coalesce(F.lead("range").over(order), F.first("range").over(order)))
-    lasts = found.where("is_last").select("doc_id", "n_chars", "fingerprint", "text", "sketch", "range").join(following, "range").drop("range")
+    lasts_of = _following(firsts.select("range"))
+    lasts = found.where("is_last").select("doc_id", "n_chars", "fingerprint", "text", "sketch", "range").join(lasts_of, "range").drop("range")
     lasts = lasts.join(firsts, lasts["_next"] == firsts["range"])
     return found.where("not is_last").select(*columns).unionByName(_edited(lasts, k, s, size).select(*columns))
