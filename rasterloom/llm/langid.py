@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .storage import release_memory, releasing
 
 UNKNOWN = "und"
 #: Bytes whose n-grams are looked up at once.
@@ -117,7 +118,7 @@ def fit(docs: DataFrame, sample: int = 2000, grams: int = 6000, slots: int = 1 <
                     gram, n = np.unique(np.concatenate(each), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})
 
-    counted = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInPandas(releasing(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= grams)
     got = top.select("lang", "gram").toPandas()  # grams rows for each language at most
     return LanguageFilter.build({x: g["gram"].to_numpy(np.uint32) for x, g in got.groupby("lang")}, slots, hashes)
@@ -135,6 +136,7 @@ def _with_found(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in s], columns=["lang_pred", "score"])
+        release_memory()
 
     return docs.withColumn("_found", F.pandas_udf(run, "lang_pred string, score double")(F.col("text").cast("string")))
 

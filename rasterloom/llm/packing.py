@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import Workspace
+from .storage import Workspace, releasing
 from .tokenizers_public import default_path, encode_to_array, encoding
 
 #: Pieces packed in one task, about.
@@ -166,7 +166,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, group: int = GROUP) -> DataFrame:

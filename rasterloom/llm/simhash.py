@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import Forest, connected_components
-from .storage import Workspace
+from .storage import Workspace, releasing
 
 #: Shingles whose bits are counted at once.
 RUN = 200_000
@@ -98,7 +98,7 @@ def add_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFr
             fp = fingerprints(b.column(1).to_pylist(), shingle, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, first_half: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -215,7 +215,7 @@ def link_fingerprints(distinct: DataFrame, ws: Workspace, budget: int = 4, node_
         child = np.flatnonzero(forest.root != np.arange(len(all_fp)))
         return pd.DataFrame({"u": all_fp[child], "v": all_fp[forest.root[child]]})
 
-    return distinct.select("fp").mapInPandas(deal, "o int, x long, y long, fp long").groupBy("o", "x", "y").applyInPandas(join, "u long, v long")
+    return distinct.select("fp").mapInPandas(releasing(deal), "o int, x long, y long, fp long").groupBy("o", "x", "y").applyInPandas(join, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4, node_rows: int = 4096, in_task: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .storage import Workspace, open_fs, shuffle_partitions
+from .storage import Workspace, open_fs, releasing, shuffle_partitions
 
 CHUNK_BYTES = 16 << 20
 SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("stop", IntegerType())]))
@@ -218,7 +218,7 @@ def _label(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                 held += 64 + (len(x.as_buffer()) if x.is_valid else 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.int64())], [*names, "_run"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_run", LongType())]))
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField("_run", LongType())]))
 
 
 def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int, total_bytes: int) -> _Files:
@@ -306,7 +306,7 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
     sent, back = "bucket int, _run long, h binary, flags binary", "_run long, h binary, bucket int"
     anchor_files, repeat_files = _Files(f"{ws.path}/anchors"), _Files(f"{ws.path}/repeats")
     for made, reduce, files, coded in ((probe, anchors, anchor_files, True), (windows, repeats, repeat_files, False)):
-        found = slim.mapInArrow(made, sent).groupBy("bucket").applyInPandas(reduce, back)
+        found = slim.mapInArrow(releasing(made), sent).groupBy("bucket").applyInPandas(reduce, back)
         found.groupBy("_run").applyInPandas(store(files, coded), "_run long").count()
     ws.drop("anchors")
     return repeat_files
@@ -385,4 +385,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:
         schema = StructType([*kept.schema.fields]).add("n_words", "long").add("n_removed", "long").add("spans", SPANS)
-    return runs.select(*names, "_run").mapInArrow(cut, schema)
+    return runs.select(*names, "_run").mapInArrow(releasing(cut), schema)
