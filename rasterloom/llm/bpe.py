@@ -208,7 +208,7 @@ def _worker(path: str, pattern: str, spaced: bool):
 
     split, pieces = regex.compile(pattern, regex.V0).findall, _Pieces(PrefixBPE(tiktoken_ranks(path)), CACHE // 4)
     # A space beside white space, or at an end, belongs to a run, which one match may take.
-    white = "".join(re.escape(chr(c)) for c in range(0x110000) if regex.match(r"\s", chr(c)))
+    white = "".join(map(re.escape, regex.findall(r"\s", "".join(map(chr, range(0x110000))))))
     odd = re.compile(f" [{white}]|[{white}] |^ | $").search
     return split, pieces, _Stretches(split, pieces, CACHE) if spaced else None, odd
 
