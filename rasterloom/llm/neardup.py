@@ -1,0 +1,221 @@
+"""Near-duplicates by the Jaccard likeness of word shingles, exact: every pair at or above the threshold is found.
+
+A document is the set of its shingles (64-bit hashes). Two sets with a likeness of ``num / den`` or more share one of their first
+``n - ceil(n * num / den) + 1`` shingles in any order that all documents share (prefix filter), so documents meet at these shingles only. The
+order puts shingles first that a sample doesn't show as common; the sample changes the work, never the result.
+
+Equal sets are one class from the start. At each shingle, classes are first compared with one of them (four ways to choose it, by shingle), which joins large
+groups of near copies with as many comparisons as members; then all pairs that met and aren't in one component yet are compared. Comparisons count shared
+shingles of the whole sets. A false link needs two shingles with equal 64-bit hashes, or two sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .components import connected_components
+from .simhash import _shingle_hashes
+from .storage import Workspace, releasing
+
+#: Documents of the sample at least, and their share at least.
+SAMPLE, SAMPLE_SHARE = 10_000, 1 / 16
+#: Common shingles that tasks know, at most.
+COMMON = 500_000
+
+
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; fewer words than a shingle are one shingle, no words none."""
+    return np.unique(np.array(_shingle_hashes(text, shingle, seed), np.uint64))
+
+
+def alike(shared, n_a, n_b, num: int, den: int):
+    """Whether sets of n_a and n_b that share so many have a likeness of num / den or more, in whole numbers."""
+    return shared * (num + den) >= (n_a + n_b) * num
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The set's first shingles: those not in common (sorted) by hash, then the others by rank."""
+    if not len(hashes):
+        return hashes
+    long = len(hashes) - -(-len(hashes) * num // den) + 1
+    if not len(common):
+        return hashes[:long]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    known = common[at] == hashes
+    rare = hashes[~known][:long]
+    rest = hashes[known][np.argsort(rank[at[known]])]
+    return np.concatenate([rare, rest[: long - len(rare)]])
+
+
+def _class_of(hashes: np.ndarray) -> int:
+    import xxhash
+
+    found = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+    return found - (1 << 64 if found >> 63 else 0)
+
+
+def _common(docs: DataFrame, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in ascending order, rank of each by ascending frequency) of those that a sample shows more than twice."""
+    share = max(SAMPLE_SHARE, SAMPLE / max(1, docs.count()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingle_set(t, shingle, seed) for t in b.column(0).to_pylist()]
+            if each:
+                found, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    chosen = docs.where(F.pmod("digest", F.lit(1 << 20)) < share * (1 << 20)).select("text")
+    counted = chosen.mapInArrow(releasing(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
+    got = counted.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()  # COMMON rows at most
+    tokens = got["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(tokens) - np.arange(len(tokens)))[order]
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) for which test(hashes of a, n of a, hashes of b, n of b) holds; sets: (cls, n, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_x, n_y = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            ok = [bool(test(x.values.to_numpy(), n, y.values.to_numpy(), m)) for x, n, y, m in zip(batch.column(3), n_x, batch.column(5), n_y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.toDF("a", "n_x", "x"), "a").join(sets.toDF("b", "n_y", "y"), "b")
+    return both.select("a", "b", "n_x", "x", "n_y", "y").mapInArrow(releasing(run), "a long, b long")
+
+
+def _keys(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, digest) of one document of each class in the pairs."""
+    return classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select("least.doc_id", "least.digest")
+
+
+def _possible(pairs: DataFrame, rows: DataFrame, classes: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes that their first shingles don't rule out: the set whose first shingles end earlier shares with the
+    other those that both have as first ones, and of its rest all at most."""
+
+    def test(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
+        return min(n, m) * den >= max(n, m) * num and alike(_shared(x, y) + max(n - len(x), m - len(y)), n, m, num, den)
+
+    firsts = rows.join(_keys(pairs, classes), ["doc_id", "digest"], "left_semi").select("cls", "n", "first").dropDuplicates(["cls"])
+    left = ws.save(_compare(pairs, ws.save(firsts, "firsts"), test), "left")
+    ws.drop("firsts")
+    return left
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, name: str, shingle: int, seed: int, num: int, den: int) -> DataFrame:
+    """(u, v) of those pairs (a, b) of classes whose sets are alike; the sets are made anew from one document of each."""
+
+    def test(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
+        return alike(_shared(x, y), n, m, num, den)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingle_set(t, shingle, seed) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(h) for h in each], pa.int64()), pa.array([len(h) for h in each], pa.int64()), pa.array([h.view(np.int64) for h in each], pa.list_(pa.int64()))], ["cls", "n", "hashes"])
+
+    sets = docs.join(_keys(pairs, classes), ["doc_id", "digest"], "left_semi").select("text").mapInArrow(releasing(read), "cls long, n long, hashes array<long>")
+    links = ws.save(_compare(pairs, ws.save(sets.dropDuplicates(["cls"]), f"{name}sets"), test).toDF("u", "v"), f"{name}links")
+    ws.drop(f"{name}sets")
+    return links
+
+
+def _met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(token, cls, leader) of classes that share a first shingle with another class; leader: one of the token's classes. Shingles move in blocks by range of a mixed hash."""
+    long = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    total = rows.agg(F.sum(long)).first()[0] or 0
+    bits = max(10, int(total // 1_000_000).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls, at = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            firsts = [b.column(1)[int(k)].values.to_numpy().view(np.uint64) for k in at]
+            if not firsts:
+                continue
+            token, of = np.concatenate(firsts), np.repeat(cls, [len(f) for f in firsts])
+            part = ((token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            token, of, part = token[order], of[order], part[order]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(part)]
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([token[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()), pa.array([of[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["range", "tokens", "classes"])
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, cls = np.frombuffer(b"".join(pdf["tokens"]), np.int64), np.frombuffer(b"".join(pdf["classes"]), np.int64)
+        order = np.lexsort((cls, token))
+        token, cls = token[order], cls[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
+        token, cls = token[new], cls[new]
+        _, first, many = np.unique(token, return_index=True, return_counts=True)
+        start, size = np.repeat(first, many), np.repeat(many, many)
+        # The leader: by two bits of the shingle, the class at that quarter of the ascending classes.
+        leader = cls[start + (token & 3) * size // 4]
+        return pd.DataFrame({"token": token, "cls": cls, "leader": leader})[size > 1]
+
+    blocks = rows.select("cls", "first").mapInArrow(releasing(deal), "range long, tokens binary, classes binary")
+    return blocks.groupBy("range").applyInPandas(gather, "token long, cls long, leader long")
+
+
+def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, num: int = 4, den: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From docs (doc_id, digest, text): rows (doc_id, digest) and their classes (cls, least struct<doc_id, digest>), and (node, root) of classes that aren't their own component's root."""
+    common, rank = _common(docs, shingle, seed)
+    shared = docs.sparkSession.sparkContext.broadcast((common, rank))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingle_set(t, shingle, seed) for t in b.column(2).to_pylist()]
+            first = [prefix(h, *shared.value, num, den).view(np.int64) for h in each]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_class_of(h) for h in each], pa.int64()), pa.array([len(h) for h in each], pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "digest", "cls", "n", "first"])
+
+    rows = ws.save(docs.select("doc_id", "digest", "text").mapInArrow(releasing(read), "doc_id long, digest long, cls long, n long, first array<long>"), "rows")
+    classes = ws.save(rows.groupBy("cls").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("n").alias("n")), "classes")
+    met = ws.save(_met(rows, num, den), "met")
+    pairs = met.where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    pairs = ws.save(pairs, "pairs")
+    links = _links(_possible(pairs, rows, classes, ws, num, den), docs, classes, ws, "star", shingle, seed, num, den)
+    roots = ws.save(connected_components(links, ws), "roots")
+    named = ws.save(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "n", F.coalesce("root", "cls").alias("root")), "named")
+    of = met.select("token", "cls").join(named, "cls").select("token", "cls", "n", "root")
+    mixed = ws.save(of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "mixed")
+    of = ws.save(of.join(mixed, "token"), "of")
+    x, y = of.toDF("token", "a", "n_a", "root_a"), of.toDF("token", "b", "n_b", "root_b")
+    near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    # Every first shingle that two such classes share is in the join, so the rows of a pair are counted to rule it out as _possible does.
+    rest = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    after = lambda c: F.floor(F.col(c) * num / den) + 1  # noqa: E731  at least what follows a set's first shingles
+    rest = rest.where(alike(F.col("shared") + F.greatest(after("n_a"), after("n_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+    rest = ws.save(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(_links(rest, docs, classes, ws, "rest", shingle, seed, num, den))
+        roots = connected_components(links, ws, name="all")
+    return rows, classes, roots
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but one row of each group that is linked by likeness: the one with the smallest doc_id stays (if the group has several rows of it, one
+    of them). Texts without a word are one group; rows with a null doc_id can't be named and stay. Keeps docs' columns."""
+    ws = Workspace(docs.sparkSession, "neardup")
+    digest = F.xxhash64(F.col("text").cast("string"))
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.col("text").cast("string").alias("text"))
+    rows, classes, roots = near_groups(slim, ws, **options)
+    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("least", F.coalesce("root", "cls").alias("root"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_digest"))
+    again = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("_many"))
+    kept = ws.save(kept.join(again, (kept["_id"] == again["doc_id"]) & (kept["_digest"] == again["digest"])).select("_id", "_digest", "_many"), "kept")
+    on = (F.col("doc_id").cast("long") == F.col("_id")) & (digest == F.col("_digest"))
+    out = docs.join(kept.where("_many = 1"), on, "left_semi").unionByName(docs.where("doc_id is null"))
+    many = kept.where("_many > 1")
+    if not many.isEmpty():
+        out = out.unionByName(docs.join(many, on).dropDuplicates(["_id", "_digest"]).select(*docs.columns))
+    return out.select(*docs.columns)

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from rasterloom.llm import components, embeddings, linededup, simhash, substrings
+import corpus_pipeline
+from rasterloom.llm import components, embeddings, linededup, neardup, simhash, substrings
 from rasterloom.llm.storage import Workspace
 
 from .helpers import WORD, components as brute_components, documents
@@ -147,6 +148,42 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingles_by_hand(text):
+    w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("common", [0, 500_000])
+def test_near_dedup_by_likeness(spark, monkeypatch, common):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(neardup, "COMMON", common)
+    rows, _ = documents(spark)
+    passage = [f"p{k}" for k in range(30)]
+    for k in range(40):  # families that share a passage, with copies from few to many edits
+        base = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(5, 120))] + passage
+        for edits in (0, 1, 2, 3, 5):
+            w = list(base)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = f"e{rng.integers(0, 9999)}"
+            rows.append((1000 + 10 * k + edits, " ".join(w).upper() if edits == 1 else " ".join(w)))
+    rows += [(7, rows[9][1]), (2000, rows[-3][1])]  # a doc_id of two groups
+    sets = [shingles_by_hand(t) for _, t in rows]
+    named = [k for k, (i, _) in enumerate(rows) if i is not None]
+    links = [(a, b) for a in named for b in named if b < a and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    root = brute_components(len(rows), links)
+    groups = defaultdict(list)
+    for k in named:
+        groups[root[k]].append(rows[k])
+    wanted = Counter(min(i for i, _ in g) for g in groups.values()) + Counter({None: sum(i is None for i, _ in rows)})
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert Counter(i for i, _ in found) == wanted
+    assert all(any(x in g for x in found) for g in groups.values())
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
 def test_trie_finds_all_pairs():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
