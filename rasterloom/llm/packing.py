@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import Workspace, releasing
-from .tokenizers_public import default_path, encode_to_array, encoding
+from .tokenizers_public import default_path, encode_with_added, encoding_with_added
 
 #: Pieces packed in one task, about.
 GROUP = 50_000
@@ -156,11 +156,11 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFram
     """doc_id, piece, start, length, ids_crc32 of each piece of docs (doc_id, text); each document's ids end in ``end_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoding(path), np.array([end_id], "<u4")
+        enc, end = encoding_with_added(path), np.array([end_id], "<u4")
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.concatenate([encode_to_array(enc, text.as_py()).astype("<u4"), end])
+                ids = np.concatenate([encode_with_added(enc, text.as_py()).astype("<u4"), end])
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[s: s + n].tobytes())) for k, (s, n) in enumerate(pieces_of(len(ids), capacity))]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -56,6 +56,32 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """A .json file's added tokens and their ids; none for a .tiktoken file."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that don't match as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
+@lru_cache(maxsize=4)
+def encoding_with_added(path: str):
+    """Like ``encoding``, with the file's added tokens: ``encode_with_added`` finds them in texts first, as ``tokenizers`` does."""
+    import tiktoken
+
+    ranks = json_ranks(path) if path.endswith(".json") else tiktoken_ranks(path)
+    return tiktoken.Encoding("own", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens=added_tokens(path))
+
+
+def encode_with_added(enc, text: str | None):
+    """The whole text's ids as a numpy array, each added token as its own id; null: none."""
+    return enc.encode_to_numpy(text or "", allowed_special="all", disallowed_special=())
+
+
 def encode_to_array(enc, text: str | None):
     """The whole text's ids as a numpy array; null: none."""
     return enc.encode_to_numpy(text or "", disallowed_special=())

@@ -153,6 +153,18 @@ def test_json_vocabulary_gives_the_ids_of_tokenizers():
         assert encode_to_array(enc, t).tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_takes_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "   ", "\n", "a", "don't", " the", "世界", "12"]
+    rows = [(0, "a <|endoftext|> b")] + [(k, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 20)))) for k in range(1, 200)]
+    wanted = {i: (len(ids := [*own.encode(t, add_special_tokens=False).ids, 0]), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows}
+    found = packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in found.collect()} == wanted
+
+
 LETTERS = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'sdthe…0123 \x1c\x85　᠎")), max_size=80)
 
 
