@@ -45,6 +45,12 @@ def normalised(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_PLAIN)
 
 
+def can_judge(text: str | None) -> bool:
+    """Whether the text has an n-gram without two spaces side by side; others are in no longer text's n-grams."""
+    data = b" " + normalised(text or "") + b" "
+    return any(b"  " not in data[k: k + 4] for k in range(len(data) - 3))
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -130,15 +136,15 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _with_found(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """docs and _found, struct<lang_pred, score>."""
+    """docs and _found, struct<lang_pred, score, judged>."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            yield pd.DataFrame([shared.value.predict(t) for t in s], columns=["lang_pred", "score"])
+            yield pd.DataFrame([(*shared.value.predict(t), can_judge(t)) for t in s], columns=["lang_pred", "score", "judged"])
         release_memory()
 
-    return docs.withColumn("_found", F.pandas_udf(run, "lang_pred string, score double")(F.col("text").cast("string")))
+    return docs.withColumn("_found", F.pandas_udf(run, "lang_pred string, score double, judged boolean")(F.col("text").cast("string")))
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
@@ -158,7 +164,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.2, **options) -> DataFrame:
-    """docs without those whose language is ``und`` or scores under ``least``; docs' columns."""
+    """docs without those whose language is ``und`` or scores under ``least``; texts with letters but too short to judge stay. docs' columns."""
     model = fit(docs.where(~held_out()).where("doc_id is not null"), **options)
     found = _with_found(docs, model)
-    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select(*docs.columns)
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & ((F.col("_found.score") >= least) | ~F.col("_found.judged"))).select(*docs.columns)

@@ -241,7 +241,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     the group's rows, if rows repeat that doc_id). Rows with a null doc_id can't be named and stay. Keeps docs' columns."""
     found = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id", "fp", "root")
     kept = Workspace(docs.sparkSession, "simhash").save(found, "kept")
-    ids = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
+    # How often docs has the doc_id, not kept: another of its rows may be in a group that keeps a smaller one.
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).join(kept, "doc_id", "left_semi")
     out = docs.join(ids.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     many = ids.where("n > 1")
     if not many.isEmpty():

@@ -148,6 +148,12 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_matches_rows_of_a_repeated_doc_id(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, words), (5, words), (5, "something else that stands alone here")], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {(1, words), (5, "something else that stands alone here")}
+
+
 def shingles_by_hand(text):
     w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()

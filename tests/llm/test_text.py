@@ -338,3 +338,11 @@ def test_language_id(spark):
     assert {r.score for r in kept.collect()} == {1.0}  # the column that was there
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= set(range(300)) and not kept.where("doc_id in (1000, 1001, 1002)").count()
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_language_keeps_what_is_too_short_to_judge(spark):
+    rows = [(k, f"the house and the garden number {k} of the street", "en") for k in range(60)] + [(100, "A.", "en"), (101, "b", "en"), (102, "qxz", "en"), (103, ".", "en"), (104, "", "en"), (105, None, "en")]
+    rows = [(i, t, lang if i < 100 else None) for i, t, lang in rows]
+    kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in kept.where("doc_id >= 100").collect()} == {100, 101}
+    assert kept.where("doc_id < 100").count() == 60
