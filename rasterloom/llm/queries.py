@@ -80,7 +80,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
 i AS (SELECT doc_id, ls, hs, unnest(range(1, len(ls) + 1)) AS k FROM h),
-e AS (SELECT doc_id, k, ls[k] AS line, CASE WHEN k = len(ls) OR (hs[k] + 31 * CASE WHEN k > 1 THEN hs[k - 1] ELSE 0 END) % 4 = 0 THEN 1 ELSE 0 END AS closes FROM i),
+p AS (SELECT doc_id, k, ls[k] AS line, k = len(ls) AS final,
+  CASE WHEN (hs[k] * 7919 + CASE WHEN k > 1 THEN hs[k - 1] ELSE 0 END * 104729) % 1000003 % 2 = 0 OR (k > 1 AND ls[k] = ls[k - 1]) THEN '1' ELSE '0' END AS proposed FROM i),
+m AS (SELECT doc_id, regexp_replace(string_agg(proposed, '' ORDER BY k), '11', '10', 'g') AS marks FROM p GROUP BY 1),
+e AS (SELECT p.doc_id, k, line, CASE WHEN final OR substr(marks, k, 1) = '1' THEN 1 ELSE 0 END AS closes FROM p JOIN m ON p.doc_id = m.doc_id),
 c AS (SELECT *, sum(closes) OVER (PARTITION BY doc_id ORDER BY k) - closes AS place FROM e),
 ch AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY k) AS chunk, count(*) AS lines, count(*) FILTER (trim(line) <> '') > 1 AS solid FROM c GROUP BY 1, 2),
 f AS (SELECT *, solid AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM ch)

@@ -1,18 +1,19 @@
 """Intermediate tables and files in the folder that driver and executors share.
 
-The folder is ``spark.checkpoint.dir``. Where the session does not set it (tests, a laptop),
-a temporary folder of this machine is used. Tables are Parquet, so they cut lineage and outlive
-a lost executor. They are deleted with ``Workspace.drop`` once consumed, else at exit.
+The folder is ``spark.checkpoint.dir``. Where the session does not set it, a temporary folder of this machine is used
+if Spark runs in one process (``local[...]``); on a cluster that is an error, as others could not see the files. Tables
+are Parquet, so they cut lineage and outlive a lost executor. They are deleted with ``Workspace.drop`` once consumed, else at exit.
 """
 
 from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors have no shared folder for intermediate tables")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -55,6 +58,32 @@ class Workspace:
             pass
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+class Packed:
+    """Rows whose columns beyond a few known ones travel in one struct, by position, so that no name of theirs meets one of the operator's."""
+
+    def __init__(self, docs: DataFrame, *own: str):
+        self.names, self.own = docs.columns, own
+        self.others = [c for c in docs.columns if c not in own]
+
+    def rest(self) -> Column:
+        """The struct; a literal where there is nothing to carry."""
+        if not self.others:
+            return F.lit(0).alias("rest")
+        return F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(self.others)]).alias("rest")
+
+    def columns(self, **now: Column | str) -> list[Column]:
+        """The columns as they were, in their order; now: what stands for the known ones (default: the column of that name)."""
+        at = {c: F.col(f"rest.c{k}").alias(c) for k, c in enumerate(self.others)}
+        for c in self.own:
+            new = now.get(c, c)
+            at[c] = (F.col(new) if isinstance(new, str) else new).alias(c)
+        return [at[c] for c in self.names]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -69,8 +69,11 @@ def lines_by_hand(rows, every):
     def chunks(text):
         lines, out, start = text.split("\n"), [], 0
         h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        ended = False
         for k in range(len(lines)):
-            if k == len(lines) - 1 or (h[k] + 31 * (h[k - 1] if k else 0)) % every == 0:
+            proposed = (7919 * h[k] + 104729 * (h[k - 1] if k else 0)) % 1000003 % every == 0 or (k > 0 and lines[k] == lines[k - 1])
+            ended = proposed and not ended
+            if k == len(lines) - 1 or ended:
                 out.append(lines[start: k + 1])
                 start = k + 1
         return out
@@ -111,6 +114,32 @@ def test_line_dedup(spark, every):
     assert linededup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_runs_of_equal_lines(spark):
+    """All lines of a run but its first two and an odd last one go, wherever the run stands."""
+    rows = [(1, "\n".join(["head of one", *["same line"] * 41, "tail of one"])), (2, "\n".join(["head of two", *["same line"] * 30]))]
+    found = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), count=True).orderBy("doc_id").collect()
+    assert [r.n_removed >= n - 5 for r, n in zip(found, (41, 30))] == [True, True]
+    assert found[0].text.startswith("head of one") and found[0].text.endswith("tail of one")
+
+
+def test_line_dedup_names(spark):
+    """Columns with the operator's own names come back as they were."""
+    names = ["_n", "_id", "_digest", "_removed", "digest", "of", "of_digest", "removed", "rest", "chunks", "lines", "kept", "left", "n_lines", "c0", "a.b"]
+    rows = [(k, "one\ntwo\nthree\nfour\nfive\nsix\nseven\neight", *[f"{n}{k}" for n in names]) for k in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    found = linededup.remove_repeated_lines(docs)
+    assert found.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in found.collect()) == sorted(r[2:] for r in rows)
+
+
+def test_line_dedup_long_text(spark):
+    """Several megabytes in one document."""
+    text = "\n".join(f"line {k} of a long text with a few words" for k in range(120_000))
+    rows = [(1, text), (2, "a\nb\n" + text)]
+    found = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), count=True).orderBy("doc_id").collect()
+    assert found[0].text == text and found[1].n_removed > 119_000
+
+
 def test_line_dedup_updates_length(spark):
     rows = [(k, "one\ntwo\nthree\nfour\nfive\nsix\nseven\neight" + str(k) * (k > 1), "en", 40) for k in range(4)]
     found = linededup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int")).collect()
