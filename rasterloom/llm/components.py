@@ -41,6 +41,49 @@ class Forest:
                 root[:] = up
 
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, its root) of the nodes that aren't roots."""
+        child = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return child, self.root[child]
+
+
+class ClosestForest:
+    """A spanning forest of least distances (small whole numbers) over the nodes 0..n-1, of links that come in runs; between runs only the forest is held."""
+
+    def __init__(self, n: int, held: int = 2_000_000):
+        self.n, self.most, self.size = n, held, 0
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        self.runs.append((a, b, apart))
+        self.size += len(a)
+        if self.size > max(self.most, 4 * self.n):
+            self._reduce()
+
+    def _reduce(self) -> None:
+        a, b, apart = (np.concatenate([r[k] for r in self.runs] or [np.zeros(0, np.int64)]) for k in range(3))
+        root, kept = np.arange(self.n, dtype=np.int64), []
+        for d in np.unique(apart):
+            at = np.flatnonzero(apart == d)
+            while len(at):
+                ra, rb = root[a[at]], root[b[at]]
+                at, ra, rb = (x[ra != rb] for x in (at, ra, rb))
+                if not len(at):
+                    break
+                high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+                high, first = np.unique(high, return_index=True)  # each root is hooked below a smaller one by one link
+                kept.append(at[first])
+                root[high] = low[first]
+                while not np.array_equal(up := root[root], root):
+                    root = up
+        kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        self.runs, self.size = [(a[kept], b[kept], apart[kept])], len(kept)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        self._reduce()
+        return self.runs[0][0], self.runs[0][1]
+
+
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, smallest node of its component), fewer than there are nodes."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -104,4 +147,4 @@ def connected_components(links: DataFrame, ws: Workspace, in_task: int = IN_TASK
     return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-__all__ = ["Forest", "connected_components", "star_forest", "shuffle_partitions"]
+__all__ = ["ClosestForest", "Forest", "connected_components", "star_forest", "shuffle_partitions"]

@@ -1,33 +1,39 @@
-"""SimHash near-duplicates: 64-bit fingerprints linked by a binary trie self-join.
+"""SimHash near-duplicates: fingerprints linked by a binary trie self-join.
 
-A fingerprint's bit is set if more than half of the document's word shingles have it set in their XXH64.
-Distinct fingerprints (copies meet first, by a partial aggregate) form a binary trie. Node pairs of the trie are
-traversed together; differing bits add up, and a pair is pruned once they exceed the budget. Four errors in two
-halves leave at most two in the first half or at most one in the second, so two tries are joined, each with
-the tighter budget on the half that it reads first; this keeps the pairs visited near linear.
+A fingerprint's bit is set if more than half of the document's word shingles have it set in their hash (XXH64; further words of a longer fingerprint mix that hash).
+Distinct fingerprints (copies meet first, by a partial aggregate) form a binary trie. Node pairs of the trie are traversed together; differing bits add up, and a pair
+is pruned once they exceed the budget of its depth.
 
-The top ``depth`` bits split the tries among tasks. A task joins two trie nodes within the budget; a node with more than
-``node_rows`` fingerprints is cut into blocks, and every pair of blocks gets a task, so no group outgrows a task
-and no link is lost. The table of node sizes has at most 2**16 rows.
+An ``Order`` is a sequence of the bits and a budget for each depth. Two sets of orders are used:
+
+* ``ring_orders`` lose nothing: ``budget`` errors in a ring of ``budget + 1`` blocks of bits leave a block from which on the first block has no error, the first two at most one,
+  and so on. So one order begins at each block, with budgets 0, 1, 2, ... by block.
+* ``sampled_orders`` are for long fingerprints and wide budgets, where no exact order prunes: each is a random sequence of bits whose first bits must agree. There are so many of them that
+  two fingerprints that differ in a given share of bits miss all with a stated chance; their number grows with a small power of the rows.
+
+The first bits of an order split its trie among tasks. A task joins two trie nodes within the budget; a node with more than ``node_rows`` fingerprints is cut into
+blocks, and every pair of blocks gets a task, so no group outgrows a task and no link is lost. The table of node sizes has at most 2**MAX_DEPTH rows an order.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import Forest, connected_components
-from .storage import Workspace, releasing
+from .components import ClosestForest, Forest, connected_components
+from .storage import Packed, Workspace, releasing
 
 #: Shingles whose bits are counted at once.
 RUN = 200_000
-HALF = 32
-MAX_DEPTH = 16
+MAX_DEPTH = 18
+#: Pairs of a trie node pair that are compared at once rather than split further.
+LEAF = 12
 
 
 def _shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
@@ -57,9 +63,19 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(part, np.cumsum(pieces) - pieces, axis=0)
 
 
-def fingerprints(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """The texts' fingerprints as uint64; no words give 0."""
-    out = np.zeros(len(texts), np.uint64)
+def _word(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64 bits that a shingle's hash stands for; the first are the hash itself."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints_of(each: Iterator[np.ndarray], n: int, words: int = 1) -> np.ndarray:
+    """The fingerprints (n, words) as uint64 of n documents' shingle hashes; no shingles give 0."""
+    out = np.zeros((n, words), np.uint64)
     weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))
     held: list[np.ndarray] = []
     who: list[int] = []
@@ -68,18 +84,19 @@ def fingerprints(texts: list[str | None], shingle: int = 4, seed: int = 42) -> n
     def flush() -> None:
         nonlocal total
         if who:
-            sizes = np.array([len(h) for h in held])
-            counts = _bit_counts(np.concatenate(held), np.cumsum(sizes) - sizes)
-            out[who] = ((2 * counts > sizes[:, None]) * weights).sum(axis=1, dtype=np.uint64)
+            sizes, all_of = np.array([len(h) for h in held]), np.concatenate(held)
+            for k in range(words):
+                counts = _bit_counts(_word(all_of, k), np.cumsum(sizes) - sizes)
+                out[who, k] = ((2 * counts > sizes[:, None]) * weights).sum(axis=1, dtype=np.uint64)
         held.clear()
         who.clear()
         total = 0
 
-    for i, text in enumerate(texts):
-        hashes = np.array(_shingle_hashes(text, shingle, seed), np.uint64)
+    for i, hashes in enumerate(each):
         if len(hashes) > RUN:  # a very long text: its runs are summed
-            counts = sum(_bit_counts(hashes[k: k + RUN], np.array([0]))[0] for k in range(0, len(hashes), RUN))
-            out[i] = ((2 * counts > len(hashes)) * weights).sum(dtype=np.uint64)
+            for w in range(words):
+                counts = sum(_bit_counts(_word(hashes[k: k + RUN], w), np.array([0]))[0] for k in range(0, len(hashes), RUN))
+                out[i, w] = ((2 * counts > len(hashes)) * weights).sum(dtype=np.uint64)
         elif len(hashes):
             held.append(hashes)
             who.append(i)
@@ -90,6 +107,12 @@ def fingerprints(texts: list[str | None], shingle: int = 4, seed: int = 42) -> n
     return out
 
 
+def fingerprints(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The texts' fingerprints of 64 bits as uint64, from all shingles, repeats included; no words give 0."""
+    each = (np.array(_shingle_hashes(t, shingle, seed), np.uint64) for t in texts)
+    return fingerprints_of(each, len(texts))[:, 0]
+
+
 def add_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) of each row of docs (doc_id, text)."""
 
@@ -101,9 +124,57 @@ def add_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, first_half: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (index in a, index in b) of sorted distinct uint64 arrays that differ in at most ``budget`` bits, of
-    which at most ``first_half`` among the upper 32; b None: pairs within a. Runs of bounded length."""
+@dataclass(frozen=True)
+class Order:
+    """bits: the first 64 of the fingerprint's bits in this order (bit 0 is the highest of the first word). limit: by depth 0..64, how many of the bits so far may differ."""
+
+    bits: tuple[int, ...]
+    limit: tuple[int, ...]
+
+    def words(self, fp: np.ndarray) -> np.ndarray:
+        """The bits of fingerprints (n, words) as one uint64 each, the order's first bit highest."""
+        if fp.shape[1] == 1 and self.bits == tuple((self.bits[0] + k) % 64 for k in range(64)):
+            k = np.uint64(self.bits[0])
+            return fp[:, 0] if not k else (fp[:, 0] << k) | (fp[:, 0] >> (np.uint64(64) - k))
+        flat = np.unpackbits(np.ascontiguousarray(fp.astype(">u8")).view(np.uint8).reshape(len(fp), -1), axis=1)
+        return np.ascontiguousarray(np.packbits(flat[:, list(self.bits)], axis=1)).view(">u8")[:, 0].astype(np.uint64)
+
+    def masks(self, depth: int) -> list[int]:
+        """The differences in the first ``depth`` bits that the limits allow."""
+        found = [(0, 0)]
+        for d in range(depth):
+            found = [(m << 1 | x, n + x) for m, n in found for x in (0, 1) if n + x <= self.limit[d + 1]]
+        return [m for m, _ in found]
+
+
+def ring_orders(budget: int) -> list[Order]:
+    """For 64 bits: every pair that differs in at most ``budget`` (under 64) bits is within the limits of one order at least."""
+    cuts = [64 * k // (budget + 1) for k in range(budget + 2)]
+    out = []
+    for first in range(budget + 1):
+        blocks = [(first + k) % (budget + 1) for k in range(budget + 1)]
+        bits = [b for k in blocks for b in range(cuts[k], cuts[k + 1])]
+        out.append(Order(tuple(bits), (0, *[n for n, k in enumerate(blocks) for _ in range(cuts[k], cuts[k + 1])])))
+    return out
+
+
+def share_apart(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two sets of equal size and this Jaccard likeness differ on average: their angle."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_orders(bits: int, rows: int, apart: float, budget: int, miss: float = 0.01, node: int = 256, seed: int = 7) -> list[Order]:
+    """Orders whose first bits, so many that a node of ``rows`` holds about ``node``, must agree; below, each 16 bits' limit leaves ``apart`` 3.6 standard deviations.
+    A pair that differs in the share ``apart`` of its bits agrees in no order's first bits with chance ``miss``."""
+    agree = max(0, math.ceil(math.log2(max(1, rows / node))))
+    n = 1 if not agree else math.ceil(math.log(miss) / math.log1p(-((1 - apart) ** agree)))
+    rng = np.random.default_rng(seed)
+    limit = [0 if d <= agree else min(budget, math.floor(e * apart + 3.6 * math.sqrt(e * apart * (1 - apart)))) for d in range(65) for e in [-(-d // 16) * 16]]
+    return [Order(tuple(rng.permutation(bits)[:64].tolist()), tuple(limit)) for _ in range(n)]
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, limit: tuple[int, ...], leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index in a, index in b) of sorted uint64 arrays within the limits by depth; b None: pairs within a. A pair that is over a limit may be given if it keeps to limit[64]. Runs of bounded length."""
     same = b is None
     b = a if same else b
     if not len(a) or not len(b):
@@ -116,26 +187,35 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, first_half: int
             ones_of[side, d] = np.concatenate([[0], np.cumsum(bits.astype(np.int64))])
         return ones_of[side, d]
 
+    def compared(part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        width = part[:, 3] - part[:, 2]
+        n = (part[:, 1] - part[:, 0]) * width
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        w = np.repeat(width, n)
+        i, j = np.repeat(part[:, 0], n) + at // w, np.repeat(part[:, 2], n) + at % w
+        ok = np.bitwise_count(a[i] ^ b[j]) <= limit[64]
+        if same:
+            ok &= i < j
+        if ok.any():
+            yield i[ok], j[ok]
+
     stack = [(0, np.array([[0, len(a), 0, len(b), 0]], np.int64))]
     while stack:
         d, node = stack.pop()
-        small = (node[:, 1] - node[:, 0]) * (node[:, 3] - node[:, 2]) <= 12
-        leaf = node[small] if d < 64 else node
-        node = node[~small] if d < 64 else node[:0]
-        if len(leaf):
-            for k in range(0, len(leaf), 100_000):
-                part = leaf[k: k + 100_000]
-                width = part[:, 3] - part[:, 2]
-                n = (part[:, 1] - part[:, 0]) * width
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w = np.repeat(width, n)
-                i, j = np.repeat(part[:, 0], n) + at // w, np.repeat(part[:, 2], n) + at % w
-                differ = a[i] ^ b[j]
-                ok = np.bitwise_count(differ) <= budget
-                if same:
-                    ok &= i < j
-                if ok.any():
-                    yield i[ok], j[ok]
+        pairs = (node[:, 1] - node[:, 0]) * (node[:, 3] - node[:, 2])
+        small = (pairs <= leaf) | (d >= 64)
+        ends = node[small]
+        if len(ends):
+            run = (np.cumsum(pairs[small]) - 1) // 1_000_000
+            for big in np.split(ends, np.flatnonzero(np.diff(run)) + 1):
+                if (big[:, 1] - big[:, 0]).max() * (big[:, 3] - big[:, 2]).max() <= 4_000_000:
+                    yield from compared(big)
+                else:  # very many equal words: by rows
+                    for lo, hi, x, y, n in big.tolist():
+                        step = max(1, 1_000_000 // (y - x))
+                        for k in range(lo, hi, step):
+                            yield from compared(np.array([[k, min(hi, k + step), x, y, n]]))
+        node = node[~small]
         if not len(node):
             continue
         if len(node) > 400_000:
@@ -145,12 +225,11 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, first_half: int
         cb = ca if same else ones(1, d)
         ma = node[:, 1] - (ca[node[:, 1]] - ca[node[:, 0]])
         mb = node[:, 3] - (cb[node[:, 3]] - cb[node[:, 2]])
-        limit = first_half if d < HALF else budget
         out = []
         for x in (0, 1):
             for y in (0, 1):
                 child = np.stack([ma if x else node[:, 0], node[:, 1] if x else ma, mb if y else node[:, 2], node[:, 3] if y else mb, node[:, 4] + (x != y)], axis=1)
-                keep = (child[:, 1] > child[:, 0]) & (child[:, 3] > child[:, 2]) & (child[:, 4] <= limit)
+                keep = (child[:, 1] > child[:, 0]) & (child[:, 3] > child[:, 2]) & (child[:, 4] <= limit[d + 1])
                 if same and x > y:  # (0, 1) of a node with itself has these pairs
                     keep &= ~((node[:, 0] == node[:, 2]) & (node[:, 1] == node[:, 3]))
                 out.append(child[keep])
@@ -159,63 +238,74 @@ def trie_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, first_half: int
             stack.append((d + 1, out))
 
 
-def _rotated(fp: np.ndarray, order: int) -> np.ndarray:
-    return fp if order == 0 else (fp << np.uint64(HALF)) | (fp >> np.uint64(HALF))
-
-
-def _masks(depth: int, errors: int) -> list[int]:
-    return [m for m in range(1 << depth) if m.bit_count() <= errors]
-
-
-def link_fingerprints(distinct: DataFrame, ws: Workspace, budget: int = 4, node_rows: int = 4096) -> DataFrame:
-    """Links (u, v) that join all fingerprints (column fp, distinct) with at most ``budget`` differing bits into
-    their components: a spanning forest of each task's links, no pair list."""
-    n = distinct.count()
-    depth = min(MAX_DEPTH, max(3, math.ceil(math.log2(max(1, n / node_rows)))))
-    halves = ((0, budget // 2), (1, max(0, (budget + 1) // 2 - 1)))  # budget 4: 2, else 1 in the other half
-    first: dict[int, np.ndarray] = {}
-    for order, _ in halves:
-        word = F.col("fp") if order == 0 else F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)")
-        top = F.shiftrightunsigned(word, 64 - depth)
-        sizes = np.zeros(1 << depth, np.int64)
-        for p, c in distinct.groupBy(top.alias("p")).count().collect():  # at most 2**16 rows
-            sizes[p] = c
-        first[order] = np.concatenate([[0], np.cumsum(-(-sizes // node_rows))])  # a node's blocks are first[p]..first[p+1]-1
-
-    def blocks(fp: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        word = _rotated(fp, order)
-        p = (word >> np.uint64(64 - depth)).astype(np.int64)
-        many = first[order][p + 1] - first[order][p]
-        mixed = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        return p, first[order][p] + (mixed.astype(np.int64) % np.maximum(many, 1))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            for order, errors in halves:
-                p, own = blocks(fp, order)
-                for mask in _masks(depth, errors):
-                    q = p ^ mask
-                    begin, many = first[order][q], first[order][q + 1] - first[order][q]
-                    at = np.repeat(np.arange(len(fp)), many)
-                    other = np.repeat(begin, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                    yield pd.DataFrame({"o": np.full(len(at), order, np.int32), "x": np.minimum(own[at], other), "y": np.maximum(own[at], other), "fp": fp[at].view(np.int64)})
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        order, x, y = (int(k) for k in key)
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        word, (_, own) = _rotated(fp, order), blocks(fp, order)
-        errors = dict(halves)[order]
-        a = np.sort(word[own == x])
-        b = None if x == y else np.sort(word[own == y])
-        forest = Forest(len(a) + (0 if b is None else len(b)))
-        for i, j in trie_pairs(a, b, budget, errors):
-            forest.add(i, j if b is None else j + len(a))
-        all_fp = _rotated(a if b is None else np.concatenate([a, b]), order).view(np.int64)
-        child = np.flatnonzero(forest.root != np.arange(len(all_fp)))
-        return pd.DataFrame({"u": all_fp[child], "v": all_fp[forest.root[child]]})
-
-    return distinct.select("fp").mapInPandas(releasing(deal), "o int, x long, y long, fp long").groupBy("o", "x", "y").applyInPandas(join, "u long, v long")
+def link_fingerprints(classes: DataFrame, ws: Workspace, orders: list[Order], budget: int, node_rows: int = 4096, closest: bool = False, leaf: int = LEAF) -> DataFrame:
+    """Links (u, v) of classes (id long, fp binary: big-endian words) whose fingerprints differ in at most ``budget`` bits: each task gives a spanning forest of those that it finds, no pair list.
+    closest: the forest with the least differences."""
+    n = classes.count()
+    route = min([MAX_DEPTH, max(3, math.ceil(math.log2(max(1, n / node_rows))))])
+
+    def fps(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(len(column), -1)
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fp = fps(b.column(0))
+                for o, order in enumerate(orders):
+                    p, count = np.unique(order.words(fp) >> np.uint64(64 - route), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), o, np.int32)), pa.array(p.astype(np.int64)), pa.array(count)], ["o", "p", "n"])
+
+    # Only nodes that are cut into blocks are gathered: at most rows / node_rows an order.
+    sizes = classes.select("fp").mapInArrow(releasing(nodes), "o int, p long, n long").groupBy("o", "p").agg(F.sum("n").alias("n"))
+    hot = {(r.o, r.p): -(-r.n // node_rows) for r in sizes.where(F.col("n") > node_rows).collect()}
+    known = sorted({o for o, _ in hot})
+    hot_of = {o: (np.array(sorted(p for q, p in hot if q == o), np.int64)) for o in known}
+    many_of = {o: np.array([hot[o, p] for p in hot_of[o].tolist()], np.int64) for o in known}
+
+    def blocks(o: int, p: np.ndarray) -> np.ndarray:
+        """How many blocks the nodes are cut into."""
+        out = np.ones(len(p), np.int64)
+        if o in hot_of:
+            at = np.minimum(np.searchsorted(hot_of[o], p), len(hot_of[o]) - 1)
+            out = np.where(hot_of[o][at] == p, many_of[o][at], 1)
+        return out
+
+    def own_block(ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % many
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each class goes to every pair of blocks (of its node and of a node within the limits) that its block is in: key p << 20 | block."""
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4096):
+                b = whole.slice(s, 4096)
+                ids, fp = b.column(0).to_numpy(), fps(b.column(1))
+                for o, order in enumerate(orders):
+                    p = (order.words(fp) >> np.uint64(64 - route)).astype(np.int64)
+                    own = p << 20 | own_block(ids, blocks(o, p))
+                    for mask in order.masks(route):
+                        many = blocks(o, p ^ mask)
+                        at = np.repeat(np.arange(len(p)), many)
+                        other = (p ^ mask)[at] << 20 | np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                        mine, take = own[at], pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), o, np.int32)), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine <= other), b.column(0).take(take), b.column(1).take(take)], ["o", "x", "y", "low", "id", "fp"])
+
+    def join(table: pa.Table) -> pa.Table:
+        order, same = orders[table.column("o")[0].as_py()], table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        fp, ids, low = fps(table.column("fp")), table.column("id").to_numpy(), table.column("low").to_numpy()
+        word = order.words(fp)
+        sides = [np.flatnonzero(low)] if same else [np.flatnonzero(low), np.flatnonzero(~low)]
+        sides = [s[np.argsort(word[s], kind="stable")] for s in sides]
+        forest = ClosestForest(len(ids)) if closest else Forest(len(ids))
+        for i, j in trie_pairs(word[sides[0]], None if same else word[sides[1]], order.limit, leaf):
+            i, j = sides[0][i], sides[-1][j]
+            apart = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1)
+            ok = apart <= budget
+            forest.add(i[ok], j[ok], *([apart[ok]] if closest else []))
+        u, v = forest.links()
+        return pa.table({"u": pa.array(ids[u], pa.int64()), "v": pa.array(ids[v], pa.int64())})
+
+    dealt = classes.select("id", "fp").mapInArrow(releasing(deal), "o int, x long, y long, low boolean, id long, fp binary")
+    return dealt.groupBy("o", "x", "y").applyInArrow(join, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4, node_rows: int = 4096, in_task: int | None = None) -> DataFrame:
@@ -228,7 +318,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: i
     ws = Workspace(docs.sparkSession, "simhash")
     rows = ws.save(add_fingerprint(docs, shingle, seed), "fp")
     classes = ws.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = link_fingerprints(classes.select("fp"), ws, budget, node_rows)
+    links = link_fingerprints(classes.select(F.col("fp").alias("id"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")), ws, ring_orders(budget), budget, node_rows)
     roots = connected_components(links, ws, **({} if in_task is None else {"in_task": in_task}))
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = ws.save(of, "roots")
@@ -236,18 +326,93 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: i
     return rows.join(of.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
+# --- groups of documents by likeness: long fingerprints, sampled orders, links checked by whole shingle sets ---
+
+
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct shingle hashes in ascending order; fewer words than a shingle are one shingle, no words none."""
+    return np.unique(np.array(_shingle_hashes(text, shingle, seed), np.uint64))
+
+
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets (ascending) have a Jaccard likeness of num / den or more, in whole numbers."""
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared * (num + den) >= (len(x) + len(y)) * num
+
+
+def _class_of(hashes: np.ndarray) -> int:
+    import xxhash
+
+    found = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+    return found - (1 << 64 if found >> 63 else 0)
+
+
+def _checked(links: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, shingle: int, seed: int, num: int, den: int) -> DataFrame:
+    """The links (u, v) whose shingle sets are alike; the sets are made anew from one document of each class."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [shingle_set(t, shingle, seed) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(h) for h in each], pa.int64()), pa.array([h.view(np.int64) for h in each], pa.list_(pa.int64()))], ["id", "hashes"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), num, den) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    needed = classes.join(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi").select("least.doc_id", "least.digest")
+    sets = docs.join(needed, ["doc_id", "digest"], "left_semi").select("text").mapInArrow(releasing(read), "id long, hashes array<long>")
+    sets = ws.save(sets.dropDuplicates(["id"]), "sets")
+    both = links.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(releasing(test), "u long, v long")
+
+
+def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, likeness: tuple[int, int] = (4, 5), bits: int = 256, miss: float = 0.01, node_rows: int = 4096, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From docs (doc_id, digest, text): rows (doc_id, digest, id), their classes (id: of a shingle set, fp, least struct<doc_id, digest>), and (node, root) of classes that aren't their own component's root.
+
+    Classes are linked where their fingerprints of ``bits`` bits, of distinct shingles, differ by so few bits that a likeness of num / den is in reach (4 standard deviations over its mean; few
+    shingles spread more than many), and their sets'
+    Jaccard likeness is num / den at least. Of the links that a task finds, it gives the closest spanning forest to be checked: two sets that are alike are connected by it through pairs that
+    are at least as close by fingerprint."""
+    num, den = likeness
+    words = bits // 64
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b = whole.slice(k, 512)
+                each = [shingle_set(t, shingle, seed) for t in b.column(2).to_pylist()]
+                fp = fingerprints_of(iter(each), len(each), words).astype(">u8")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_class_of(h) for h in each], pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary())], ["doc_id", "digest", "id", "fp"])
+
+    rows = ws.save(docs.select("doc_id", "digest", "text").mapInArrow(releasing(read), "doc_id long, digest long, id long, fp binary"), "rows")
+    classes = ws.save(rows.groupBy("id").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("fp").alias("fp")), "classes")
+    apart = share_apart(num / den)
+    budget = math.floor(bits * apart + 4 * math.sqrt(bits * apart * (1 - apart)))
+    orders = sampled_orders(bits, classes.count(), apart, budget, miss)
+    links = link_fingerprints(classes, ws, orders, budget, node_rows, closest=True, leaf=1024)
+    links = ws.save(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
+    return rows, classes, connected_components(_checked(links, docs, classes, ws, shingle, seed, num, den), ws)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: that with the smallest doc_id stays (one of
-    the group's rows, if rows repeat that doc_id). Rows with a null doc_id can't be named and stay. Keeps docs' columns."""
-    found = near_duplicates(docs.where("doc_id is not null"), **options).where("doc_id = component_id").select("doc_id", "fp", "root")
-    kept = Workspace(docs.sparkSession, "simhash").save(found, "kept")
-    # How often docs has the doc_id, not kept: another of its rows may be in a group that keeps a smaller one.
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).join(kept, "doc_id", "left_semi")
-    out = docs.join(ids.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    many = ids.where("n > 1")
+    """docs (doc_id, text, any others) without all but one row of each group that is linked by likeness (``near_groups``): the one with the smallest doc_id stays; if the group has several
+    rows of it, one of them. Texts without a word are one group; rows with a null doc_id can't be named and stay. Keeps docs' columns."""
+    ws = Workspace(docs.sparkSession, "simhash")
+    packed = Packed(docs, "doc_id", "text")
+    docs = docs.select("doc_id", "text", packed.rest())
+    digest = F.xxhash64(F.col("text").cast("string"))
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.col("text").cast("string").alias("text"))
+    rows, classes, roots = near_groups(slim, ws, **options)
+    named = classes.join(roots, classes["id"] == roots["node"], "left").select("least", F.coalesce("root", "id").alias("root"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("of"), F.col("least.digest").alias("of_digest"))
+    again = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("many"))
+    kept = ws.save(kept.join(again, (kept["of"] == again["doc_id"]) & (kept["of_digest"] == again["digest"])).select("of", "of_digest", "many"), "kept")
+    on = (F.col("doc_id").cast("long") == F.col("of")) & (digest == F.col("of_digest"))
+    out = docs.join(kept.where("many = 1"), on, "left_semi").unionByName(docs.where("doc_id is null"))
+    many = kept.where("many > 1")
     if not many.isEmpty():
-        own = F.pandas_udf(lambda s: pd.Series(fingerprints(list(s)).view(np.int64)), "long")
-        names = kept.join(many, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root")).distinct()
-        repeated = docs.join(names, F.col("doc_id") == F.col("_id")).where(own(F.col("text").cast("string")) == F.col("_of"))
-        out = out.unionByName(repeated.dropDuplicates(["doc_id", "_root"]).select(*docs.columns))
-    return out.select(*docs.columns)
+        out = out.unionByName(docs.join(many, on).dropDuplicates(["of", "of_digest"]).select("doc_id", "text", "rest"))
+    return out.select(*packed.columns())

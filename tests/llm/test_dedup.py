@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from rasterloom.llm import components, embeddings, linededup, neardup, simhash, substrings
+from rasterloom.llm import components, embeddings, linededup, simhash, substrings
 from rasterloom.llm.storage import Workspace
 
 from .helpers import WORD, components as brute_components, documents
@@ -169,84 +169,124 @@ def test_simhash(spark):
     for options in ({}, {"node_rows": 3}, {"node_rows": 5, "in_task": 0}):
         found = simhash.near_duplicates(docs, **options).collect()
         assert ordered((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in found) == ordered(wanted)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    groups = Counter(min(x) for x in least.values() if x)
-    assert Counter(ids) == groups + Counter({None: sum(i is None for i, _ in rows)})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_keep_one_matches_rows_of_a_repeated_doc_id(spark):
-    words = " ".join(f"w{k}" for k in range(40))
-    docs = spark.createDataFrame([(1, words), (5, words), (5, "something else that stands alone here")], "doc_id long, text string")
-    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {(1, words), (5, "something else that stands alone here")}
-
-
 def shingles_by_hand(text):
     w = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("common", [0, 500_000])
-def test_near_dedup_by_likeness(spark, monkeypatch, common):
-    rng = np.random.default_rng(8)
-    monkeypatch.setattr(neardup, "COMMON", common)
-    rows, _ = documents(spark)
-    passage = [f"p{k}" for k in range(30)]
-    for k in range(40):  # families that share a passage, with copies from few to many edits
-        base = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(5, 120))] + passage
+def families(rng, n=40):
+    """Texts that share a passage, with copies from no to many edits."""
+    passage, rows = [f"p{k}" for k in range(30)], []
+    for k in range(n):
+        base = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(5, 300))] + passage
         for edits in (0, 1, 2, 3, 5):
             w = list(base)
             for at in rng.integers(0, len(w), edits):
                 w[at] = f"e{rng.integers(0, 9999)}"
             rows.append((1000 + 10 * k + edits, " ".join(w).upper() if edits == 1 else " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("node_rows", [4096, 40])
+def test_near_dedup_by_likeness(spark, node_rows):
+    rows, _ = documents(spark)
+    rows += families(np.random.default_rng(8))
     rows += [(7, rows[9][1]), (2000, rows[-3][1])]  # a doc_id of two groups
     sets = [shingles_by_hand(t) for _, t in rows]
     named = [k for k, (i, _) in enumerate(rows) if i is not None]
-    links = [(a, b) for a in named for b in named if b < a and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
-    root = brute_components(len(rows), links)
+    likeness = {(a, b): 1 if sets[a] == sets[b] else len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in named for b in named if b < a}
+    exact = brute_components(len(rows), [p for p, x in likeness.items() if x >= 0.8])
+    docs = spark.createDataFrame([(i, t, *["x"] * 6) for i, t in rows], "doc_id long, text string, root string, of string, of_digest string, many string, digest string, rest string").repartition(3)
+    kept = simhash.keep_one(docs, node_rows=node_rows) if node_rows != 4096 else corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert not found - Counter(rows)  # whole rows only
     groups = defaultdict(list)
     for k in named:
-        groups[root[k]].append(rows[k])
-    wanted = Counter(min(i for i, _ in g) for g in groups.values()) + Counter({None: sum(i is None for i, _ in rows)})
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string").repartition(3)
-    kept = corpus_pipeline.near_dedup(spark, docs, "")
-    assert kept.columns == docs.columns
-    found = [(r.doc_id, r.text) for r in kept.collect()]
-    assert Counter(i for i, _ in found) == wanted
-    assert all(any(x in g for x in found) for g in groups.values())
-    assert neardup.keep_one(docs.limit(0)).count() == 0
+        groups[exact[k]].append(rows[k])
+    left = [sum(n for x, n in found.items() if x in g) for g in groups.values()]
+    assert all(n >= 1 for n in left)  # no group is lost
+    assert sum(n - 1 for n in left) <= 0.02 * sum(len(g) - 1 for g in groups.values())  # and hardly a member is left over
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_matches_rows_of_a_repeated_doc_id(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, words), (5, words), (5, "something else that stands alone here")], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {(1, words), (5, "something else that stands alone here")}
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in range(200)]
+    rows = []
+    for k in range(900):
+        w = list(base)
+        w[int(rng.integers(0, 200))] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(5000 + k, " ".join(f"v{x}" for x in rng.integers(0, 10**6, 60))) for k in range(900)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), node_rows=200)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(5000, 5900)]
+
+
+def test_simhash_long_text(spark):
+    text = " ".join(f"word{k % 9973}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
 
 
-def test_trie_finds_all_pairs():
+@pytest.mark.parametrize("budget", [0, 1, 4, 7])
+def test_ring_orders_find_all_pairs(budget):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     for _ in range(3):
         x = np.concatenate([x, x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))])[:1500]
     x = np.unique(x)
-    wanted = {(i, j) for i, j in np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= 4, 1)).tolist()}
-    found = {p for i, j in simhash.trie_pairs(x, None, 4, 4) for p in zip(i.tolist(), j.tolist())}
+    wanted = {(i, j) for i, j in np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= budget, 1)).tolist()}
+    found = set()
+    for order in simhash.ring_orders(budget):
+        word = order.words(x[:, None])
+        at = np.argsort(word)
+        for leaf in (12, 1):
+            found |= {tuple(sorted(p)) for i, j in simhash.trie_pairs(word[at], None, order.limit, leaf) for p in zip(at[i].tolist(), at[j].tolist())}
     assert found == wanted
-    halves = {p for i, j in simhash.trie_pairs(x, None, 4, 2) for p in zip(i.tolist(), j.tolist())}
-    turned = (x << np.uint64(32)) | (x >> np.uint64(32))
-    order = np.argsort(turned)
-    for i, j in simhash.trie_pairs(turned[order], None, 4, 1):
-        halves |= {tuple(sorted(p)) for p in zip(order[i].tolist(), order[j].tolist())}
-    assert halves == wanted
 
 
 @pytest.mark.parametrize("budget", [0, 1, 3, 4, 7])
-def test_halves_cover_the_budget(spark, budget):
+def test_links_cover_the_budget(spark, budget):
     rng = np.random.default_rng(budget)
     x = np.unique(np.concatenate([b ^ rng.integers(0, 1 << 10, 30, dtype=np.uint64) << rng.integers(0, 54, 30).astype(np.uint64) for b in rng.integers(0, 1 << 63, 12, dtype=np.uint64)]))
     links = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= budget, 1))
     ws = Workspace(spark, "test")
-    distinct = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
-    got = simhash.link_fingerprints(distinct, ws, budget, node_rows=10).collect()
+    distinct = spark.createDataFrame([(int(v), bytearray(int(w).to_bytes(8, "big"))) for v, w in zip(x.view(np.int64), x)], "id long, fp binary")
     at = {int(v): k for k, v in enumerate(x.view(np.int64))}
     same = lambda r: {frozenset(k for k in range(len(x)) if r[k] == g) for g in set(r)}
-    assert same(brute_components(len(x), links)) == same(brute_components(len(x), [(at[u], at[v]) for u, v in got]))
+    for closest in (False, True):
+        got = simhash.link_fingerprints(distinct, ws, simhash.ring_orders(budget), budget, node_rows=10, closest=closest).collect()
+        assert same(brute_components(len(x), links)) == same(brute_components(len(x), [(at[u], at[v]) for u, v in got]))
+
+
+def test_closest_forest():
+    rng = np.random.default_rng(6)
+    a, b, d = rng.integers(0, 200, 3000), rng.integers(0, 200, 3000), rng.integers(0, 50, 3000)
+    forest = components.ClosestForest(200, held=500)
+    for k in range(0, 3000, 300):
+        forest.add(a[k: k + 300], b[k: k + 300], d[k: k + 300])
+    u, v = forest.links()
+    root, total = list(range(200)), 0
+    for k in np.argsort(d, kind="stable"):  # Kruskal
+        if root[a[k]] != root[b[k]]:
+            old, new = root[a[k]], root[b[k]]
+            root = [new if r == old else r for r in root]
+            total += int(d[k])
+    weight = {}
+    for x, y, z in zip(a.tolist(), b.tolist(), d.tolist()):
+        weight[x, y] = weight[y, x] = min(z, weight.get((x, y), z))
+    assert sum(weight[x, y] for x, y in zip(u.tolist(), v.tolist())) == total and len(u) == len(set(range(200))) - len(set(root))
 
 
 def test_connected_components(spark):
