@@ -240,63 +240,80 @@ def test_separator_scan_edges(spark):
 
 
 def anchors_by_hand(text, k=syncmers.K, s=syncmers.S):
-    h64 = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-    def chain(values, out=42):
-        for v in values:
-            out = h64(int(v).to_bytes(8, "little", signed=True), out)
-        return signed(out)
-
-    def folded(values, out=42):
-        for v in values:
-            out = chain([out, v])
-        return out
-
-    import re
-
-    words = [signed(h64(w.encode())) for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w]
-    if len(words) < k:
-        return {folded(words) & 0xFFFFFFFF} if words else set()
-    inner = [chain(a) for a in zip(*(words[j:] for j in range(s)))]
-    out = set()
-    for i in range(len(words) - k + 1):
-        part = inner[i: i + k - s + 1]
-        if min(part) in (part[0], part[-1]):
-            out.add(chain(words[i: i + k]) & 0xFFFFFFFF)
-    return out
+    """(place, hash) of the closed syncmers of the text's bytes."""
+    data, h = (text or "").encode(), lambda b: (x := xxhash.xxh64_intdigest(b, 42)) - (1 << 64 if x >> 63 else 0)
+    if len(data) < k:
+        return [(0, h(data) & 0xFFFFFFFF)] if data else []
+    inner = [h(data[i: i + s]) for i in range(len(data) - s + 1)]
+    closed = lambda i: min(inner[i: i + k - s + 1]) in (inner[i], inner[i + k - s])
+    return [(i, h(data[i: i + k]) & 0xFFFFFFFF) for i in range(len(data) - k + 1) if closed(i)]
 
 
-def test_fingerprints(spark):
-    rows, docs = documents(spark)
-    signed = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if x >> 63 else 0)
-    inorder = sorted(((i is not None, i or 0, signed(t or ""), t or "", i) for i, t in rows))
-    sketch = lambda t: sorted(anchors_by_hand(t))[: syncmers.SIZE]
+def fingerprint_by_hand(found):
+    return "".join(f"{place - (found[i - 1][0] if i else 0):02x}{h:08x}" for i, (place, h) in enumerate(found))
 
-    def like(a, b):
-        both = sorted(set(a) | set(b))[: syncmers.SIZE]
-        return len(set(a) & set(b) & set(both)) / len(both) if both else 1.0
 
-    wanted = []
-    for k, (*_, text, i) in enumerate(inorder):
-        after = inorder[(k + 1) % len(inorder)][3]
+def likeness_by_hand(a, b):
+    steps = lambda x: {(p[1], q[0] - p[0], q[1]) for p, q in zip(x, x[1:])} if len(x) != 1 else {x[0][1]}
+    both = steps(a) | steps(b)
+    return len(steps(a) & steps(b)) / len(both) if both else 1.0
+
+
+def edited_by_hand(rows):
+    signed = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    inorder = sorted(((i is not None, i or 0, signed(t or ""), t or "", i) for i, t in rows))
+    out = []
+    for n, (*_, text, i) in enumerate(inorder):
+        after = inorder[(n + 1) % len(inorder)][3]
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
-        a, e, n = sketch(text), sketch(edited), sketch(after)
-        wanted.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:08x}" for x in a), "".join(f"{x:08x}" for x in e), round(like(a, e), 9), round(like(a, n), 9)))
-    for size in (2048, 10, 1):
-        found = syncmers.fingerprint_and_edit(docs, range_rows=size).collect()
-        assert ordered((*r[:5], round(r[5], 9), round(r[6], 9)) for r in found) == ordered(wanted)
+        a, e, b = anchors_by_hand(text), anchors_by_hand(edited), anchors_by_hand(after)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint_by_hand(a), fingerprint_by_hand(e), round(likeness_by_hand(a, e), 9), round(likeness_by_hand(a, b), 9)))
+    return out
+
+
+def rounded(found):
+    return ordered((*r[:5], round(r[5], 9), round(r[6], 9)) for r in found)
+
+
+@pytest.mark.parametrize(("size", "ranges"), [(1 << 22, 64**3), (400, 64**3), (1, 64**3), (1, 5)])
+def test_fingerprints(spark, size, ranges):
+    rows, docs = documents(spark)
+    assert rounded(syncmers.fingerprint_and_edit(docs, range_bytes=size, ranges=ranges).collect()) == ordered(edited_by_hand(rows))
+
+
+def test_fingerprints_without_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "PIECE", 50)  # texts of many pieces
+    rows = [(7 * i, t) for i, t in enumerate(texts(2, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rounded(syncmers.fingerprint_and_edit(docs, range_bytes=300).collect()) == ordered(edited_by_hand(rows))
     assert syncmers.fingerprint_and_edit(docs.limit(0)).count() == 0
-    one = syncmers.fingerprint_and_edit(docs.where("doc_id = 1")).first()
+    one = syncmers.fingerprint_and_edit(docs.where("doc_id = 7")).first()
     assert one.near_next == 1.0
 
 
-def test_following_ranges(spark):
-    numbers = [0, 3, 4, 9, 10, 11, 30]
-    for width in (1, 4, 1000):
-        got = syncmers._following(spark.createDataFrame([(n,) for n in numbers], "range long"), width).collect()
-        assert {r["range"]: r._next for r in got} == dict(zip(numbers, [*numbers[1:], 0]))
+def test_texts_without_spaces_are_alike_in_part(spark):
+    rng = random.Random(1)
+    chars = [chr(c) for c in range(0x4E00, 0x5E00)]
+    rows = [(i, "".join(rng.choice(chars) for _ in range(1200))) for i in range(12)]
+    for r in syncmers.fingerprint_and_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert 0.55 < r.near_edited < 0.65 and r.near_next < 0.02
+
+
+def test_anchors_cover_every_stretch(spark):
+    rows, docs = documents(spark)
+    found = docs.select("text", syncmers.anchors(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("a")).collect()
+    for r in found:
+        assert [(x >> 32, x & 0xFFFFFFFF) for x in r.a] == anchors_by_hand(r.text)
+        assert all(0 < (y >> 32) - (x >> 32) <= syncmers.K - syncmers.S for x, y in zip(r.a, r.a[1:]))
+
+
+def test_fingerprint_long_text(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh é") for _ in range(3_000_000))
+    docs = spark.createDataFrame([(1, text), (2, "short text of a few words only")], "doc_id long, text string")
+    found = {r.doc_id: r for r in syncmers.fingerprint_and_edit(docs).collect()}
+    assert found[1].n_chars == 3_000_000 and 0.7 < found[1].near_edited < 0.8 and found[1].near_next == 0.0
 
 
 def test_edits_move_few_anchors(spark):
@@ -304,7 +321,7 @@ def test_edits_move_few_anchors(spark):
     words = [f"w{rng.randint(0, 400)}" for _ in range(500)]
     a, b = " ".join(words), " ".join([*words[:200], "new", *words[200:]])
     df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
-    x, y = ({p.hash for p in r.anchors} for r in syncmers.with_anchors(df, "text", "anchors").orderBy("doc_id").collect())
+    x, y = ({p & 0xFFFFFFFF for p in r.a} for r in df.orderBy("doc_id").select(syncmers.anchors(F.encode("text", "UTF-8")).alias("a")).collect())
     assert len(x ^ y) <= 2 * syncmers.K
 
 
