@@ -13,6 +13,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,17 @@ from .tokenizers_public import default_path, encode_with_added, encoding_with_ad
 GROUP = 50_000
 
 
+class Effort(NamedTuple):
+    """How far the local search looks; it bounds the time of a group, never the pieces. rounds: passes, of which each ends the search if it changes nothing. donors: emptiest bins that give in a pass
+    (or twice the bins that could be saved, if more). two: a donor's longest items that are tried in pairs. lengths, holders: shorter lengths tried for an exchange, and items of each."""
+
+    rounds: int = 8
+    donors: int = 200
+    two: int = 8
+    lengths: int = 100
+    holders: int = 8
+
+
 class Bins:
     """Bins of item lengths; items are numbers, only lengths matter."""
 
@@ -68,13 +80,13 @@ class Bins:
         self.change(b, [], [i], length)
 
 
-def pack(length: np.ndarray, capacity: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def pack(length: np.ndarray, capacity: int, effort: Effort = Effort()) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item; lengths from 1 to capacity. The same lengths in the same order give the same bins."""
     bins = Bins(capacity)
     for i in np.argsort(-length, kind="stable"):
         bins.best_fit(int(i), length)
-    for _ in range(rounds):
-        if not _improve(bins, length):
+    for _ in range(effort.rounds):
+        if not _improve(bins, length, effort):
             break
     where, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
     for b, items in enumerate(bins.items):
@@ -85,7 +97,7 @@ def pack(length: np.ndarray, capacity: int, rounds: int = 8) -> tuple[np.ndarray
     return where, offset
 
 
-def _improve(bins: Bins, length) -> bool:
+def _improve(bins: Bins, length, effort: Effort) -> bool:
     """One pass: the emptiest bins give to fuller ones, which lengthens the fuller ones by at most their gap."""
     low = sum(bins.fill[b] for f in bins.fills for b in bins.by_fill[f])
     open_bins = sorted((b for f in bins.fills for b in bins.by_fill[f]), key=lambda b: (bins.fill[b], b))
@@ -109,7 +121,7 @@ def _improve(bins: Bins, length) -> bool:
                 bisect.insort(lengths, n)
             holders[n][b, i] = None
 
-    for donor in open_bins[: max(2 * spare + 2, 200)]:
+    for donor in open_bins[: max(2 * spare + 2, effort.donors)]:
         for x in sorted(bins.items[donor], key=lambda i: -length[i]):
             if x not in bins.items[donor]:
                 continue
@@ -122,21 +134,21 @@ def _improve(bins: Bins, length) -> bool:
                 changed(to, [], [x])
                 moved = True
                 continue
-            if _swap(bins, holders, lengths, changed, donor, [x], n, length):
+            if _swap(bins, holders, lengths, changed, donor, [x], n, length, effort):
                 moved = True
-        inside = sorted(bins.items[donor], key=lambda i: -length[i])[:8]
+        inside = sorted(bins.items[donor], key=lambda i: -length[i])[: effort.two]
         for k, x in enumerate(inside):  # two for one
             for y in inside[k + 1:]:
                 if x in bins.items[donor] and y in bins.items[donor]:
-                    moved |= _swap(bins, holders, lengths, changed, donor, [x, y], int(length[x] + length[y]), length)
+                    moved |= _swap(bins, holders, lengths, changed, donor, [x, y], int(length[x] + length[y]), length, effort)
     return moved
 
 
-def _swap(bins: Bins, holders: dict, lengths: list[int], changed, donor: int, out: list[int], n: int, length) -> bool:
+def _swap(bins: Bins, holders: dict, lengths: list[int], changed, donor: int, out: list[int], n: int, length, effort: Effort) -> bool:
     """Gives ``out`` (n ids together) for one shorter item of a bin that has room for the difference and ends up fuller than the donor was."""
     k = bisect.bisect_left(lengths, n) - 1
-    for m in reversed(lengths[max(0, k - 100): k + 1]):
-        for b, i in islice(holders[m], 8):
+    for m in reversed(lengths[max(0, k - effort.lengths): k + 1]):
+        for b, i in islice(holders[m], effort.holders):
             gain = n - m
             if b != donor and bins.fill[b] + gain <= bins.capacity and bins.fill[b] + gain > bins.fill[donor]:
                 changed(donor, out, [])
@@ -169,7 +181,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFram
     return slim.mapInArrow(releasing(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, group: int = GROUP) -> DataFrame:
+def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, group: int = GROUP, effort: Effort = Effort()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of docs (doc_id, text) stands.
 
     Null and empty texts are the end id alone. Repeated rows are packed each; null doc_ids stay null; other columns are not looked at; no rows give no rows.
@@ -182,7 +194,7 @@ def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = 2048
 
     def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        where, offset = pack(pdf["length"].to_numpy(np.int64), capacity)
+        where, offset = pack(pdf["length"].to_numpy(np.int64), capacity, effort)
         return pdf.assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, g long, sequence_id long, offset long"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .storage import Workspace, open_fs
-from .tokenizers_public import default_path, encode_to_array, encoding
+from .tokenizers_public import default_path, encode_to_array, encoding, vocabulary_ids
 
 #: Bytes of a token file at most, but for one document that is longer.
 FILE_BYTES = 32 << 20
@@ -91,9 +91,15 @@ def token_counts(docs: DataFrame, path: str | None = None, eod: int = 50256, wid
     """One row per row of docs (doc_id, text): doc_id, n_tokens, and where its ids stand (file, ordinal, token_start).
 
     Null and empty texts have 0 tokens. Repeated rows each give a row; null doc_ids stay null; other columns are not looked at.
-    ``eod`` must be no id of the vocabulary and fit the width.
+    ``eod`` must be no id of the vocabulary, and it and all ids must fit the width (bytes of an id, 2 or 4); else this is an error before any file is written.
     """
     path = path or default_path("byte_bpe_50k.tiktoken")
+    known = encoding(path)
+    most = max(known.max_token_value, eod)
+    if width not in (2, 4) or most >= 1 << 8 * width:
+        raise ValueError(f"ids up to {most} don't fit {width} bytes")
+    if eod < 0 or eod in vocabulary_ids(path):
+        raise ValueError(f"{eod} is an id of the vocabulary")
     ws = Workspace(docs.sparkSession, "tokens")
     listing = write_token_files(docs, ws, path, eod, width, file_bytes)
     files = listing.where("ordinal = 0").select("file", "file_ids")

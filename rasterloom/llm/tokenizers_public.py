@@ -47,6 +47,11 @@ def json_ranks(path: str) -> dict[bytes, int]:
     return {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
 
 
+@lru_cache(maxsize=4)
+def vocabulary_ids(path: str) -> frozenset[int]:
+    return frozenset((json_ranks(path) if path.endswith(".json") else tiktoken_ranks(path)).values())
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str):
     """A tiktoken encoder for a .tiktoken or byte-level .json file, without special tokens."""

@@ -15,7 +15,7 @@ def texts(seed: int = 1, n: int = 120) -> list[str | None]:
     for _ in range(n):
         lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 8))]
         out.append("\n".join(lines))
-    out += [None, "", " ", "\n\n", "a", "\t b\x0bc \x1c d", "x" * 3000, "é" * 50]
+    out += ["a <|endoftext|> b<|endoftext|>", None, "", " ", "\n\n", "a", "\t b\x0bc \x1c d", "x" * 3000, "é" * 50]
     out += [" ".join(rng.choice(words) for _ in range(6000))]
     out += [out[0], out[0], out[3], out[3] + " end"]
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, langid, packing, syncmers, tokenfiles, warc
 from rasterloom.llm.storage import Workspace, open_fs
-from rasterloom.llm.tokenizers_public import default_path, encode_to_array, encoding, split_pattern, tiktoken_ranks
+from rasterloom.llm.tokenizers_public import default_path, encode_with_added, encoding, encoding_with_added, split_pattern, tiktoken_ranks
 
 from .helpers import documents, texts
 
@@ -117,7 +117,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     rows, docs = documents(spark)
     wanted = []
     for i, t in rows:
@@ -145,12 +144,11 @@ def test_json_vocabulary_gives_the_ids_of_tokenizers():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    enc = encoding(default_path("byte_bpe_50k.json"))
+    enc = encoding_with_added(default_path("byte_bpe_50k.json"))
     rng = random.Random(4)
     letters = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2030), 0x3000, 0x4E00, 0x1F600, 0x300, 0x661)]
     for t in [x for x in texts() if x] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)] + ["<|endoftext|> a"]:
-        assert encode_to_array(enc, t).tolist() == own.encode(t, add_special_tokens=False).ids
+        assert encode_with_added(enc, t).tolist() == own.encode(t, add_special_tokens=False).ids
 
 
 def test_packing_takes_added_tokens(spark):
@@ -216,6 +214,14 @@ def test_token_counts(spark):
     assert tokenfiles.token_counts(docs.limit(0)).count() == 0
 
 
+def test_token_files_check_ids(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for options in ({"eod": 5}, {"width": 2, "eod": 70_000}, {"eod": -1}, {"width": 1}):
+        with pytest.raises(ValueError):
+            tokenfiles.token_counts(docs, **options)
+    assert tokenfiles.token_counts(docs, eod=70_000, width=4).first().n_tokens == 2
+
+
 def test_separator_scan_edges(spark):
     ws = Workspace(spark, "test")
     fs, root = open_fs(ws.path)
