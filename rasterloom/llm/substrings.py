@@ -3,13 +3,13 @@
 A window has ``window`` words. Its method is fixed-block anchors: each document is cut into non-overlapping reference blocks of
 ``(window + 1) // 2`` words, so that every window holds exactly one whole block of its own document. All rolling word windows of that length probe the index of blocks. A
 block that is hit from elsewhere is an anchor, on both sides; every window through an anchor is a candidate. Hits are then extended: each candidate is compared in full length
-(64-bit hash of its words), and what occurs twice is a repeat. Runs of repeated windows are the maximal exact repeats.
+(two 64-bit hashes of its words), and what occurs twice is a repeat. Runs of repeated windows are the maximal exact repeats.
 
 How it scales: documents are stored once, in runs of about ``chunk_bytes`` that bear a label. A run's probes leave as one sorted, delta-coded list without repetitions for each range of hashes (about 2 to 3 bytes
 a probe), so a passage that all documents share is one entry per run. A range's task finds the anchors and returns to each run those that it holds. Texts are never shuffled. What returns to
-a run lies in one file of the shared folder, named after the run; tasks that read the run open it. Writing such a file is atomic and its content depends on the input alone, so a repeated task does no harm.
+a run lies in one file of the shared folder, named after the run; tasks that read the run open it, and fail if it isn't there. Writing such a file is atomic and its content depends on the input alone, so a repeated task does no harm.
 
-Word hashes are 64 bits; with n candidate windows the chance of any false repeat is about n**2 / 2**65.
+Windows are repeats where both hashes are equal: with n candidate windows the chance of any false repeat is about n**2 / 2**128, but for different words with equal 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .storage import Workspace, open_fs, releasing, shuffle_partitions
+from .storage import Packed, Workspace, open_fs, releasing, shuffle_partitions
 
 CHUNK_BYTES = 16 << 20
 SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("stop", IntegerType())]))
@@ -34,7 +34,7 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
-_STEP = _U(0x9FB21C651E98DF25)
+_STEP, _SECOND = _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,9 +65,9 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return _mix(np.add.reduceat(value, starts)), counts
 
 
-def rolling(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of the n words from each word on; near the end (fewer than n words left) it means nothing."""
-    total, at, run, factor, size, scale = np.zeros(len(words), np.uint64), 0, words, _STEP, 1, _U(1)
+def rolling(words: np.ndarray, n: int, step: np.uint64 = _STEP) -> np.ndarray:
+    """The hash of the n words from each word on; near the end (fewer than n words left) it means nothing. step: an odd factor; another one gives another hash."""
+    total, at, run, factor, size, scale = np.zeros(len(words), np.uint64), 0, words, step, 1, _U(1)
 
     def shifted(x: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -145,15 +145,15 @@ class Words:
         at = np.flatnonzero((self.left >= self.block) & self.long)
         return at, rolling(self.hash, self.block)[at] >> _U(64 - bits), self.place[at] % self.block == 0
 
-    def candidates(self, anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the windows that hold an anchor; anchors: ascending hashes of ``bits`` bits."""
+    def candidates(self, anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, hashes, second hashes) of the windows that hold an anchor; anchors: ascending hashes of ``bits`` bits."""
         at, h, _ = self.probes(bits)
         held = np.zeros(len(self.hash) + 1, np.int64)
         held[at[_among(h.astype(np.int64), anchors)] + 1] = 1
         held = np.cumsum(held)
         place = np.flatnonzero(self.left >= self.window)
         place = place[held[place + self.window - self.block + 1] > held[place]]
-        return place, rolling(self.hash, self.window)[place]
+        return place, rolling(self.hash, self.window)[place], rolling(self.hash, self.window, _SECOND)[place]
 
     def covered(self, places: np.ndarray) -> np.ndarray:
         """Whether each word lies in a window that begins at one of the places."""
@@ -196,8 +196,6 @@ class _Files:
 
     def get(self, label: int, kind: type) -> np.ndarray:
         fs, root = open_fs(self.folder)
-        if not fs.get_file_info(f"{root}/{label}").is_file:
-            return np.zeros(0, kind)
         with fs.open_input_file(f"{root}/{label}") as f:
             return np.frombuffer(f.read(), kind)
 
@@ -265,14 +263,15 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def done() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, first, n = np.unique(np.concatenate([h for h, _ in held]), return_index=True, return_counts=True)
+            second = np.concatenate([g for _, g in held])[first]
             top = (keys >> _U(64 - buckets.bit_length() + 1)).astype(np.int64)
             cuts = np.searchsorted(top, np.arange(buckets + 1))
-            rows = [(k, now, keys[s:e].tobytes(), np.packbits(n[s:e] > 1).tobytes()) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "_run", "h", "flags"])
+            rows = [(k, now, keys[s:e].tobytes(), second[s:e].tobytes(), np.packbits(n[s:e] > 1).tobytes()) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "_run", "h", "second", "flags"])
 
         for label, rows in _runs(batches, 1):
             if label != now:
@@ -281,33 +280,40 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
                 now, known, held = label, anchor_files.get(label, np.int64), []
             if len(known):
                 for part in _slices(rows, 0):
-                    _, h = Words(part, 0, window).candidates(known, bits)
+                    _, h, second = Words(part, 0, window).candidates(known, bits)
                     if len(h):
-                        held.append(h)
+                        held.append((h, second))
         if held:
             yield done()
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(b, np.uint64) for b in pdf["h"]]
+        """Per run: the hashes of this range whose windows stand in two places at least, by both hashes."""
+        lists, second = ([np.frombuffer(b, np.uint64) for b in pdf[c]] for c in ("h", "second"))
         many = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)).astype(bool) for f, x in zip(pdf["flags"], lists)])
-        found = _twice(np.concatenate(lists), many, None)
-        out = [(int(run), x[_among(x, found)].tobytes()) for run, x in zip(pdf["_run"], lists) if len(found) and _among(x, found).any()]
+        h, g, run = np.concatenate(lists), np.concatenate(second), np.repeat(pdf["_run"].to_numpy(), [len(x) for x in lists])
+        order = np.lexsort((g, h))
+        h, g, run, many = h[order], g[order], run[order], many[order]
+        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
+        ok = many | np.append(same, False) | np.append(False, same)
+        out = [(int(r), h[ok & (run == r)].tobytes()) for r in np.unique(run[ok])]
         return pd.DataFrame(out, columns=["_run", "h"]).assign(bucket=pdf["bucket"].iloc[0] if len(pdf) else 0)
 
     def store(files: _Files, coded: bool):
         def put(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("bucket")
+            label, pdf = int(pdf["_run"].iloc[0]), pdf[pdf["bucket"] >= 0].sort_values("bucket")
             parts = [decode_sorted(h) + (int(k) << shift) if coded else np.frombuffer(h, np.uint64) for k, h in zip(pdf["bucket"], pdf["h"])]
-            files.put(int(pdf["_run"].iloc[0]), np.unique(np.concatenate(parts)))
-            return pd.DataFrame({"_run": pdf["_run"].iloc[:1]})
+            files.put(label, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
+            return pd.DataFrame({"_run": [label]})
 
         return put
 
     sent, back = "bucket int, _run long, h binary, flags binary", "_run long, h binary, bucket int"
+    sent_windows = "bucket int, _run long, h binary, second binary, flags binary"
     anchor_files, repeat_files = _Files(f"{ws.path}/anchors"), _Files(f"{ws.path}/repeats")
-    for made, reduce, files, coded in ((probe, anchors, anchor_files, True), (windows, repeats, repeat_files, False)):
-        found = slim.mapInArrow(releasing(made), sent).groupBy("bucket").applyInPandas(reduce, back)
-        found.groupBy("_run").applyInPandas(store(files, coded), "_run long").count()
+    for made, schema, reduce, files, coded in ((probe, sent, anchors, anchor_files, True), (windows, sent_windows, repeats, repeat_files, False)):
+        found = slim.mapInArrow(releasing(made), schema).groupBy("bucket").applyInPandas(reduce, back)
+        each = slim.select("_run").distinct().select("_run", F.lit(b"").alias("h"), F.lit(-1).alias("bucket"))  # a run to which nothing returns has an empty file
+        found.unionByName(each).groupBy("_run").applyInPandas(store(files, coded), "_run long").count()
     ws.drop("anchors")
     return repeat_files
 
@@ -325,18 +331,21 @@ def _twice(h: np.ndarray, many: np.ndarray, needed: np.ndarray | None) -> np.nda
     return h[first[ok]]
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, digest: bool = False, keep_spacing: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_BYTES, digest: bool = False, keep_spacing: bool = True, counts: bool = True) -> DataFrame:
     """docs (any columns, among them text) without the words that a repeated window covers, plus n_words, n_removed and spans, array<struct<begin int, stop int>>: the removed
     runs of words, the maximal exact repeats (overlapping ones merged). The text left is its words joined by one space; keep_spacing: a text that loses nothing stays as it is.
     digest: instead of docs' columns, doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     Words are runs of characters other than space and U+0009 to U+000D. Null texts have no words and stay null; empty and short ones lose nothing. Repeated rows are documents each, so they lose
-    what they share. No rows give no rows. Columns named n_words, n_removed or spans are replaced.
+    what they share. No rows give no rows. Other columns may have any names; those named n_words, n_removed or spans are replaced. counts: False leaves docs' columns as they are and adds none; n_chars, if
+    it is there, follows the text then.
     """
     ws = Workspace(docs.sparkSession, "substrings")
-    kept = docs.drop("n_words", "n_removed", "spans").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_words", "n_removed", "spans") if counts else docs
+    packed = Packed(docs, "text")
+    kept = docs.select(F.col("text").cast("string").alias("text"), packed.rest())
     if digest:
-        kept = kept.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = ws.save(_label(kept, chunk_bytes).withColumn("_bytes", F.octet_length("text")), "runs")
     total = runs.agg(F.sum("_bytes")).first()[0] or 0
     files = find_repeats(runs, ws, window, chunk_bytes, total)
@@ -385,4 +394,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     else:
         schema = StructType([*kept.schema.fields]).add("n_words", "long").add("n_removed", "long").add("spans", SPANS)
-    return runs.select(*names, "_run").mapInArrow(releasing(cut), schema)
+    found = runs.select(*names, "_run").mapInArrow(releasing(cut), schema)
+    if digest:
+        return found
+    if counts:
+        return found.select(*packed.columns(), "n_words", "n_removed", "spans")
+    if "n_chars" not in docs.columns:
+        return found.select(*packed.columns())
+    at = F.col(f"rest.c{packed.others.index('n_chars')}")
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(at)
+    return found.select(*[length.alias(c) if c == "n_chars" else x for c, x in zip(packed.names, packed.columns())])

@@ -56,6 +56,25 @@ def test_substrings_keep_columns_and_spans(spark):
     assert substrings.remove_repeats(docs.limit(0), digest=True).count() == 0
 
 
+def test_substrings_names_and_lost_files(spark):
+    names = ["_run", "_bytes", "h", "flags", "bucket", "second", "rest", "c0", "n_words", "n_removed", "spans", "a.b"]
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"start{k} {passage} end{k}", 999, *[f"{n}{k}" for n in names]) for k in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *names])
+    found = substrings.remove_repeats(docs, counts=False)
+    assert found.columns == docs.columns
+    assert ordered(found.collect()) == ordered((k, f"start{k} end{k}", len(f"start{k} end{k}"), *[f"{n}{k}" for n in names]) for k in range(3))
+    with pytest.raises(FileNotFoundError):
+        substrings._Files(f"{Workspace(spark, 'test').path}/none").get(1, np.uint64)
+
+
+def test_substrings_long_text(spark):
+    text = " ".join(f"word{k}" for k in range(300_000))
+    rows = [(1, text), (2, "x " + " ".join(text.split()[1000:1100]) + " y")]
+    found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()}
+    assert found == {1: 100, 2: 100}
+
+
 def test_sorted_lists_round_trip():
     rng = np.random.default_rng(3)
     for values in ([0], [5], [], [0, 1, 2, 700, 70_000, 10**12], np.unique(rng.integers(0, 1 << 40, 1000)), np.unique(rng.integers(0, 3000, 2000))):
