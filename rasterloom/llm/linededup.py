@@ -31,18 +31,20 @@ def _chunks(text: Column, every: int) -> dict[str, Column]:
     again = lambda i: (i > 1) & (F.get("lines", i - 1) == F.get("lines", i - 2))
     proposed = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.when((rolled(i) % every == 0) | again(i), F.lit("1")).otherwise(F.lit("0")))
     marks = F.split(F.regexp_replace(F.array_join(proposed, ""), "11", "10"), "")
-    ends = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | (F.get("marks", i - 1) == "1"))
+    # The marks are bound by a transform of one element: a column that a lambda names once would be made anew for each line.
+    closing = lambda m: F.filter(F.sequence(F.lit(1), F.size(m)), lambda i: (i == F.size(m)) | (F.get(m, i - 1) == "1"))
+    ends = F.get(F.transform(F.array(marks), closing), F.lit(0))
     starts = F.concat(F.array(F.lit(1)), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda e: e + 1))
     part = lambda s, e: F.slice("lines", s, e - s + 1)
     solid = lambda s, e: F.size(F.filter(part(s, e), lambda x: F.trim(x) != "")) > 1
     chunk = lambda s, e: F.struct(F.array_join(part(s, e), "\n").alias("text"), (e - s + 1).alias("lines"), solid(s, e).alias("solid"))
-    return {"lines": lines, "hashes": hashes, "marks": marks, "ends": ends, "starts": starts, "chunks": F.zip_with("starts", "ends", chunk)}
+    return {"lines": lines, "hashes": hashes, "ends": ends, "starts": starts, "chunks": F.zip_with("starts", "ends", chunk)}
 
 
 def _with_chunks(docs: DataFrame, text: Column, every: int) -> DataFrame:
     for name, col in _chunks(text, every).items():
         docs = docs.withColumn(name, col)
-    return docs.drop("lines", "hashes", "marks", "ends", "starts")
+    return docs.drop("lines", "hashes", "ends", "starts")
 
 
 def repeated_chunks(docs: DataFrame, every: int = 2, bits: int = 64) -> DataFrame:
