@@ -20,22 +20,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import Forest, connected_components
-from .storage import Workspace
+from .storage import Workspace, releasing
 
 BLOCK = 4096
 MOST_PIVOTS = 4096
+#: Pivots at least (or as many as there are vectors), so that the bounds work at every size.
+LEAST_PIVOTS = 16
 #: Slack of the bounds, so that rounding excludes no pair.
 SLACK = 1e-6
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and unit, array<double>: the vector divided by its length; null for vectors that are null, empty, zero or hold null or non-finite components."""
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1)
+            size = x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = x.flatten()
+            value = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
+            at = np.cumsum(size) - size
+            unit, fit = value.copy(), np.zeros(len(size), bool)
+            for d in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == d)
+                cell = at[rows][:, None] + np.arange(d)
+                part = value[cell]
+                top = np.abs(part).max(axis=1)
+                ok = (top > 0) & (top < np.inf)  # NaN is neither
+                part = part[ok] / top[ok, None]
+                unit[cell[ok]] = part / np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]
+                fit[rows[ok]] = True
+            offsets = pa.array(np.append(0, np.cumsum(np.where(fit, size, 0))).astype(np.int32), mask=np.append(~fit, False))
+            kept = unit[np.repeat(fit, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(kept))], ["vec_id", "unit"])
+
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    top = F.array_max(F.transform("x", lambda v: F.abs(v)))  # NaN is the largest
-    fit = (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull()) & (top > 0) & (top < float("inf"))
-    x = x.withColumn("top", top).withColumn("x", F.when(fit, F.transform("x", lambda v: v / F.col("top"))))
-    x = x.withColumn("length", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))
-    return x.select("vec_id", F.transform("x", lambda v: v / F.col("length")).alias("unit"))
+    return x.mapInArrow(releasing(scaled), "vec_id long, unit array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,7 +78,7 @@ def _links(classes: DataFrame, ws: Workspace, threshold: float, block: int, most
     """From classes (cid, unit, n): rows (a, b, links): with b null, class a has links to so many other rows; else a and b are of one component."""
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     n = classes.count()
-    wanted = min(most_pivots, max(1, round(n / block)))
+    wanted = min(most_pivots, max(LEAST_PIVOTS, round(n / block)))
     some = classes.orderBy(F.xxhash64("cid"), "cid").limit(wanted).select("unit").toPandas()  # most_pivots vectors at most
     pivots: dict[int, np.ndarray] = {}
     for row in some["unit"]:
@@ -88,7 +108,6 @@ def _links(classes: DataFrame, ws: Workspace, threshold: float, block: int, most
     low, high, members = np.full(count, np.inf), np.full(count, -np.inf), np.zeros(count, np.int64)
     for cell, lo, hi, m in at_home.groupBy("cell").agg(F.min("far"), F.max("far"), F.count("*")).collect():  # one row per pivot
         low[cell], high[cell], members[cell] = lo, hi, m
-    apart = {d: _distance(p, p) for d, p in pivots.items()}
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row at home (copy false) and in the lower cells that may hold a partner."""
@@ -101,7 +120,7 @@ def _links(classes: DataFrame, ws: Workspace, threshold: float, block: int, most
                     mine = part.column(4).to_numpy()[:, None]
                     cells = slice(first[d], first[d] + len(pivots[d]))
                     near = (far <= mine + 2 * radius + SLACK) & (far <= high[cells] + radius + SLACK) & (far >= low[cells] - radius - SLACK)
-                    near &= far**2 - mine**2 <= 2 * apart[d][own] * (radius + SLACK)
+                    near &= far**2 - mine**2 <= 2 * _distance(pivots[d][own], pivots[d]) * (radius + SLACK)
                     near &= np.arange(far.shape[1]) < own[:, None]
                     row, cell = np.nonzero(near)
                     row, cell, copy = np.concatenate([np.arange(len(own)), row]), np.concatenate([own, cell]) + first[d], np.repeat([False, True], [len(own), len(row)])
