@@ -50,7 +50,8 @@ def clahe_tables(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8
 
 
 def clahe(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> DataFrame:
-    """Contrast-limited equalisation: pixels are stretched to 0..255, and blended between the tables of the four nearest cells."""
+    """Contrast-limited equalisation: pixels are stretched to 0..255, and blended between the tables of the four nearest cells.
+    Blends are rounded to 1e-6 first, so that the order of the sum decides nothing."""
     px = contrast_to_u8(px)
     tables = clahe_tables(px, clip, grid)
 
@@ -63,7 +64,7 @@ def clahe(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> D
     (ys,), (xs,) = corner("y", "height", grid[0]), corner("x", "width", grid[1])
     parts = stencil.with_extents(px).withColumn("a", F.explode(ys)).withColumn("b", F.explode(xs))
     parts = parts.select("image", "y", "x", "v", F.col("a.t").alias("ty"), F.col("b.t").alias("tx"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    return parts.join(tables, ["image", "ty", "tx", "v"]).groupBy("image", "y", "x").agg(F.rint(F.sum(F.col("w") * F.col("mapped"))).alias("v"))
+    return parts.join(tables, ["image", "ty", "tx", "v"]).groupBy("image", "y", "x").agg(F.rint(F.round(F.sum(F.col("w") * F.col("mapped")), 6)).alias("v"))
 
 
 def sun_ramp(px: DataFrame, degrees: float, axis: str = "x") -> DataFrame:

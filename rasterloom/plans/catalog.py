@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +29,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the folder that driver and executors share; a machine's temporary folder only where Spark runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"{(shared or tempfile.mkdtemp(prefix='rasterloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 R6 = t.sql_r6
 PIXELS = "SELECT y, x, " + R6("v") + " AS v FROM {}"
 
@@ -239,17 +250,25 @@ def hist_equalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return illumination.equalize(t.raster(spark, sf_dir)).select("y", "x", "v")
 
 
-@query(f"""WITH {t.SQL_RASTER}, c AS (SELECT y * 8 // h AS ty, x * 8 // w AS tx, v, count(*) AS c FROM ras, ext GROUP BY 1, 2, 3),
+#: The tables of the 8 x 8 cells of a raster ``src`` of whole values 0..255.
+SQL_CELLS = """c AS (SELECT y * 8 // h AS ty, x * 8 // w AS tx, v, count(*) AS c FROM src, ext GROUP BY 1, 2, 3),
 a AS (SELECT ty, tx, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY 1, 2), m AS (SELECT *, greatest(CAST(floor(2.0 * n / 256) AS BIGINT), 1) AS most FROM a),
 s AS (SELECT m.ty, m.tx, n, most, CAST(sum(greatest(c - most, 0)) AS BIGINT) AS spill FROM m JOIN c ON m.ty = c.ty AND m.tx = c.tx GROUP BY 1, 2, 3, 4),
 e AS (SELECT s.*, CAST(u.i AS DOUBLE) AS v FROM s, (SELECT unnest(range(256)) AS i) u),
-l AS (SELECT e.ty, e.tx, e.v, n, least(coalesce(c, 0), most) + spill // 256 + CASE WHEN e.v % greatest(256 // greatest(spill % 256, 1), 1) = 0 AND e.v / greatest(256 // greatest(spill % 256, 1), 1) < spill % 256 THEN 1 ELSE 0 END AS lev FROM e LEFT JOIN c ON e.ty = c.ty AND e.tx = c.tx AND e.v = c.v)
-SELECT ty, tx, v, least(round_even(sum(lev) OVER (PARTITION BY ty, tx ORDER BY v) * 255.0::DOUBLE / n, 0), 255) AS mapped FROM l""")
+l AS (SELECT e.ty, e.tx, e.v, n, least(coalesce(c, 0), most) + spill // 256 + CASE WHEN e.v % greatest(256 // greatest(spill % 256, 1), 1) = 0 AND e.v / greatest(256 // greatest(spill % 256, 1), 1) < spill % 256 THEN 1 ELSE 0 END AS lev FROM e LEFT JOIN c ON e.ty = c.ty AND e.tx = c.tx AND e.v = c.v),
+lut AS (SELECT ty, tx, v, least(round_even(sum(lev) OVER (PARTITION BY ty, tx ORDER BY v) * 255.0::DOUBLE / n, 0), 255) AS mapped FROM l)"""
+
+
+@query(f"WITH {t.SQL_RASTER}, src AS (SELECT * FROM ras), {SQL_CELLS} SELECT ty, tx, v, mapped FROM lut")
 def clahe_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return illumination.clahe_tables(t.raster(spark, sf_dir)).select("ty", "tx", "v", "mapped")
 
 
-@query()
+@query(f"""WITH {t.SQL_RASTER}, m AS (SELECT min(v) AS lo, max(v) AS hi FROM ras), src AS (SELECT y, x, CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 255) ELSE 0 END AS v FROM ras, m), {SQL_CELLS.replace("m AS (", "mo AS (").replace("FROM m JOIN", "FROM mo m JOIN")},
+f AS (SELECT y, x, v, y * 8 / CAST(h AS DOUBLE) - 0.5 AS fy, x * 8 / CAST(w AS DOUBLE) - 0.5 AS fx FROM src, ext),
+p AS (SELECT y, x, v, least(greatest(floor(fy) + dy, 0), 7) AS ty, least(greatest(floor(fx) + dx, 0), 7) AS tx,
+  CASE WHEN dy = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE WHEN dx = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS wt FROM f, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b)
+SELECT y, x, {R6('round_even(round(sum(wt * mapped), 6), 0)')} AS v FROM p JOIN lut ON p.ty = lut.ty AND p.tx = lut.tx AND p.v = lut.v GROUP BY 1, 2""")
 def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(illumination.clahe(t.raster(spark, sf_dir)))
 
@@ -539,11 +558,12 @@ def _sql_warp(method: str) -> str:
     base = (lambda c: f"round_even({c}, 0)") if method == "nearest" else (lambda c: f"floor({c})")
     a = images.BICUBIC
     near, far = (lambda s: f"((({a} + 2) * {s} - ({a} + 3)) * {s} * {s} + 1)"), (lambda s: f"((({a} * {s} - 5 * {a}) * {s} + 8 * {a}) * {s} - 4 * {a})")
-    taps = {"nearest": lambda f: [(0, "1")], "bilinear": lambda f: [(0, f"(1 - {f})"), (1, f)], "bicubic": lambda f: [(-1, far(f"({f} + 1)")), (0, near(f)), (1, near(f"(1 - {f})")), (2, far(f"(2 - {f})"))]}[method]
+    taps = {"nearest": lambda f: [(0, "1")], "bilinear": lambda f: [(0, f"(1 - {f})"), (1, f)], "bicubic": lambda f: [(-1, far(f"({f} + 1)")), (0, near(f)), (1, near(f"(1 - {f})")), (2, far(f"(2 - {f})"))],
+            "lanczos": lambda f: [(k, f"(CASE WHEN abs({f} - {k}) < 1e-9 THEN 1 WHEN abs({f} - {k}) < 4 THEN sin(pi() * ({f} - {k})) / (pi() * ({f} - {k})) * sin(pi() * ({f} - {k}) / 4) / (pi() * ({f} - {k}) / 4) ELSE 0 END)") for k in range(-3, 5)]}[method]
     rows = " UNION ALL ".join(f"SELECT y, x, by_ + {dy} AS sy, bx + {dx} AS sx, CAST({wy} * {wx} AS DOUBLE) AS wt FROM q" for dy, wy in taps("fy") for dx, wx in taps("fx"))
     return f"""WITH {t.SQL_RASTER}, u AS (SELECT y, x, round(({i[0]} * x + {i[1]} * y + {i[2]}) / ({i[6]} * x + {i[7]} * y + {i[8]}), 9) AS u, round(({i[3]} * x + {i[4]} * y + {i[5]}) / ({i[6]} * x + {i[7]} * y + {i[8]}), 9) AS t FROM ras),
 q AS (SELECT y, x, CAST({base('u')} AS BIGINT) AS bx, CAST({base('t')} AS BIGINT) AS by_, u - {base('u')} AS fx, t - {base('t')} AS fy FROM u), tp AS ({rows})
-SELECT tp.y, tp.x, {R6('sum(wt * coalesce(ras.v, 7.0::DOUBLE))')} AS v FROM tp LEFT JOIN ras ON ras.y = sy AND ras.x = sx GROUP BY 1, 2"""
+SELECT tp.y, tp.x, {R6('sum(wt * coalesce(ras.v, 7.0::DOUBLE))' + ' / sum(wt)' * (method == 'lanczos'))} AS v FROM tp LEFT JOIN ras ON ras.y = sy AND ras.x = sx GROUP BY 1, 2"""
 
 
 def _warp(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -567,7 +587,7 @@ def warp_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warp(spark, sf_dir, "bicubic")
 
 
-@query()
+@query(_sql_warp("lanczos"))
 def warp_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warp(spark, sf_dir, "lanczos")
 
@@ -651,11 +671,28 @@ def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_lines(rows, "order", [("sx", 3), ("sy", 3), ("confidence", 4)]).select("pair_id", "line")
 
 
-@query()
+@query(f"""WITH {t.SQL_TIES} SELECT pair_id, idx, 'Point' AS kind, {R6('32.5::DOUBLE + 0.0001::DOUBLE * (rx + 0.5)')} AS lon, {R6('-69.5::DOUBLE - 0.0001::DOUBLE * (ry + 0.5)')} AS lat,
+  {R6('sx')} AS source_x, {R6('ry')} AS reference_y, {R6('confidence')} AS confidence FROM ties""")
 def export_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features' parts, read back from their GeoJSON text."""
     from ..sources.sinks import geojson_features
 
-    return geojson_features(t.ties(spark, sf_dir), (32.5, 0.0001, 0.0, -69.5, 0.0, -0.0001))
+    found = geojson_features(t.ties(spark, sf_dir), (32.5, 0.0001, 0.0, -69.5, 0.0, -0.0001))
+    kind = "struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<source_pixel:array<double>,reference_pixel:array<double>,confidence:double>>"
+    f = found.select("pair_id", "idx", F.from_json("feature", kind).alias("f"))
+    number = lambda c, i: r6(F.get(c, F.lit(i)))
+    return f.select("pair_id", "idx", F.col("f.geometry.type").alias("kind"), number("f.geometry.coordinates", 0).alias("lon"), number("f.geometry.coordinates", 1).alias("lat"), number("f.properties.source_pixel", 0).alias("source_x"), number("f.properties.reference_pixel", 1).alias("reference_y"), r6("f.properties.confidence").alias("confidence"))
+
+
+@query(f"WITH {t.SQL_RASTER} {PIXELS.format('ras')}")
+def raster_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raster written as a GeoTIFF by tiles of 48 pixels in many partitions, and read back by blocks of rows."""
+    from ..sources import raster
+
+    raster.register(spark)
+    at = _shared_folder(spark, "round-trip")
+    raster.save(raster.tiles_of(t.raster(spark, sf_dir), 48), at)
+    return pixels(raster.pixels(spark.read.format("raster").option("path", f"{at}/s.tif").option("rows", 64).load()))
 
 
 @query(f"""WITH {t.SQL_RASTER}, e AS (SELECT min(v) AS lo, max(v) AS hi FROM ras), s AS (SELECT least(1.0::DOUBLE, 50.0::DOUBLE / greatest(h, w)) AS k, h, w FROM ext), o AS (SELECT greatest(floor(h * k), 1) AS oh, greatest(floor(w * k), 1) AS ow, h, w FROM s)
@@ -680,15 +717,11 @@ mv AS (SELECT job_id, k, status, CAST(NULL AS VARCHAR) AS previous, status = 'pe
 @query(f"WITH RECURSIVE {SQL_MOVES} SELECT job_id, status, coalesce(previous, 'none') AS previous, valid, count(*) AS n FROM mv GROUP BY 1, 2, 3, 4")
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job states as a stream, against the state each job has so far."""
-    import tempfile
-    import uuid
-
     from ..streaming import jobs
 
     status = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
     states = t.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-")
-    moves = jobs.replay(states, f"{shared.rstrip('/')}/jobs-{uuid.uuid4().hex}")
+    moves = jobs.replay(states, _shared_folder(spark, "jobs"))
     return moves.groupBy("job_id", "status", F.coalesce("previous", F.lit("none")).alias("previous"), "valid").agg(F.count("*").alias("n"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
 import math
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -72,37 +74,62 @@ class _TiffReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, parts: list[tuple[str, str]]):
+        self.parts = parts
 
 
 class _TiffWriter(DataSourceWriter):
-    """Writes each image of a partition as <path>/<image>.tif; rows are tiles, and an image's tiles must be in one partition (repartition("image")). Options: crs, geotransform (6 numbers), nodata."""
+    """Writes each image as <path>/<image>.tif; rows are tiles, an image's tiles are in one partition and next to one another (``save`` sees to that). Options: crs, geotransform (6 numbers), nodata.
+    Tiles that don't cover their image, or an image in two partitions, are an error, and then no file appears. One image is held at a time."""
 
     def __init__(self, options: dict):
         self.options = dict(options)
 
     def write(self, rows: Iterator) -> _Written:
-        images: dict[str, list] = {}
-        for r in rows:
-            images.setdefault(r["image"], []).append(r)
         files, root = _open(self.options["path"])
         files.create_dir(root, recursive=True)
-        geo = self.options.get("geotransform")
-        geo = tuple(float(v) for v in geo.split(",")) if geo else None
-        nodata = self.options.get("nodata")
-        out = []
-        for name, tiles in images.items():
-            height, width = max(r["row_off"] + r["h"] for r in tiles), max(r["col_off"] + r["w"] for r in tiles)
-            data = np.zeros((max(r["band"] for r in tiles), height, width), tiles[0]["dtype"])
-            for r in tiles:
-                data[r["band"] - 1, r["row_off"]: r["row_off"] + r["h"], r["col_off"]: r["col_off"] + r["w"]] = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"])
-            raster = codecs.Raster(data, self.options.get("crs"), geo, None if nodata is None else float(nodata))
-            with files.open_output_stream(part := f"{root}/.{name}.part") as f:
-                f.write(codecs.write_tiff(raster))
+        parts: list[tuple[str, str]] = []
+        for name, tiles in itertools.groupby(rows, lambda r: r["image"]):
+            if name in {n for n, _ in parts}:
+                raise ValueError(f"the tiles of {name} don't follow one another: use raster.save")
+            part = f"{root}/.{name}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(part) as f:
+                f.write(codecs.write_tiff(self._image(name, list(tiles))))
+            parts.append((name, part))
+        return _Written(parts)
+
+    def _image(self, name: str, tiles: list) -> codecs.Raster:
+        shape = max(r["band"] for r in tiles), max(r["row_off"] + r["h"] for r in tiles), max(r["col_off"] + r["w"] for r in tiles)
+        data, known = np.zeros(shape, tiles[0]["dtype"]), np.zeros(shape, bool)
+        for r in tiles:
+            at = r["band"] - 1, slice(r["row_off"], r["row_off"] + r["h"]), slice(r["col_off"], r["col_off"] + r["w"])
+            data[at], known[at] = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"]), True
+        if not known.all():
+            raise ValueError(f"{name}: {known.size - known.sum()} of {known.size} pixels are in no tile of this partition")
+        geo, nodata = self.options.get("geotransform"), self.options.get("nodata")
+        return codecs.Raster(data, self.options.get("crs"), tuple(float(v) for v in geo.split(",")) if geo else None, None if nodata is None else float(nodata))
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        files, root = _open(self.options["path"])
+        parts = [p for m in messages if m for p in m.parts]
+        names = [n for n, _ in parts]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise ValueError("an image has tiles in several partitions: use raster.save")
+        for name, part in parts:
             files.move(part, f"{root}/{name}.tif")
-            out.append(f"{root}/{name}.tif")
-        return _Written(out)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        files, _ = _open(self.options["path"])
+        for m in messages:
+            for _, part in m.parts if m else []:
+                files.delete_file(part)
+
+
+def save(tiles: DataFrame, path: str, **options: str) -> None:
+    """Writes tiles, whatever partitions they are in, as one GeoTIFF an image: the tiles of an image meet in one task. options: of the writer."""
+    together = tiles.repartition("image").sortWithinPartitions("image", "band", "row_off", "col_off")
+    together.write.format("raster").mode("append").options(path=path, **options).save()
 
 
 class RasterDataSource(DataSource):
@@ -226,6 +253,22 @@ def pixels(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, "image string, band int, y long, x long, v double")
 
 
+def tiles_of(px: DataFrame, side: int = 256, dtype: str = "float64") -> DataFrame:
+    """Square tiles of pixels (image, y, x, v) of one band; missing pixels of a tile are an error."""
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        top, left, h, w = y.min(), x.min(), y.max() - y.min() + 1, x.max() - x.min() + 1
+        if len(pdf) != h * w:
+            raise ValueError(f"{pdf['image'].iloc[0]}: {len(pdf)} pixels in a tile of {h} x {w}")
+        data = np.zeros((h, w), dtype)
+        data[y - top, x - left] = pdf["v"].to_numpy()
+        return pd.DataFrame({"image": pdf["image"].iloc[:1], "band": [1], "row_off": [top], "col_off": [left], "h": [h], "w": [w], "dtype": [dtype], "data": [data.tobytes()]})
+
+    at = px.select("image", "y", "x", "v", F.floor(F.col("y") / side).alias("ty"), F.floor(F.col("x") / side).alias("tx"))
+    return at.groupBy("image", "ty", "tx").applyInPandas(make, TILE_SCHEMA)
+
+
 def unzip(spark: SparkSession, path: str) -> DataFrame:
     """(bundle, path, head, content) of the members of the zip files below a path."""
 

@@ -115,6 +115,24 @@ def test_data_source(spark, tmp_path):
     assert again.geotransform == GEO and again.crs == "EPSG:4326"
 
 
+def test_tiles_in_any_partitions_make_whole_files(spark, tmp_path):
+    raster.register(spark)
+    data = {name: np.arange(k, k + 16 * 10, dtype=np.uint16).reshape(16, 10) for k, name in enumerate("abc")}
+    rows = [(n, 1, y, 0, 4, 10, "uint16", d[y: y + 4].tobytes()) for y in range(0, 16, 4) for n, d in data.items()]
+    tiles = spark.createDataFrame(rows, raster.TILE_SCHEMA).repartition(4, "row_off")
+    raster.save(tiles, str(tmp_path / "out"), crs="EPSG:4326")
+    for name, d in data.items():
+        np.testing.assert_array_equal(codecs.read_tiff((tmp_path / "out" / f"{name}.tif").read_bytes()).data[0], d)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")) == ["a.tif", "b.tif", "c.tif"]
+    for bad, at in ((tiles.repartitionByRange(4, "row_off"), "split"), (tiles.where("row_off <> 4"), "hole")):
+        with pytest.raises(Exception, match="several partitions|in no tile|follow one another"):
+            if at == "split":
+                bad.write.format("raster").mode("append").option("path", str(tmp_path / at)).save()
+            else:
+                raster.save(bad, str(tmp_path / at))
+        assert not list((tmp_path / at).glob("*.tif"))
+
+
 def test_scan_and_bundles(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(codecs.write_tiff(codecs.Raster(np.ones((3, 4), np.uint8), "EPSG:4326", GEO, tags={"SUN_ELEVATION": "x", "SOLAR_ELEVATION": "12.5"})))
     (tmp_path / "b.txt").write_text("no raster")
