@@ -8,16 +8,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip
 
-BLOCK = 2048
-
-
-def ratio_match(source: DataFrame, reference: DataFrame, ratio: float = 0.75, norm: str = "l2", blocks: int = 8) -> DataFrame:
+BLOCK = 1024
+#: Descriptors of a pair and side that one task compares, about.
+SIDE = 4096
+
+
+def _two_nearest(s: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of s, row of r, distance) of the two nearest rows of r for each row of s (one, if r has no more), ties to the smaller row. Squares by a matrix product only choose
+    candidates: all within its rounding error of the second; their distances are computed without cancellation."""
+    norms = (r * r).sum(1)
+    own = (s * s).sum(1)
+    d = own[:, None] + norms[None, :] - 2 * s @ r.T
+    bound = np.partition(d, min(1, len(r) - 1), axis=1)[:, min(1, len(r) - 1)] + 1e-12 * (1 + s.shape[1]) * (own + norms.max())
+    i, j = np.nonzero(d <= bound[:, None])
+    exact = np.concatenate([np.sqrt(((s[i[k: k + 65536]] - r[j[k: k + 65536]]) ** 2).sum(1)) for k in range(0, len(i), 65536)])
+    order = np.lexsort((j, exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[rank < 2], j[rank < 2], exact[rank < 2]
+
+
+def ratio_match(source: DataFrame, reference: DataFrame, ratio: float = 0.75, norm: str = "l2", blocks: int | None = None) -> DataFrame:
     """(pair_id, source_idx, reference_idx, distance, confidence) of each source descriptor's nearest reference, if it is nearer than ``ratio`` times the second nearest.
 
     Inputs: (pair_id, idx, descriptor array<double>, or long for norm hamming). One direction; references may be taken many times; ties go to the smaller idx. A pair with one reference has no second: then all
-    match, with confidence 1 / (1 + d). Descriptors are compared in blocks by matrix products: sources stay in ``blocks`` blocks, references in as many, each pair of blocks is a task, and two candidates per source and block go on.
+    match, with confidence 1 / (1 + d). Descriptors are compared in blocks by matrix products: sources are cut into ``blocks`` blocks, references into as many (default: so that a block of the largest pair has about
+    SIDE), each pair of blocks is a task, and two candidates per source and block go on.
     """
     hamming = norm == "hamming"
+    if blocks is None:
+        sizes = source.select("pair_id", F.lit(0).alias("side")).unionByName(reference.select("pair_id", F.lit(1).alias("side"))).groupBy("pair_id", "side").count()
+        blocks = max(1, -(-(sizes.agg(F.max("count")).first()[0] or 0) // SIDE))
     cut = lambda df, col: df.withColumn(col, F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = cut(source, "a").withColumn("b", every).withColumn("side", F.lit(0))
@@ -35,16 +56,10 @@ def ratio_match(source: DataFrame, reference: DataFrame, ratio: float = 0.75, no
             if hamming:
                 d = np.bitwise_count((part["descriptor"].to_numpy()[:, None] ^ r[None, :]).view(np.uint64)).astype(float)
                 two = np.argsort(d, axis=1, kind="stable")[:, :2]
-                dist = np.take_along_axis(d, two, axis=1)
+                i, j, dist = np.repeat(np.arange(len(part)), two.shape[1]), two.ravel(), np.take_along_axis(d, two, axis=1).ravel()
             else:
-                s = np.stack(part["descriptor"].to_numpy())
-                d = (s * s).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * s @ r.T
-                few = np.argsort(d, axis=1, kind="stable")[:, :4]
-                exact = np.sqrt(((s[:, None, :] - r[few]) ** 2).sum(2))  # without cancellation
-                order = np.argsort(exact, axis=1, kind="stable")[:, :2]
-                two, dist = np.take_along_axis(few, order, axis=1), np.take_along_axis(exact, order, axis=1)
-            m = two.shape[1]
-            out.append(pd.DataFrame({"pair_id": part["pair_id"].iloc[0], "source_idx": np.repeat(part["idx"].to_numpy(), m), "reference_idx": ri[two].ravel(), "distance": dist.ravel(), "n": len(ref)}))
+                i, j, dist = _two_nearest(np.stack(part["descriptor"].to_numpy()), r)
+            out.append(pd.DataFrame({"pair_id": part["pair_id"].iloc[0], "source_idx": part["idx"].to_numpy()[i], "reference_idx": ri[j], "distance": dist, "n": len(ref)}))
         return pd.concat(out)
 
     kind = dict(source.dtypes)["pair_id"]

@@ -40,13 +40,12 @@ def transitions(states: DataFrame, watermark: str = "1 hour") -> DataFrame:
             return
         now = state.get[0] if state.exists else None
         last = 0
-        for pdf in batches:
-            out = []
-            for status, at in pdf.sort_values("updated")[["status", "updated"]].itertuples(index=False):
-                ok = status in NEXT[now]
-                out.append((key[0], status, now, ok))
-                now, last = status if ok else now, max(last, int(at.timestamp() * 1000))
-            yield pd.DataFrame(out, columns=["job_id", "status", "previous", "valid"])
+        pdf, out = pd.concat(list(batches)).sort_values("updated", kind="stable"), []  # a job's states of one batch, nulls last
+        for status, at in pdf[["status", "updated"]].itertuples(index=False):
+            ok = status in NEXT[now]
+            out.append((key[0], status, now, ok))
+            now, last = status if ok else now, last if pd.isna(at) else max(last, int(at.timestamp() * 1000))
+        yield pd.DataFrame(out, columns=["job_id", "status", "previous", "valid"])
         if now is not None:
             state.update((now,))
             if not NEXT[now]:
