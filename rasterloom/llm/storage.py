@@ -8,10 +8,12 @@ are Parquet, so they cut lineage and outlive a lost executor. They are deleted w
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,6 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCOPES: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes the folders that operators have made inside, at its end: for callers that have stored the operators' results by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for ws in _SCOPES.pop():
+            ws.drop()
+
+
 class Workspace:
     """One operator call's folder for intermediate tables."""
 
@@ -38,6 +54,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
         atexit.register(self._drop_quietly)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the rows as Parquet and returns a scan of them."""

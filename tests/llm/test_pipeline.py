@@ -1,7 +1,9 @@
-"""The pipeline's stages: columns, decisions, and the whole run against stages checked by brute force."""
+"""The pipeline's stages: columns, decisions, and the whole run against its stages one by one (each operator is held against brute force in its own tests)."""
+
+import os
 
 import corpus_pipeline
-from rasterloom.llm import queries
+from rasterloom.llm import queries, storage
 
 from .helpers import documents
 
@@ -25,6 +27,16 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset").collect())) == sorted(map(str, at.drop("sequence_id", "offset").collect()))
 
 
+def test_scope_drops_folders(spark):
+    with storage.scope():
+        inner = storage.Workspace(spark, "inner")
+        inner.save(spark.range(3), "t")
+        at = inner.path.removeprefix("file://")
+        assert os.path.isdir(f"{at}/t")
+    outer = storage.Workspace(spark, "outer")
+    assert not os.path.exists(at) and outer.save(spark.range(3), "t").count() == 3
+
+
 def test_empty(spark, tmp_path):
     _, docs = documents(spark)
     docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
