@@ -1,4 +1,4 @@
-"""Settings of a registration run, checked when they are made; JSON files are read by section."""
+"""Settings of a registration run, checked when they are made; JSON and YAML files are read by section."""
 
 from __future__ import annotations
 
@@ -75,17 +75,24 @@ class AppConfig:
 
     @classmethod
     def load(cls, path: str) -> AppConfig:
-        """From a JSON file; missing sections and settings have their defaults, unknown ones are an error."""
+        """From a JSON file, or a YAML file where PyYAML is installed; missing or empty sections and settings have their defaults, unknown ones are an error."""
         with open(path, encoding="utf-8") as f:
-            given = json.load(f)
+            if path.lower().endswith((".yaml", ".yml")):
+                try:
+                    import yaml
+                except ImportError as e:
+                    raise ValueError("YAML settings need PyYAML; JSON ones don't") from e
+                given = yaml.safe_load(f) or {}
+            else:
+                given = json.load(f)
         kinds = {"registration": RegistrationConfig, "storage": StorageConfig}
         for section in given:
             if section not in kinds:
                 raise ValueError(f"unknown section {section!r}")
             known = {x.name for x in fields(kinds[section])}
-            if unknown := set(given[section]) - known:
+            if unknown := set(given[section] or {}) - known:
                 raise ValueError(f"{section}: unknown settings {', '.join(sorted(unknown))}")
-        return cls(**{k: kinds[k](**v) for k, v in given.items()})
+        return cls(**{k: kinds[k](**(v or {})) for k, v in given.items()})
 
 
 def preset(text: str) -> tuple[str, str]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -37,30 +39,41 @@ class Raster:
 
 
 # Fixed values of the TIFF format: field types by number, and the tags that are used.
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
-PIXEL_SCALE, TIEPOINT, MATRIX, GEO_KEYS, METADATA, NODATA = 33550, 33922, 34264, 34735, 42112, 42113
-NONE, DEFLATE, OLD_DEFLATE = 1, 8, 32946
-GEOGRAPHIC, PROJECTED = 2048, 3072
+PIXEL_SCALE, TIEPOINT, MATRIX, GEO_KEYS, GEO_NUMBERS, GEO_TEXTS, METADATA, NODATA = 33550, 33922, 34264, 34735, 34736, 34737, 42112, 42113
+NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE, ZSTD = 1, 5, 8, 32773, 32946, 50000
+MODEL, RASTER, GEOGRAPHIC, GEOGRAPHIC_NAME, PROJECTED, PROJECTED_NAME = 1024, 1025, 2048, 2049, 3072, 3073
+OWN_SYSTEM, PIXEL_IS_AREA = 32767, 1
+#: What precedes a system's text in a name key, and the form in which other systems of a file are told.
+TEXT_MARK, KEYS_MARK = "ESRI PE String = ", "GEOTIFF:"
 
 
 def tiff_header(read) -> tuple[str, dict[int, tuple]]:
-    """(byte order, tags) of a classic TIFF's first image; ``read(offset, size)`` gives bytes."""
-    head = read(0, 8)
+    """(byte order, tags) of the first image of a TIFF or BigTIFF; ``read(offset, size)`` gives bytes."""
+    head = read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if order is None or len(head) < 8 or struct.unpack(order + "H", head[2:4])[0] != 42:
+    kind = struct.unpack(order + "H", head[2:4])[0] if order and len(head) >= 8 else None
+    if kind not in (42, 43) or (kind == 43 and len(head) < 16):
         raise CorruptRaster("no TIFF header")
-    at = struct.unpack(order + "I", head[4:])[0]
-    (n,) = struct.unpack(order + "H", read(at, 2))
-    tags = {}
+    # Widths of the classic and of the big form: the first offset's place, the number of entries, an entry, its value.
+    place, many, whole, word = (4, "H", 12, "I") if kind == 42 else (8, "Q", 20, "Q")
+    width = struct.calcsize("=" + word)
+    (at,) = struct.unpack(order + word, head[place: place + width])
+    first = at + struct.calcsize("=" + many)
+    (n,) = struct.unpack(order + many, read(at, struct.calcsize("=" + many)))
+    if n > 65535:
+        raise CorruptRaster(f"{n} tags")
+    table, tags = read(first, n * whole), {}
     for k in range(n):
-        tag, kind, count = struct.unpack(order + "HHI", (entry := read(at + 2 + 12 * k, 12))[:8])
+        entry = table[k * whole: (k + 1) * whole]
+        tag, kind, count = struct.unpack(order + "HH" + word, entry[: 4 + width])
         if kind not in _TYPES:
             continue
-        code = _TYPES[kind]
+        code, value = _TYPES[kind], entry[4 + width:]
         size = (1 if code == "s" else struct.calcsize("=" + code)) * count
-        raw = entry[8: 8 + size] if size <= 4 else read(struct.unpack(order + "I", entry[8:])[0], size)
+        raw = value[:size] if size <= width else read(struct.unpack(order + word, value)[0], size)
         if len(raw) < size:
             raise CorruptRaster("tags are cut short")
         tags[tag] = (raw.rstrip(b"\0").decode("latin-1"),) if code == "s" else struct.unpack(f"{order}{count * len(code)}{code[0]}", raw)
@@ -78,6 +91,45 @@ def _dtype(order: str, tags: dict) -> np.dtype:
     return np.dtype(f"{order}{kind}{bits // 8}")
 
 
+def _lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first, each width ending one code early; 256 clears the table, 257 ends."""
+    start = [bytes([v]) for v in range(256)] + [b"", b""]
+    table, width, last, out, held, bits = list(start), 9, None, [], 0, 0
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(start), 9, None
+            continue
+        if code > len(table) or (last is None and code > 255):
+            raise CorruptRaster("an LZW code is out of range")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last is not None and len(table) < 4096:
+            table.append(last + entry[:1])
+        last, width = entry, min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def _packbits(raw: bytes) -> bytes:
+    out, at = [], 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out.append(raw[at + 1: at + 2 + n])
+            at += 2 + n
+        else:
+            if n > 128:
+                out.append(raw[at + 1: at + 2] * (257 - n))
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
 def _unpack(raw: bytes, tags: dict) -> bytes:
     how = tags.get(COMPRESSION, (NONE,))[0]
     if how == NONE:
@@ -87,9 +139,34 @@ def _unpack(raw: bytes, tags: dict) -> bytes:
             return zlib.decompress(raw)
         except zlib.error as e:
             raise CorruptRaster(str(e)) from e
+    if how == LZW:
+        return _lzw(raw)
+    if how == PACKBITS:
+        return _packbits(raw)
+    if how == ZSTD:
+        import zstandard
+
+        try:
+            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        except zstandard.ZstdError as e:
+            raise CorruptRaster(str(e)) from e
     raise UnsupportedFormat(f"compression {how}")
 
 
+def _block(raw: bytes, kind: np.dtype, rows: int, width: int, depth: int, predictor: int) -> np.ndarray:
+    """rows x width x depth values of an unpacked block."""
+    if predictor == 3:  # bytes of a row apart, the highest first, each as the difference from the one ``depth`` before
+        planes = np.frombuffer(raw, np.uint8, rows * width * depth * kind.itemsize).reshape(rows, width * kind.itemsize, depth)
+        planes = np.add.accumulate(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, width * depth)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, width, depth)
+    img = np.frombuffer(raw, kind, rows * width * depth).reshape(rows, width, depth)
+    if predictor == 2:
+        return np.add.accumulate(img, axis=1, dtype=img.dtype)
+    if predictor != 1:
+        raise UnsupportedFormat(f"predictor {predictor}")
+    return img
+
+
 def tiff_window(read, order: str, tags: dict, row: int, col: int, height: int, width: int, bands: list[int] | None = None) -> np.ndarray:
     """bands x height x width of a window; only blocks that it touches are read."""
     full_h, full_w, n = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
@@ -108,9 +185,7 @@ def tiff_window(read, order: str, tags: dict, row: int, col: int, height: int, w
                 depth = 1 if planar else n
                 if len(raw) < rows * bw * depth * kind.itemsize:
                     raise CorruptRaster("a block is cut short")
-                img = np.frombuffer(raw, kind, rows * bw * depth).reshape(rows, bw, depth)
-                if tags.get(PREDICTOR, (1,))[0] == 2:
-                    img = np.add.accumulate(img, axis=1, dtype=img.dtype)
+                img = _block(raw, kind, rows, bw, depth, tags.get(PREDICTOR, (1,))[0])
                 y0, y1 = max(row, ty * bh), min(row + height, ty * bh + rows, full_h)
                 x0, x1 = max(col, tx * bw), min(col + width, tx * bw + bw, full_w)
                 part = img[y0 - ty * bh: y1 - ty * bh, x0 - tx * bw: x1 - tx * bw]
@@ -128,17 +203,71 @@ def tiff_info(tags: dict) -> dict:
     elif PIXEL_SCALE in tags and TIEPOINT in tags:
         (sx, sy, *_), (i, j, _, x, y, *_) = tags[PIXEL_SCALE], tags[TIEPOINT]
         geo = (x - i * sx, sx, 0.0, y + j * sy, 0.0, -sy)
-    crs, keys = None, tags.get(GEO_KEYS, ())
-    for k in range(4, len(keys), 4):
-        if keys[k] in (GEOGRAPHIC, PROJECTED) and keys[k + 1] == 0:
-            crs = f"EPSG:{keys[k + 3]}"
     nodata = tags.get(NODATA)
     text = dict(re.findall(r'<Item name="([^"]*)"[^>]*>([^<]*)</Item>', tags.get(METADATA, ("",))[0]))
     try:
         nodata = float(nodata[0]) if nodata else None
     except ValueError:
         nodata = None
-    return {"crs": crs, "geotransform": geo, "nodata": nodata, "tags": text}
+    return {"crs": crs_text(tags), "geotransform": geo, "nodata": nodata, "tags": text}
+
+
+def geo_keys(tags: dict) -> dict[int, int | str | tuple[float, ...]]:
+    """The geographic keys of a header with their values, whichever tag these are in."""
+    flat, out = tags.get(GEO_KEYS, ()), {}
+    for key, place, n, at in zip(*(flat[k::4] for k in range(4, 8))):
+        if place == 0:
+            out[key] = at
+        elif place == GEO_NUMBERS:
+            out[key] = tuple(tags.get(GEO_NUMBERS, ())[at: at + n])
+        elif place == GEO_TEXTS:
+            out[key] = tags.get(GEO_TEXTS, ("",))[0][at: at + n].rstrip("|\0")
+    return out
+
+
+def crs_text(tags: dict) -> str | None:
+    """The reference system as text: EPSG:n; or the text that the file holds for its own system; or, for a system that is only described by keys, as those of other planets are, all
+    of its keys as JSON behind GEOTIFF:, so that equal descriptions are equal texts and can be written again. None without a system."""
+    keys = geo_keys(tags)
+    for key in (PROJECTED, GEOGRAPHIC):
+        if keys.get(key, OWN_SYSTEM) != OWN_SYSTEM:
+            return f"EPSG:{keys[key]}"
+    for key in (PROJECTED_NAME, GEOGRAPHIC_NAME, 1026):
+        if str(keys.get(key, "")).startswith(TEXT_MARK):
+            return keys[key][len(TEXT_MARK):]
+    described = {str(k): v for k, v in sorted(keys.items()) if k != RASTER}
+    return KEYS_MARK + json.dumps(described, separators=(",", ":"), ensure_ascii=False) if set(described) - {str(MODEL)} else None
+
+
+def crs_tags(crs: str) -> dict[int, tuple[int, tuple | bytes]]:
+    """The tags that hold a reference system: a code for EPSG:n, the keys of a GEOTIFF: text, and any other text (WKT, IAU and so on) as the name of a system of its own."""
+    code = re.fullmatch(r"EPSG:(\d{1,5})", crs)
+    if code and int(code[1]) < OWN_SYSTEM:
+        geographic = 4000 <= int(code[1]) < 5000
+        keys = {MODEL: 2 if geographic else 1, GEOGRAPHIC if geographic else PROJECTED: int(code[1])}
+    elif crs.startswith(KEYS_MARK):
+        keys = {int(k): tuple(v) if isinstance(v, list) else v for k, v in json.loads(crs[len(KEYS_MARK):]).items()}
+    else:
+        geographic = re.match(r"\s*(GEOGCS|GEOGCRS|GEODCRS)", crs) is not None
+        kind, name = (GEOGRAPHIC, GEOGRAPHIC_NAME) if geographic else (PROJECTED, PROJECTED_NAME)
+        keys = {MODEL: 2 if geographic else 1, kind: OWN_SYSTEM, name: TEXT_MARK + crs}
+    rows, numbers, texts = [], [], b""
+    for key, value in sorted((keys | {RASTER: PIXEL_IS_AREA}).items()):
+        if isinstance(value, str):
+            part = value.encode("latin-1", "backslashreplace") + b"|"
+            rows += [key, GEO_TEXTS, len(part), len(texts)]
+            texts += part
+        elif isinstance(value, tuple):
+            rows += [key, GEO_NUMBERS, len(value), len(numbers)]
+            numbers += value
+        else:
+            rows += [key, 0, 1, value]
+    out: dict[int, tuple[int, tuple | bytes]] = {GEO_KEYS: (3, (1, 1, 0, len(rows) // 4, *rows))}
+    if numbers:
+        out[GEO_NUMBERS] = (12, tuple(numbers))
+    if texts:
+        out[GEO_TEXTS] = (2, texts + b"\0")
+    return out
 
 
 def reader_of(data: bytes):
@@ -154,8 +283,8 @@ def read_tiff(data: bytes) -> Raster:
         raise CorruptRaster(str(e)) from e
 
 
-def write_tiff(raster: Raster, tile: int = 256) -> bytes:
-    """A tiled, deflated GeoTIFF. Two-dimensional data are one band; of three dimensions the first is the bands if it is at most 4, else the last."""
+def write_tiff(raster: Raster, tile: int = 256, big: bool | None = None) -> bytes:
+    """A tiled, deflated GeoTIFF, a BigTIFF where its size needs one (or as ``big`` says). Two-dimensional data are one band; of three dimensions the first is the bands if it is at most 4, else the last."""
     data = raster.data
     if data.ndim == 2:
         data = data[None]
@@ -181,38 +310,42 @@ def write_tiff(raster: Raster, tile: int = 256) -> bytes:
     if raster.geotransform:
         c, a, b, f, d, e = raster.geotransform
         tags[MATRIX] = (12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0))
-    if raster.crs and (code := re.fullmatch(r"EPSG:(\d+)", raster.crs)):
-        code = int(code[1])
-        geographic = 4000 <= code < 5000
-        tags[GEO_KEYS] = (3, (1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, GEOGRAPHIC if geographic else PROJECTED, 0, 1, code))
+    if raster.crs:
+        tags |= crs_tags(raster.crs)
     if raster.nodata is not None:
         tags[NODATA] = (2, f"{raster.nodata:g}".encode() + b"\0")
     if raster.tags:
         items = "".join(f'<Item name="{k}">{v}</Item>' for k, v in raster.tags.items())
         tags[METADATA] = (2, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0")
-    start = 8 + 2 + 12 * (len(tags) + 2) + 4
-    tags[TILE_OFFSETS], tags[TILE_COUNTS] = (4, (0,) * len(blocks)), (4, tuple(map(len, blocks)))
+    # Files that could outgrow 32-bit offsets are BigTIFFs: wider counts, entries and offsets.
+    big = sum(map(len, blocks)) + 64 * len(blocks) + (1 << 20) >= 1 << 32 if big is None else big
+    many, word, place = ("Q", "Q", 16) if big else ("H", "I", 4)
+    room = struct.calcsize("<" + word)
+    head = 16 if big else 8
+    start = head + struct.calcsize("<" + many) + (4 + 2 * room) * (len(tags) + 2) + room
+    tags[TILE_OFFSETS], tags[TILE_COUNTS] = (place, (0,) * len(blocks)), (4, tuple(map(len, blocks)))
 
     def packed(kind: int, value) -> bytes:
         return value if isinstance(value, bytes) else struct.pack(f"<{len(value)}{_TYPES[kind]}", *value)
 
-    size = sum(len(p) + len(p) % 2 for k, v in tags.values() if len(p := packed(k, v)) > 4)
+    size = sum(len(p) + len(p) % 2 for k, v in tags.values() if len(p := packed(k, v)) > room)
     at, places = start + size, []
     for b in blocks:
         places.append(at)
         at += len(b)
-    tags[TILE_OFFSETS] = (4, tuple(places))
+    tags[TILE_OFFSETS] = (place, tuple(places))
     entries, extra = b"", b""
     for tag in sorted(tags):
         k, v = tags[tag]
         p = packed(k, v)
-        count = len(v) if isinstance(v, (tuple, bytes)) else 1
-        if len(p) <= 4:
-            entries += struct.pack("<HHI", tag, k, count) + p.ljust(4, b"\0")
+        count = len(v)
+        if len(p) <= room:
+            entries += struct.pack(f"<HH{word}", tag, k, count) + p.ljust(room, b"\0")
         else:
-            entries += struct.pack("<HHII", tag, k, count, start + len(extra))
+            entries += struct.pack(f"<HH{word}{word}", tag, k, count, start + len(extra))
             extra += p + b"\0" * (len(p) % 2)
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra + b"".join(blocks)
+    magic = b"II+\0" + struct.pack("<HHQ", 8, 0, head) if big else b"II*\0" + struct.pack("<I", head)
+    return magic + struct.pack("<" + many, len(tags)) + entries + struct.pack("<" + word, 0) + extra + b"".join(blocks)
 
 
 def read_png(data: bytes) -> Raster:
@@ -270,8 +403,8 @@ _PDS_TYPES = {
 }
 
 
-def read_pds4(label: bytes, files: dict[str, bytes]) -> Raster:
-    """The first array of a PDS4 label; files by name."""
+def read_pds4(label: bytes, files: Mapping[str, bytes]) -> Raster:
+    """The first array of a PDS4 label; files by name, of which only the array's is looked up."""
     try:
         root = ElementTree.fromstring(label)
     except ElementTree.ParseError as e:
@@ -299,6 +432,34 @@ def read_pds4(label: bytes, files: dict[str, bytes]) -> Raster:
     return Raster(img if img.ndim == 3 else img[None])
 
 
+#: Element types of PDS3 labels by their last words, with the byte order.
+_PDS3_KINDS = {"UNSIGNED_INTEGER": "u", "INTEGER": "i", "REAL": "f"}
+
+
+def read_pds3(label: bytes, files: Mapping[str, bytes]) -> Raster:
+    """The image of a detached PDS3 label (KEYWORD = VALUE lines); files by name, of which only the image's is looked up. Bands follow one another."""
+    given = {k: v.strip() for k, v in re.findall(r"(?m)^\s*(\^?\w+)\s*=\s*([^\r\n]*)", label.decode("latin-1"))}
+    number = lambda key, other: int(re.match(r"\d+", given.get(key, other))[0])
+    try:
+        h, w, bits, n = (number(k, d) for k, d in (("LINES", ""), ("LINE_SAMPLES", ""), ("SAMPLE_BITS", ""), ("BANDS", "1")))
+        # ^IMAGE is "NAME", ("NAME", record) or ("NAME", byte <BYTES>), counted from 1.
+        name, record, in_bytes = re.match(r'\(?\s*"([^"]+)"\s*(?:,\s*(\d+)\s*(<BYTES>)?)?', given["^IMAGE"]).groups()
+        offset = (int(record or 1) - 1) * (1 if in_bytes else number("RECORD_BYTES", "1"))
+        what = given["SAMPLE_TYPE"].strip('"')
+    except (KeyError, TypeError, AttributeError) as e:
+        raise CorruptRaster("the label describes no image in a file of its own") from e
+    kind = next((v for k, v in _PDS3_KINDS.items() if what.endswith(k)), None)
+    if kind is None or bits not in (8, 16, 32, 64):
+        raise UnsupportedFormat(f"{bits} bits of {what}")
+    if name not in files:
+        raise CorruptRaster(f"{name}, which the label names, is missing")
+    order = "<" if what.startswith(("LSB", "PC", "VAX")) else ">"
+    dtype, raw = np.dtype(f"{order}{kind}{bits // 8}"), files[name]
+    if len(raw) < offset + n * h * w * dtype.itemsize:
+        raise CorruptRaster("the image file is cut short")
+    return Raster(np.frombuffer(raw, dtype, n * h * w, offset).reshape(n, h, w).astype(dtype.newbyteorder("=")))
+
+
 def read_any(path: str, data: bytes) -> Raster:
     """By the path's extension; jp2 has no decoder here."""
     kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
@@ -310,7 +471,7 @@ def read_any(path: str, data: bytes) -> Raster:
         if data[:2] in (b"II", b"MM"):
             return read_tiff(data)
         return read_raw(data)
-    raise UnsupportedFormat(f"{path}: tif, tiff, img, pds and png can be read" + " (jp2 needs a decoder that isn't here)" * (kind == "jp2"))
+    raise UnsupportedFormat(f"{path}: tif, tiff, img, pds and png can be read, and labels (xml, lbl) and zips beside their files" + " (jp2 needs a decoder that isn't here)" * (kind == "jp2"))
 
 
 def read_raw(data: bytes) -> Raster:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import itertools
 import math
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,53 +26,78 @@ META_SCHEMA = "path string, width int, height int, bands int, dtype string, crs
 def _open(path: str):
     from pyarrow import fs
 
-    files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return files, at
+    # Local names may hold what a URI must not; Spark writes them as file:/name.
+    local = path.removeprefix("file:") if re.match("file:/(?!/)", path) else path
+    return fs.FileSystem.from_uri(path) if "://" in local else (fs.LocalFileSystem(), local)
 
 
-class _Blocks(InputPartition):
-    def __init__(self, path: str, band: int, row: int, height: int, col: int, width: int):
-        self.path, self.band, self.row, self.height, self.col, self.width = path, band, row, height, col, width
+class _Files:
+    """The files of a folder by name, read when they are looked up."""
+
+    def __init__(self, files, folder: str):
+        self.files, self.folder = files, folder
+
+    def __contains__(self, name: str) -> bool:
+        return self.files.get_file_info(f"{self.folder}/{name}").is_file
+
+    def __getitem__(self, name: str) -> bytes:
+        with self.files.open_input_file(f"{self.folder}/{name}") as f:
+            return f.read()
+
+
+class _Share(InputPartition):
+    """Share k of n of the blocks of some files."""
+
+    def __init__(self, paths: list[str], k: int = 0, n: int = 1):
+        self.paths, self.k, self.n = paths, k, n
 
 
 class _TiffReader(DataSourceReader):
-    """One partition per file, band and block of rows. The band option prunes partitions, the window and most options the blocks that are read.
-    (Options, as Spark 4.1 keeps filters pushed into a Python source for later reads of the same DataFrame.)"""
+    """Files below ``split`` bytes are read many to a partition, larger ones in shares of their blocks of rows; the driver asks for sizes only, tasks read headers. The band, window and
+    most options prune the blocks that are read. (Options, as Spark 4.1 keeps filters pushed into a Python source for later reads of the same DataFrame.)"""
 
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
-        self.rows = int(options.get("rows", 1024))
+        self.rows, self.split = int(options.get("rows", 1024)), int(options.get("split", 64 << 20))
         self.window = [int(v) for v in options["window"].split(",")] if "window" in options else None  # row, col, height, width
         self.most = int(options["most"]) if "most" in options else None  # central crop
         self.band = int(options["band"]) if "band" in options else None
 
-    def _read(self, path: str):
-        files, at = _open(path)
-        f = files.open_input_file(at)
-        return f, lambda offset, size: f.read_at(size, offset)
-
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path in self.paths:
-            f, read = self._read(path)
-            with f:
-                _, tags = codecs.tiff_header(read)
-            height, width, bands = tags[codecs.HEIGHT][0], tags[codecs.WIDTH][0], tags.get(codecs.SAMPLES, (1,))[0]
-            row, col, h, w = self.window or (0, 0, height, width)
-            if self.most:
-                h, w = min(h, self.most), min(w, self.most)
-                row, col = (height - h) // 2, (width - w) // 2
-            for band in range(1, bands + 1):
-                if self.band in (None, band):
-                    out += [_Blocks(path, band, y, min(self.rows, row + h - y), col, w) for y in range(row, row + h, self.rows)]
-        return out
-
-    def read(self, p: _Blocks) -> Iterator[tuple]:
-        f, read = self._read(p.path)
-        with f:
-            order, tags = codecs.tiff_header(read)
-            img = codecs.tiff_window(read, order, tags, p.row, p.col, p.height, p.width, [p.band - 1])[0]
-        yield p.path, p.band, p.row, p.col, p.height, p.width, img.dtype.name, img.tobytes()
+        out, few, size = [], [], 0
+        for store in {}.fromkeys(p.split("://")[0] if "://" in p else "" for p in self.paths):
+            mine = [p for p in self.paths if (p.split("://")[0] if "://" in p else "") == store]
+            files, _ = _open(mine[0])
+            for path, info in zip(mine, files.get_file_info([_open(p)[1] for p in mine])):
+                n = -(-(info.size or 0) // self.split)
+                if n > 1:
+                    out += [_Share([path], k, n) for k in range(n)]
+                    continue
+                if few and size + (info.size or 0) > self.split:
+                    out.append(_Share(few))
+                    few, size = [], 0
+                few, size = [*few, path], size + (info.size or 0)
+        return out + ([_Share(few)] if few else [])
+
+    def _blocks(self, tags: dict) -> list[tuple[int, int, int, int, int]]:
+        """(band, row, col, height, width) of a file's blocks."""
+        height, width, bands = tags[codecs.HEIGHT][0], tags[codecs.WIDTH][0], tags.get(codecs.SAMPLES, (1,))[0]
+        row, col, h, w = self.window or (0, 0, height, width)
+        if self.most:
+            h, w = min(h, self.most), min(w, self.most)
+            row, col = (height - h) // 2, (width - w) // 2
+        return [(band, y, col, min(self.rows, row + h - y), w) for band in range(1, bands + 1) if self.band in (None, band) for y in range(row, row + h, self.rows)]
+
+    def read(self, p: _Share) -> Iterator[tuple]:
+        for path in p.paths:
+            files, at = _open(path)
+            with files.open_input_file(at) as f:
+                read = lambda offset, size: f.read_at(size, offset)
+                order, tags = codecs.tiff_header(read)
+                blocks = self._blocks(tags)
+                for band, row, col, h, w in blocks[len(blocks) * p.k // p.n: len(blocks) * (p.k + 1) // p.n]:
+                    img = codecs.tiff_window(read, order, tags, row, col, h, w, [band - 1])[0]
+                    yield path, band, row, col, h, w, img.dtype.name, img.tobytes()
 
 
 class _Written(WriterCommitMessage):
@@ -154,46 +181,64 @@ def register(spark: SparkSession) -> None:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata of all rasters below a path, by Spark's file scan (any store that Spark reads). What can't be read has an error, not an exception."""
+    """Metadata of all rasters below a path: Spark lists the files without reading them, tasks read headers by ranges (bundles and labelled images as a whole).
+    What can't be read has an error, not an exception."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([_meta(p, d) for p, d in zip(pdf["path"], pdf["content"])], columns=[c.split()[0] for c in META_SCHEMA.split(", ")])
+            yield pd.DataFrame([_meta(p) for p in pdf["path"]], columns=[c.split()[0] for c in META_SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, META_SCHEMA)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return listed.mapInPandas(run, META_SCHEMA)
 
 
-def _meta(path: str, data: bytes) -> tuple:
+def _meta(path: str) -> tuple:
     try:
-        r = codecs.read_any(path, bytes(data))
-        bands, h, w = r.data.shape
-        return path, w, h, bands, r.data.dtype.name, r.crs, list(r.geotransform) if r.geotransform else None, r.nodata, r.tags, None
-    except codecs.RasterError as e:
+        with OpenRaster(path) as r:
+            return path, r.width, r.height, r.bands, r.dtype.name, r.crs, list(r.geotransform) if r.geotransform else None, r.nodata, r.tags, None
+    except (codecs.RasterError, OSError) as e:
         return path, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
 class OpenRaster:
-    """A raster whose windows are read on demand: TIFFs by ranges, other formats as a whole."""
+    """A raster whose windows are read on demand: TIFFs by ranges, other formats as a whole. An xml or lbl file is a label beside its image; of a zip the member is read that
+    ``rules.bundle_member`` takes."""
 
     def __init__(self, path: str):
         files, at = _open(path)
         self.path, self.file = path, files.open_input_file(at)
         self.read = lambda offset, size: self.file.read_at(size, offset)
         self.whole: codecs.Raster | None = None
-        head = self.read(0, 4)
-        if path.lower().endswith((".tif", ".tiff", ".img", ".pds")) and head[:2] in (b"II", b"MM"):
+        kind, head = path.lower().rsplit(".", 1)[-1], self.read(0, 4)
+        self.file.seek(0)
+        if kind in ("tif", "tiff", "img", "pds") and head[:2] in (b"II", b"MM"):
             try:
                 self.order, self.header = codecs.tiff_header(self.read)
+                self.dtype = codecs._dtype(self.order, self.header).newbyteorder("=")
             except (struct.error, ValueError, IndexError) as e:
                 raise codecs.CorruptRaster(str(e)) from e
             self.bands, self.height, self.width = self.header.get(codecs.SAMPLES, (1,))[0], self.header[codecs.HEIGHT][0], self.header[codecs.WIDTH][0]
             info = codecs.tiff_info(self.header)
         else:
-            self.whole = codecs.read_any(path, self.file.read())
+            if kind == "zip":
+                self.whole = _bundled(path, self.file)
+            elif kind in ("xml", "lbl"):
+                self.whole = _labelled(kind, self.file.read(), _Files(files, at.rsplit("/", 1)[0]))
+            elif kind in ("tif", "tiff", "png", "img", "pds"):
+                self.whole = codecs.read_any(path, self.file.read())
+            else:
+                self.whole = codecs.read_any(path, b"")
             self.bands, self.height, self.width = self.whole.data.shape
+            self.dtype = self.whole.data.dtype
             info = {k: getattr(self.whole, k) for k in ("crs", "geotransform", "nodata", "tags")}
         self.crs, self.geotransform, self.nodata, self.tags = info["crs"], info["geotransform"], info["nodata"], info["tags"]
 
+    def __enter__(self) -> OpenRaster:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
     def window(self, row: int, col: int, height: int, width: int) -> codecs.Raster:
         """All bands of a window; its geotransform is the window's own."""
         if self.whole is not None:
@@ -229,6 +274,65 @@ class OpenRaster:
         return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
+def _labelled(kind: str, label: bytes, files) -> codecs.Raster:
+    return (codecs.read_pds4 if kind == "xml" else codecs.read_pds3)(label, files)
+
+
+class _Members:
+    """The members of a zip by their names without folders, read when they are looked up."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.z, self.names = z, {m.rsplit("/", 1)[-1]: m for m in sorted(z.namelist(), reverse=True) if not m.endswith("/")}
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.names
+
+    def __getitem__(self, name: str) -> bytes:
+        return self.z.read(self.names[name])
+
+
+def _bundled(path: str, file) -> codecs.Raster:
+    from ..operators.rules import member_of
+
+    try:
+        with zipfile.ZipFile(file) as z:
+            heads = {}
+            for m in z.infolist():
+                if not m.is_dir():
+                    with z.open(m) as f:
+                        heads[m.filename] = f.read(2000).decode("latin-1")
+            name = member_of(heads)
+            if name is None:
+                raise codecs.UnsupportedFormat(f"{path}: no label and no raster in the zip")
+            kind = name.lower().rsplit(".", 1)[-1]
+            return _labelled(kind, z.read(name), _Members(z)) if kind in ("xml", "lbl") else codecs.read_any(name, z.read(name))
+    except (zipfile.BadZipFile, zlib.error, ValueError) as e:  # Arrow tells a seek before the start as a ValueError
+        raise codecs.CorruptRaster(f"{path}: {e}") from e
+
+
+def to_geotiff(files: DataFrame, out: str) -> DataFrame:
+    """(path, output, error) of rasters of any kind that ``OpenRaster`` reads (column path), each written as <out>/<name>.tif by the task that has it. Names must differ."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to, root = _open(out)
+        to.create_dir(root, recursive=True)
+        for pdf in batches:
+            for path in pdf["path"]:
+                name, error = f"{root}/{path.rsplit('/', 1)[-1].rsplit('.', 1)[0]}.tif", None
+                try:
+                    with OpenRaster(path) as r:
+                        data = codecs.write_tiff(r.window(0, 0, r.height, r.width))
+                    part = f"{name}.{uuid.uuid4().hex}.part"
+                    with to.open_output_stream(part) as f:
+                        f.write(data)
+                    to.move(part, name)
+                except (codecs.RasterError, OSError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"path": [path], "output": [None if error else name], "error": [error]})
+
+    return files.select("path").mapInPandas(run, "path string, output string, error string")
+
+
 def load_pair(source: str, reference: str, most: int = 4096) -> tuple[codecs.Raster, codecs.Raster]:
     """The parts of two rasters that show the same ground, at most ``most`` pixels a side; where they have no common reference system, or boxes that don't meet, the centre of each."""
     a, b = OpenRaster(source), OpenRaster(reference)

@@ -1,6 +1,7 @@
 """Codecs, the raster data source, exports, jobs, settings and whole registrations."""
 
 import io
+import struct
 import json
 import zipfile
 
@@ -20,7 +21,7 @@ from rasterloom.streaming import jobs
 GEO = (32.5, 0.001, 0.0, -69.5, 0.0, -0.001)
 
 
-@given(st.sampled_from(["u1", "i2", "u2", "f4", "f8", "u4"]), st.integers(1, 3), st.integers(1, 300), st.integers(1, 300), st.sampled_from([None, "EPSG:4326", "EPSG:32633"]))
+@given(st.sampled_from(["u1", "i2", "u2", "f4", "f8", "u4"]), st.integers(1, 3), st.integers(1, 300), st.integers(1, 300), st.sampled_from([None, "EPSG:4326", "EPSG:32633", 'GEOGCS["Moon 2000",DATUM["D_Moon_2000",SPHEROID["Moon",1737400,0]]]', "IAU_2015:30120"]))
 @settings(max_examples=40, deadline=None)
 def test_tiff_round_trip(kind, bands, h, w, crs):
     data = np.random.default_rng(h * w).integers(0, 200, (bands, h, w)).astype(kind)
@@ -43,9 +44,83 @@ def test_tiff_window_and_errors():
             codecs.read_any(name, b"x")
 
 
-def test_big_endian_strips():
-    import struct
+def test_own_reference_systems():
+    """A system that is only described by keys comes back as text, is kept when written, and differs from another radius."""
+    moon = 'GEOTIFF:{"1024":1,"1026":"Moon equirectangular","2048":32767,"2057":[1737400.0],"2058":[1737400.0],"3072":32767,"3075":17,"3088":[0.0]}'
+    raw = codecs.write_tiff(codecs.Raster(np.ones((1, 4, 5), np.uint8), moon, GEO))
+    _, tags = codecs.tiff_header(codecs.reader_of(raw))
+    assert tags[codecs.GEO_NUMBERS] == (1737400.0, 1737400.0, 0.0) and codecs.geo_keys(tags)[1026] == "Moon equirectangular"
+    assert codecs.read_tiff(raw).crs == moon
+    other = codecs.read_tiff(codecs.write_tiff(codecs.Raster(np.ones((1, 4, 5), np.uint8), moon.replace("1737400", "3396190"), GEO))).crs
+    assert other != moon and other.startswith("GEOTIFF:")
+
+
+def test_big_tiff():
+    data = np.random.default_rng(0).integers(0, 60000, (2, 100, 130)).astype(np.uint16)
+    raw = codecs.write_tiff(codecs.Raster(data, "EPSG:32633", GEO, 3.0, {"a": "b"}), 32, big=True)
+    assert raw[:4] == b"II+\0"
+    got = codecs.read_tiff(raw)
+    np.testing.assert_array_equal(got.data, data)
+    assert (got.crs, got.geotransform, got.nodata, got.tags) == ("EPSG:32633", GEO, 3.0, {"a": "b"})
+    with pytest.raises(codecs.CorruptRaster):
+        codecs.read_tiff(raw[:15])
+
+
+def strip_tiff(block: bytes, kind: np.dtype, h: int, w: int, compression: int, predictor: int = 1) -> bytes:
+    """A little-endian TIFF of one strip, made by hand."""
+    form = {"u": 1, "i": 2, "f": 3}[kind.kind]
+    tags = [(256, 3, w), (257, 3, h), (258, 3, kind.itemsize * 8), (259, 3, compression), (273, 4, 200), (278, 3, h), (279, 4, len(block)), (317, 3, predictor), (339, 3, form)]
+    raw = b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + b"\0" * 4
+    return raw.ljust(200, b"\0") + block
+
+
+def lzw_encoded(data: bytes) -> bytes:
+    bits, width, table, held = [], 9, {bytes([k]): k for k in range(256)}, b""
+    put = lambda code: bits.append(format(code, f"0{width}b"))
+    put(256)
+    after = 258
+    for byte in data:
+        if held + bytes([byte]) in table:
+            held += bytes([byte])
+            continue
+        put(table[held])
+        table[held + bytes([byte])], after, held = after, after + 1, bytes([byte])
+        width = 9 if after < 512 else 10 if after < 1024 else 11 if after < 2048 else 12
+        if after >= 4094:
+            put(256)
+            table, after, width = {bytes([k]): k for k in range(256)}, 258, 9
+    if held:
+        put(table[held])
+        after += 1
+        width = 9 if after < 512 else 10 if after < 1024 else 11 if after < 2048 else 12
+    put(257)
+    text = "".join(bits)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_lzw_of_the_standard():
+    assert codecs._lzw(bytes.fromhex("800B6050220C0C8501")) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    with pytest.raises(codecs.CorruptRaster):
+        codecs._lzw(bytes.fromhex("807FFFFF"))
+
+
+@given(st.integers(1, 90), st.integers(1, 90), st.sampled_from([2, 50, 60000]))
+@settings(max_examples=25, deadline=None)
+def test_packed_strips(h, w, most):
+    import zstandard
 
+    data = np.random.default_rng(h * w).integers(0, most, (h, w)).astype("<u2")
+    plain = data.tobytes()
+    for how, block in ((5, lzw_encoded(plain)), (50000, zstandard.ZstdCompressor().compress(plain)), (32773, b"".join(bytes([len(p) - 1]) + p for p in (plain[i: i + 128] for i in range(0, len(plain), 128))))):
+        np.testing.assert_array_equal(codecs.read_tiff(strip_tiff(block, data.dtype, h, w, how)).data[0], data)
+    assert codecs._packbits(bytes([254, 7, 128, 1, 5, 6])) == bytes([7, 7, 7, 5, 6])
+    floats = np.random.default_rng(w).normal(size=(h, w)).astype("<f4")
+    planes = np.frombuffer(floats.astype(">f4").tobytes(), np.uint8).reshape(h, w, 4).transpose(0, 2, 1).reshape(h, 4 * w).astype(int)
+    coded = np.diff(planes, axis=1, prepend=0).astype(np.uint8)
+    np.testing.assert_array_equal(codecs.read_tiff(strip_tiff(coded.tobytes(), floats.dtype, h, w, 1, 3)).data[0], floats)
+
+
+def test_big_endian_strips():
     data = np.arange(60, dtype=">u2").reshape(6, 10)
     tags = [(256, 3, 1, 10 << 16), (257, 3, 1, 6 << 16), (258, 3, 1, 16 << 16), (259, 3, 1, 1 << 16), (273, 4, 2, 200), (278, 3, 1, 3 << 16), (279, 4, 2, 208)]
     raw = b"MM\0*" + struct.pack(">I", 8) + struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", *t) for t in tags) + b"\0" * 4
@@ -95,6 +170,33 @@ def test_pds4_and_raw():
         codecs.read_raw(b"abc")
 
 
+PDS3 = b'PDS_VERSION_ID = PDS3\r\nRECORD_BYTES = 4\r\n^IMAGE = ("A.IMG", 2)\r\nOBJECT = IMAGE\r\n  LINES = 3\r\n  LINE_SAMPLES = 5\r\n  SAMPLE_BITS = 16\r\n  SAMPLE_TYPE = LSB_UNSIGNED_INTEGER\r\nEND_OBJECT\r\nEND\r\n'
+
+
+def test_labels_and_bundles_are_rasters(spark, tmp_path):
+    data = np.arange(15).reshape(3, 5)
+    (tmp_path / "a.xml").write_text(LABEL)
+    (tmp_path / "a.img").write_bytes(b"head" + data.astype(">u2").tobytes())
+    (tmp_path / "b.lbl").write_bytes(PDS3)
+    (tmp_path / "A.IMG").write_bytes(b"head" + data.astype("<u2").tobytes())
+    for name, members in (("c.zip", {"d/a.xml": LABEL, "d/a.img": b"head" + data.astype(">u2").tobytes()}), ("d.zip", {"x.tif": codecs.write_tiff(codecs.Raster(data[None].astype(np.uint16)))}), ("e.zip", {"x.txt": "x"})):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for member, content in members.items():
+                z.writestr(member, content)
+    (tmp_path / "f.zip").write_bytes(b"PK garbage")
+    with pytest.raises(codecs.CorruptRaster):
+        codecs.read_pds3(PDS3, {})
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in raster.scan(spark, str(tmp_path)).collect()}
+    for name in ("a.xml", "b.lbl", "c.zip", "d.zip"):
+        assert (rows[name].error, rows[name].width, rows[name].height, rows[name].dtype) == (None, 5, 3, "uint16")
+    assert rows["e.zip"].error.startswith("UnsupportedFormat") and rows["f.zip"].error.startswith("CorruptRaster")
+    files = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.xml", "b.lbl", "c.zip", "d.zip", "e.zip")], "path string")
+    done = {r.path.rsplit("/", 1)[-1]: r for r in raster.to_geotiff(files, str(tmp_path / "out")).collect()}
+    assert done["e.zip"].error and not done["e.zip"].output
+    for name in ("a.xml", "b.lbl", "c.zip", "d.zip"):
+        np.testing.assert_array_equal(codecs.read_tiff(open(done[name].output, "rb").read()).data[0], data)
+
+
 def test_data_source(spark, tmp_path):
     raster.register(spark)
     data = np.arange(2 * 70 * 90, dtype=np.int16).reshape(2, 70, 90)
@@ -104,6 +206,8 @@ def test_data_source(spark, tmp_path):
     got = np.zeros((70, 90))
     got[px["y"], px["x"]] = px["v"]
     np.testing.assert_array_equal(got, data[1])
+    shares = spark.read.format("raster").option("path", str(tmp_path / "a.tif")).option("rows", 16).option("split", 4000).load()
+    assert shares.rdd.getNumPartitions() > 2 and sorted(shares.collect()) == sorted(tiles.collect())
     window = spark.read.format("raster").option("path", str(tmp_path / "a.tif")).option("window", "10,20,5,7").load()
     assert raster.pixels(window).where("band = 1").agg(F.sum("v")).first()[0] == data[0, 10:15, 20:27].sum()
     crop = spark.read.format("raster").option("path", str(tmp_path / "a.tif")).option("most", 30).load()
@@ -177,6 +281,10 @@ def test_settings(tmp_path):
             RegistrationConfig(**bad)
     (tmp_path / "c.json").write_text('{"registration": {"max_keypoints": 5}}')
     assert AppConfig.load(str(tmp_path / "c.json")).registration.max_keypoints == 5
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("registration:\n  max_keypoints: 7\n  transform_type: affine\nstorage:\n")
+    loaded = AppConfig.load(str(tmp_path / "c.yaml"))
+    assert (loaded.registration.max_keypoints, loaded.registration.transform_type, loaded.storage.jobs) == (7, "affine", "jobs")
     (tmp_path / "d.json").write_text('{"registration": {"colour": 5}}')
     with pytest.raises(ValueError):
         AppConfig.load(str(tmp_path / "d.json"))
