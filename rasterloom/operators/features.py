@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -20,16 +21,25 @@ def blur(img: np.ndarray, sigma: float) -> np.ndarray:
     if min(img.shape) <= r:
         r = min(img.shape) - 1
         k = k[len(k) // 2 - r: len(k) // 2 + r + 1] / k[len(k) // 2 - r: len(k) // 2 + r + 1].sum()
-    p = np.pad(img, ((0, 0), (r, r)), mode="reflect") if r else img
-    img = sum(w * p[:, i: i + img.shape[1]] for i, w in enumerate(k))
-    p = np.pad(img, ((r, r), (0, 0)), mode="reflect") if r else img
-    return sum(w * p[i: i + img.shape[0]] for i, w in enumerate(k))
+    k = k.astype(img.dtype if img.dtype.kind == "f" else float)
+    p = np.pad(img, ((r, r), (r, r)), mode="reflect") if r else img
+    for cut in (lambda a, i, n: a[:, i: i + n], lambda a, i, n: a[i: i + n]):
+        # The kernel is symmetric: two neighbours share a product; blocks of rows stay in the cache.
+        n = (img.shape[1], img.shape[0])[cut(p, 0, 1).shape[0] == 1]
+        out = k[r] * cut(p, r, n)
+        for i in range(r):
+            part = cut(p, i, n) + cut(p, 2 * r - i, n)
+            part *= k[i]
+            out += part
+        p = out
+    return p
 
 
 def keypoints(img: np.ndarray, most: int = 8192, scales: int = 3, contrast: float = 0.04, edge: float = 10.0, sigma: float = 1.6) -> tuple[np.ndarray, np.ndarray]:
     """(rows of x, y, scale, orientation, response; descriptors of 128 values). Extrema of differences of Gaussians over octaves, refined by a quadratic fit, without weak or edge-like ones."""
     lo, hi = float(img.min()), float(img.max())
-    base = (img.astype(np.float64) - lo) / (hi - lo) if hi > lo else np.zeros(img.shape)
+    # Single precision, as 255 levels in 1024 or more sums need no more; points are refined in double.
+    base = ((img.astype(np.float64) - lo) / (hi - lo)).astype(np.float32) if hi > lo else np.zeros(img.shape, np.float32)
     base = blur(base, math.sqrt(max(sigma**2 - 0.25, 0.01)))
     points, descriptors, octave = [], [], 0
     while min(base.shape) >= 16 and octave < 8:
@@ -39,17 +49,18 @@ def keypoints(img: np.ndarray, most: int = 8192, scales: int = 3, contrast: floa
             levels.append(blur(levels[-1], math.sqrt(now**2 - before**2)))
         dog = np.stack([b - a for a, b in zip(levels, levels[1:])])
         core = dog[1:-1, 1:-1, 1:-1]
-        top, low = np.full(core.shape, -np.inf), np.full(core.shape, np.inf)
-        for ds in range(3):
-            for dy in range(3):
-                for dx in range(3):
-                    if (ds, dy, dx) != (1, 1, 1):
-                        n = dog[ds: ds + core.shape[0], dy: dy + core.shape[1], dx: dx + core.shape[2]]
-                        np.maximum(top, n, out=top)
-                        np.minimum(low, n, out=low)
-        hit = ((core > top) | (core < low)) & (np.abs(core) > 0.5 * contrast / scales)
-        s, y, x = (np.argwhere(hit) + 1).T
-        at = lambda ds, dy, dx: dog[s + ds, y + dy, x + dx]
+        # Only strong values are looked at, and of them only those that still lead go on to the next neighbour.
+        strong = np.zeros(dog.shape, bool)
+        np.greater(np.abs(core), 0.5 * contrast / scales, out=strong[1:-1, 1:-1, 1:-1])
+        flat, place = dog.ravel(), np.flatnonzero(strong)
+        value = flat[place]
+        for ds, dy, dx in sorted(itertools.product((-1, 0, 1), repeat=3), key=lambda v: sum(map(abs, v))):
+            if (ds, dy, dx) != (0, 0, 0):
+                near = flat[place + (ds * dog.shape[1] + dy) * dog.shape[2] + dx]
+                lead = np.where(value > 0, value > near, value < near)
+                place, value = place[lead], value[lead]
+        s, y, x = np.unravel_index(place, dog.shape)
+        at = lambda ds, dy, dx: dog[s + ds, y + dy, x + dx].astype(np.float64)
         g = np.stack([at(1, 0, 0) - at(-1, 0, 0), at(0, 1, 0) - at(0, -1, 0), at(0, 0, 1) - at(0, 0, -1)], 1) / 2
         c = at(0, 0, 0)
         h = np.zeros((len(s), 3, 3))
@@ -73,7 +84,9 @@ def keypoints(img: np.ndarray, most: int = 8192, scales: int = 3, contrast: floa
         for k in np.unique(level):
             mine = np.flatnonzero(level == k)
             gy, gx = np.gradient(levels[k])
-            who, angle = _directions(gx, gy, y[mine], x[mine], size[mine])
+            bins = np.rint(np.arctan2(gy, gx) * np.float32(36 / (2 * np.pi))).astype(np.int8)
+            bins[bins < 0] += 36
+            who, angle = _directions(gx, gy, np.hypot(gx, gy), bins, y[mine], x[mine], size[mine])
             who = mine[who]
             points.append(np.column_stack([x[who] * 2**octave, y[who] * 2**octave, size[who] * 2**octave, angle, np.abs(value[who])]))
             descriptors.append(_describe(gx, gy, y[who], x[who], size[who], angle))
@@ -86,19 +99,23 @@ def keypoints(img: np.ndarray, most: int = 8192, scales: int = 3, contrast: floa
     return points[order], descriptors[order]
 
 
-def _directions(gx: np.ndarray, gy: np.ndarray, y: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(point, angle) of each dominant gradient direction around the points: peaks of a smoothed histogram of 36 bins, within 80 % of the highest."""
+def _directions(gx: np.ndarray, gy: np.ndarray, size_of: np.ndarray, bin_of: np.ndarray, y: np.ndarray, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(point, angle) of each dominant gradient direction around the points: peaks of a smoothed histogram of 36 bins, within 80 % of the highest.
+    size_of and bin_of: length of each pixel's gradient, and its bin."""
     who, angles = [], []
-    for k in range(0, len(y), 1000):
-        yy, xx, scale = y[k: k + 1000, None, None], x[k: k + 1000, None, None], size[k: k + 1000, None, None]
+    order = np.argsort(size, kind="stable")  # windows of a slice are as large as its largest scale
+    for k in range(0, len(y), 256):
+        mine = order[k: k + 256]
+        yy, xx, scale = (v[mine, None, None].astype(np.float32) for v in (y, x, size))
         r = int(np.rint(4.5 * scale.max(initial=1)))
         span = np.arange(-r, r + 1)
         py, px = np.rint(yy).astype(int) + span[None, :, None], np.rint(xx).astype(int) + span[None, None, :]
-        inside = (py > 0) & (px > 0) & (py < gx.shape[0] - 1) & (px < gx.shape[1] - 1) & (np.maximum(np.abs(span[:, None]), np.abs(span[None, :])) <= np.rint(4.5 * scale))
-        iy, ix = np.clip(py, 0, gx.shape[0] - 1), np.clip(px, 0, gx.shape[1] - 1)
-        u, v = gx[iy, ix], gy[iy, ix]
-        weight = np.where(inside, np.hypot(u, v) * np.exp(-((py - yy) ** 2 + (px - xx) ** 2) / (2 * (1.5 * scale) ** 2)), 0)
-        bins = np.rint(np.arctan2(v, u) * 36 / (2 * np.pi)).astype(int) % 36
+        reach = np.rint(4.5 * scale)
+        down = np.where((py > 0) & (py < gx.shape[0] - 1) & (np.abs(span[:, None]) <= reach), np.exp(-((py - yy) ** 2) / (2 * (1.5 * scale) ** 2)), 0)
+        across = np.where((px > 0) & (px < gx.shape[1] - 1) & (np.abs(span[None, :]) <= reach), np.exp(-((px - xx) ** 2) / (2 * (1.5 * scale) ** 2)), 0)
+        at = np.clip(py, 0, gx.shape[0] - 1) * gx.shape[1] + np.clip(px, 0, gx.shape[1] - 1)
+        weight = size_of.ravel()[at] * (down * across)
+        bins = bin_of.ravel()[at]
         n = len(yy)
         hist = np.bincount((np.arange(n)[:, None, None] * 36 + bins).ravel(), weight.ravel(), n * 36).reshape(n, 36)
         turn = lambda h, by: np.roll(h, by, axis=1)
@@ -106,42 +123,44 @@ def _directions(gx: np.ndarray, gy: np.ndarray, y: np.ndarray, x: np.ndarray, si
         left, right = turn(hist, 1), turn(hist, -1)
         p, b = np.nonzero((hist > left) & (hist > right) & (hist >= 0.8 * hist.max(1, keepdims=True)))
         l, m, h = left[p, b], hist[p, b], right[p, b]
-        who.append(p + k)
+        who.append(mine[p])
         angles.append((b + 0.5 * (l - h) / (l - 2 * m + h)) * 2 * np.pi / 36 % (2 * np.pi))
-    return (np.concatenate(who), np.concatenate(angles)) if who else (np.zeros(0, int), np.zeros(0))
+    if not who:
+        return np.zeros(0, int), np.zeros(0)
+    who, angles = np.concatenate(who), np.concatenate(angles)
+    order = np.argsort(who, kind="stable")
+    return who[order], angles[order]
 
 
 def _describe(gx: np.ndarray, gy: np.ndarray, y: np.ndarray, x: np.ndarray, size: np.ndarray, turn: np.ndarray) -> np.ndarray:
     """Histograms of gradient directions over 4 x 4 cells of a grid turned to the point's direction: four samples a cell and axis, shared between neighbouring cells and bins."""
-    t = (np.arange(4 * GRID) + 0.5) / 4 - GRID / 2
+    t = ((np.arange(4 * GRID) + 0.5) / 4 - GRID / 2).astype(np.float32)
     v, u = (w.ravel()[None, :] for w in np.meshgrid(t, t, indexing="ij"))
     soft = np.exp(-(u * u + v * v) / (GRID * GRID / 2))
     row, col = v[0] + GRID / 2 - 0.5, u[0] + GRID / 2 - 0.5
+    near = lambda c: np.maximum(0, 1 - np.abs(c[None, :] - np.arange(GRID)[:, None]))
+    shares = (near(row)[:, None] * near(col)[None, :]).reshape(GRID * GRID, -1).astype(np.float64)
     out = np.zeros((len(y), GRID * GRID * BINS))
-    for k in range(0, len(y), 2000):
-        part = slice(k, k + 2000)
+    y, x, size, turn = (w.astype(np.float32) for w in (y, x, size, turn))
+    for k in range(0, len(y), 512):
+        part = slice(k, k + 512)
         cell, angle = 3 * size[part, None], turn[part, None]
         cos, sin = np.cos(angle), np.sin(angle)
         py, px = y[part, None] + cell * (sin * u + cos * v), x[part, None] + cell * (cos * u - sin * v)
         inside = (py >= 0) & (px >= 0) & (py <= gx.shape[0] - 1) & (px <= gx.shape[1] - 1)
         y0, x0 = np.clip(np.floor(py).astype(int), 0, gx.shape[0] - 2), np.clip(np.floor(px).astype(int), 0, gx.shape[1] - 2)
         fy, fx = py - y0, px - x0
-        a, b = ((1 - fy) * ((1 - fx) * g[y0, x0] + fx * g[y0, x0 + 1]) + fy * ((1 - fx) * g[y0 + 1, x0] + fx * g[y0 + 1, x0 + 1]) for g in (gx, gy))
+        fy, fx, at, w = fy.astype(np.float32), fx.astype(np.float32), y0 * gx.shape[1] + x0, gx.shape[1]
+        a, b = ((1 - fy) * ((1 - fx) * g[at] + fx * g[at + 1]) + fy * ((1 - fx) * g[at + w] + fx * g[at + w + 1]) for g in (gx.ravel(), gy.ravel()))
         weight = np.where(inside, np.hypot(a, b) * soft, 0)
-        way = (np.arctan2(b, a) - angle) % (2 * np.pi) * BINS / (2 * np.pi)
+        way = (np.arctan2(b, a) - angle) * np.float32(BINS / (2 * np.pi)) % BINS
         low = np.floor(way).astype(int)
         n = len(cell)
-        base = np.arange(n)[:, None] * (GRID + 2) ** 2
-        sums = np.zeros(n * (GRID + 2) ** 2 * BINS)
-        for i in (0, 1):
-            r = np.floor(row).astype(int) + i
-            for j in (0, 1):
-                c = np.floor(col).astype(int) + j
-                share = np.abs(1 - i - (row - np.floor(row))) * np.abs(1 - j - (col - np.floor(col)))
-                to = (base + ((r + 1) * (GRID + 2) + c + 1)[None, :]) * BINS
-                for m in (0, 1):
-                    sums += np.bincount((to + (low + m) % BINS).ravel(), (weight * share * np.abs(1 - m - (way - low))).ravel(), len(sums))
-        d = sums.reshape(n, GRID + 2, GRID + 2, BINS)[:, 1:-1, 1:-1].reshape(n, -1)
+        # Two sums by the sample's place and bin (the share of the lower and of the upper bin), then one product with the places' fixed shares of the cells.
+        spread = np.arange(n * len(row)).reshape(n, -1) * BINS
+        upper = weight * (way - low)
+        samples = np.bincount((spread + low % BINS).ravel(), (weight - upper).ravel(), n * len(row) * BINS) + np.bincount((spread + (low + 1) % BINS).ravel(), upper.ravel(), n * len(row) * BINS)
+        d = np.matmul(shares, samples.reshape(n, len(row), BINS)).reshape(n, -1)
         d = np.minimum(d / (np.linalg.norm(d, axis=1, keepdims=True) + 1e-12), 0.2)
         out[part] = d / (np.linalg.norm(d, axis=1, keepdims=True) + 1e-12)
     return out

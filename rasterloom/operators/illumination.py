@@ -80,29 +80,33 @@ def sun_ramp(px: DataFrame, degrees: float, axis: str = "x") -> DataFrame:
 
 
 def phase_congruency_array(img: np.ndarray, scales: int = 4, orientations: int = 6) -> np.ndarray:
-    """Energy over amplitude of log-Gabor responses, summed over orientations; 0 to 1. Depends on the array's size."""
+    """Energy over amplitude of log-Gabor responses, summed over orientations; 0 to 1, in single precision. Depends on the array's size."""
     rows, cols = img.shape
-    spectrum = np.fft.fft2(img)
+    spectrum = np.fft.fft2(img.astype(np.float32))
     u = np.fft.ifftshift(-0.5 + np.arange(cols) * ((1.0 - 1.0 / cols) / max(1, cols - 1)))[None, :]
     v = np.fft.ifftshift(-0.5 + np.arange(rows) * ((1.0 - 1.0 / rows) / max(1, rows - 1)))[:, None]
     radius = np.hypot(u, v)
     radius[0, 0] = 1.0
     angle = np.arctan2(-v, u)
-    angle = np.where(angle < 0, angle + np.pi, angle)
-    radial = []
+    angle = np.where(angle < 0, angle + np.pi, angle).astype(np.float32)
+    octaves, radial = np.log(radius * 3.0).astype(np.float32), []
     for s in range(scales):
-        g = np.exp(-(np.log(radius * 3.0 * 2.1**s) ** 2) / (2 * math.log(0.55) ** 2))
+        g = np.exp(-((octaves + np.float32(s * math.log(2.1))) ** 2) / np.float32(2 * math.log(0.55) ** 2))
         g[0, 0] = 0.0
-        radial.append(g)
-    energy, amplitude = np.zeros(img.shape), np.zeros(img.shape)
+        radial.append(g * spectrum)
+    energy, amplitude = np.zeros(img.shape, np.float32), np.zeros(img.shape, np.float32)
     for o in range(orientations):
-        apart = np.abs(angle - o * np.pi / orientations)
-        spread = np.exp(-(np.minimum(apart, np.pi - apart) ** 2) / (2 * (0.6 * np.pi / orientations) ** 2))
-        responses = [np.fft.ifft2(spectrum * g * spread) for g in radial]
-        sizes = [np.abs(z) for z in responses]
-        total = np.abs(sum(responses))
-        energy += np.maximum(total - 2 * np.median(sizes[0]), 0)
-        amplitude += sum(sizes)
+        apart = np.abs(angle - np.float32(o * np.pi / orientations))
+        spread = np.exp(-(np.minimum(apart, np.float32(np.pi) - apart) ** 2) / np.float32(2 * (0.6 * np.pi / orientations) ** 2))
+        total, noise = np.zeros(img.shape, np.complex64), np.float32(0)
+        for s, part in enumerate(radial):
+            response = np.fft.ifft2(part * spread)
+            size = np.abs(response)
+            total += response
+            amplitude += size
+            if s == 0:
+                noise = 2 * np.median(size)
+        energy += np.maximum(np.abs(total) - noise, 0)
     return np.clip(energy / (amplitude + 1e-4), 0, 1)
 
 

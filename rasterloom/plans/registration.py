@@ -127,15 +127,22 @@ def match(a: np.ndarray, b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.nd
     """(source index, reference index, confidence) of ratio-test matches, in blocks."""
     if not len(a) or not len(b):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    out = []
-    for k in range(0, len(a), 2048):
-        d = np.sqrt(np.maximum(0, (a[k: k + 2048] ** 2).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a[k: k + 2048] @ b.T))
+    out, (low_a, low_b) = [], (v.astype(np.float32) for v in (a, b))
+    norms = (low_b * low_b).sum(1) / 2
+    apart = lambda p, q: np.sqrt(((p - q) ** 2).sum(1))
+    for k in range(0, len(a), 1024):
+        mine, row = a[k: k + 1024], np.arange(min(1024, len(a) - k))
+        # Single precision finds the two nearest; their distances are taken in double.
+        d = norms - low_a[k: k + 1024] @ low_b.T
         one = d.argmin(1)
-        first = d[np.arange(len(d)), one]
+        first = apart(mine, b[one])
         if len(b) == 1:
-            keep, conf = np.ones(len(d), bool), 1 / (1 + first)
+            keep, conf = np.ones(len(mine), bool), 1 / (1 + first)
         else:
-            second = np.partition(d, 1, axis=1)[:, 1]
+            d[row, one] = np.inf
+            two = d.argmin(1)
+            second = apart(mine, b[two])
+            one, (first, second) = np.where(second < first, two, one), np.sort([first, second], axis=0)
             keep, conf = first < ratio * second, 1 - first / (second + 1e-8)
         out.append((np.flatnonzero(keep) + k, one[keep], conf[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -145,6 +152,25 @@ def match(a: np.ndarray, b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.nd
 MATCHERS = {"bf": match}
 
 
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Zero-mean normalised correlations of patches a (k, p, p) with all windows of that size in b (k, q, q): (k, q - p + 1, q - p + 1)."""
+    size, n = a.shape[1], b.shape[1] - a.shape[1] + 1
+    a = a - a.mean((1, 2), keepdims=True)
+    b = b - b.mean((1, 2), keepdims=True)
+    sums = []
+    for v in (b, b * b):
+        v = np.pad(v.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        sums.append(v[:, size:, size:] - v[:, :-size, size:] - v[:, size:, :-size] + v[:, :-size, :-size])
+    spread = np.sqrt(np.maximum(sums[1] - sums[0] ** 2 / size**2, 0))
+    out = np.empty((len(a), n, n))
+    flat = a.reshape(len(a), 1, -1)
+    for dy in range(n):
+        # The n windows of one row of offsets as columns: one product a patch.
+        windows = np.lib.stride_tricks.sliding_window_view(b[:, dy: dy + size], size, axis=2)
+        out[:, dy] = np.matmul(flat, np.ascontiguousarray(windows.transpose(0, 1, 3, 2)).reshape(len(a), -1, n))[:, 0]
+    return out / (np.sqrt((a * a).sum((1, 2)))[:, None, None] * spread + 1e-12)
+
+
 def refine(source: np.ndarray, reference: np.ndarray, src: np.ndarray, dst: np.ndarray, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept indexes, refined reference points, correlations)."""
     w, r, n = patch // 2, SEARCH, 2 * SEARCH + 1
@@ -152,20 +178,14 @@ def refine(source: np.ndarray, reference: np.ndarray, src: np.ndarray, dst: np.n
     inside = lambda x, y, m, img: (x >= m) & (y >= m) & (x + m < img.shape[1]) & (y + m < img.shape[0])
     at = np.flatnonzero(inside(sx, sy, w, source) & inside(rx, ry, w + r, reference))
     kept, points, scores = [np.zeros(0, int)], [np.zeros((0, 2))], [np.zeros(0)]
-    for k in range(0, len(at), 1000):
-        i = at[k: k + 1000]
+    for k in range(0, len(at), 256):
+        i = at[k: k + 256]
         near, far = np.arange(-w, w + 1), np.arange(-w - r, w + r + 1)
         a = source[sy[i, None, None] + near[:, None], sx[i, None, None] + near].astype(np.float64)
         b = reference[ry[i, None, None] + far[:, None], rx[i, None, None] + far].astype(np.float64)
         varied = (a.std((1, 2)) >= 1e-4) & (b.std((1, 2)) >= 1e-4)
         i, a, b = i[varied], a[varied], b[varied]
-        a -= a.mean((1, 2), keepdims=True)
-        size, ncc = np.sqrt((a * a).sum((1, 2))), np.zeros((len(i), n, n))
-        for dy in range(n):
-            for dx in range(n):
-                c = b[:, dy: dy + 2 * w + 1, dx: dx + 2 * w + 1]
-                spread = np.einsum("kij,kij->k", c, c) - c.sum((1, 2)) ** 2 / c[0].size if len(i) else np.zeros(0)
-                ncc[:, dy, dx] = np.einsum("kij,kij->k", a, c) / (size * np.sqrt(np.maximum(spread, 0)) + 1e-12)
+        ncc = correlations(a, b)
         py, px = np.unravel_index(ncc.reshape(len(i), -1).argmax(1), (n, n))
         row = np.arange(len(i))
         peak, step = ncc[row, py, px], []
@@ -225,9 +245,10 @@ def assess(warped: np.ndarray, reference: np.ndarray, inliers: int, matches: int
     def soft(x: np.ndarray) -> np.ndarray:
         from ..operators.stencil import gaussian
 
-        for axis in (0, 1):
-            p = np.pad(x, [(5, 5) if k == axis else (0, 0) for k in (0, 1)], mode="reflect")
-            x = sum(g * np.take(p, range(i, i + x.shape[axis]), axis) for i, g in enumerate(gaussian(11, 1.5)))
+        k = gaussian(11, 1.5)
+        p = np.pad(x, 5, mode="reflect")
+        p = sum(g * p[:, i: i + x.shape[1]] for i, g in enumerate(k))
+        x = sum(g * p[i: i + x.shape[0]] for i, g in enumerate(k))
         return x
 
     ma, mb = soft(a), soft(b)
