@@ -50,21 +50,25 @@ def clahe_tables(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8
 
 
 def clahe(px: DataFrame, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> DataFrame:
-    """Contrast-limited equalisation: pixels are stretched to 0..255, and blended between the tables of the four nearest cells.
-    Blends are rounded to 1e-6 first, so that the order of the sum decides nothing."""
+    """Contrast-limited equalisation: pixels are stretched to 0..255, and blended between the tables of the four nearest cells. Pixels meet their four tables in one join by the
+    square between the cells' middles, of which an image has (rows + 1) x (columns + 1). Blends are rounded to 1e-6 first, so that the order of the sum decides nothing."""
     px = contrast_to_u8(px)
-    tables = clahe_tables(px, clip, grid)
-
-    def corner(at: str, size: str, n: int) -> list[Column]:
-        f = F.col(at) * n / F.col(size) - 0.5
-        low = F.floor(f)
-        bound = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
-        return [F.array(F.struct(bound(low).alias("t"), (1 - (f - low)).alias("w")), F.struct(bound(low + 1).alias("t"), (f - low).alias("w")))]
-
-    (ys,), (xs,) = corner("y", "height", grid[0]), corner("x", "width", grid[1])
-    parts = stencil.with_extents(px).withColumn("a", F.explode(ys)).withColumn("b", F.explode(xs))
-    parts = parts.select("image", "y", "x", "v", F.col("a.t").alias("ty"), F.col("b.t").alias("tx"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    return parts.join(tables, ["image", "ty", "tx", "v"]).groupBy("image", "y", "x").agg(F.rint(F.round(F.sum(F.col("w") * F.col("mapped")), 6)).alias("v"))
+    luts = clahe_tables(px, clip, grid).groupBy("image", "ty", "tx").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "mapped"))), lambda p: p["mapped"]).alias("lut"))
+
+    def squares(at: str, n: int) -> Column:
+        # Square k lies between cells k and k + 1, cut to the grid; a cell is the first or the second of a square's two.
+        ends = [F.when(F.col(at) == 0, F.struct(F.lit(-1).cast("long").alias("q"), F.lit(0).alias("end"))), F.struct((F.col(at) - 1).alias("q"), F.lit(1).alias("end")), F.struct(F.col(at).alias("q"), F.lit(0).alias("end")), F.when(F.col(at) == n - 1, F.struct(F.col(at).alias("q"), F.lit(1).alias("end")))]
+        return F.explode(F.array_compact(F.array(*ends)))
+
+    near = luts.withColumn("a", squares("ty", grid[0])).withColumn("b", squares("tx", grid[1]))
+    corner = lambda i, j: F.max(F.when((F.col("a.end") == i) & (F.col("b.end") == j), F.col("lut"))).alias(f"l{i}{j}")
+    near = near.groupBy("image", F.col("a.q").alias("qy"), F.col("b.q").alias("qx")).agg(*[corner(i, j) for i in (0, 1) for j in (0, 1)])
+    place = lambda at, size, n: F.col(at) * n / F.col(size) - 0.5
+    fy, fx = place("y", "height", grid[0]), place("x", "width", grid[1])
+    parts = stencil.with_extents(px).select("image", "y", "x", F.col("v").cast("int").alias("k"), F.floor(fy).alias("qy"), F.floor(fx).alias("qx"), (fy - F.floor(fy)).alias("wy"), (fx - F.floor(fx)).alias("wx"))
+    wy, wx, value = F.col("wy"), F.col("wx"), lambda i, j: F.get(f"l{i}{j}", F.col("k"))
+    blend = (1 - wy) * (1 - wx) * value(0, 0) + (1 - wy) * wx * value(0, 1) + wy * (1 - wx) * value(1, 0) + wy * wx * value(1, 1)
+    return parts.join(near, ["image", "qy", "qx"]).select("image", "y", "x", F.rint(F.round(blend, 6)).alias("v"))
 
 
 def sun_ramp(px: DataFrame, degrees: float, axis: str = "x") -> DataFrame:

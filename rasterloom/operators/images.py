@@ -2,57 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip
 from . import stencil
 
 BICUBIC = -0.75
+#: First and last neighbour, from the floor (nearest: from the rounded place), that a method reads along an axis.
+REACH = {"nearest": (0, 0), "bilinear": (0, 1), "bicubic": (-1, 2), "lanczos": (-3, 4)}
+BLOCK = 256
 
 
-def _taps(f: Column, method: str) -> list[tuple[int, Column]]:
-    """(offset from the floor, weight) along one axis for a fractional part f. Lanczos weights are to be divided by their sum."""
+def _weights(f: np.ndarray, method: str) -> list[np.ndarray]:
+    """Weights of the neighbours along one axis for fractional parts f; their sum is 1."""
     if method == "nearest":
-        return [(0, F.lit(1.0))]
+        return [np.ones_like(f)]
     if method == "bilinear":
-        return [(0, 1 - f), (1, f)]
+        return [1 - f, f]
     if method == "bicubic":
         a = BICUBIC
         near = lambda t: ((a + 2) * t - (a + 3)) * t * t + 1
         far = lambda t: ((a * t - 5 * a) * t + 8 * a) * t - 4 * a
-        return [(-1, far(f + 1)), (0, near(f)), (1, near(1 - f)), (2, far(2 - f))]
-    if method == "lanczos":
-        import math
-
-        def sinc(t: Column) -> Column:
-            return F.when(F.abs(t) < 1e-9, 1.0).otherwise(F.sin(math.pi * t) / (math.pi * t))
-
-        return [(k, F.when(F.abs(f - k) < 4, sinc(f - k) * sinc((f - k) / 4)).otherwise(0.0)) for k in range(-3, 5)]
-    raise ValueError(f"unknown interpolation {method!r}")
-
-
-def warp(px: DataFrame, m: Sequence[float], height: int, width: int, method: str = "bilinear", border: float = 0.0, parts: int | None = None) -> DataFrame:
-    """px resampled on a height x width grid by the matrix m (9 numbers, source to output): every output pixel looks up its source place. Neighbours outside the image have the value ``border``.
-    The grid is made row by row on the executors; neighbours are found by an equi-join on the pixel's place."""
-    import numpy as np
-
-    i = np.linalg.inv(np.array(m, float).reshape(3, 3)).ravel().tolist()
-    grid = px.select("image").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
-    w = i[6] * F.col("x") + i[7] * F.col("y") + i[8]
-    # Places are rounded to 1e-9 of a pixel, so that exact places stay exact.
-    grid = grid.withColumns({"u": F.round((i[0] * F.col("x") + i[1] * F.col("y") + i[2]) / w, 9), "v0": F.round((i[3] * F.col("x") + i[4] * F.col("y") + i[5]) / w, 9)})
-    base = F.rint if method == "nearest" else F.floor
-    grid = grid.withColumns({"bx": base("u").cast("long"), "by": base("v0").cast("long")}).withColumns({"fx": F.col("u") - F.col("bx"), "fy": F.col("v0") - F.col("by")})
-    for axis, f in (("wy", "fy"), ("wx", "fx")):
-        grid = grid.withColumn(axis, F.array(*[w.cast("double") for _, w in _taps(F.col(f), method)]))
-    low = min(k for k, _ in _taps(F.lit(0.0), method))
-    asked = grid.select("image", "y", "x", "bx", "by", "wx", F.posexplode_outer("wy").alias("j", "vy")).select("image", "y", "x", "bx", "by", "j", "vy", F.posexplode_outer("wx").alias("i", "vx"))
-    asked = asked.select("image", "y", "x", (F.col("by") + F.col("j") + low).alias("sy"), (F.col("bx") + F.col("i") + low).alias("sx"), (F.col("vy") * F.col("vx")).alias("w"))
-    found = asked.join(px.select("image", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["image", "sy", "sx"], "left")
-    total = F.sum(F.col("w") * F.coalesce("v", F.lit(float(border))))
-    return found.groupBy("image", "y", "x").agg((total / F.sum("w") if method == "lanczos" else total).alias("v"))
+        return [far(f + 1), near(f), near(1 - f), far(2 - f)]
+    t = [f - k for k in range(-3, 5)]
+    w = [np.where(np.abs(x) < 4, np.sinc(x) * np.sinc(x / 4), 0) for x in t]
+    return [x / sum(w) for x in w]
+
+
+def sources_of(inverse: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(column, row) in the source of output pixels, rounded to 1e-9 of a pixel, so that exact places stay exact; places without one lie far outside."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = inverse[2, 0] * x + inverse[2, 1] * y + inverse[2, 2]
+        out = [np.round((inverse[k, 0] * x + inverse[k, 1] * y + inverse[k, 2]) / w, 9) for k in (0, 1)]
+    return tuple(np.clip(np.nan_to_num(c, nan=-1e15), -1e15, 1e15) for c in out)
+
+
+def bases(u: np.ndarray, v: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.rint if method == "nearest" else np.floor
+    return whole(u).astype(np.int64), whole(v).astype(np.int64)
+
+
+def resample(img: np.ndarray, u: np.ndarray, v: np.ndarray, method: str = "bilinear", border: float = 0.0) -> np.ndarray:
+    """Values of img at columns u and rows v; neighbours outside are ``border``."""
+    low, high = REACH[method]
+    room = high - low + 1
+    padded = np.pad(img.astype(np.float64), room, constant_values=border)
+    bx, by = bases(u, v, method)
+    across = [(wx, np.clip(bx + low + i + room, 0, padded.shape[1] - 1)) for i, wx in enumerate(_weights(u - bx, method))]
+    total, flat = np.zeros(u.shape), padded.ravel()
+    for j, wy in enumerate(_weights(v - by, method)):
+        row = np.clip(by + low + j + room, 0, padded.shape[0] - 1) * padded.shape[1]
+        part = sum(wx * flat[row + at] for wx, at in across)
+        total += wy * part
+    return total
+
+
+def warp(px: DataFrame, m: Sequence[float], height: int, width: int, method: str = "bilinear", border: float = 0.0) -> DataFrame:
+    """px resampled on a height x width grid by the matrix m (9 numbers, source to output). Neighbours outside the image have the value ``border``.
+    Output tiles list the source blocks that their pixels touch, whatever the matrix; a pixel is sent to the tiles of its block, and each tile is resampled in one task. Tiles are smaller
+    where the source is denser, so that a tile's source stays near one block in size."""
+    if method not in REACH:
+        raise ValueError(f"unknown interpolation {method!r}")
+    inverse, (low, high) = np.linalg.inv(np.array(m, float).reshape(3, 3)), REACH[method]
+    side = int(np.clip(BLOCK / max(1.0, np.sqrt(abs(np.linalg.det(inverse[:2, :2]))) / abs(inverse[2, 2])), 16, BLOCK))
+    kind = dict(px.dtypes)["image"]
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // side).cast("long"))
+    tiles = px.select("image").distinct().withColumn("ty", F.explode(upto(height))).withColumn("tx", F.explode(upto(width)))
+
+    def grid(ty: int, tx: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.mgrid[ty * side: min(ty * side + side, height), tx * side: min(tx * side + side, width)]
+
+    def touched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for image, ty, tx in pdf.itertuples(index=False):
+                bx, by = bases(*sources_of(inverse, *grid(ty, tx)), method)
+                at = np.unique(np.concatenate([np.column_stack([(by + j).ravel() // BLOCK, (bx + i).ravel() // BLOCK]) for j in (low, high) for i in (low, high)]), axis=0)
+                yield pd.DataFrame({"image": image, "ty": ty, "tx": tx, "sy": at[:, 0], "sx": at[:, 1]})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = grid(key[1], key[2])
+        found = pdf.dropna(subset=["y"])
+        if found.empty:
+            v = np.full(y.shape, float(border))
+        else:
+            sy, sx = found["y"].to_numpy(np.int64), found["x"].to_numpy(np.int64)
+            img = np.full((sy.max() - sy.min() + 1, sx.max() - sx.min() + 1), float(border))
+            img[sy - sy.min(), sx - sx.min()] = found["v"]
+            u, w = sources_of(inverse, y, x)
+            v = resample(img, u - sx.min(), w - sy.min(), method, border)
+        return pd.DataFrame({"image": key[0], "y": y.ravel(), "x": x.ravel(), "v": v.ravel()})
+
+    needed = tiles.mapInPandas(touched, f"image {kind}, ty long, tx long, sy long, sx long")
+    blocks = px.select("image", F.floor(F.col("y") / BLOCK).alias("sy"), F.floor(F.col("x") / BLOCK).alias("sx"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("v").cast("double").alias("v"))
+    sent = blocks.join(needed, ["image", "sy", "sx"]).select("image", "ty", "tx", "y", "x", "v")
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("y", "x", "v")]
+    return sent.unionAll(tiles.select("image", "ty", "tx", *nothing)).groupBy("image", "ty", "tx").applyInPandas(run, f"image {kind}, y long, x long, v double")
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -116,25 +164,61 @@ def nmi(values: DataFrame, bins: int = 32) -> DataFrame:
 # Refinement by correlation
 
 
+def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Zero-mean normalised correlations of patches a (k, p, p) with all windows of that size in b (k, q, q): (k, q - p + 1, q - p + 1); 0 for flat windows."""
+    size, n = a.shape[1], b.shape[1] - a.shape[1] + 1
+    a = a - a.mean((1, 2), keepdims=True)
+    b = b - b.mean((1, 2), keepdims=True)
+    sums = []
+    for v in (b, b * b):
+        v = np.pad(v.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        sums.append(v[:, size:, size:] - v[:, :-size, size:] - v[:, size:, :-size] + v[:, :-size, :-size])
+    spread = sums[1] - sums[0] ** 2 / size**2
+    # What is left of a flat window is the rounding of the running sums.
+    spread = np.sqrt(np.where(spread > 1e-12 * (b * b).sum((1, 2))[:, None, None], spread, np.inf))
+    out = np.empty((len(a), n, n))
+    flat = a.reshape(len(a), 1, -1)
+    for dy in range(n):
+        # The n windows of one row of offsets as columns: one product a patch.
+        windows = np.lib.stride_tricks.sliding_window_view(b[:, dy: dy + size], size, axis=2)
+        out[:, dy] = np.matmul(flat, np.ascontiguousarray(windows.transpose(0, 1, 3, 2)).reshape(len(a), -1, n))[:, 0]
+    return out / (np.sqrt((a * a).sum((1, 2)))[:, None, None] * spread + 1e-12)
+
+
+def _patches(px: DataFrame, at: DataFrame, x: str, y: str, radius: int, name: str) -> DataFrame:
+    """(image, idx, name): the values around each place as one array, row by row."""
+    span = F.sequence(F.lit(-radius), F.lit(radius))
+    asked = at.select("image", "idx", x, F.explode(F.transform(span, lambda k: F.col(y) + k)).alias("y")).select("image", "idx", "y", F.explode(F.transform(span, lambda k: F.col(x) + k)).alias("x"))
+    found = asked.join(px.select("image", "y", "x", F.col("v").cast("double").alias("v")), ["image", "y", "x"])
+    return found.groupBy("image", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias(name))
+
+
 def ncc_map(source: DataFrame, reference: DataFrame, matches: DataFrame, patch: int = 21, search: int = 3) -> DataFrame:
-    """(match columns, ix, iy, dy, dx, ncc): zero-mean normalised correlation of each match's source patch with the reference at offsets -search..search around the rounded places.
-    Matches whose patch or window leaves the image, or is flat (deviation under 1e-4), drop out. Pixels are joined on their places, and each offset is one group."""
+    """(match columns, ix, iy, jx, jy, dy, dx, ncc): zero-mean normalised correlation of each match's source patch with the reference at offsets -search..search around the rounded places.
+    Matches whose patch or window leaves the image, or is flat (deviation under 1e-4), drop out. Each patch and each window is cut once, and correlated in batches."""
     half = patch // 2
     cols = matches.columns
     m = matches.withColumns({"ix": F.rint("sx").cast("long"), "iy": F.rint("sy").cast("long"), "jx": F.rint("rx").cast("long"), "jy": F.rint("ry").cast("long")})
-    inside = lambda df, x, y, r: df.join(stencil.extents(df_of[x]), "image").where((F.col(x) >= r) & (F.col(x) < F.col("width") - r) & (F.col(y) >= r) & (F.col(y) < F.col("height") - r)).drop("height", "width")
-    df_of = {"ix": source, "jx": reference}
-    m = inside(inside(m, "ix", "iy", half), "jx", "jy", half + search)
-    span = lambda r: F.sequence(F.lit(-r), F.lit(r))
+    for px, x, y, r in ((source, "ix", "iy", half), (reference, "jx", "jy", half + search)):
+        m = m.join(stencil.extents(px), "image").where((F.col(x) >= r) & (F.col(x) < F.col("width") - r) & (F.col(y) >= r) & (F.col(y) < F.col("height") - r)).drop("height", "width")
+    m = m.select(*cols, "ix", "iy", "jx", "jy")
+    cut = m.join(_patches(source, m, "ix", "iy", half, "_a"), ["image", "idx"]).join(_patches(reference, m, "jx", "jy", half + search, "_b"), ["image", "idx"])
+    p, q, n = 2 * half + 1, 2 * (half + search) + 1, 2 * search + 1
+    cut = cut.where((F.size("_a") == p * p) & (F.size("_b") == q * q))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 256):
+                part = pdf.iloc[k: k + 256]
+                a, b = np.stack(part["_a"].to_numpy()).reshape(-1, p, p), np.stack(part["_b"].to_numpy()).reshape(-1, q, q)
+                varied = (a.std((1, 2)) >= 1e-4) & (b.std((1, 2)) >= 1e-4)
+                part, ncc = part[varied].drop(columns=["_a", "_b"]), correlations(a[varied], b[varied])
+                dy, dx = np.mgrid[-search: search + 1, -search: search + 1]
+                yield part.loc[part.index.repeat(n * n)].assign(dy=np.tile(dy.ravel(), len(part)), dx=np.tile(dx.ravel(), len(part)), ncc=ncc.ravel())
+
     key = [*cols, "ix", "iy", "jx", "jy"]
-    a = m.withColumn("py", F.explode(span(half))).withColumn("px", F.explode(span(half))).withColumns({"y": F.col("iy") + F.col("py"), "x": F.col("ix") + F.col("px")})
-    a = a.join(source.select("image", "y", "x", F.col("v").alias("a")), ["image", "y", "x"]).drop("y", "x")
-    flat = m.withColumn("wy", F.explode(span(half + search))).withColumn("wx", F.explode(span(half + search))).withColumns({"y": F.col("jy") + F.col("wy"), "x": F.col("jx") + F.col("wx")})
-    flat = flat.join(reference.select("image", "y", "x", "v"), ["image", "y", "x"]).groupBy("image", "idx").agg(F.stddev_pop("v").alias("s")).where("s >= 1e-4").select("image", "idx")
-    b = a.join(flat, ["image", "idx"], "left_semi").withColumn("dy", F.explode(span(search))).withColumn("dx", F.explode(span(search))).withColumns({"y": F.col("jy") + F.col("py") + F.col("dy"), "x": F.col("jx") + F.col("px") + F.col("dx")})
-    b = b.join(reference.select("image", "y", "x", F.col("v").alias("b")), ["image", "y", "x"])
-    agg = b.groupBy(*key, "dy", "dx").agg(F.stddev_pop("a").alias("sa"), F.covar_pop("a", "b").alias("c"), F.stddev_pop("b").alias("sb")).where("sa >= 1e-4")
-    return agg.select(*key, "dy", "dx", F.when(F.col("sb") > 0, F.col("c") / (F.col("sa") * F.col("sb"))).otherwise(0.0).alias("ncc"))
+    types = dict(m.dtypes)
+    return cut.select(*key, "_a", "_b").mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in key) + ", dy int, dx int, ncc double")
 
 
 def refine(maps: DataFrame, least: float = 0.7, search: int = 3) -> DataFrame:

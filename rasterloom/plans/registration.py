@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..operators.features import blur, detector
+from ..operators.images import correlations, resample, sources_of
 from ..operators.illumination import phase_congruency_array
 from ..operators.points import affine_array, distances, homography_array, reject_array
 from .config import RegistrationConfig
@@ -152,25 +153,6 @@ def match(a: np.ndarray, b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.nd
 MATCHERS = {"bf": match}
 
 
-def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Zero-mean normalised correlations of patches a (k, p, p) with all windows of that size in b (k, q, q): (k, q - p + 1, q - p + 1)."""
-    size, n = a.shape[1], b.shape[1] - a.shape[1] + 1
-    a = a - a.mean((1, 2), keepdims=True)
-    b = b - b.mean((1, 2), keepdims=True)
-    sums = []
-    for v in (b, b * b):
-        v = np.pad(v.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
-        sums.append(v[:, size:, size:] - v[:, :-size, size:] - v[:, size:, :-size] + v[:, :-size, :-size])
-    spread = np.sqrt(np.maximum(sums[1] - sums[0] ** 2 / size**2, 0))
-    out = np.empty((len(a), n, n))
-    flat = a.reshape(len(a), 1, -1)
-    for dy in range(n):
-        # The n windows of one row of offsets as columns: one product a patch.
-        windows = np.lib.stride_tricks.sliding_window_view(b[:, dy: dy + size], size, axis=2)
-        out[:, dy] = np.matmul(flat, np.ascontiguousarray(windows.transpose(0, 1, 3, 2)).reshape(len(a), -1, n))[:, 0]
-    return out / (np.sqrt((a * a).sum((1, 2)))[:, None, None] * spread + 1e-12)
-
-
 def refine(source: np.ndarray, reference: np.ndarray, src: np.ndarray, dst: np.ndarray, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kept indexes, refined reference points, correlations)."""
     w, r, n = patch // 2, SEARCH, 2 * SEARCH + 1
@@ -204,32 +186,13 @@ def refine(source: np.ndarray, reference: np.ndarray, src: np.ndarray, dst: np.n
 def warp(img: np.ndarray, m: np.ndarray, shape: tuple[int, int], method: str = "bilinear", border: float = 0.0) -> np.ndarray:
     """img on a grid of ``shape`` by the inverse of m, in bands of rows."""
     inverse, out = np.linalg.inv(m), np.empty(shape)
-    taps = {"nearest": (0, 1), "bilinear": (0, 2), "bicubic": (-1, 3), "lanczos": (-3, 5)}[method]
-    padded = np.pad(img.astype(np.float64), 8, constant_values=border)
-
-    def weights(f: np.ndarray) -> list[np.ndarray]:
-        if method == "nearest":
-            return [np.ones_like(f)]
-        if method == "bilinear":
-            return [1 - f, f]
-        d = [np.abs(f - k) for k in range(*taps)]
-        if method == "bicubic":
-            return [np.where(t <= 1, ((1.25 * t - 2.25) * t) * t + 1, ((-0.75 * t + 3.75) * t - 6) * t + 3) for t in d]
-        w = [np.where(t < 4, np.sinc(t) * np.sinc(t / 4), 0) for t in d]
-        return [x / sum(w) for x in w]
-
-    for k in range(0, shape[0], 256):
-        y, x = np.mgrid[k: min(k + 256, shape[0]), : shape[1]]
-        p = inverse @ np.stack([x.ravel(), y.ravel(), np.ones(x.size)])
-        u, v = (np.round(c / p[2], 9).reshape(x.shape) for c in p[:2])
-        base = np.rint if method == "nearest" else np.floor
-        bx, by = base(u), base(v)
-        total = np.zeros(x.shape)
-        for dy, wy in zip(range(*taps), weights(v - by)):
-            for dx, wx in zip(range(*taps), weights(u - bx)):
-                iy, ix = np.clip(by + dy + 8, 0, padded.shape[0] - 1).astype(int), np.clip(bx + dx + 8, 0, padded.shape[1] - 1).astype(int)
-                total += wy * wx * padded[iy, ix]
-        out[k: k + 256] = total
+    for k in range(0, shape[0], 64):
+        y, x = np.mgrid[k: min(k + 64, shape[0]), : shape[1]]
+        u, v = sources_of(inverse, y, x)
+        # Only the rows that the band reads.
+        low = int(np.clip(v.min() - 8, 0, img.shape[0] - 1))
+        high = int(np.clip(v.max() + 9, low + 1, img.shape[0]))
+        out[k: k + 64] = resample(img[low:high], u, v - low, method, border)
     return out
 
 
