@@ -106,10 +106,26 @@ def half(px: DataFrame) -> DataFrame:
     return blurred.groupBy("image", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.avg("v").alias("v"))
 
 
-def pyramid(px: DataFrame, levels: int = 4) -> DataFrame:
-    """(level, scale, image, y, x, v); values are cut to whole numbers at each level, as in an integer raster."""
+def shrink(px: DataFrame, factor: float) -> DataFrame:
+    """One pyramid step of any factor below 1: a blur of sigma 1 / (2 factor), then means over each output pixel's area. A pixel lies in one or two output rows and columns; its shares
+    are exact fractions of the sizes."""
+    sigma = 1 / (2 * factor)
+    px = separable(with_extents(px), ["v"], gaussian(2 * max(1, math.ceil(3.5 * sigma)) + 1, sigma))
+
+    def shares(at: str, size: str) -> Column:
+        n, size = F.greatest(F.rint(F.col(size) * factor).cast("long"), F.lit(1)), F.col(size)
+        first = F.floor(F.col(at) * n / size)
+        inside = lambda k: (F.least((F.col(at) + 1) * n, (first + k + 1) * size) - F.greatest(F.col(at) * n, (first + k) * size)) / size
+        return F.explode(F.filter(F.array(*[F.struct((first + k).alias("at"), inside(k).alias("w")) for k in (0, 1)]), lambda p: p["w"] > 0))
+
+    parts = px.withColumn("a", shares("y", "height")).withColumn("b", shares("x", "width"))
+    return parts.groupBy("image", F.col("a.at").alias("y"), F.col("b.at").alias("x")).agg(F.sum(F.col("a.w") * F.col("b.w") * F.col("v")).alias("v"))
+
+
+def pyramid(px: DataFrame, levels: int = 4, factor: float = 0.5) -> DataFrame:
+    """(level, scale, image, y, x, v); values are cut to whole numbers at each level, as in an integer raster (after rounding to 1e-6, so that the order of sums decides nothing)."""
     at, out = px, px.select(F.lit(0).alias("level"), F.lit(1.0).alias("scale"), "image", "y", "x", "v")
     for k in range(1, levels):
-        at = half(at).withColumn("v", F.floor(F.col("v")).cast("double"))
-        out = out.unionByName(at.select(F.lit(k).alias("level"), F.lit(0.5**k).alias("scale"), "image", "y", "x", "v"))
+        at = (half(at) if factor == 0.5 else shrink(at, factor)).withColumn("v", F.floor(F.round("v", 6)).cast("double"))
+        out = out.unionByName(at.select(F.lit(k).alias("level"), F.lit(factor**k).alias("scale"), "image", "y", "x", "v"))
     return out

@@ -244,6 +244,18 @@ def pyramid_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(stencil.half(t.raster(spark, sf_dir)))
 
 
+def _sql_shares(at: str, size: str, name: str) -> str:
+    """name(at, i, wt): the parts of rows or columns in those of a raster of 0.6 times the size."""
+    parts = f"SELECT {at}, {size} AS size, {at} * n AS lo, ({at} + 1) * n AS hi, {at} * n // {size} + k AS i FROM (SELECT DISTINCT {at} FROM ras) p, (SELECT {size}, greatest(1, CAST(round_even({size} * 0.6, 0) AS BIGINT)) AS n FROM ext) e, (VALUES (0), (1)) o(k)"
+    return f"{name} AS (SELECT {at}, i, (least(hi, (i + 1) * size) - greatest(lo, i * size)) / size AS wt FROM ({parts}) z WHERE least(hi, (i + 1) * size) > greatest(lo, i * size))"
+
+
+@query(f"""WITH {t.SQL_RASTER}, {t.sql_separable('ras', 'g', ['v'], stencil.gaussian(7, 1 / 1.2))}, {_sql_shares('y', 'h', 'sy')}, {_sql_shares('x', 'w', 'sx')}
+SELECT sy.i AS y, sx.i AS x, {R6('sum(sy.wt * sx.wt * v)')} AS v FROM g JOIN sy ON g.y = sy.y JOIN sx ON g.x = sx.x GROUP BY 1, 2""")
+def pyramid_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(stencil.shrink(t.raster(spark, sf_dir), 0.6))
+
+
 @query(f"""WITH {t.SQL_RASTER}, c AS (SELECT v, count(*) AS c FROM ras GROUP BY 1), r AS (SELECT v, sum(c) OVER (ORDER BY v) AS cdf FROM c), f AS (SELECT min(cdf) AS base, max(cdf) AS n FROM r)
 SELECT y, x, CASE WHEN n > base THEN round_even((cdf - base) * 255.0::DOUBLE / (n - base), 0) ELSE ras.v END AS v FROM ras JOIN r ON ras.v = r.v, f""")
 def hist_equalize(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,27 @@ def test_pyramid_sizes(spark, img):
     assert {(r.level, r["max(y)"] + 1, r["max(x)"] + 1) for r in levels} == {(0, 40, 52), (1, 20, 26), (2, 10, 13), (3, 5, 6)}
 
 
+def test_pyramid_of_another_factor_equals_arrays(spark, img):
+    from rasterloom.plans.registration import pyramid
+
+    got = stencil.pyramid(frame(spark, img), 3, 0.6)
+    wanted, scales = pyramid(np.asarray(img, float), 3, 0.6)
+    for k, level in enumerate(wanted):
+        mine = got.where(f"level = {k}")
+        assert mine.first().scale == scales[k] and mine.count() == level.size
+        # A sum that is whole but for rounding may be cut to either side.
+        values = array(mine, level.shape)
+        assert np.abs(values - level).max() <= 1 and (values == level).mean() > 0.99
+
+
+def test_warp_of_any_footprint(spark):
+    """Tiles whose source is outside, denser, or behind the horizon of a projective matrix."""
+    big = np.random.default_rng(4).integers(0, 255, (300, 520)).astype(float)
+    for m in ([0.3, 0.02, -20.0, -0.01, 0.25, 9.0, 0.0, 0.0, 1.0], [1.0, 0.1, 400.0, 0.0, 1.0, -90.0, 0.0, 0.0, 1.0], [0.9, 0.1, 5.0, 0.05, 1.1, -3.0, 0.002, 0.001, 1.0]):
+        got = array(images.warp(frame(spark, big), m, 290, 300, "bicubic", 3.0), (290, 300))
+        np.testing.assert_allclose(got, registration.warp(big, np.array(m).reshape(3, 3), (290, 300), "bicubic", 3.0), atol=1e-6)
+
+
 def test_robust_fits(spark):
     rng = np.random.default_rng(3)
     src = rng.uniform(0, 500, (200, 2))
