@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .storage import release_memory, releasing
+from .storage import quoted, release_memory, releasing
 
 UNKNOWN = "und"
 #: Bytes whose n-grams are looked up at once.
@@ -135,22 +135,25 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _with_found(docs: DataFrame, model: LanguageFilter) -> DataFrame:
-    """docs and _found, struct<lang_pred, score, judged>."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _with_found(docs: DataFrame, model: LanguageFilter) -> tuple[DataFrame, str]:
+    """docs with one more column, struct<lang_pred, score, judged>, and its name, which no column of docs has."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), "_found"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             yield pd.DataFrame([(*shared.value.predict(t), can_judge(t)) for t in s], columns=["lang_pred", "score", "judged"])
         release_memory()
 
-    return docs.withColumn("_found", F.pandas_udf(run, "lang_pred string, score double, judged boolean")(F.col("text").cast("string")))
+    return docs.withColumn(name, F.pandas_udf(run, "lang_pred string, score double, judged boolean")(F.col("text").cast("string"))), name
 
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """docs, all columns, with lang_pred and score (double, 0 to 1) of their text. No letter or null: ``und``, 0. Columns of those names are replaced."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return _with_found(docs.select(*kept), model).select(*kept, "_found.lang_pred", "_found.score")
+    found, at = _with_found(docs.select(*map(quoted, kept)), model)
+    return found.select(*map(quoted, kept), f"{at}.lang_pred", f"{at}.score")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -166,5 +169,5 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.2, **options) -> DataFrame:
     """docs without those whose language is ``und`` or scores under ``least``; texts with letters but too short to judge stay. docs' columns."""
     model = fit(docs.where(~held_out()).where("doc_id is not null"), **options)
-    found = _with_found(docs, model)
-    return found.where((F.col("_found.lang_pred") != UNKNOWN) & ((F.col("_found.score") >= least) | ~F.col("_found.judged"))).select(*docs.columns)
+    found, at = _with_found(docs, model)
+    return found.where((F.col(f"{at}.lang_pred") != UNKNOWN) & ((F.col(f"{at}.score") >= least) | ~F.col(f"{at}.judged"))).select(*map(quoted, docs.columns))

@@ -363,6 +363,52 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def languages_by_hand(learn: list[tuple[str, str]], texts: list[str | None], grams: int) -> list[tuple[str, float]]:
+    """(language, share of its n-grams) with exact sets in place of the filters."""
+
+    def found(text: str) -> list[bytes]:
+        data = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()) + b" "
+        every = [data[k: k + 4] for k in range(len(data) - 3)] or [data.ljust(4)]
+        return [g for g in every if b"  " not in g] or every[:1]
+
+    counts: dict[str, Counter] = {}
+    for text, lang in learn:
+        if any(c.isalpha() for c in text):
+            counts.setdefault(lang, Counter()).update(set(found(text)))
+    known = {lang: {g for _, g in sorted((-n, int.from_bytes(g, "little")) for g, n in c.items())[:grams]} for lang, c in sorted(counts.items())}
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        own = [int.from_bytes(g, "little") for g in found(text)]
+        out.append(max(((lang, sum(g in s for g in own) / len(own)) for lang, s in known.items()), key=lambda v: v[1]))
+    return out
+
+
+def test_language_id_equals_exact_sets_and_knows_what_it_has_not_seen(spark):
+    """On all documents: the same languages as without false positives, scores within what the filters' chance hits can do, and nearly all held-out documents right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.orderBy("doc_id").collect()
+    held = {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    # Every language has fewer than 2000 documents here, so that all are learned from.
+    wanted = languages_by_hand([(r.text, r.lang) for r in rows if r.doc_id not in held and r.text is not None and r.lang is not None], [r.text for r in rows], 6000)
+    assert len(got) == len(rows) and {i for i in got if got[i].held_out} == held
+    for r, (lang, share) in zip(rows, wanted):
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - share) < 0.02
+    judged = [r for r in rows if r.doc_id in held and r.lang is not None and got[r.doc_id].lang_pred != "und"]
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in judged) >= 0.99 * len(judged) > 100
+
+
+def test_language_columns_of_any_name_come_back(spark):
+    rows = [(k, "the house and the garden of the street", "en", k, k + 1, k + 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _found long, _FOUND_ long, `a.b` long")
+    assert sorted(map(tuple, langid.keep_known(docs).collect())) == rows
+    found = langid.predict(docs, langid.fit(docs))
+    assert found.columns == [*docs.columns, "lang_pred", "score"] and sorted(r[3] for r in found.collect()) == list(range(40))
+
+
 def test_language_keeps_what_is_too_short_to_judge(spark):
     rows = [(k, f"the house and the garden number {k} of the street", "en") for k in range(60)] + [(100, "A.", "en"), (101, "b", "en"), (102, "qxz", "en"), (103, ".", "en"), (104, "", "en"), (105, None, "en")]
     rows = [(i, t, lang if i < 100 else None) for i, t, lang in rows]
