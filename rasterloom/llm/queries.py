@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, langid, linededup, packing, simhash, substrings, syncmers, tokenfiles, warc
+from . import bpe, embeddings, langid, linededup, packing, periods, prefixtrie, simhash, substrings, syncmers, tokenfiles, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_round_trip, op2_substring_dedup, op3_line_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_document_fingerprints, op7_token_counts, op8_byte_bpe, op9_simhash_near_dedup, op10_language_id)
-}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = prefixtrie.sequences(_table(spark, sf_dir, "conversations"))
+    return prefixtrie.prefix_trie(prefixtrie.with_shared_heads(conversations))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse_runs(periods.with_periodic_tails(_table(spark, sf_dir, "documents")), keep_spacing=False)
+    # The longest run; of equally long ones that with the smallest start, then period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    digest = lambda x: F.sha2(F.encode(x, "UTF-8"), 256)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        digest(lines).alias("runs_sha256"), digest(F.coalesce("text", F.lit(""))).alias("collapsed_sha256"),
+    )
+
+
+_ALL = (
+    op1_warc_round_trip, op2_substring_dedup, op3_line_dedup, op4_best_fit_packing, op5_embedding_near_dedup, op6_document_fingerprints, op7_token_counts,
+    op8_byte_bpe, op9_simhash_near_dedup, op10_language_id, op11_url_filter, op12_conversation_trie, op13_periodic_runs,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_round_trip": """
@@ -95,4 +121,17 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.
 reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY 1)
 SELECT a AS vec_id, coalesce(max(n_links), 0) AS n_links, min(b) AS component_id, a = min(b) AS kept FROM reach LEFT JOIN n USING (a) GROUP BY 1""",
+    "op12_conversation_trie": """
+WITH t AS (SELECT conv_id, turn, sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) || ':' || CAST(length(coalesce(text, '')) AS VARCHAR) AS e FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(e ORDER BY turn NULLS FIRST, e) AS s FROM t GROUP BY 1),
+h AS (SELECT conv_id, s, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, coalesce(b.s[1:h.h], []) || h.s[h.h + 1:] AS s FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, len(s) = d AS final, md5(array_to_string(s[1:d], ',')) || d AS node, CASE WHEN d > 0 THEN md5(array_to_string(s[1:d - 1], ',')) || (d - 1) END AS up, CASE WHEN d > 0 THEN CAST(split_part(s[d], ':', 2) AS BIGINT) ELSE 0 END AS size
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (final), '')) AS ends_sha256 FROM p GROUP BY 1),
+k AS (SELECT up, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.up),
+s AS (SELECT p.node, count(*) FILTER (f.n_children = 0) AS n_leaves, CAST(sum(f.own) AS BIGINT) AS saved_tokens FROM f JOIN p ON p.conv_id = f.conv_id AND p.d <= f.depth GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256 FROM f JOIN s ON s.node = f.node LEFT JOIN n u ON u.node = f.up""",
 }
