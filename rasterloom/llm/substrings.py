@@ -2,19 +2,21 @@
 
 A window has ``window`` words. Its method is fixed-block anchors: each document is cut into non-overlapping reference blocks of
 ``(window + 1) // 2`` words, so that every window holds exactly one whole block of its own document. All rolling word windows of that length probe the index of blocks. A
-block that is hit from elsewhere is an anchor, on both sides; every window through an anchor is a candidate. Hits are then extended: each candidate is compared in full length
-(two 64-bit hashes of its words), and what occurs twice is a repeat. Runs of repeated windows are the maximal exact repeats.
+block that is hit from elsewhere is an anchor, on both sides; every window through an anchor is a candidate. Hits are then extended: each candidate is compared in full length,
+by a 128-bit hash of all its words, and what occurs twice is a repeat. Runs of repeated windows are the maximal exact repeats.
 
 How it scales: documents are stored once, in runs of about ``chunk_bytes`` that bear a label. A run's probes leave as one sorted, delta-coded list without repetitions for each range of hashes (about 2 to 3 bytes
 a probe), so a passage that all documents share is one entry per run. A range's task finds the anchors and returns to each run those that it holds. Texts are never shuffled. What returns to
 a run lies in one file of the shared folder, named after the run; tasks that read the run open it, and fail if it isn't there. Writing such a file is atomic and its content depends on the input alone, so a repeated task does no harm.
 
-Windows are repeats where both hashes are equal: with n candidate windows the chance of any false repeat is about n**2 / 2**128, but for different words with equal 64-bit hashes.
+A word's hash is its 128-bit BLAKE2b, whose halves are joined along the window by two different functions. Both halves go with a candidate, come back to its run, and decide what is removed: with n candidate windows the chance of
+any false repeat is about n**2 / 2**128.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import uuid
 from collections.abc import Iterator
@@ -32,42 +34,35 @@ SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("
 #: Text hashed at once.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
-_STEP, _SECOND = _U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)
+#: Odd factors of the two halves of a window's hash: for what comes first, and for a hash that is added to others.
+_FACTORS = ((_U(0x9FB21C651E98DF25), _U(0xA0761D6478BD642F)), (_U(0xD6E8FEB86659FD93), _U(0xE7037ED1A0B428DB)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, bounds of each document's words) of documents that lie end to end in data, cut at bounds."""
-    solid = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[bounds] = True
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | edge[1:-1]
-    starts = np.flatnonzero(begins)
-    counts = np.searchsorted(starts, bounds)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    place = np.arange(len(data), dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))])
-    place[~solid] = 0
-    power = np.ones(int(place.max()) + 1, np.uint64)
-    power[1:] = _STEP
-    np.multiply.accumulate(power, out=power)
-    value = _BYTE[data] * power[place]
-    value[~solid] = 0
-    return _mix(np.add.reduceat(value, starts)), counts
-
-
-def rolling(words: np.ndarray, n: int, step: np.uint64 = _STEP) -> np.ndarray:
-    """The hash of the n words from each word on; near the end (fewer than n words left) it means nothing. step: an odd factor; another one gives another hash."""
-    total, at, run, factor, size, scale = np.zeros(len(words), np.uint64), 0, words, step, 1, _U(1)
+    """A bijection of 64-bit numbers, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> _U(shift)
+        x *= _U(factor)
+    x ^= x >> _U(31)
+    return x
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(halves of each word's 128-bit BLAKE2b, one row a half; bounds of each text's words). A word of a batch is hashed once."""
+    split = [t.split() for t in texts]
+    bounds = np.cumsum([0, *map(len, split)])
+    words = list(itertools.chain.from_iterable(split))
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(digests[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].T), bounds
+
+
+def rolling(halves: np.ndarray, n: int, half: int) -> np.ndarray:
+    """That half of the hash of the n words from each word on; near the end (fewer than n words left) it means nothing.
+
+    Hashes of 1, 2, 4, ... words are joined pair by pair, and mixed at each step, so that no arrangement of words cancels out as in a sum of powers."""
+    first, more = _FACTORS[half]
+    run, total, at, size = halves[half].copy(), None, 0, 1
 
     def shifted(x: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -75,17 +70,15 @@ def rolling(words: np.ndarray, n: int, step: np.uint64 = _STEP) -> np.ndarray:
             out[: len(x) - k] = x[k:]
         return out
 
-    with np.errstate(over="ignore"):  # scalars wrap like arrays
-        while n:
-            if n & 1:
-                total += scale * shifted(run, at)
-                at += size
-                scale = scale * factor
-            n >>= 1
-            if n:
-                run = run + factor * shifted(run, size)
-                factor = factor * factor
-                size *= 2
+    while n:
+        if n & 1:
+            part = shifted(run, at)
+            total = part if total is None else _mix(total * more ^ part)
+            at += size
+        n >>= 1
+        if n:
+            run = _mix(run * first ^ shifted(run, size))
+            size *= 2
     return _mix(total)
 
 
@@ -122,10 +115,9 @@ def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         k = end
 
 
-def _texts(batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the text column end to end, and each text's bounds; null: none."""
-    parts = [x.as_buffer() if x.is_valid else b"" for x in batch.column(text)]
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+def _texts(batch: pa.RecordBatch, text: int) -> list[bytes]:
+    """The bytes of the text column; null: none."""
+    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(text)]
 
 
 class Words:
@@ -133,31 +125,32 @@ class Words:
 
     def __init__(self, batch: pa.RecordBatch, text: int, window: int):
         self.window, self.block = window, (window + 1) // 2
-        self.hash, self.bounds = word_hashes(*_texts(batch, text))
+        self.hash, self.bounds = word_hashes(_texts(batch, text))
+        self.n = self.hash.shape[1]
         size = np.diff(self.bounds)
         doc = np.repeat(np.arange(len(size)), size)
-        self.place = np.arange(len(self.hash)) - self.bounds[:-1][doc]
+        self.place = np.arange(self.n) - self.bounds[:-1][doc]
         self.left = size[doc] - self.place  # words from here to the document's end
         self.long = size[doc] >= window
 
     def probes(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(places, hashes of ``bits`` bits, whether a reference block) of the rolling windows of block length."""
         at = np.flatnonzero((self.left >= self.block) & self.long)
-        return at, rolling(self.hash, self.block)[at] >> _U(64 - bits), self.place[at] % self.block == 0
+        return at, rolling(self.hash, self.block, 0)[at] >> _U(64 - bits), self.place[at] % self.block == 0
 
     def candidates(self, anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, hashes, second hashes) of the windows that hold an anchor; anchors: ascending hashes of ``bits`` bits."""
+        """(places, both halves of the hashes) of the windows that hold an anchor; anchors: ascending hashes of ``bits`` bits."""
         at, h, _ = self.probes(bits)
-        held = np.zeros(len(self.hash) + 1, np.int64)
+        held = np.zeros(self.n + 1, np.int64)
         held[at[_among(h.astype(np.int64), anchors)] + 1] = 1
         held = np.cumsum(held)
         place = np.flatnonzero(self.left >= self.window)
         place = place[held[place + self.window - self.block + 1] > held[place]]
-        return place, rolling(self.hash, self.window)[place], rolling(self.hash, self.window, _SECOND)[place]
+        return place, rolling(self.hash, self.window, 0)[place], rolling(self.hash, self.window, 1)[place]
 
     def covered(self, places: np.ndarray) -> np.ndarray:
         """Whether each word lies in a window that begins at one of the places."""
-        step = np.zeros(len(self.hash) + 1, np.int64)
+        step = np.zeros(self.n + 1, np.int64)
         step[places] += 1
         step[places + self.window] -= 1
         return np.cumsum(step)[:-1] > 0
@@ -171,6 +164,29 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
+def _pairs_among(h: np.ndarray, g: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each pair (h, g) is a row of known, which ascends by both columns."""
+    out = np.zeros(len(h), bool)
+    if not len(known):
+        return out
+    first, second = np.ascontiguousarray(known[:, 0]), known[:, 1]
+    at = np.searchsorted(first, h)
+    live = np.flatnonzero(at < len(first))
+    while len(live := live[first[at[live]] == h[live]]):  # more than once only where different windows share the first half
+        out[live] |= second[at[live]] == g[live]
+        at[live] += 1
+        live = live[at[live] < len(first)]
+    return out
+
+
+def _unique_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs in ascending order, each once, as two arrays; how often each is there)."""
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    return h[first], g[first], np.diff(np.append(first, len(h)))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], label: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(run's label, rows) in parts."""
     for b in batches:
@@ -266,8 +282,7 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def done() -> pa.RecordBatch:
-            keys, first, n = np.unique(np.concatenate([h for h, _ in held]), return_index=True, return_counts=True)
-            second = np.concatenate([g for _, g in held])[first]
+            keys, second, n = _unique_pairs(*(np.concatenate(x) for x in zip(*held)))
             top = (keys >> _U(64 - buckets.bit_length() + 1)).astype(np.int64)
             cuts = np.searchsorted(top, np.arange(buckets + 1))
             rows = [(k, now, keys[s:e].tobytes(), second[s:e].tobytes(), np.packbits(n[s:e] > 1).tobytes()) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
@@ -287,7 +302,7 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
             yield done()
 
     def repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Per run: the hashes of this range whose windows stand in two places at least, by both hashes."""
+        """Per run: the hashes (both halves) of this range whose windows stand in two places at least."""
         lists, second = ([np.frombuffer(b, np.uint64) for b in pdf[c]] for c in ("h", "second"))
         many = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)).astype(bool) for f, x in zip(pdf["flags"], lists)])
         h, g, run = np.concatenate(lists), np.concatenate(second), np.repeat(pdf["_run"].to_numpy(), [len(x) for x in lists])
@@ -295,14 +310,19 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
         h, g, run, many = h[order], g[order], run[order], many[order]
         same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
         ok = many | np.append(same, False) | np.append(False, same)
-        out = [(int(r), h[ok & (run == r)].tobytes()) for r in np.unique(run[ok])]
+        h, g, run = h[ok], g[ok], run[ok]
+        order = np.argsort(run, kind="stable")
+        pairs, run = np.column_stack([h, g])[order], run[order]
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1), len(run)]
+        out = [(int(run[s]), pairs[s:e].tobytes()) for s, e in zip(cuts, cuts[1:]) if e > s]
         return pd.DataFrame(out, columns=["_run", "h"]).assign(bucket=pdf["bucket"].iloc[0] if len(pdf) else 0)
 
     def store(files: _Files, coded: bool):
         def put(pdf: pd.DataFrame) -> pd.DataFrame:
             label, pdf = int(pdf["_run"].iloc[0]), pdf[pdf["bucket"] >= 0].sort_values("bucket")
+            # Ranges ascend, and so do the hashes in each.
             parts = [decode_sorted(h) + (int(k) << shift) if coded else np.frombuffer(h, np.uint64) for k, h in zip(pdf["bucket"], pdf["h"])]
-            files.put(label, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
+            files.put(label, np.concatenate(parts) if parts else np.zeros(0, np.uint64))
             return pd.DataFrame({"_run": [label]})
 
         return put
@@ -353,10 +373,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
     text = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, np.zeros(0, np.uint64)
+        now, known = None, np.zeros((0, 2), np.uint64)
         for label, rows in _runs(batches, len(names)):
             if label != now:
-                now, known = label, files.get(label, np.uint64)
+                now, known = label, files.get(label, np.uint64).reshape(-1, 2)
             for part in _slices(rows, text):
                 yield _finish(part, known)
 
@@ -365,7 +385,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
         if len(known):
             words = Words(part, text, window)
             place = np.flatnonzero(words.left >= window)
-            place = place[_among(rolling(words.hash, window)[place], known)]
+            place = place[_pairs_among(rolling(words.hash, window, 0)[place], rolling(words.hash, window, 1)[place], known)]
             gone, bounds = words.covered(place), words.bounds
             lost = np.add.reduceat(np.append(gone, False).astype(np.int64), bounds[:-1]) * (np.diff(bounds) > 0)
         n, removed, out, spans = [], [], [], []

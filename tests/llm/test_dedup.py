@@ -75,6 +75,28 @@ def test_substrings_long_text(spark):
     assert found == {1: 100, 2: 100}
 
 
+def test_different_words_that_sums_of_powers_confuse(spark):
+    """Thue-Morse orders and their complements have equal polynomial hashes modulo 2**64, as letters of a word and as words of a window."""
+    order = [bin(k).count("1") % 2 for k in range(2048)]
+    words = ["".join("ab"[(b + flip) % 2] for b in order[:1024]) for flip in (0, 1)]
+    rest = " ".join(f"w{k}" for k in range(34))
+    turned = [" ".join(("yes", "no")[(b + flip) % 2] for b in order) for flip in (0, 1)]
+    rows = [(k, f"{w} {rest}") for k, w in enumerate(words)]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True)
+    assert [r.n_removed for r in found.collect()] == [0, 0]
+    rows = list(enumerate(turned))
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=2048, digest=True)
+    assert [r.n_removed for r in found.collect()] == [0, 0]
+
+
+def test_windows_that_share_half_a_hash():
+    """Pairs are compared by both halves, also where several windows share the first."""
+    known = np.array([[1, 5], [3, 2], [3, 7], [3, 9], [8, 1]], np.uint64)
+    h, g = np.array([1, 1, 3, 3, 3, 3, 8, 9, 0], np.uint64), np.array([5, 6, 2, 9, 7, 8, 1, 1, 0], np.uint64)
+    assert substrings._pairs_among(h, g, known).tolist() == [True, False, True, True, True, False, True, False, False]
+    assert [x.tolist() for x in substrings._unique_pairs(np.array([3, 1, 3, 3], np.uint64), np.array([9, 5, 2, 9], np.uint64))] == [[1, 3, 3], [5, 2, 9], [1, 1, 2]]
+
+
 def test_sorted_lists_round_trip():
     rng = np.random.default_rng(3)
     for values in ([0], [5], [], [0, 1, 2, 700, 70_000, 10**12], np.unique(rng.integers(0, 1 << 40, 1000)), np.unique(rng.integers(0, 3000, 2000))):
