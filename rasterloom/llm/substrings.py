@@ -9,14 +9,13 @@ How it scales: documents are stored once, in runs of about ``chunk_bytes`` that
 a probe), so a passage that all documents share is one entry per run. A range's task finds the anchors and returns to each run those that it holds. Texts are never shuffled. What returns to
 a run lies in one file of the shared folder, named after the run; tasks that read the run open it, and fail if it isn't there. Writing such a file is atomic and its content depends on the input alone, so a repeated task does no harm.
 
-A word's hash is its 128-bit BLAKE2b, whose halves are joined along the window by two different functions. Both halves go with a candidate, come back to its run, and decide what is removed: with n candidate windows the chance of
+A word's hash is its 128-bit XXH3 with a seed that is drawn anew for each call, so that no text can be made to fit it; its halves are joined along the window by two different functions. Both halves go with a candidate, come back to its run, and decide what is removed: with n candidate windows the chance of
 any false repeat is about n**2 / 2**128.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import uuid
 from collections.abc import Iterator
@@ -24,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -47,14 +47,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(halves of each word's 128-bit BLAKE2b, one row a half; bounds of each text's words). A word of a batch is hashed once."""
+def word_hashes(texts: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(halves of each word's 128-bit XXH3, one row a half; bounds of each text's words)."""
     split = [t.split() for t in texts]
     bounds = np.cumsum([0, *map(len, split)])
-    words = list(itertools.chain.from_iterable(split))
-    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number), np.uint64).reshape(-1, 2)
-    return np.ascontiguousarray(digests[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].T), bounds
+    digests = b"".join([xxhash.xxh3_128_digest(w, seed) for words in split for w in words])
+    return np.ascontiguousarray(np.frombuffer(digests, np.uint64).reshape(-1, 2).T), bounds
 
 
 def rolling(halves: np.ndarray, n: int, half: int) -> np.ndarray:
@@ -123,9 +121,9 @@ def _texts(batch: pa.RecordBatch, text: int) -> list[bytes]:
 class Words:
     """Hashes of the words of some documents."""
 
-    def __init__(self, batch: pa.RecordBatch, text: int, window: int):
+    def __init__(self, batch: pa.RecordBatch, text: int, window: int, seed: int):
         self.window, self.block = window, (window + 1) // 2
-        self.hash, self.bounds = word_hashes(_texts(batch, text))
+        self.hash, self.bounds = word_hashes(_texts(batch, text), seed)
         self.n = self.hash.shape[1]
         size = np.diff(self.bounds)
         doc = np.repeat(np.arange(len(size)), size)
@@ -235,7 +233,7 @@ def _label(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField("_run", LongType())]))
 
 
-def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int, total_bytes: int) -> _Files:
+def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int, total_bytes: int, seed: int) -> _Files:
     """Files with the hashes of the repeated windows of each run of ``runs`` (text, _run)."""
     bits = min(56, max(16, math.ceil(math.log2(max(2, total_bytes / 6))) + 6))
     buckets = 1 << max(3, math.ceil(math.log2(max(1, total_bytes / chunk_bytes, shuffle_partitions(runs.sparkSession)))))
@@ -262,7 +260,7 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
                 held = []
             now = label
             for part in _slices(rows, 0):
-                _, h, block = Words(part, 0, window).probes(bits)
+                _, h, block = Words(part, 0, window, seed).probes(bits)
                 if len(h):
                     held.append(h << _U(1) | block.astype(np.uint64))
         if held:
@@ -295,7 +293,7 @@ def find_repeats(runs: DataFrame, ws: Workspace, window: int, chunk_bytes: int,
                 now, known, held = label, anchor_files.get(label, np.int64), []
             if len(known):
                 for part in _slices(rows, 0):
-                    _, h, second = Words(part, 0, window).candidates(known, bits)
+                    _, h, second = Words(part, 0, window, seed).candidates(known, bits)
                     if len(h):
                         held.append((h, second))
         if held:
@@ -368,7 +366,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
         kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = ws.save(_label(kept, chunk_bytes).withColumn("_bytes", F.octet_length("text")), "runs")
     total = runs.agg(F.sum("_bytes")).first()[0] or 0
-    files = find_repeats(runs, ws, window, chunk_bytes, total)
+    seed = uuid.uuid4().int >> 65
+    files = find_repeats(runs, ws, window, chunk_bytes, total, seed)
     names = kept.columns
     text = names.index("text")
 
@@ -383,7 +382,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
     def _finish(part: pa.RecordBatch, known: np.ndarray) -> pa.RecordBatch:
         gone, bounds = None, None
         if len(known):
-            words = Words(part, text, window)
+            words = Words(part, text, window, seed)
             place = np.flatnonzero(words.left >= window)
             place = place[_pairs_among(rolling(words.hash, window, 0)[place], rolling(words.hash, window, 1)[place], known)]
             gone, bounds = words.covered(place), words.bounds
