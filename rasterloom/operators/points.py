@@ -231,35 +231,6 @@ def reject(matches: DataFrame, model: str = "affine", method: str = "ransac", th
     return matches.drop("inlier", "model").groupBy("pair_id").applyInPandas(run, columns)
 
 
-def affine_hypotheses(matches: DataFrame, count: int = 16) -> DataFrame:
-    """(pair_id, h, m0..m5): exact affines through ``count`` triples per pair, drawn by fixed arithmetic on the order of idx. Collinear triples drop out."""
-    ranked = matches.withColumn("k", F.row_number().over(Window.partitionBy("pair_id").orderBy("idx", "sx", "sy")) - 1)
-    n = matches.groupBy("pair_id").agg(F.count("*").alias("n"))
-    draws = n.where("n >= 3").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    draws = draws.withColumn("j", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.pmod(F.col("h") * a + b, F.col("n")).alias("k")) for c, (a, b) in enumerate(((7, 1), (13, 5), (29, 11)))])))
-    picked = draws.select("pair_id", "h", F.col("j.c").alias("c"), F.col("j.k").alias("k")).join(ranked, ["pair_id", "k"])
-    at = lambda col, c: F.max(F.when(F.col("c") == c, F.col(col)))
-    tri = picked.groupBy("pair_id", "h").agg(*[at(col, c).alias(f"{col}{c}") for col in ("sx", "sy", "rx", "ry") for c in range(3)])
-    d = lambda p, q: F.col(p) - F.col(q)
-    det = d("sx1", "sx0") * d("sy2", "sy0") - d("sx2", "sx0") * d("sy1", "sy0")
-    tri = tri.withColumn("det", det).where("abs(det) > 1e-9")
-    out = {}
-    for k, to in enumerate(("rx", "ry")):
-        out[f"m{3 * k}"] = (d(f"{to}1", f"{to}0") * d("sy2", "sy0") - d(f"{to}2", f"{to}0") * d("sy1", "sy0")) / F.col("det")
-        out[f"m{3 * k + 1}"] = (d(f"{to}2", f"{to}0") * d("sx1", "sx0") - d(f"{to}1", f"{to}0") * d("sx2", "sx0")) / F.col("det")
-    tri = tri.withColumns(out)
-    return tri.withColumns({f"m{3 * k + 2}": F.col(f"{to}0") - F.col(f"m{3 * k}") * F.col("sx0") - F.col(f"m{3 * k + 1}") * F.col("sy0") for k, to in enumerate(("rx", "ry"))}).select("pair_id", "h", "m0", "m1", "m2", "m3", "m4", "m5")
-
-
-def best_hypothesis(matches: DataFrame, hypotheses: DataFrame, threshold: float = 3.0, method: str = "ransac") -> DataFrame:
-    """The winning hypothesis of each pair (pair_id, h, inliers, median, m0..m5): most inliers, or for lmeds the least median residual; ties to the smaller h."""
-    scored = matches.join(hypotheses, "pair_id").withColumn("residual", affine_residual())
-    scored = scored.groupBy("pair_id", "h", "m0", "m1", "m2", "m3", "m4", "m5").agg(F.count_if(F.col("residual") <= threshold).alias("inliers"), F.median("residual").alias("median"))
-    # Medians that agree to nine decimals are ties.
-    order = F.round("median", 9) if method == "lmeds" else -F.col("inliers")
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy("pair_id").orderBy(order, "h"))).where("k = 1").drop("k")
-
-
 # Scores
 
 

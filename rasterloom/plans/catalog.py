@@ -2,40 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import condition_number, invert3, matmul3, plausible, r6
 from ..operators import illumination, images, points, rules, stencil
-from . import tables as t
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function as a query under its name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name in the folder that driver and executors share; a machine's temporary folder only where Spark runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is not set")
-    return f"{(shared or tempfile.mkdtemp(prefix='rasterloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..sources.shared import Folder
+from . import fits, tables as t
+from .registry import ORACLE_SQL, QUERIES, query
 
 R6 = t.sql_r6
 PIXELS = "SELECT y, x, " + R6("v") + " AS v FROM {}"
@@ -358,10 +331,7 @@ def auto_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.auto_model(t.ties(spark, sf_dir), 1015.0)
 
 
-SQL_FIT = """mo AS (SELECT pair_id, count(*) AS n, avg(sx) AS ax, avg(sy) AS ay, avg(rx) AS au, avg(ry) AS av, var_pop(sx) AS vx, var_pop(sy) AS vy, covar_pop(sx, sy) AS cxy,
-  covar_pop(sx, rx) AS cxu, covar_pop(sy, rx) AS cyu, covar_pop(sx, ry) AS cxv, covar_pop(sy, ry) AS cyv FROM {0} GROUP BY 1),
-li AS (SELECT *, (vy * cxu - cxy * cyu) / (vx * vy - cxy * cxy) AS m0, (vx * cyu - cxy * cxu) / (vx * vy - cxy * cxy) AS m1, (vy * cxv - cxy * cyv) / (vx * vy - cxy * cxy) AS m3, (vx * cyv - cxy * cxv) / (vx * vy - cxy * cxy) AS m4 FROM mo),
-fit AS (SELECT pair_id, n, m0, m1, au - m0 * ax - m1 * ay AS m2, m3, m4, av - m3 * ax - m4 * ay AS m5 FROM li)"""
+SQL_FIT = t.SQL_FIT
 SQL_RES = "sqrt(pow(m0 * sx + m1 * sy + m2 - rx, 2) + pow(m3 * sx + m4 * sy + m5 - ry, 2))"
 M6 = [f"m{k}" for k in range(6)]
 
@@ -393,17 +363,6 @@ def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.affine_fit(t.ties(spark, sf_dir)).select("pair_id", plausible(*map(F.col, LINEAR)).alias("plausible"))
 
 
-@query()
-def homography_lsq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = points.homography_array(pdf[["sx", "sy"]].to_numpy(), pdf[["rx", "ry"]].to_numpy())
-        return pd.DataFrame([[pdf["pair_id"].iloc[0], None if m is None else m.round(6).ravel().tolist()]], columns=["pair_id", "m"])
-
-    return t.ties(spark, sf_dir).groupBy("pair_id").applyInPandas(fit, "pair_id long, m array<double>")
-
-
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
     m = F.array(1 + size / 100, size / 200, F.col("p_retailprice") / 10, -size / 300, 1.1 + size / 90, size, size * 1e-5, -size * 2e-5, F.lit(1.0))
@@ -448,57 +407,11 @@ def grid_point_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Robust rejection
 
 
-def _sql_best(method: str) -> str:
-    order = "round(median, 9)" if method == "lmeds" else "-inliers"
-    tri = ", ".join(f"max(CASE WHEN c = {c} THEN {v} END) AS {v}{c}" for v in ("sx", "sy", "rx", "ry") for c in range(3))
-    det = "((sx1 - sx0) * (sy2 - sy0) - (sx2 - sx0) * (sy1 - sy0))"
-    lin = ", ".join(f"(({to}1 - {to}0) * (sy2 - sy0) - ({to}2 - {to}0) * (sy1 - sy0)) / {det} AS m{3 * k}, (({to}2 - {to}0) * (sx1 - sx0) - ({to}1 - {to}0) * (sx2 - sx0)) / {det} AS m{3 * k + 1}" for k, to in enumerate(("rx", "ry")))
-    return f"""{t.SQL_TIES}, rk AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY idx, sx, sy) - 1 AS k FROM ties), nn AS (SELECT pair_id, count(*) AS n FROM ties GROUP BY 1),
-dr AS (SELECT pair_id, h, c, (h * a + b) % n AS k FROM nn, (SELECT unnest(range(16)) AS h) hh, (VALUES (0, 7, 1), (1, 13, 5), (2, 29, 11)) v(c, a, b) WHERE n >= 3),
-tr AS (SELECT d.pair_id, h, {tri} FROM dr d JOIN rk ON d.pair_id = rk.pair_id AND d.k = rk.k GROUP BY 1, 2),
-l0 AS (SELECT *, {lin} FROM tr WHERE abs({det}) > 1e-9),
-hy AS (SELECT pair_id, h, m0, m1, rx0 - m0 * sx0 - m1 * sy0 AS m2, m3, m4, ry0 - m3 * sx0 - m4 * sy0 AS m5 FROM l0),
-sc AS (SELECT pair_id, h, m0, m1, m2, m3, m4, m5, count(*) FILTER ({SQL_RES} <= 3) AS inliers, median({SQL_RES}) AS median FROM ties JOIN hy USING (pair_id) GROUP BY ALL),
-be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY {order}, h) AS k FROM sc) z WHERE k = 1)"""
-
-
-def _best(spark: SparkSession, sf_dir: str, method: str) -> tuple[DataFrame, DataFrame]:
-    ties = t.ties(spark, sf_dir)
-    return ties, points.best_hypothesis(ties, points.affine_hypotheses(ties), method=method)
-
-
-@query(f"WITH {_sql_best('ransac')} SELECT pair_id, CAST(h AS BIGINT) AS h, inliers, {', '.join(f'{R6(m)} AS {m}' for m in M6)} FROM be")
-def ransac_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(spark, sf_dir, "ransac")[1].select("pair_id", F.col("h").cast("long").alias("h"), "inliers", *[r6(m).alias(m) for m in M6])
-
-
-@query(f"WITH {_sql_best('lmeds')} SELECT pair_id, CAST(h AS BIGINT) AS h, {R6('median')} AS median FROM be")
-def lmeds_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(spark, sf_dir, "lmeds")[1].select("pair_id", F.col("h").cast("long").alias("h"), r6("median").alias("median"))
-
-
-@query(f"WITH {_sql_best('ransac')} SELECT pair_id, count(*) FILTER ({SQL_RES} <= 3) AS inliers, count(*) FILTER ({SQL_RES} > 3) AS outliers, {R6(f'avg(CASE WHEN {SQL_RES} <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS ratio FROM ties JOIN be USING (pair_id) GROUP BY 1")
-def inlier_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ties, best = _best(spark, sf_dir, "ransac")
-    inlier = F.col("residual") <= 3
-    return points.residuals(ties, best).groupBy("pair_id").agg(F.count_if(inlier).alias("inliers"), F.count_if(~inlier).alias("outliers"), r6(F.avg(inlier.cast("double"))).alias("ratio"))
-
-
 def _rejected(spark: SparkSession, sf_dir: str, model: str, method: str) -> DataFrame:
     found = points.reject(t.ties(spark, sf_dir), model, method)
     return found.groupBy("pair_id").agg(F.count_if("inlier").alias("inliers"), F.count("*").alias("n"))
 
 
-@query()
-def magsac_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rejected(spark, sf_dir, "affine", "magsac++")
-
-
-@query()
-def robust_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rejected(spark, sf_dir, "homography", "ransac")
-
-
 @query()
 def robust_fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rejected(spark, sf_dir, "fundamental", "ransac")
@@ -545,15 +458,6 @@ def refine_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(images.accuracy(refined), "image").select("n", r6("mean_accuracy").alias("mean_accuracy"), r6("median_accuracy").alias("median_accuracy"))
 
 
-@query(f"WITH {_sql_best('ransac')}, {SQL_FIT.format('ties')}, r AS (SELECT pair_id, count(*) FILTER ({SQL_RES} <= 3) AS inliers, sqrt(avg(CASE WHEN {SQL_RES} <= 3 THEN pow({SQL_RES}, 2) END)) AS rmse FROM ties JOIN be USING (pair_id) GROUP BY 1), c AS (SELECT pair_id, sqrt(avg(pow({SQL_RES}, 2))) AS coarse FROM ties JOIN fit USING (pair_id) GROUP BY 1) SELECT pair_id, coalesce(inliers >= 10 AND rmse <= coarse + 1e-6, false) AS accepted FROM r JOIN c USING (pair_id)")
-def refine_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a second pass replaces the first: ten inliers at least and no larger error."""
-    ties, best = _best(spark, sf_dir, "ransac")
-    new = points.residuals(ties, best).groupBy("pair_id").agg(F.count_if(F.col("residual") <= 3).alias("inliers"), F.sqrt(F.avg(F.when(F.col("residual") <= 3, F.col("residual") ** 2))).alias("rmse"))
-    old = points.residuals(ties, points.affine_fit(ties)).groupBy("pair_id").agg(F.sqrt(F.avg(F.col("residual") ** 2)).alias("coarse"))
-    return new.join(old, "pair_id").select("pair_id", F.coalesce((F.col("inliers") >= 10) & (F.col("rmse") <= F.col("coarse") + 1e-6), F.lit(False)).alias("accepted"))
-
-
 # Warping, blending, quality
 
 MATRIX = (1.01, 0.02, 3.3, -0.015, 0.99, 1.7, 0.0, 0.0, 1.0)
@@ -702,7 +606,7 @@ def raster_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import raster
 
     raster.register(spark)
-    at = _shared_folder(spark, "round-trip")
+    at = Folder(spark, "round-trip").path
     raster.save(raster.tiles_of(t.raster(spark, sf_dir), 48), at)
     return pixels(raster.pixels(spark.read.format("raster").option("path", f"{at}/s.tif").option("rows", 64).load()))
 
@@ -733,7 +637,7 @@ def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     status = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
     states = t.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated"))
-    moves = jobs.replay(states, _shared_folder(spark, "jobs"))
+    moves = jobs.replay(states, Folder(spark, "jobs").path)
     return moves.groupBy("job_id", "status", F.coalesce("previous", F.lit("none")).alias("previous"), "valid").agg(F.count("*").alias("n"))
 
 

@@ -37,6 +37,14 @@ def ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.select("pair_id", "idx", "sx", "sy", (0.98 * F.col("sx") - 0.12 * F.col("sy") + 15 + F.col("e1") + F.col("off")).alias("rx"), (0.11 * F.col("sx") + 1.02 * F.col("sy") - 10 + F.col("e2")).alias("ry"), "confidence")
 
 
+def far_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ties() with six of ten points thrown 60 to 400 pixels off, each to its own side."""
+    k = F.col("idx")
+    bad, far = k * 7 % 10 < 6, 60 + k * 37 % 341
+    off = lambda c, turn: F.when(bad, F.when(turn, far).otherwise(-far)).otherwise(0).cast("double") + F.col(c)
+    return ties(spark, sf_dir).withColumns({"rx": off("rx", k % 3 == 0), "ry": off("ry", k % 11 < 5)})
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, idx, x, y) of events: an image per type, 1000 wide and 500 high."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("image"), F.col("event_id").alias("idx"), (F.col("user_id") % 1000).cast("double").alias("x"), F.col("value").alias("y"))
@@ -55,6 +63,12 @@ SQL_TIES = """ties AS (SELECT l_suppkey AS pair_id, l_orderkey * 1000 + l_linenu
   FROM (SELECT *, CAST((l_orderkey * 37 + l_linenumber * 211) % 1024 AS DOUBLE) AS sx, CAST((l_partkey * 53 + l_linenumber * 17) % 1024 AS DOUBLE) AS sy,
     ((l_orderkey * 7 + l_linenumber * 3) % 21 - 10) / 50.0::DOUBLE AS e1, ((l_partkey * 5 + l_linenumber) % 21 - 10) / 50.0::DOUBLE AS e2,
     CASE WHEN l_orderkey % 13 = 0 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END AS off FROM lineitem) t)"""
+SQL_FAR_TIES = f"""far AS (WITH {SQL_TIES} SELECT pair_id, idx, sx, sy, CAST(CASE WHEN idx * 7 % 10 < 6 THEN CASE WHEN idx % 3 = 0 THEN 60 + idx * 37 % 341 ELSE -(60 + idx * 37 % 341) END ELSE 0 END AS DOUBLE) + rx AS rx,
+  CAST(CASE WHEN idx * 7 % 10 < 6 THEN CASE WHEN idx % 11 < 5 THEN 60 + idx * 37 % 341 ELSE -(60 + idx * 37 % 341) END ELSE 0 END AS DOUBLE) + ry AS ry, confidence FROM ties)"""
+SQL_FIT = """mo AS (SELECT pair_id, count(*) AS n, avg(sx) AS ax, avg(sy) AS ay, avg(rx) AS au, avg(ry) AS av, var_pop(sx) AS vx, var_pop(sy) AS vy, covar_pop(sx, sy) AS cxy,
+  covar_pop(sx, rx) AS cxu, covar_pop(sy, rx) AS cyu, covar_pop(sx, ry) AS cxv, covar_pop(sy, ry) AS cyv FROM {0} GROUP BY 1),
+li AS (SELECT *, (vy * cxu - cxy * cyu) / (vx * vy - cxy * cxy) AS m0, (vx * cyu - cxy * cxu) / (vx * vy - cxy * cxy) AS m1, (vy * cxv - cxy * cyv) / (vx * vy - cxy * cxy) AS m3, (vx * cyv - cxy * cxv) / (vx * vy - cxy * cxy) AS m4 FROM mo),
+fit AS (SELECT pair_id, n, m0, m1, au - m0 * ax - m1 * ay AS m2, m3, m4, av - m3 * ax - m4 * ay AS m5 FROM li)"""
 SQL_EVENTS = "pts AS (SELECT event_type AS image, event_id AS idx, CAST(user_id % 1000 AS DOUBLE) AS x, value AS y FROM events)"
 
 
