@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import condition_number, invert3, matmul3, plausible, r6
-from ..operators import illumination, images, points, rules, stencil
+from ..operators import features, illumination, images, points, rules, stencil
 from ..sources.shared import Folder
 from . import fits, tables as t
 from .registry import ORACLE_SQL, QUERIES, query
@@ -665,8 +667,22 @@ def config_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sift_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.features import detect
+    """Keypoints by tiles of 128 pixels, down to a quarter of the usual contrast."""
+    return features.detect(t.raster(spark, sf_dir), 5000, 128, contrast=0.01).select("kp_idx", *[r6(c).alias(c) for c in ("x", "y", "scale", "orientation", "response")])
+
 
-    return detect(t.raster(spark, sf_dir), 500).select("kp_idx", *[r6(c).alias(c) for c in ("x", "y", "scale", "orientation", "response")])
+def _sql_extrema(least: float, scales: int = 3, sigma: float = 1.6) -> str:
+    taps = lambda s: stencil.gaussian(2 * max(1, math.ceil(3.5 * s)) + 1, s)
+    steps = [math.sqrt(sigma**2 - 0.25)] + [math.sqrt((sigma * 2 ** (s / scales)) ** 2 - (sigma * 2 ** ((s - 1) / scales)) ** 2) for s in range(1, scales + 3)]
+    levels = [t.sql_separable("nz" if k == 0 else f"g{k - 1}", f"g{k}", ["v"], taps(s)) for k, s in enumerate(steps)]
+    dogs = " UNION ALL ".join(f"SELECT {k} AS s, y, x, b.v - a.v AS v FROM g{k} a JOIN g{k + 1} b USING (y, x)" for k in range(scales + 2))
+    return f"""WITH {t.SQL_RASTER}, nz AS (SELECT y, x, (v - (SELECT min(v) FROM ras)) / ((SELECT max(v) FROM ras) - (SELECT min(v) FROM ras)) AS v FROM ras),
+{", ".join(levels)}, dg AS MATERIALIZED ({dogs}), cd AS (SELECT dg.* FROM dg, ext WHERE s BETWEEN 1 AND {scales} AND y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2 AND abs(v) > {least!r}::DOUBLE),
+ne AS (SELECT cd.*, i.o AS os, j.o AS oy, k.o AS ox FROM cd, (VALUES (-1), (0), (1)) i(o), (VALUES (-1), (0), (1)) j(o), (VALUES (-1), (0), (1)) k(o) WHERE i.o <> 0 OR j.o <> 0 OR k.o <> 0)
+SELECT ne.s AS level, ne.y, ne.x, {R6('ne.v')} AS v FROM ne JOIN dg ON dg.s = ne.s + os AND dg.y = ne.y + oy AND dg.x = ne.x + ox GROUP BY ne.s, ne.y, ne.x, ne.v HAVING bool_and(CASE WHEN ne.v > 0 THEN ne.v > dg.v ELSE ne.v < dg.v END)"""
 
 
+@query(_sql_extrema(0.004))
+def scale_space_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extrema of the first octave by tiles of 96 pixels."""
+    return features.scale_space_extrema(t.raster(spark, sf_dir), 0.004, 96).select("level", "y", "x", r6("v").alias("v"))
