@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.shared import Folder
 
 #: Matches that a model needs.
-NEED = {"affine": 3, "homography": 4}
+NEED = {"affine": 3, "homography": 4, "fundamental": 8}
 M9 = [f"m{k}" for k in range(9)]
 #: Reach of a residual in noise scales: the 0.99 quantile of the chi distribution with four degrees of freedom (fixed value).
 REACH = 3.64
@@ -37,17 +37,15 @@ def ordinals(matches: DataFrame, folder: Folder) -> DataFrame:
     return folder.save(numbered.select("pair_id", (F.col("inside") + F.col("before")).cast("long").alias("k"), *order[2:]), "numbered")
 
 
-def drawn(h: Column, n: Column, need: int) -> list[Column]:
-    """``need`` different numbers below n for hypothesis h: digits of MD5 pick among those that are left."""
-    out: list[Column] = []
-    for c in range(need):
-        number = F.conv(F.substring(F.md5(F.concat_ws("-", h, F.lit(c)).cast("binary")), 1, 8), 16, 10).cast("long")
-        k = number % (n - c)
-        taken = F.array_sort(F.array(*out)) if out else None
-        for i in range(c):
-            k = k + (k >= taken[i]).cast("long")
-        out.append(k)
-    return out
+def drawn(h: Column, n: Column, need: int) -> Column:
+    """``need`` different numbers below n for hypothesis h, as an array: digits of MD5 pick among those that are left."""
+
+    def pick(taken: Column, c: Column) -> Column:
+        number = F.conv(F.substring(F.md5(F.concat_ws("-", h, c).cast("binary")), 1, 8), 16, 10).cast("long")
+        among = F.aggregate(F.array_sort(taken), number % (n - c), lambda k, t: k + (k >= t).cast("long"))
+        return F.concat(taken, F.array(among))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(need - 1)), F.array().cast("array<bigint>"), pick)
 
 
 def _twice_area(p: str, i: int, j: int, k: int) -> Column:
@@ -83,7 +81,14 @@ def through(samples: DataFrame, model: str) -> DataFrame:
 
 
 def residual(model: str) -> Column:
-    """Distance of a match (sx, sy, rx, ry) from its model's columns m0..m8."""
+    """Distance of a match (sx, sy, rx, ry) from its model's columns m0..m8; for fundamental matrices from the epipolar lines, the larger of both sides."""
+    if model == "fundamental":
+        a, b = (F.col("sx"), F.col("sy"), F.lit(1.0)), (F.col("rx"), F.col("ry"), F.lit(1.0))
+        m = [F.col(c) for c in M9]
+        there = [m[3 * i] * a[0] + m[3 * i + 1] * a[1] + m[3 * i + 2] * a[2] for i in range(3)]
+        here = [m[i] * b[0] + m[3 + i] * b[1] + m[6 + i] * b[2] for i in range(2)]
+        up = F.abs(b[0] * there[0] + b[1] * there[1] + there[2])
+        return F.greatest(*[up / (F.sqrt(x * x + y * y) + 1e-12) for x, y in (there[:2], here)])
     down = (F.col("m6") * F.col("sx") + F.col("m7") * F.col("sy") + F.col("m8") + 1e-8) if model == "homography" else F.lit(1.0)
     x = (F.col("m0") * F.col("sx") + F.col("m1") * F.col("sy") + F.col("m2")) / down - F.col("rx")
     y = (F.col("m3") * F.col("sx") + F.col("m4") * F.col("sy") + F.col("m5")) / down - F.col("ry")
@@ -132,7 +137,9 @@ def hypotheses(numbered: DataFrame, pairs: DataFrame, first: int, last: int, mod
     """(pair_id, h, m0..m8) for h from first to last - 1 of the pairs (pair_id, n), n matches at least as many as the model needs."""
     need = NEED[model]
     draws = pairs.select("pair_id", "n", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("h"))
-    picks = draws.select("pair_id", "h", F.posexplode(F.array(*drawn(F.col("h"), F.col("n"), need))).alias("c", "k")).join(numbered, ["pair_id", "k"])
+    picks = draws.select("pair_id", "h", F.posexplode(drawn(F.col("h"), F.col("n"), need)).alias("c", "k")).join(numbered, ["pair_id", "k"])
+    if model == "fundamental":
+        return fundamental_fit(picks, ("pair_id", "h")).where("m0 IS NOT NULL").select("pair_id", "h", *M9)
     at = lambda col, c: F.max(F.when(F.col("c") == c, F.col(col))).alias(f"{col}{c}")
     samples = picks.groupBy("pair_id", "h").agg(*[at(col, c) for col in ("sx", "sy", "rx", "ry") for c in range(need)])
     return through(samples, model).select("pair_id", "h", *M9)
@@ -230,30 +237,30 @@ _SIX = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
 _FULL = np.array([[_SIX.index((min(i, j), max(i, j))) for j in range(3)] for i in range(3)])
 
 
-def _normalised(matches: DataFrame) -> DataFrame:
+def _normalised(matches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """matches with each side moved to its mean and scaled to a root mean square distance of sqrt(2): columns x, y, u, v, and the moves."""
     sides = {"s": ("sx", "sy"), "r": ("rx", "ry")}
     moves = [F.avg(c).alias(f"mean_{c}") for cs in sides.values() for c in cs] + [F.sqrt(2 / (F.var_pop(cs[0]) + F.var_pop(cs[1]))).alias(f"scale_{s}") for s, cs in sides.items()]
-    both = matches.join(matches.groupBy("pair_id").agg(F.count("*").alias("n"), *moves), "pair_id")
+    both = matches.join(matches.groupBy(*keys).agg(F.count("*").alias("n"), *moves), list(keys))
     return both.withColumns({to: (F.col(c) - F.col(f"mean_{c}")) * F.col(f"scale_{c[0]}") for to, c in zip("xyuv", ("sx", "sy", "rx", "ry"))})
 
 
 _MOVES = ["n", "mean_sx", "mean_sy", "mean_rx", "mean_ry", "scale_s", "scale_r"]
 
 
-def _solve(sums: DataFrame, finish) -> DataFrame:
+def _solve(sums: DataFrame, finish, keys: tuple[str, ...]) -> DataFrame:
     """One matrix per row of sums, by ``finish`` (arrays of moves and of moments to (rows, 9)), in batches; rows are pairs, no points."""
-    kind = dict(sums.dtypes)["pair_id"]
+    kinds = dict(sums.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 with np.errstate(all="ignore"):
                     m = finish({c: pdf[c].to_numpy(float) for c in _MOVES}, np.stack(pdf["moments"].to_numpy()).astype(float))
-                yield pd.DataFrame({"pair_id": pdf["pair_id"], "n": pdf["n"], "m": [x.tolist() if np.isfinite(x).all() else None for x in m]})
+                yield pd.DataFrame({**{c: pdf[c] for c in keys}, "n": pdf["n"], "m": [x.tolist() if np.isfinite(x).all() else None for x in m]})
 
-    found = sums.mapInPandas(run, f"pair_id {kind}, n long, m array<double>")
-    return found.select("pair_id", "n", *[F.col("m")[k].alias(c) for k, c in enumerate(M9)])
+    found = sums.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long, m array<double>")
+    return found.select(*keys, "n", *[F.col("m")[k].alias(c) for k, c in enumerate(M9)])
 
 
 def _moved(mean_x: np.ndarray, mean_y: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -270,7 +277,8 @@ def homography_fit(matches: DataFrame) -> DataFrame:
     h = (F.col("x"), F.col("y"), F.lit(1.0))
     u, v = F.col("u"), F.col("v")
     blocks = [F.sum(h[i] * h[j] * w) for w in (F.lit(1.0), u, v, u * u + v * v) for i, j in _SIX]
-    sums = _normalised(matches).groupBy("pair_id", *_MOVES).agg(F.array(*blocks).alias("moments")).where("n >= 4")
+    keys = ("pair_id",)
+    sums = _normalised(matches, keys).groupBy(*keys, *_MOVES).agg(F.array(*blocks).alias("moments")).where("n >= 4")
 
     def finish(at: dict[str, np.ndarray], moments: np.ndarray) -> np.ndarray:
         one, by_u, by_v, by_w = (moments[:, 6 * k: 6 * k + 6][:, _FULL] for k in range(4))
@@ -284,14 +292,14 @@ def homography_fit(matches: DataFrame) -> DataFrame:
         return (out / out[:, 2:, 2:]).reshape(-1, 9)
 
     few = matches.groupBy("pair_id").agg(F.count("*").alias("n")).where("n < 4").select("pair_id", "n", *[F.lit(None).cast("double").alias(c) for c in M9])
-    return _solve(sums, finish).unionByName(few)
+    return _solve(sums, finish, keys).unionByName(few)
 
 
-def fundamental_fit(matches: DataFrame) -> DataFrame:
-    """(pair_id, n, m0..m8): the normalised eight-point fundamental matrix of rank two over all matches of each pair, of norm 1 with its largest element positive; null for fewer than eight. Its 9 x 9 matrix is 36 sums."""
+def fundamental_fit(matches: DataFrame, keys: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """(keys, n, m0..m8): the normalised eight-point fundamental matrix of rank two over all matches of each key, of norm 1 with its largest element positive; null for fewer than eight. Its 9 x 9 matrix is 36 sums."""
     a, b = (F.col("x"), F.col("y"), F.lit(1.0)), (F.col("u"), F.col("v"), F.lit(1.0))
     products = [F.sum(b[i] * b[k] * a[j] * a[l]) for i, k in _SIX for j, l in _SIX]
-    sums = _normalised(matches).groupBy("pair_id", *_MOVES).agg(F.array(*products).alias("moments")).where("n >= 8")
+    sums = _normalised(matches, keys).groupBy(*keys, *_MOVES).agg(F.array(*products).alias("moments")).where("n >= 8")
     # Element (3 i + j, 3 k + l) is the sum of b_i b_k a_j a_l.
     place = np.array([[6 * _FULL[i, k] + _FULL[j, l] for k in range(3) for l in range(3)] for i in range(3) for j in range(3)])
 
@@ -307,8 +315,8 @@ def fundamental_fit(matches: DataFrame) -> DataFrame:
         top = np.take_along_axis(flat, np.abs(np.nan_to_num(flat)).argmax(1)[:, None], 1)
         return flat / np.linalg.norm(flat, axis=1, keepdims=True) * np.sign(top)
 
-    few = matches.groupBy("pair_id").agg(F.count("*").alias("n")).where("n < 8").select("pair_id", "n", *[F.lit(None).cast("double").alias(c) for c in M9])
-    return _solve(sums, finish).unionByName(few)
+    few = matches.groupBy(*keys).agg(F.count("*").alias("n")).where("n < 8").select(*keys, "n", *[F.lit(None).cast("double").alias(c) for c in M9])
+    return _solve(sums, finish, keys).unionByName(few)
 
 
 def refined_homography(matches: DataFrame, models: DataFrame, threshold: float = 3.0) -> DataFrame:

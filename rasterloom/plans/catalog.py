@@ -406,19 +406,6 @@ def grid_point_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("pair_id").agg(r6(F.avg(error)).alias("mean_error"), r6(F.max(error)).alias("max_error"))
 
 
-# Robust rejection
-
-
-def _rejected(spark: SparkSession, sf_dir: str, model: str, method: str) -> DataFrame:
-    found = points.reject(t.ties(spark, sf_dir), model, method)
-    return found.groupBy("pair_id").agg(F.count_if("inlier").alias("inliers"), F.count("*").alias("n"))
-
-
-@query()
-def robust_fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rejected(spark, sf_dir, "fundamental", "ransac")
-
-
 # Sub-pixel refinement: the raster against itself, rolled by one row and two columns
 
 PATCH, SEARCH = 7, 3

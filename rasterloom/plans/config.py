@@ -60,22 +60,33 @@ class RegistrationConfig:
                 raise ValueError(f"{name}: {getattr(self, name)!r} is out of range")
 
 
+@dataclass(frozen=True)
+class WebConfig:
+    """Read and kept for whoever serves results; nothing here listens."""
+
+    host: str = "0.0.0.0"
+    port: int = 8000
+    upload_max_size_mb: int = 500
+    results_dir: str = "./results"
+    cors_origins: list[str] = field(default_factory=lambda: ["*"])
+
+
 @dataclass(frozen=True)
 class StorageConfig:
-    uploads: str = "uploads"
-    results: str = "results"
-    jobs: str = "jobs"
-    most_megabytes: int = 500
+    upload_dir: str = "./uploads"
+    results_dir: str = "./results"
+    export_dir: str = "./exports"
 
 
 @dataclass(frozen=True)
 class AppConfig:
-    registration: RegistrationConfig = field(default_factory=RegistrationConfig)
+    pipeline: RegistrationConfig = field(default_factory=RegistrationConfig)
+    web: WebConfig = field(default_factory=WebConfig)
     storage: StorageConfig = field(default_factory=StorageConfig)
 
     @classmethod
     def load(cls, path: str) -> AppConfig:
-        """From a JSON file, or a YAML file where PyYAML is installed; missing or empty sections and settings have their defaults, unknown ones are an error."""
+        """From a JSON file, or a YAML file where PyYAML is installed, with the sections pipeline, web and storage; missing or empty sections and settings have their defaults, unknown ones are an error."""
         with open(path, encoding="utf-8") as f:
             if path.lower().endswith((".yaml", ".yml")):
                 try:
@@ -85,7 +96,7 @@ class AppConfig:
                 given = yaml.safe_load(f) or {}
             else:
                 given = json.load(f)
-        kinds = {"registration": RegistrationConfig, "storage": StorageConfig}
+        kinds = {"pipeline": RegistrationConfig, "web": WebConfig, "storage": StorageConfig}
         for section in given:
             if section not in kinds:
                 raise ValueError(f"unknown section {section!r}")

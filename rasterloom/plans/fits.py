@@ -241,3 +241,9 @@ def robust_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = robust.robust_fit(ties, "homography")
     fit = robust.refined_homography(ties, best)
     return fit.join(best.select("pair_id", "tries", "h", "inliers"), "pair_id").select("pair_id", "n", "tries", "h", "inliers", *_shown(fit))
+
+
+@query()
+def robust_fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie points of one plane agree with many fundamental matrices: what counts is how many an eight-point hypothesis explains."""
+    return robust.robust_fit(t.ties(spark, sf_dir), "fundamental").select("pair_id", "n", "tries", "h", "inliers")

@@ -22,6 +22,7 @@ from ..operators.points import affine_array, distances, homography_array, reject
 from .config import RegistrationConfig
 
 THRESHOLD, LEAST_NCC, SEARCH = 3.0, 0.7, 3
+PAIRS_A_TASK = 4
 
 
 def stretch_u8(img: np.ndarray) -> np.ndarray:
@@ -252,6 +253,9 @@ def _pass(config: RegistrationConfig, a: np.ndarray, b: np.ndarray, scales: tupl
     find = detector(config.detection_method)
     (pa, da), (pb, db) = find(a, config.max_keypoints), find(b, config.max_keypoints)
     i, j, conf = MATCHERS[config.matching_method](da, db, config.lowe_ratio)
+    if config.matching_method != "bf":  # networks give a confidence of their own
+        sure = conf >= config.match_threshold
+        i, j, conf = i[sure], j[sure], conf[sure]
     src, dst = pa[i, :2] / scales[0], pb[j, :2] / scales[1]
     if model is None:
         span = np.ptp(src, axis=0).max() if len(src) else 0
@@ -332,14 +336,14 @@ def register_pairs(pairs: DataFrame, config: RegistrationConfig, out: str | None
             for r in pdf.itertuples():
                 yield pd.DataFrame([_one(str(r.pair_id), r.source, r.reference, config, out)], columns=[c.split()[0] for c in RESULT.replace("map<string,double>", "x").replace("array<struct<sx:double,sy:double,rx:double,ry:double,confidence:double>>", "x").split(", ")])
 
-    slots = pairs.sparkSession.sparkContext.defaultParallelism
-    return pairs.select("pair_id", "source", "reference").repartition(max(1, slots)).mapInPandas(run, RESULT)
+    # A few pairs a task, so that a lost executor repeats few.
+    slots = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_A_TASK), 1)
+    return pairs.select("pair_id", "source", "reference").repartition(slots).mapInPandas(run, RESULT)
 
 
 def _one(pair_id: str, source: str, reference: str, config: RegistrationConfig, out: str | None) -> tuple:
     from ..operators.rules import DEFAULT_RESOLUTION, sensor_of
-    from ..sources import codecs
-    from ..sources.raster import _open, load_pair
+    from ..sources.raster import load_pair
 
     try:
         s, r = load_pair(source, reference)
@@ -349,17 +353,30 @@ def _one(pair_id: str, source: str, reference: str, config: RegistrationConfig,
     found = register_arrays(s.data[0], r.data[0], config, size(s, source), size(r, reference))
     if not found["success"]:
         return pair_id, False, None, None, None, None, found["stage"], found["error"], found["seconds"]
-    fit, path = found["matches"], None
-    if out:
-        kind = s.data.dtype
-        bands = [warp(b, found["m"], r.data.shape[1:], config.interpolation) for b in s.data]
-        limits = (np.iinfo(kind).min, np.iinfo(kind).max) if kind.kind in "iu" else (-np.inf, np.inf)
-        data = np.clip(np.stack(bands), *limits).astype(kind)
-        files, root = _open(out)
-        files.create_dir(root, recursive=True)
-        path = f"{root}/{pair_id}_registered.tif"
-        with files.open_output_stream(path + ".part") as f:
-            f.write(codecs.write_tiff(codecs.Raster(data, r.crs, r.geotransform, r.nodata)))
-        files.move(path + ".part", path)
+    fit, path, stage = found["matches"], None, "export"
+    try:
+        if out:
+            path = _export(pair_id, s, r, found["m"], config, out)
+    except Exception as e:  # a full disk or a lost folder fails this pair alone; its transform stays
+        fit_m = found["m"].ravel().tolist()
+        return pair_id, False, fit_m, {k: float(v) for k, v in found["metrics"].items()}, None, None, stage, f"{type(e).__name__}: {e}", found["seconds"]
     matches = [dict(zip(("sx", "sy", "rx", "ry", "confidence"), map(float, (*p, *q, c)))) for p, q, c in zip(fit.src, fit.dst, fit.scores)]
     return pair_id, True, found["m"].ravel().tolist(), {k: float(v) for k, v in found["metrics"].items()}, matches, path, None, None, found["seconds"]
+
+
+def _export(pair_id: str, s, r, m: np.ndarray, config: RegistrationConfig, out: str) -> str:
+    """All bands of s warped onto r's grid, as <out>/<pair_id>_registered.tif; the file appears when it is whole."""
+    from ..sources import codecs
+    from ..sources.raster import _open
+
+    kind = s.data.dtype
+    bands = [warp(b, m, r.data.shape[1:], config.interpolation) for b in s.data]
+    limits = (np.iinfo(kind).min, np.iinfo(kind).max) if kind.kind in "iu" else (-np.inf, np.inf)
+    data = np.clip(np.stack(bands), *limits).astype(kind)
+    files, root = _open(out)
+    files.create_dir(root, recursive=True)
+    path = f"{root}/{pair_id}_registered.tif"
+    with files.open_output_stream(path + ".part") as f:
+        f.write(codecs.write_tiff(codecs.Raster(data, r.crs, r.geotransform, r.nodata)))
+    files.move(path + ".part", path)
+    return path

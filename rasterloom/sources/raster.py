@@ -335,13 +335,13 @@ def to_geotiff(files: DataFrame, out: str) -> DataFrame:
 
 def load_pair(source: str, reference: str, most: int = 4096) -> tuple[codecs.Raster, codecs.Raster]:
     """The parts of two rasters that show the same ground, at most ``most`` pixels a side; where they have no common reference system, or boxes that don't meet, the centre of each."""
-    a, b = OpenRaster(source), OpenRaster(reference)
-    if a.crs and a.crs == b.crs and a.geotransform and b.geotransform:
-        p, q = a.box(), b.box()
-        common = max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])
-        if common[2] > common[0] and common[3] > common[1]:
-            return a.window(*a.window_of(common, most)), b.window(*b.window_of(common, most))
-    return a.window(*a.centre(most)), b.window(*b.centre(most))
+    with OpenRaster(source) as a, OpenRaster(reference) as b:
+        if a.crs and a.crs == b.crs and a.geotransform and b.geotransform:
+            p, q = a.box(), b.box()
+            common = max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])
+            if common[2] > common[0] and common[3] > common[1]:
+                return a.window(*a.window_of(common, most)), b.window(*b.window_of(common, most))
+        return a.window(*a.centre(most)), b.window(*b.centre(most))
 
 
 def pixels(tiles: DataFrame) -> DataFrame:

@@ -82,6 +82,30 @@ def test_marginal_scores_beat_counts(spark, noise):
         assert errors["magsac++"] < 0.9 * errors["ransac"]
 
 
+def test_robust_fundamental(spark):
+    """Two views of a scene with depth, three of ten matches wrong: the inliers are the true ones, and points of the same epipolar lines."""
+    rng = np.random.default_rng(9)
+    rows, good = [], {}
+    for p in range(3):
+        world = np.column_stack([rng.uniform(-1, 1, (120, 2)), rng.uniform(4, 8, 120)])
+        c, s = np.cos(0.15), np.sin(0.15)
+        moved = world @ np.array([[c, 0, s], [0, 1, 0], [-s, 0, c]]).T + [0.6, 0.2, 0]
+        a, b = (400 * w[:, :2] / w[:, 2:] + 250 for w in (world, moved))
+        good[p] = rng.random(120) > 0.3
+        b[~good[p]] += rng.uniform(30, 90, ((~good[p]).sum(), 2))
+        rows += [(p, k, *map(float, (*a[k], *b[k]))) for k in range(120)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    best = robust.robust_fit(df, "fundamental", threshold=1.0)
+    inside = robust.with_models(df, best).withColumn("d", robust.residual("fundamental")).where("d <= 1").collect()
+    for r in best.collect():
+        found = {x.idx for x in inside if x.pair_id == r.pair_id}
+        # A wrong match may lie on its line by chance.
+        assert r.inliers == len(found) >= good[r.pair_id].sum() and len(set(np.flatnonzero(good[r.pair_id])) - found) <= 4 and len(found) < good[r.pair_id].sum() + 12
+        part = np.array([x[2:] for x in rows[120 * r.pair_id: 120 * r.pair_id + 120]])
+        d = points.distances("fundamental", model(r), part[:, :2], part[:, 2:])
+        assert set(np.flatnonzero(d <= 1)) == found
+
+
 def test_least_median(spark):
     df = spark.createDataFrame(made(4, 20, 80, 0.3, 0.3)[0], COLUMNS)
     for r in robust.robust_fit(df, method="lmeds").collect():
@@ -113,8 +137,8 @@ def test_ordinals_and_draws(spark):
     rows = [(p, k // 2, float(k), 0.0, 0.0, 0.0) for p, n in ((1, 500), (2, 3), (9, 1)) for k in range(n)]
     got = robust.ordinals(spark.createDataFrame(rows[::-1], COLUMNS).repartition(5), Folder(spark, "test")).orderBy("pair_id", "k").collect()
     assert [(r.pair_id, r.k, r.sx) for r in got] == [(p, k, float(k)) for p, n in ((1, 500), (2, 3), (9, 1)) for k in range(n)]
-    for need, n in ((3, 3), (3, 7), (4, 4), (4, 100)):
-        drawn = spark.range(200).select(*[c.alias(f"k{i}") for i, c in enumerate(robust.drawn(F.col("id"), F.lit(n), need))]).collect()
+    for need, n in ((3, 3), (3, 7), (4, 4), (4, 100), (8, 30)):
+        drawn = [r.k for r in spark.range(200).select(robust.drawn(F.col("id"), F.lit(n), need).alias("k")).collect()]
         assert all(len(set(r)) == need and min(r) >= 0 and max(r) < n for r in drawn)
         assert len({frozenset(r) for r in drawn}) == 1 if n == need else len({frozenset(r) for r in drawn}) > 10
 

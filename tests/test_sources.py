@@ -279,15 +279,29 @@ def test_settings(tmp_path):
     for bad in ({"illumination_method": "x"}, {"pyramid_scale_factor": 1.0}, {"refinement_patch_size": 4}, {"match_threshold": 1.1}, {"ransac_confidence": 1.0}, {"max_keypoints": 0}, {"full_res_refine": 1}, {"transform_type": "similarity"}):
         with pytest.raises(ValueError):
             RegistrationConfig(**bad)
-    (tmp_path / "c.json").write_text('{"registration": {"max_keypoints": 5}}')
-    assert AppConfig.load(str(tmp_path / "c.json")).registration.max_keypoints == 5
+    (tmp_path / "c.json").write_text('{"pipeline": {"max_keypoints": 5}}')
+    assert AppConfig.load(str(tmp_path / "c.json")).pipeline.max_keypoints == 5
+    for text in ('{"pipeline": {"colour": 5}}', '{"registration": {}}', '{"web": {"hosts": "x"}}', '{"pipeline": {"device": "tpu"}}'):
+        (tmp_path / "d.json").write_text(text)
+        with pytest.raises(ValueError):
+            AppConfig.load(str(tmp_path / "d.json"))
     pytest.importorskip("yaml")
-    (tmp_path / "c.yaml").write_text("registration:\n  max_keypoints: 7\n  transform_type: affine\nstorage:\n")
+    (tmp_path / "c.yaml").write_text("pipeline:\n  max_keypoints: 7\n  transform_type: affine\nstorage:\n")
     loaded = AppConfig.load(str(tmp_path / "c.yaml"))
-    assert (loaded.registration.max_keypoints, loaded.registration.transform_type, loaded.storage.jobs) == (7, "affine", "jobs")
-    (tmp_path / "d.json").write_text('{"registration": {"colour": 5}}')
-    with pytest.raises(ValueError):
-        AppConfig.load(str(tmp_path / "d.json"))
+    assert (loaded.pipeline.max_keypoints, loaded.pipeline.transform_type, loaded.storage.export_dir) == (7, "affine", "./exports")
+    # Every section and setting that settings files have.
+    whole = {
+        "pipeline": {"illumination_method": "phase_congruency", "pyramid_levels": None, "pyramid_scale_factor": 0.5, "detection_method": "superpoint", "max_keypoints": 8192, "matching_method": "lightglue", "match_threshold": 0.2, "outlier_method": "magsac++",
+                     "ransac_confidence": 0.999, "ransac_max_iters": 10000, "transform_type": None, "refine_subpixel": True, "refinement_patch_size": 21, "interpolation": "bicubic", "device": "auto"},
+        "web": {"host": "0.0.0.0", "port": 8000, "upload_max_size_mb": 500, "results_dir": "./results", "cors_origins": ["*"]}, "storage": {"upload_dir": "./uploads", "results_dir": "./results", "export_dir": "./exports"},
+    }
+    import yaml
+
+    (tmp_path / "whole.yaml").write_text("# all of them\n" + yaml.safe_dump(whole))
+    loaded = AppConfig.load(str(tmp_path / "whole.yaml"))
+    assert {k: {x: getattr(getattr(loaded, k), x) for x in v} for k, v in whole.items()} == whole
+    (tmp_path / "empty.yaml").write_text("")
+    assert AppConfig.load(str(tmp_path / "empty.yaml")) == AppConfig()
     assert preset("sift:bf") == ("sift", "bf")
 
 
@@ -356,6 +370,11 @@ def test_register_pairs(spark, tmp_path):
     assert not got["gone"].success and got["gone"].stage == "load" and not got["bad"].success
     written = codecs.read_tiff(open(got["ok"].output, "rb").read())
     assert written.data.shape == (2, 200, 200) and written.geotransform == GEO
+    # What can't be written fails its own pair, with the transform that was found.
+    (tmp_path / "full").write_text("a file, no folder")
+    lost = {r.pair_id: r for r in register_pairs(pairs, RegistrationConfig(illumination_method="clahe"), str(tmp_path / "full")).collect()}
+    assert len(lost) == 3 and not lost["ok"].success and lost["ok"].stage == "export" and lost["ok"].error and lost["ok"].output is None
+    assert np.allclose(lost["ok"].m, got["ok"].m) and lost["gone"].stage == "load"
 
 
 def test_overlapping_windows(tmp_path):
