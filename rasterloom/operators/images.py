@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip
 from . import stencil
+from .tiles import blocks, ends, pieces, put_together
 
 BICUBIC = -0.75
 #: First and last neighbour, from the floor (nearest: from the rounded place), that a method reads along an axis.
@@ -62,45 +63,67 @@ def resample(img: np.ndarray, u: np.ndarray, v: np.ndarray, method: str = "bilin
 
 
 def warp(px: DataFrame, m: Sequence[float], height: int, width: int, method: str = "bilinear", border: float = 0.0) -> DataFrame:
-    """px resampled on a height x width grid by the matrix m (9 numbers, source to output). Neighbours outside the image have the value ``border``.
-    Output tiles list the source blocks that their pixels touch, whatever the matrix; a pixel is sent to the tiles of its block, and each tile is resampled in one task. Tiles are smaller
-    where the source is denser, so that a tile's source stays near one block in size."""
+    """px resampled on a height x width grid by the matrix m (9 numbers, source to output). Neighbours outside the image have the value ``border``."""
+    models = px.select("image").distinct().withColumns({"m": F.array(*[F.lit(float(v)) for v in m]), "height": F.lit(height), "width": F.lit(width)})
+    return warp_each(px, models, method, border)
+
+
+def warp_each(px: DataFrame, models: DataFrame, method: str = "bilinear", border: float = 0.0) -> DataFrame:
+    """(image, y, x, v): each image of px resampled by its own model (image, m array<double> of 9 from source to output, height, width); images without a model, or with one that has no inverse, have no rows.
+
+    Output tiles list the source blocks that their pixels touch, whatever the matrix; a block goes to the tiles that need it as one row, and each tile is resampled in one task. Tiles are smaller where the source is denser, so that a tile's source
+    stays near one block in size."""
     if method not in REACH:
         raise ValueError(f"unknown interpolation {method!r}")
-    inverse, (low, high) = np.linalg.inv(np.array(m, float).reshape(3, 3)), REACH[method]
-    side = int(np.clip(BLOCK / max(1.0, np.sqrt(abs(np.linalg.det(inverse[:2, :2]))) / abs(inverse[2, 2])), 16, BLOCK))
+    low, high = REACH[method]
     kind = dict(px.dtypes)["image"]
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // side).cast("long"))
-    tiles = px.select("image").distinct().withColumn("ty", F.explode(upto(height))).withColumn("tx", F.explode(upto(width)))
 
-    def grid(ty: int, tx: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.mgrid[ty * side: min(ty * side + side, height), tx * side: min(tx * side + side, width)]
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for image, m, height, width in pdf.itertuples(index=False):
+                m = np.array(m, float).reshape(3, 3)
+                if not np.isfinite(m).all() or abs(np.linalg.det(m)) < 1e-300:
+                    continue
+                inverse = np.linalg.inv(m)
+                side = int(np.clip(BLOCK / max(1.0, np.sqrt(abs(np.linalg.det(inverse[:2, :2]))) / abs(inverse[2, 2])), 16, BLOCK))
+                rows += [(image, ty, tx, side, height, width, inverse.ravel().tolist()) for ty in range(-(-height // side)) for tx in range(-(-width // side))]
+                if len(rows) > 10_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["image", "ty", "tx", "side", "height", "width", "inverse"]
+    tile_kind = f"image {kind}, ty long, tx long, side int, height int, width int, inverse array<double>"
+    out = models.select("image", "m", F.col("height").cast("int"), F.col("width").cast("int")).mapInPandas(cut, tile_kind)
+
+    def grid(t) -> tuple[np.ndarray, np.ndarray]:
+        return np.mgrid[int(t.ty) * int(t.side): min((int(t.ty) + 1) * int(t.side), int(t.height)), int(t.tx) * int(t.side): min((int(t.tx) + 1) * int(t.side), int(t.width))]
 
     def touched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for image, ty, tx in pdf.itertuples(index=False):
-                bx, by = bases(*sources_of(inverse, *grid(ty, tx)), method)
+            for t in pdf.itertuples(index=False):
+                bx, by = bases(*sources_of(np.array(t.inverse).reshape(3, 3), *grid(t)), method)
                 at = np.unique(np.concatenate([np.column_stack([(by + j).ravel() // BLOCK, (bx + i).ravel() // BLOCK]) for j in (low, high) for i in (low, high)]), axis=0)
-                yield pd.DataFrame({"image": image, "ty": ty, "tx": tx, "sy": at[:, 0], "sx": at[:, 1]})
+                yield pd.DataFrame({"image": t.image, "ty": t.ty, "tx": t.tx, "sy": at[:, 0], "sx": at[:, 1]})
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = grid(key[1], key[2])
-        found = pdf.dropna(subset=["y"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pdf[pdf["y0"].isna()].iloc[0]
+        y, x = grid(t)
+        found = pdf.dropna(subset=["y0"]).astype({c: np.int64 for c in ("y0", "x0", "h", "w")})
         if found.empty:
             v = np.full(y.shape, float(border))
         else:
-            sy, sx = found["y"].to_numpy(np.int64), found["x"].to_numpy(np.int64)
-            img = np.full((sy.max() - sy.min() + 1, sx.max() - sx.min() + 1), float(border))
-            img[sy - sy.min(), sx - sx.min()] = found["v"]
-            u, w = sources_of(inverse, y, x)
-            v = resample(img, u - sx.min(), w - sy.min(), method, border)
-        return pd.DataFrame({"image": key[0], "y": y.ravel(), "x": x.ravel(), "v": v.ravel()})
+            img, top, left = put_together(found, fill=float(border))
+            u, w = sources_of(np.array(t.inverse).reshape(3, 3), y, x)
+            v = resample(img, u - left, w - top, method, border)
+        return pd.DataFrame({"image": t.image, "y": y.ravel(), "x": x.ravel(), "v": v.ravel()})
 
-    needed = tiles.mapInPandas(touched, f"image {kind}, ty long, tx long, sy long, sx long")
-    blocks = px.select("image", F.floor(F.col("y") / BLOCK).alias("sy"), F.floor(F.col("x") / BLOCK).alias("sx"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("v").cast("double").alias("v"))
-    sent = blocks.join(needed, ["image", "sy", "sx"]).select("image", "ty", "tx", "y", "x", "v")
-    nothing = [F.lit(None).cast("double").alias(c) for c in ("y", "x", "v")]
-    return sent.unionAll(tiles.select("image", "ty", "tx", *nothing)).groupBy("image", "ty", "tx").applyInPandas(run, f"image {kind}, y long, x long, v double")
+    needed = out.mapInPandas(touched, f"image {kind}, ty long, tx long, sy long, sx long")
+    parts = blocks(px, BLOCK, border).withColumns({"sy": F.floor(F.col("y0") / BLOCK), "sx": F.floor(F.col("x0") / BLOCK)})
+    sent = parts.join(needed, ["image", "sy", "sx"]).select("image", "ty", "tx", "y0", "x0", "h", "w", "data", *[F.lit(None).cast(k).alias(c) for c, k in (("side", "int"), ("height", "int"), ("width", "int"), ("inverse", "array<double>"))])
+    own = out.select("image", "ty", "tx", *[F.lit(None).cast(k).alias(c) for c, k in (("y0", "long"), ("x0", "long"), ("h", "int"), ("w", "int"), ("data", "binary"))], "side", "height", "width", "inverse")
+    return sent.unionByName(own).groupBy("image", "ty", "tx").applyInPandas(run, f"image {kind}, y long, x long, v double")
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -186,16 +209,25 @@ def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _patches(px: DataFrame, at: DataFrame, x: str, y: str, radius: int, name: str) -> DataFrame:
-    """(image, idx, name): the values around each place as one array, row by row."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    asked = at.select("image", "idx", x, F.explode(F.transform(span, lambda k: F.col(y) + k)).alias("y")).select("image", "idx", "y", F.explode(F.transform(span, lambda k: F.col(x) + k)).alias("x"))
-    found = asked.join(px.select("image", "y", "x", F.col("v").cast("double").alias("v")), ["image", "y", "x"])
-    return found.groupBy("image", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias(name))
+    """(image, idx, name): the values around each place as bytes of doubles, row by row. A place goes to the tile that owns it, which sees ``radius`` pixels around; each patch is cut out there and leaves as one row."""
+    places = at.select("image", "idx", F.col(x).alias("px"), F.col(y).alias("py"), F.floor(F.col(y) / BLOCK).alias("ty"), F.floor(F.col(x) / BLOCK).alias("tx"))
+    parts = pieces(blocks(px, BLOCK).join(ends(px), "image"), BLOCK, radius).join(places.select("image", "ty", "tx").distinct(), ["image", "ty", "tx"], "left_semi")
+    kinds = dict(at.dtypes)
+
+    def cut(tile: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(tile) or not len(asked):
+            return pd.DataFrame({"image": [], "idx": [], name: []})
+        img, top, left = put_together(tile)
+        inside = [img[b - top - radius: b - top + radius + 1, a - left - radius: a - left + radius + 1].tobytes() for a, b in zip(asked["px"], asked["py"])]
+        return pd.DataFrame({"image": asked["image"], "idx": asked["idx"], name: inside})
+
+    keys = ["image", "ty", "tx"]
+    return parts.groupBy(*keys).cogroup(places.groupBy(*keys)).applyInPandas(cut, f"image {kinds['image']}, idx {kinds['idx']}, {name} binary")
 
 
 def ncc_map(source: DataFrame, reference: DataFrame, matches: DataFrame, patch: int = 21, search: int = 3) -> DataFrame:
     """(match columns, ix, iy, jx, jy, dy, dx, ncc): zero-mean normalised correlation of each match's source patch with the reference at offsets -search..search around the rounded places.
-    Matches whose patch or window leaves the image, or is flat (deviation under 1e-4), drop out. Each patch and each window is cut once, and correlated in batches."""
+    Matches whose patch or window leaves the image, or is flat (deviation under 1e-4), drop out; missing pixels count as 0. Each patch and each window is cut once, by the tile that it lies in, and correlated in batches: two rows a match are shuffled."""
     half = patch // 2
     cols = matches.columns
     m = matches.withColumns({"ix": F.rint("sx").cast("long"), "iy": F.rint("sy").cast("long"), "jx": F.rint("rx").cast("long"), "jy": F.rint("ry").cast("long")})
@@ -204,13 +236,12 @@ def ncc_map(source: DataFrame, reference: DataFrame, matches: DataFrame, patch:
     m = m.select(*cols, "ix", "iy", "jx", "jy")
     cut = m.join(_patches(source, m, "ix", "iy", half, "_a"), ["image", "idx"]).join(_patches(reference, m, "jx", "jy", half + search, "_b"), ["image", "idx"])
     p, q, n = 2 * half + 1, 2 * (half + search) + 1, 2 * search + 1
-    cut = cut.where((F.size("_a") == p * p) & (F.size("_b") == q * q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k: k + 256]
-                a, b = np.stack(part["_a"].to_numpy()).reshape(-1, p, p), np.stack(part["_b"].to_numpy()).reshape(-1, q, q)
+                a, b = (np.frombuffer(b"".join(part[c]), np.float64).reshape(-1, n, n) for c, n in (("_a", p), ("_b", q)))
                 varied = (a.std((1, 2)) >= 1e-4) & (b.std((1, 2)) >= 1e-4)
                 part, ncc = part[varied].drop(columns=["_a", "_b"]), correlations(a[varied], b[varied])
                 dy, dx = np.mgrid[-search: search + 1, -search: search + 1]

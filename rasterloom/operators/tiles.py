@@ -12,17 +12,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+#: Columns of blocks, and of the pieces that tiles see of them.
 BLOCK = "image string, y0 long, x0 long, h int, w int, data binary"
 PIECE = f"{BLOCK}, ty long, tx long, height long, width long, lo double, hi double"
 
 
-def blocks(px: DataFrame, side: int = 512) -> DataFrame:
-    """Blocks of a pixel table (image, y, x, v) in doubles; pixels that are missing inside a block are 0."""
+def blocks(px: DataFrame, side: int = 512, fill: float = 0.0) -> DataFrame:
+    """Blocks of a pixel table (image, y, x, v) in doubles; pixels that are missing inside a block are ``fill``."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(pdf["y"].min()), int(pdf["x"].min())
         h, w = int(pdf["y"].max()) - y0 + 1, int(pdf["x"].max()) - x0 + 1
-        out = np.zeros((h, w))
+        out = np.full((h, w), float(fill))
         out[pdf["y"] - y0, pdf["x"] - x0] = pdf["v"]
         return pd.DataFrame([[pdf["image"].iloc[0], y0, x0, h, w, out.tobytes()]], columns=["image", "y0", "x0", "h", "w", "data"])
 
@@ -58,10 +59,10 @@ def pieces(parts: DataFrame, side: int, halo: int, dtype: str = "float64") -> Da
     return parts.select("image", "y0", "x0", "h", "w", "data", "height", "width", "lo", "hi").mapInPandas(cut, PIECE)
 
 
-def put_together(pdf: pd.DataFrame, dtype: str = "float64") -> tuple[np.ndarray, int, int]:
-    """(array, y, x of its first pixel) of a tile's pieces."""
+def put_together(pdf: pd.DataFrame, dtype: str = "float64", fill: float = 0.0) -> tuple[np.ndarray, int, int]:
+    """(array, y, x of its first pixel) of a tile's pieces, or of some blocks."""
     y0, x0 = int(pdf["y0"].min()), int(pdf["x0"].min())
-    out = np.zeros((int((pdf["y0"] + pdf["h"]).max()) - y0, int((pdf["x0"] + pdf["w"]).max()) - x0), dtype)
+    out = np.full((int((pdf["y0"] + pdf["h"]).max()) - y0, int((pdf["x0"] + pdf["w"]).max()) - x0), fill, dtype)
     for p in pdf.itertuples(index=False):
         out[p.y0 - y0: p.y0 - y0 + p.h, p.x0 - x0: p.x0 - x0 + p.w] = np.frombuffer(p.data, dtype, p.h * p.w).reshape(p.h, p.w)
     return out, y0, x0
