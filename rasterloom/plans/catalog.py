@@ -137,6 +137,21 @@ def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.overlap(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), 40.0)
 
 
+_SIDE = "CASE WHEN o_orderkey % 199 = 0 THEN 4000 WHEN o_orderkey % 31 = 0 THEN 300 ELSE 1 + o_custkey % 20 END"
+SQL_MIXED = f"""mb AS (SELECT o_orderkey AS id, o_orderstatus AS crs, o_custkey * 31 % 4000 AS l, o_orderkey * 17 % 4000 AS b, o_custkey * 31 % 4000 + {_SIDE} AS r, o_orderkey * 17 % 4000 + 1 + ({_SIDE}) // 2 AS t FROM orders)"""
+
+
+@query(f"""WITH {SQL_MIXED} SELECT p.id AS a_id, q.id AS b_id, CAST(greatest(p.l, q.l) AS DOUBLE) AS "left", CAST(greatest(p.b, q.b) AS DOUBLE) AS bottom, CAST(least(p.r, q.r) AS DOUBLE) AS "right", CAST(least(p.t, q.t) AS DOUBLE) AS top
+FROM mb p JOIN mb q ON p.crs = q.crs AND p.id % 2 = 0 AND q.id % 2 = 1 AND least(p.r, q.r) > greatest(p.l, q.l) AND least(p.t, q.t) > greatest(p.b, q.b)""")
+def bbox_overlap_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with sides from 1 to 4000 in one table."""
+    side = F.expr(_SIDE)
+    l, b = F.col("o_custkey") * 31 % 4000, F.col("o_orderkey") * 17 % 4000
+    box = {"left": l, "bottom": b, "right": l + side, "top": b + 1 + F.floor(side / 2)}
+    boxes = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("crs"), *[v.cast("double").alias(k) for k, v in box.items()])
+    return rules.overlap(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), 4.0)
+
+
 SQL_CAP = """SELECT p_partkey, greatest(0, floor({0})) + greatest(0, floor((greatest(1, least(ceil({1}), {2} - greatest(0, floor({0})))) - 30) / 2)) AS {3}_off,
 least(greatest(1, least(ceil({1}), {2} - greatest(0, floor({0})))), 30) AS {3}_size FROM part"""
 

@@ -90,3 +90,34 @@ def test_no_task_sees_more_than_a_tile(spark, images):
     side, halo = 64, features.reach()
     sizes = tiles.pieces(tiles.blocks(px, side).join(tiles.ends(px), "image"), side, halo).groupBy("ty", "tx").agg(F.sum(F.col("h") * F.col("w")).alias("n"))
     assert sizes.agg(F.max("n")).first()[0] <= (side + 2 * halo) ** 2
+
+
+def test_boxes_of_all_sizes(spark):
+    """Every pair once, whatever the sizes; no box is listed in more than four cells a level; touching, empty and null boxes meet nothing."""
+    from rasterloom.operators import rules
+
+    rng = np.random.default_rng(6)
+
+    def boxes(n, start):
+        side = np.exp(rng.uniform(np.log(0.5), np.log(4000), (n, 2)))
+        low = rng.uniform(-2000, 2000, (n, 2)).round(1)
+        return [(start + k, "xy"[k % 2], *map(float, (low[k, 0], low[k, 1], low[k, 0] + side[k, 0], low[k, 1] + side[k, 1]))) for k in range(n)]
+
+    a, b = boxes(150, 0), boxes(150, 1000)
+    a += [(200, "x", 0.0, 0.0, 8.0, 8.0), (201, "x", 1.0, 1.0, 1.0, 5.0), (202, None, 0.0, 0.0, 9.0, 9.0), (203, "x", None, 0.0, 1.0, 1.0)]
+    b += [(1200, "x", 8.0, 0.0, 16.0, 8.0), (1201, "x", 4.0, 4.0, 12.0, 12.0), (1202, None, 0.0, 0.0, 9.0, 9.0), (1203, "x", 5.0, 5.0, 4.0, 6.0)]
+    wanted = {}
+    for i, c, *p in a:
+        for j, d, *q in b:
+            if c is not None and c == d and None not in p and p[2] > p[0] and p[3] > p[1] and q[2] > q[0] and q[3] > q[1]:
+                box = (max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3]))
+                if box[2] > box[0] and box[3] > box[1]:
+                    wanted[(i, j)] = box
+    kinds = "id long, crs string, left double, bottom double, right double, top double"
+    for cell in (1.0, 7.0, 5000.0):
+        got = rules.overlap(spark.createDataFrame(a, kinds), spark.createDataFrame(b, kinds), cell).collect()
+        assert len(got) == len(wanted) and {(r.a_id, r.b_id): (r.left, r.bottom, r.right, r.top) for r in got} == wanted
+    whole = spark.createDataFrame(a[:150], kinds).withColumn("level", rules._level(1.0))
+    each = rules.listed(whole, 1.0, F.sequence(F.col("level"), F.lit(14))).groupBy("id", "at").count()
+    assert each.agg(F.max("count")).first()[0] <= 4
+    assert rules.overlap(spark.createDataFrame([], kinds), spark.createDataFrame(b, kinds), 1.0).count() == 0
