@@ -6,7 +6,7 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -292,47 +292,52 @@ def write_tiff(raster: Raster, tile: int = 256, big: bool | None = None) -> byte
         raise ValueError(f"{data.ndim} dimensions; 2 or 3 are needed")
     elif data.shape[0] > 4:
         data = np.moveaxis(data, 2, 0)
-    data = data.astype(data.dtype.newbyteorder("<"))
-    n, h, w = data.shape
-    blocks = []
-    for band in data:
-        for y in range(0, h, tile):
-            for x in range(0, w, tile):
-                block = np.zeros((tile, tile), data.dtype)
-                part = band[y: y + tile, x: x + tile]
-                block[: part.shape[0], : part.shape[1]] = part
-                blocks.append(zlib.compress(block.tobytes()))
-    kind = {"u": 1, "i": 2, "f": 3}[data.dtype.kind]
+    _, h, w = data.shape
+    blocks = [tiff_block(band[y: y + tile, x: x + tile], tile) for band in data for y in range(0, h, tile) for x in range(0, w, tile)]
+    return tiff_head(data.shape, data.dtype, [len(b) for b in blocks], raster, tile, big) + b"".join(blocks)
+
+
+def tiff_block(part: np.ndarray, tile: int) -> bytes:
+    """One compressed block; pixels beyond the image are 0."""
+    block = np.zeros((tile, tile), part.dtype.newbyteorder("<"))
+    block[: part.shape[0], : part.shape[1]] = part
+    return zlib.compress(block.tobytes())
+
+
+def tiff_head(shape: tuple[int, int, int], dtype: np.dtype, sizes: Sequence[int], about: Raster, tile: int = 256, big: bool | None = None) -> bytes:
+    """All of a tiled GeoTIFF before its blocks, which follow one another by band, row and column and have these sizes; about: whose reference system, nodata value and tags it gets."""
+    n, h, w = shape
+    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
     tags: dict[int, tuple[int, tuple | bytes]] = {
-        WIDTH: (4, (w,)), HEIGHT: (4, (h,)), BITS: (3, (data.dtype.itemsize * 8,) * n), COMPRESSION: (3, (DEFLATE,)), PHOTOMETRIC: (3, (1,)), SAMPLES: (3, (n,)), PLANAR: (3, (2 if n > 1 else 1,)),
+        WIDTH: (4, (w,)), HEIGHT: (4, (h,)), BITS: (3, (dtype.itemsize * 8,) * n), COMPRESSION: (3, (DEFLATE,)), PHOTOMETRIC: (3, (1,)), SAMPLES: (3, (n,)), PLANAR: (3, (2 if n > 1 else 1,)),
         TILE_WIDTH: (3, (tile,)), TILE_HEIGHT: (3, (tile,)), FORMAT: (3, (kind,) * n),
     }
-    if raster.geotransform:
-        c, a, b, f, d, e = raster.geotransform
+    if about.geotransform:
+        c, a, b, f, d, e = about.geotransform
         tags[MATRIX] = (12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0))
-    if raster.crs:
-        tags |= crs_tags(raster.crs)
-    if raster.nodata is not None:
-        tags[NODATA] = (2, f"{raster.nodata:g}".encode() + b"\0")
-    if raster.tags:
-        items = "".join(f'<Item name="{k}">{v}</Item>' for k, v in raster.tags.items())
+    if about.crs:
+        tags |= crs_tags(about.crs)
+    if about.nodata is not None:
+        tags[NODATA] = (2, f"{about.nodata:g}".encode() + b"\0")
+    if about.tags:
+        items = "".join(f'<Item name="{k}">{v}</Item>' for k, v in about.tags.items())
         tags[METADATA] = (2, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0")
     # Files that could outgrow 32-bit offsets are BigTIFFs: wider counts, entries and offsets.
-    big = sum(map(len, blocks)) + 64 * len(blocks) + (1 << 20) >= 1 << 32 if big is None else big
+    big = sum(sizes) + 64 * len(sizes) + (1 << 20) >= 1 << 32 if big is None else big
     many, word, place = ("Q", "Q", 16) if big else ("H", "I", 4)
     room = struct.calcsize("<" + word)
     head = 16 if big else 8
     start = head + struct.calcsize("<" + many) + (4 + 2 * room) * (len(tags) + 2) + room
-    tags[TILE_OFFSETS], tags[TILE_COUNTS] = (place, (0,) * len(blocks)), (4, tuple(map(len, blocks)))
+    tags[TILE_OFFSETS], tags[TILE_COUNTS] = (place, (0,) * len(sizes)), (4, tuple(sizes))
 
     def packed(kind: int, value) -> bytes:
         return value if isinstance(value, bytes) else struct.pack(f"<{len(value)}{_TYPES[kind]}", *value)
 
     size = sum(len(p) + len(p) % 2 for k, v in tags.values() if len(p := packed(k, v)) > room)
     at, places = start + size, []
-    for b in blocks:
+    for b in sizes:
         places.append(at)
-        at += len(b)
+        at += b
     tags[TILE_OFFSETS] = (place, tuple(places))
     entries, extra = b"", b""
     for tag in sorted(tags):
@@ -345,7 +350,7 @@ def write_tiff(raster: Raster, tile: int = 256, big: bool | None = None) -> byte
             entries += struct.pack(f"<HH{word}{word}", tag, k, count, start + len(extra))
             extra += p + b"\0" * (len(p) % 2)
     magic = b"II+\0" + struct.pack("<HHQ", 8, 0, head) if big else b"II*\0" + struct.pack("<I", head)
-    return magic + struct.pack("<" + many, len(tags)) + entries + struct.pack("<" + word, 0) + extra + b"".join(blocks)
+    return magic + struct.pack("<" + many, len(tags)) + entries + struct.pack("<" + word, 0) + extra
 
 
 def read_png(data: bytes) -> Raster:

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from . import codecs
+from .shared import Folder
 
 TILE_SCHEMA = "image string, band int, row_off int, col_off int, h int, w int, dtype string, data binary"
 META_SCHEMA = "path string, width int, height int, bands int, dtype string, crs string, geotransform array<double>, nodata double, tags map<string,string>, error string"
@@ -133,8 +134,8 @@ class _TiffWriter(DataSourceWriter):
             data[at], known[at] = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"]), True
         if not known.all():
             raise ValueError(f"{name}: {known.size - known.sum()} of {known.size} pixels are in no tile of this partition")
-        geo, nodata = self.options.get("geotransform"), self.options.get("nodata")
-        return codecs.Raster(data, self.options.get("crs"), tuple(float(v) for v in geo.split(",")) if geo else None, None if nodata is None else float(nodata))
+        about = _about(self.options)
+        return codecs.Raster(data, about.crs, about.geotransform, about.nodata)
 
     def commit(self, messages: list[_Written | None]) -> None:
         files, root = _open(self.options["path"])
@@ -153,10 +154,103 @@ class _TiffWriter(DataSourceWriter):
                 files.delete_file(part)
 
 
-def save(tiles: DataFrame, path: str, **options: str) -> None:
-    """Writes tiles, whatever partitions they are in, as one GeoTIFF an image: the tiles of an image meet in one task. options: of the writer."""
-    together = tiles.repartition("image").sortWithinPartitions("image", "band", "row_off", "col_off")
-    together.write.format("raster").mode("append").options(path=path, **options).save()
+def _about(options: dict) -> codecs.Raster:
+    geo, nodata = options.get("geotransform"), options.get("nodata")
+    return codecs.Raster(np.zeros((1, 1)), options.get("crs"), tuple(float(v) for v in geo.split(",")) if geo else None, None if nodata is None else float(nodata))
+
+
+def save(tiles: DataFrame, path: str, side: int = 256, part_bytes: int = 64 << 20, **options: str) -> DataFrame:
+    """Writes tiles, whatever partitions they are in, as one tiled GeoTIFF an image, <path>/<image>.tif, a BigTIFF where it needs to be; (image, output, bytes) of what was written. options: crs, geotransform (6 numbers), nodata.
+
+    Tiles are cut by the file's blocks of ``side`` pixels, and each block is put together and compressed on its own. Running sums of the blocks' sizes say where each goes; tasks write stretches of about ``part_bytes`` as parts, and then one
+    stream an image joins header and parts. No task holds more than a part. Pixels in no tile, or kinds of values that differ, are an error, and then no file appears. Where tiles overlap, any of them may win.
+    """
+    folder = Folder(tiles.sparkSession, "geotiff")
+    whole = tiles.groupBy("image").agg(F.max("band").alias("bands"), F.max(F.col("row_off") + F.col("h")).cast("long").alias("height"), F.max(F.col("col_off") + F.col("w")).cast("long").alias("width"), F.min("dtype").alias("dtype"), F.max("dtype").alias("other"))
+    whole = folder.save(whole, "images")
+    if (mixed := whole.where("dtype <> other").first()) is not None:
+        raise ValueError(f"{mixed['image']}: tiles of {mixed['dtype']} and {mixed['other']}")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                data, rows = np.frombuffer(t.data, t.dtype).reshape(t.h, t.w), []
+                for ty in range(t.row_off // side, (t.row_off + t.h - 1) // side + 1):
+                    for tx in range(t.col_off // side, (t.col_off + t.w - 1) // side + 1):
+                        y, x = max(t.row_off, ty * side), max(t.col_off, tx * side)
+                        part = data[y - t.row_off: (ty + 1) * side - t.row_off, x - t.col_off: (tx + 1) * side - t.col_off]
+                        rows.append((t.image, t.band, ty, tx, y - ty * side, x - tx * side, *part.shape, t.dtype, part.tobytes()))
+                yield pd.DataFrame(rows, columns=["image", "band", "ty", "tx", "y", "x", "h", "w", "dtype", "data"])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        shape = min(side, head["height"] - head["ty"] * side), min(side, head["width"] - head["tx"] * side)
+        data, known = np.zeros(shape, head["dtype"]), np.zeros(shape, bool)
+        for p in pdf.itertuples(index=False):
+            at = slice(p.y, p.y + p.h), slice(p.x, p.x + p.w)
+            data[at], known[at] = np.frombuffer(p.data, p.dtype).reshape(p.h, p.w), True
+        blob = codecs.tiff_block(data, side)
+        rows, columns = -(-head["height"] // side), -(-head["width"] // side)
+        seq = ((head["band"] - 1) * rows + head["ty"]) * columns + head["tx"]
+        return pd.DataFrame([[head["image"], seq, int(known.sum()), len(blob), blob]], columns=["image", "seq", "known", "size", "blob"])
+
+    pieces = tiles.select("image", "band", "row_off", "col_off", "h", "w", "dtype", "data").mapInPandas(cut, "image string, band int, ty long, tx long, y int, x int, h int, w int, dtype string, data binary")
+    made = pieces.join(whole.select("image", "height", "width"), "image").groupBy("image", "band", "ty", "tx").applyInPandas(block, "image string, seq long, known long, size long, blob binary")
+    made = folder.save(made, "blocks")
+    held = made.groupBy("image").agg(F.sum("known").alias("known")).join(whole, "image").withColumn("pixels", F.col("bands") * F.col("height") * F.col("width"))
+    if (hole := held.where("known < pixels").first()) is not None:
+        raise ValueError(f"{hole['image']}: {hole['pixels'] - hole['known']} of {hole['pixels']} pixels are in no tile")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("image").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    index = folder.save(made.select("image", "seq", "size").withColumn("part", F.floor(before / part_bytes)), "index")
+    root = folder.path
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = _open(root)
+        files.create_dir(f"{at}/parts", recursive=True)
+        now, out, name, size = None, None, "", 0
+        done = []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if (r.image, r.part) != now:
+                    if out is not None:
+                        out.close()
+                        done.append((*now, name, size))
+                    now, name, size = (r.image, r.part), uuid.uuid4().hex, 0  # a repeated task has a name of its own
+                    out = files.open_output_stream(f"{at}/parts/{name}")
+                out.write(r.blob)
+                size += len(r.blob)
+        if out is not None:
+            out.close()
+            done.append((*now, name, size))
+        yield pd.DataFrame(done, columns=["image", "part", "name", "bytes"])
+
+    blobs = made.select("image", "seq", "blob").join(index.select("image", "seq", "part"), ["image", "seq"])
+    parts = folder.save(blobs.repartition("image", "part").sortWithinPartitions("image", "part", "seq").mapInPandas(write, "image string, part long, name string, bytes long"), "written")
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (files, at), (there, to) = _open(root), _open(path)
+        there.create_dir(to, recursive=True)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                head = codecs.tiff_head((r.bands, r.height, r.width), np.dtype(r.dtype), [int(v) for v in r.sizes], _about(options), side)
+                part = f"{to}/.{r.image}.{uuid.uuid4().hex}.part"
+                with there.open_output_stream(part) as f:
+                    f.write(head)
+                    for name in r.names:
+                        with files.open_input_stream(f"{at}/parts/{name}") as g:
+                            while chunk := g.read(8 << 20):
+                                f.write(chunk)
+                there.move(part, f"{to}/{r.image}.tif")
+                yield pd.DataFrame({"image": [r.image], "output": [f"{to}/{r.image}.tif"], "bytes": [len(head) + int(sum(r.sizes))]})
+
+    def ordered(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+        return df.groupBy("image").agg(F.transform(F.sort_array(F.collect_list(F.struct(by, value))), lambda v: v[value]).alias(name))
+
+    each = whole.join(ordered(index, "seq", "size", "sizes"), "image").join(ordered(parts, "part", "name", "names"), "image")
+    written = folder.save(each.select("image", F.col("bands").cast("int"), "height", "width", "dtype", "sizes", "names").mapInPandas(join, "image string, output string, bytes long"), "result")
+    for name in ("parts", "blocks", "index"):
+        folder.drop(name)
+    return written
 
 
 class RasterDataSource(DataSource):

@@ -237,6 +237,26 @@ def test_tiles_in_any_partitions_make_whole_files(spark, tmp_path):
         assert not list((tmp_path / at).glob("*.tif"))
 
 
+def test_one_image_by_many_tasks(spark, tmp_path):
+    """A strip in tiles of any sizes, bands and parts; the file is what one writer makes of the whole array, but for the order of nothing."""
+    raster.register(spark)
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 60_000, (2, 1300, 90)).astype(np.uint16)
+    rows = [(n, b + 1, y, x, min(170, 1300 - y), min(41, 90 - x), "uint16", data[b, y: y + 170, x: x + 41].tobytes()) for n in ("strip", "again") for b in range(2) for y in range(0, 1300, 170) for x in range(0, 90, 41)]
+    tiles = spark.createDataFrame(rows, raster.TILE_SCHEMA).repartition(5)
+    found = raster.save(tiles, str(tmp_path / "out"), side=64, part_bytes=40_000, crs="EPSG:32633", geotransform=",".join(map(str, GEO)), nodata="7").collect()
+    assert {r.image for r in found} == {"strip", "again"}
+    wanted = codecs.write_tiff(codecs.Raster(data, "EPSG:32633", GEO, 7.0), 64)
+    for r in found:
+        assert open(r.output, "rb").read() == wanted and r.bytes == len(wanted)
+    with raster.OpenRaster(found[0].output) as f:
+        np.testing.assert_array_equal(f.window(1111, 13, 60, 70).data, data[:, 1111:1171, 13:83])
+    mixed = tiles.unionByName(spark.createDataFrame([("strip", 1, 0, 0, 1, 1, "uint8", b"x")], raster.TILE_SCHEMA))
+    with pytest.raises(ValueError, match="tiles of"):
+        raster.save(mixed, str(tmp_path / "mixed"))
+    assert raster.save(tiles.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_scan_and_bundles(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(codecs.write_tiff(codecs.Raster(np.ones((3, 4), np.uint8), "EPSG:4326", GEO, tags={"SUN_ELEVATION": "x", "SOLAR_ELEVATION": "12.5"})))
     (tmp_path / "b.txt").write_text("no raster")
