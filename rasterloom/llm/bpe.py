@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     """One row per row of docs (doc_id, text): doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256
     of the decoded bytes; with_ids: also ids, array<int>, and decoded, binary.
 
-    Null and empty texts have no ids. Repeated rows each give a row; null doc_ids stay null; other columns are not looked at.
+    Null and empty texts have no ids; long ones are encoded whole, match by match. Repeated rows each give a row; null doc_ids stay null; other columns are not looked at.
     """
     path, pattern = path or default_path("byte_bpe_multi_50k.tiktoken"), pattern or split_pattern()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids

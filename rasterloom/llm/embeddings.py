@@ -178,7 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = BL
     """One row per row of vectors (vec_id, embedding: an array of numbers): vec_id, n_links, component_id, kept.
 
     n_links counts the other rows with cosine at least ``threshold`` (0 < threshold <= 1), in double precision; component_id is the smallest vec_id reachable by links, kept whether it is the row's own. Vectors
-    that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths don't link. Repeated rows are vectors each. Null vec_ids are counted as
+    that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different lengths don't link, and long vectors are compared whole. Repeated rows are vectors each. Null vec_ids are counted as
     partners but name no component and are not kept. Other columns are not looked at; no rows give no rows.
     """
     ws = Workspace(vectors.sparkSession, "embeddings")

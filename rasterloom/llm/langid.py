@@ -159,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs (doc_id, text, lang), learned from the rows of docs that are not held out.
 
-    Rows without text, lang or doc_id teach nothing. With nothing learned all are ``und``. Repeated rows each give a row; ties between languages go to
+    Rows without text, lang or doc_id teach nothing. All of a long text counts. With nothing learned all are ``und``. Repeated rows each give a row; ties between languages go to
     the first in ascending order; other columns are not looked at.
     """
     model = fit(docs.where(~held_out()).where("doc_id is not null"), **options)

@@ -78,7 +78,7 @@ def remove_repeated_lines(docs: DataFrame, every: int = 2, count: bool = False,
     """docs (any columns, among them doc_id and text) with the repeated chunks' lines taken out of text; n_chars, if it is there, follows.
     count: also n_lines and n_removed (columns of docs with these names are replaced then).
 
-    Null texts stay null (no lines), empty ones have one empty line. Rows that repeat doc_id and text are one document: they lose the same chunks, and not
+    Null texts stay null (no lines), empty ones have one empty line; long ones are cut into chunks in one row like any other. Rows that repeat doc_id and text are one document: they lose the same chunks, and not
     to each other. No rows give no rows. A document all of whose chunks are removed keeps its row, with an empty text. Other columns may have any names.
     """
     if count:

@@ -184,7 +184,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFram
 def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, group: int = GROUP, effort: Effort = Effort()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of docs (doc_id, text) stands.
 
-    Null and empty texts are the end id alone. Repeated rows are packed each; null doc_ids stay null; other columns are not looked at; no rows give no rows.
+    Null and empty texts are the end id alone; long ones are tokenized whole and cut into pieces of ``capacity``. Repeated rows are packed each; null doc_ids stay null; other columns are not looked at; no rows give no rows.
     sequence_id is unique over all groups: group number times 2**32, plus the bin.
     """
     path = path or default_path("byte_bpe_50k.json")

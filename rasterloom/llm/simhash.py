@@ -311,7 +311,7 @@ def link_fingerprints(classes: DataFrame, ws: Workspace, orders: list[Order], bu
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int = 4, node_rows: int = 4096, in_task: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, fp long, component_id (the smallest doc_id reachable by links), root (a fingerprint that names the component).
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows each give a row.
+    Null, empty and blank texts have fingerprint zero and are linked like any other. All shingles of a long text count. Repeated rows each give a row.
     Rows with a null doc_id get their component's smallest doc_id, null where it has none. Other columns are not
     looked at; no rows give no rows.
     """

@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, chunk_bytes: int = CHUNK_B
     runs of words, the maximal exact repeats (overlapping ones merged). The text left is its words joined by one space; keep_spacing: a text that loses nothing stays as it is.
     digest: instead of docs' columns, doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
-    Words are runs of characters other than space and U+0009 to U+000D. Null texts have no words and stay null; empty and short ones lose nothing. Repeated rows are documents each, so they lose
+    Words are runs of characters other than space and U+0009 to U+000D. Null texts have no words and stay null; empty and short ones lose nothing. Long texts are worked on whole, by one task each, with about 30 bytes a byte of text. Repeated rows are documents each, so they lose
     what they share. No rows give no rows. Other columns may have any names; those named n_words, n_removed or spans are replaced. counts: False leaves docs' columns as they are and adds none; n_chars, if
     it is there, follows the text then.
     """

@@ -156,7 +156,7 @@ def fingerprint_and_edit(docs: DataFrame, k: int = K, s: int = S, range_bytes: i
     """One row per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many, or all, of the next document's first. Documents are ordered by doc_id, nulls first, then by a hash of the text,
-    then by text; the first follows the last; a single document follows itself; of rows that repeat doc_id and text, all but one are followed by their like. Null texts count as empty. Other columns are not looked at.
+    then by text; the first follows the last; a single document follows itself; of rows that repeat doc_id and text, all but one are followed by their like. Null texts count as empty; of long ones all anchors are in the fingerprint. Other columns are not looked at.
     No rows give no rows.
     """
     ws = Workspace(docs.sparkSession, "syncmers")

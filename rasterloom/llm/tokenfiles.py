@@ -90,7 +90,7 @@ def separator_scan(files: DataFrame, folder: str, eod: int, width: int = 2, bloc
 def token_counts(docs: DataFrame, path: str | None = None, eod: int = 50256, width: int = 2, file_bytes: int = FILE_BYTES, block: int = BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_tokens, and where its ids stand (file, ordinal, token_start).
 
-    Null and empty texts have 0 tokens. Repeated rows each give a row; null doc_ids stay null; other columns are not looked at.
+    Null and empty texts have 0 tokens; long ones may span many blocks of a file. Repeated rows each give a row; null doc_ids stay null; other columns are not looked at.
     ``eod`` must be no id of the vocabulary, and it and all ids must fit the width (bytes of an id, 2 or 4); else this is an error before any file is written.
     """
     path = path or default_path("byte_bpe_50k.tiktoken")

@@ -260,7 +260,7 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0, **options) -> Dat
     """Writes pages (page_id, url, html), reads the archives back: one row per row of pages, as read_archives gives it.
 
     Null html is an empty payload. Null urls become the record's own name, null page_ids stay null (such records are named by their payload). Repeated rows are records each: one response, the others revisits. Other
-    columns are not looked at; no rows give no records.
+    columns are not looked at; no rows give no records. Long payloads are records like any other: a record lies whole in its frame, and its task holds it a few times over.
     """
     ws = Workspace(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, ws, least_bytes, **options), f"{ws.path}/archives")
