@@ -69,3 +69,13 @@ def test_languages(spark):
     found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(small + big, "doc_id long, text string, lang string")).collect()}
     assert [found[i].lang_pred for i, _, _ in big] == list(SPECIES)
     assert all(0 <= found[i].score <= 1 for i, _, _ in big)
+
+
+def test_texts_too_short_to_judge():
+    """An n-gram counts unless two of its bytes are neighbouring spaces; megabytes without one are read once."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("a  b\n.é") for _ in range(rng.randrange(9)))
+        data = b" " + langid.normalised(text) + b" "
+        assert langid.can_judge(text) == any(b"  " not in data[k: k + 4] for k in range(len(data) - 3)), text
+    assert not langid.can_judge(" " * 5_000_000) and not langid.can_judge(None) and langid.can_judge(" " * 5_000_000 + "word")
