@@ -155,7 +155,7 @@ def scored(numbered: DataFrame, found: DataFrame, model: str, method: str, thres
     return each.groupBy("pair_id", "h", *M9).agg(score.alias("score"), inliers.alias("inliers"))
 
 
-def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac", threshold: float = 3.0, confidence: float = 0.999, most: int = 10_000, first: int = 64, growth: int = 4) -> DataFrame:
+def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac", threshold: float = 3.0, confidence: float = 0.999, most: int = 10_000, first: int = 16, growth: int = 4) -> DataFrame:
     """(pair_id, n, tries, h, score, inliers, m0..m8), one row per pair: the best of as many hypotheses as the pair needs, ``most`` at the outside.
 
     ransac counts inliers (residual at most ``threshold``), magsac++ sums gains marginal over noise scales up to ``threshold``, lmeds takes the least median residual and draws for half of outliers. Equal scores go to the smaller h. Pairs with too few matches or

@@ -13,7 +13,7 @@ from .registry import query
 
 R6 = t.sql_r6
 M6, M9 = robust.M9[:6], robust.M9
-THRESHOLD, CONFIDENCE, MOST, FIRST, GROWTH = 3.0, 0.999, 10_000, 64, 4
+THRESHOLD, CONFIDENCE, MOST, FIRST, GROWTH = 3.0, 0.999, 10_000, 16, 4
 
 
 # SQL

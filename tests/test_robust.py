@@ -126,10 +126,10 @@ def test_edges(spark):
         assert sorted(found) == [1, 2, 3, 4, 5, 6]
         assert [found[p].h for p in (1, 2, 3, 4)] == [None] * 4 and found[3].tries == found[4].tries == 0 and found[4].n == 0
         assert (found[1].tries, found[2].tries) == (300, 300)
-        assert found[5].inliers == 5 and found[5].tries == 64
+        assert found[5].inliers == 5 and found[5].tries == 16
         assert found[6].inliers > 3000
     first = robust.robust_fit(df.where("pair_id = 5")).first()
-    assert first.h == min(r.h for r in robust.hypotheses(robust.ordinals(df.where("pair_id = 5"), Folder(spark, "test")), spark.createDataFrame([(5, 5)], "pair_id long, n long"), 0, 64, "affine").collect())
+    assert first.h == min(r.h for r in robust.hypotheses(robust.ordinals(df.where("pair_id = 5"), Folder(spark, "test")), spark.createDataFrame([(5, 5)], "pair_id long, n long"), 0, 16, "affine").collect())
     assert robust.robust_fit(df.limit(0)).count() == 0
 
 
