@@ -180,6 +180,8 @@ def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac"
         k += 1
         state = folder.save(state.where("sure").unionByName(done.select(state.columns)), f"state{k}")
         low, high = high, min(high * growth, most)
+    for name in ("numbered", *[f"state{j}" for j in range(k)]):
+        folder.drop(name)
     m = {name: F.col("best.m")[i] for i, name in enumerate(M9)}
     return state.select("pair_id", "n", "tries", (-F.col("best.back")).alias("h"), "best.score", "best.inliers", *[v.alias(name) for name, v in m.items()])
 

@@ -650,21 +650,22 @@ def hover_hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.nearest_hit(t.ties(spark, sf_dir), 500.0, 400.0).select("pair_id", "idx", r6("distance").alias("distance"))
 
 
-@query("SELECT event_type AS case_id, avg(value) < 250 AS mean_ok, max(value) < 490 AS max_ok, count(*) > 10 AND bool_and(value > 0) AS enough FROM events GROUP BY 1")
-def requirement_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("case_id"))
-    return e.agg((F.avg("value") < 250).alias("mean_ok"), (F.max("value") < 490).alias("max_ok"), ((F.count("*") > 10) & F.bool_and(F.col("value") > 0)).alias("enough"))
-
-
 def _catalog() -> list[tuple[str, str]]:
     from .config import METHODS
 
     return [(kind, name) for kind, names in METHODS.items() for name in names]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _catalog()) + ") v(kind, method)")
+_NAMED = "CASE o_orderkey % {0} " + " ".join(f"WHEN {k} THEN '{m}'" for k, (_, m) in enumerate(_catalog())) + " ELSE 'other' END"
+
+
+@query("WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _catalog()) + f""") v(kind, method)), a AS (SELECT {_NAMED.format(len(_catalog()) + 3)} AS method FROM orders)
+SELECT a.method, m.kind, m.kind IS NOT NULL AS known, count(*) AS n FROM a LEFT JOIN m ON a.method = m.method GROUP BY ALL""")
 def config_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_catalog(), "kind string, method string")
+    """How often each method of the settings is asked for, where every order names one; names that no setting has are not known."""
+    known = spark.createDataFrame(_catalog(), "kind string, method string")
+    asked = t.table(spark, sf_dir, "orders").select(F.expr(_NAMED.format(len(_catalog()) + 3)).alias("method")).groupBy("method").agg(F.count("*").alias("n"))
+    return asked.join(known, "method", "left").select("method", "kind", F.col("kind").isNotNull().alias("known"), "n")
 
 
 @query()

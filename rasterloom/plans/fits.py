@@ -247,3 +247,26 @@ def robust_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robust_fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tie points of one plane agree with many fundamental matrices: what counts is how many an eight-point hypothesis explains."""
     return robust.robust_fit(t.ties(spark, sf_dir), "fundamental").select("pair_id", "n", "tries", "h", "inliers")
+
+
+_GRID = "(SELECT unnest(range(9)) AS i) gi, (SELECT unnest(range(9)) AS j) gj"
+_OFF = "sqrt(pow((m0 - 0.98::DOUBLE) * x + (m1 + 0.12::DOUBLE) * y + m2 - 15, 2) + pow((m3 - 0.11::DOUBLE) * x + (m4 - 1.02::DOUBLE) * y + m5 + 10, 2))"
+
+
+@query(f"""WITH {sql_robust(t.SQL_FAR_TIES)}, {_sql_affine_refit('be', 'f1', 'CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END')},
+e AS (SELECT pair_id, {_RES} AS r FROM rk JOIN f1 USING (pair_id)), c AS (SELECT pair_id, sqrt(avg(CASE WHEN r <= 3 THEN r * r END)) AS rmse, avg(CASE WHEN r <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ratio FROM e GROUP BY 1),
+g AS (SELECT pair_id, avg({_OFF}) AS mean_off, max({_OFF}) AS most_off FROM (SELECT f1.*, 1024 * (0.1::DOUBLE + i * 0.1::DOUBLE) AS x, 1024 * (0.1::DOUBLE + j * 0.1::DOUBLE) AS y FROM f1, {_GRID}) z GROUP BY 1)
+SELECT c.pair_id, rmse < 1 AS sub_pixel, ratio > 0.3 AS enough_inliers, mean_off < 0.5 AND most_off < 1 AS accurate, {R6('rmse')} AS rmse, {R6('mean_off')} AS mean_off FROM c JOIN g ON c.pair_id = g.pair_id""")
+def requirement_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates of a benchmark over fits with a known answer: residuals under a pixel, more than 30 % inliers, and points of a 9 x 9 grid near where the true transform takes them, with six of ten tie points wrong."""
+    ties = t.far_ties(spark, sf_dir)
+    fits = robust.refined_affine(ties, robust.robust_fit(ties), times=1)
+    inside = F.col("residual") <= THRESHOLD
+    left = robust.with_models(ties, fits).withColumn("residual", robust.residual("affine")).groupBy("pair_id").agg(F.sqrt(F.avg(F.when(inside, F.col("residual") ** 2))).alias("rmse"), F.avg(inside.cast("double")).alias("ratio"))
+    step = F.sequence(F.lit(0), F.lit(8))
+    x, y = 1024 * (0.1 + F.col("i") * 0.1), 1024 * (0.1 + F.col("j") * 0.1)
+    ex = (F.col("m0") - 0.98) * x + (F.col("m1") + 0.12) * y + F.col("m2") - 15
+    ey = (F.col("m3") - 0.11) * x + (F.col("m4") - 1.02) * y + F.col("m5") + 10
+    off = fits.withColumn("i", F.explode(step)).withColumn("j", F.explode(step)).groupBy("pair_id").agg(F.avg(F.sqrt(ex * ex + ey * ey)).alias("mean_off"), F.max(F.sqrt(ex * ex + ey * ey)).alias("most_off"))
+    gates = {"sub_pixel": F.col("rmse") < 1, "enough_inliers": F.col("ratio") > 0.3, "accurate": (F.col("mean_off") < 0.5) & (F.col("most_off") < 1)}
+    return left.join(off, "pair_id").select("pair_id", *[v.alias(k) for k, v in gates.items()], r6("rmse").alias("rmse"), r6("mean_off").alias("mean_off"))

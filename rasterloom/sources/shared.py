@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -44,6 +45,8 @@ class Folder:
     def _drop_quietly(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
-                self.drop()
-        except Exception:  # the session is gone: nothing is left to delete with
+                return self.drop()
+        except Exception:  # the session is gone
             pass
+        if local := re.fullmatch("(?:file:/*)?(/.*)", re.sub("^file:/*", "/", self.path)):  # without Spark, what this machine sees is deleted
+            shutil.rmtree(local[1], ignore_errors=True)
