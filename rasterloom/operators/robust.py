@@ -1,6 +1,6 @@
 """Robust fits of many pairs as tables: rounds of seeded hypotheses until each pair is sure, then refits from moments.
 
-Matches are (pair_id, idx, sx, sy, rx, ry). They are numbered once within their pairs and stored. A round draws hypotheses for the pairs that aren't finished, scores each by one aggregate over their matches, and keeps the
+Matches are (pair_id, idx, sx, sy, rx, ry). They are numbered once within their pairs and stored in blocks. A round draws hypotheses for the pairs that aren't finished, scores each by one aggregate over their matches, and keeps the
 best of each pair; a pair is finished when so many tries find a sample of inliers with the wanted confidence, given the best share of inliers so far. Rounds grow by a factor, so there are few; only tables of one row per pair
 and hypothesis travel between them. A pair with very many matches is spread over tasks: numbers come from ranges, scores are partial sums.
 """
@@ -12,6 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.shared import Folder
@@ -25,16 +28,48 @@ REACH = 3.64
 ERFC_P, ERFC_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
+#: Matches in a block at most.
+BLOCK = 1024
+POINT = ["sx", "sy", "rx", "ry"]
+
+
+def blocks(matches: DataFrame, folder: Folder) -> DataFrame:
+    """(pair_id, lo, sx, sy, rx, ry): each pair's matches in order of idx, then coordinates, as arrays of at most BLOCK, lo being the number of a block's first match in its pair; stored. Ranges of matches are
+    packed where they were sorted and blocks are numbered by their sizes, so that no pair has to meet in one task and matches are shuffled once."""
+    order = ["pair_id", "idx", *POINT]
+    kind = dict(matches.dtypes)["pair_id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for b in batches:
+            pairs = b.column(0)
+            n = len(pairs)
+            if not n:
+                continue
+            ends = np.flatnonzero(pc.not_equal(pairs[1:], pairs[:-1]).to_numpy(zero_copy_only=False)) + 1
+            starts = np.concatenate([np.arange(lo, hi, BLOCK) for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), n])])
+            at = pa.array(np.append(starts, n).astype(np.int32))
+            made = [pairs.take(pa.array(starts)), pa.array(np.full(len(starts), part, np.int32)), pa.array(np.arange(place, place + len(starts))), pa.array(np.diff(np.append(starts, n)))]
+            yield pa.RecordBatch.from_arrays([*made, *[pa.ListArray.from_arrays(at, b.column(1 + k)) for k in range(4)]], ["pair_id", "part", "place", "n", *POINT])
+            place += len(starts)
+
+    dealt = matches.where("pair_id IS NOT NULL").select("pair_id", "idx", *[F.col(c).cast("double").alias(c) for c in POINT]).repartitionByRange(*order).sortWithinPartitions(*order)
+    packed = dealt.select("pair_id", *POINT).mapInArrow(pack, f"pair_id {kind}, part int, place long, n long, " + ", ".join(f"{c} array<double>" for c in POINT))
+    parts = folder.save(packed, "parts")
+    before = F.sum("n").over(Window.partitionBy("pair_id").orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.select("pair_id", "part", "place", F.coalesce(before, F.lit(0)).cast("long").alias("lo"))
+    return folder.save(parts.join(placed.drop("pair_id"), ["part", "place"]).select("pair_id", "lo", *POINT), "blocks")
+
+
+def unpacked(blocks: DataFrame, *others: str) -> DataFrame:
+    """The matches of blocks, each with its block's other columns."""
+    return blocks.select("pair_id", *others, F.inline(F.arrays_zip(*POINT)))
+
+
 def ordinals(matches: DataFrame, folder: Folder) -> DataFrame:
-    """(pair_id, k, sx, sy, rx, ry): each pair's matches numbered from 0 by idx, then coordinates; stored. Ranges of matches are numbered apart and then shifted, so that no pair has to meet in one task."""
-    order = ["pair_id", "idx", "sx", "sy", "rx", "ry"]
-    dealt = matches.select(order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    parts = folder.save(dealt, "parts")
-    sizes = parts.groupBy("pair_id", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("pair_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("pair_id", "part").orderBy(*order[1:])) - 1
-    numbered = parts.withColumn("inside", inside).join(sizes.select("pair_id", "part", before.alias("before")), ["pair_id", "part"])
-    return folder.save(numbered.select("pair_id", (F.col("inside") + F.col("before")).cast("long").alias("k"), *order[2:]), "numbered")
+    """(pair_id, k, sx, sy, rx, ry): each pair's matches numbered from 0 by idx, then coordinates (``blocks``)."""
+    each = blocks(matches, folder).select("pair_id", "lo", F.posexplode(F.arrays_zip(*POINT)).alias("at", "p"))
+    return each.select("pair_id", (F.col("lo") + F.col("at")).alias("k"), "p.*")
 
 
 def drawn(h: Column, n: Column, need: int) -> Column:
@@ -134,10 +169,15 @@ def tries_needed(share: Column, need: int, confidence: float) -> Column:
 
 
 def hypotheses(numbered: DataFrame, pairs: DataFrame, first: int, last: int, model: str) -> DataFrame:
-    """(pair_id, h, m0..m8) for h from first to last - 1 of the pairs (pair_id, n), n matches at least as many as the model needs."""
+    """(pair_id, h, m0..m8) for h from first to last - 1 of the pairs (pair_id, n), n matches at least as many as the model needs. numbered: blocks of matches, or ``ordinals``, which are blocks of one.
+
+    Draws are made where the blocks are, which take their own out: a join of matches with draws would send all draws through the driver, as Spark takes them for as small as the pairs that they come from."""
     need = NEED[model]
-    draws = pairs.select("pair_id", "n", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("h"))
-    picks = draws.select("pair_id", "h", F.posexplode(drawn(F.col("h"), F.col("n"), need)).alias("c", "k")).join(numbered, ["pair_id", "k"])
+    if "k" in numbered.columns:
+        numbered = numbered.select("pair_id", F.col("k").alias("lo"), *[F.array(c).alias(c) for c in POINT])
+    draws = numbered.join(pairs.select("pair_id", "n"), "pair_id").withColumn("h", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+    picks = draws.select("pair_id", "h", "lo", *POINT, F.posexplode(drawn(F.col("h"), F.col("n"), need)).alias("c", "k")).where("k >= lo AND k < lo + size(sx)")
+    picks = picks.select("pair_id", "h", "c", *[F.get(c, (F.col("k") - F.col("lo")).cast("int")).alias(c) for c in POINT])
     if model == "fundamental":
         return fundamental_fit(picks, ("pair_id", "h")).where("m0 IS NOT NULL").select("pair_id", "h", *M9)
     at = lambda col, c: F.max(F.when(F.col("c") == c, F.col(col))).alias(f"{col}{c}")
@@ -146,9 +186,9 @@ def hypotheses(numbered: DataFrame, pairs: DataFrame, first: int, last: int, mod
 
 
 def scored(numbered: DataFrame, found: DataFrame, model: str, method: str, threshold: float) -> DataFrame:
-    """(pair_id, h, m0..m8, score, inliers); larger scores are better. A pair's hypotheses meet its matches as one row."""
+    """(pair_id, h, m0..m8, score, inliers) from blocks of matches; larger scores are better. A pair's hypotheses meet its blocks as one row."""
     packed = found.groupBy("pair_id").agg(F.collect_list(F.struct("h", *M9)).alias("hs"))
-    each = numbered.join(packed, "pair_id").select("pair_id", "sx", "sy", "rx", "ry", F.inline("hs"))
+    each = unpacked(numbered.join(packed, "pair_id"), "hs").select("pair_id", *POINT, F.inline("hs"))
     each = each.withColumn("residual", residual(model))
     inliers = F.count_if(F.col("residual") <= threshold)
     score = {"ransac": inliers.cast("double"), "lmeds": -F.round(F.median("residual"), 9), "magsac++": F.round(F.sum(marginal_gain(F.col("residual"), threshold)), 6)}[method]
@@ -163,10 +203,10 @@ def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac"
     """
     spark, need = matches.sparkSession, NEED[model]
     folder = Folder(spark, "robust")
-    numbered = ordinals(matches.dropna(subset=["sx", "sy", "rx", "ry"]), folder)
+    numbered = blocks(matches.dropna(subset=POINT), folder)
     folder.drop("parts")
     kinds = "struct<score: double, back: bigint, inliers: bigint, m: array<double>>"
-    every = matches.select("pair_id").distinct().join(numbered.groupBy("pair_id").agg(F.count("*").alias("n")), "pair_id", "left").na.fill(0, ["n"])
+    every = matches.select("pair_id").distinct().join(numbered.groupBy("pair_id").agg(F.sum(F.size("sx")).alias("n")), "pair_id", "left").na.fill(0, ["n"])
     state = folder.save(every.select("pair_id", "n", F.lit(0).alias("tries"), F.lit(None).cast(kinds).alias("best"), (F.col("n") < need).alias("sure")), "state0")
     low, high, k = 0, min(first, most), 0
     while low < most and not state.where("not sure").isEmpty():
@@ -180,7 +220,7 @@ def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac"
         k += 1
         state = folder.save(state.where("sure").unionByName(done.select(state.columns)), f"state{k}")
         low, high = high, min(high * growth, most)
-    for name in ("numbered", *[f"state{j}" for j in range(k)]):
+    for name in ("blocks", *[f"state{j}" for j in range(k)]):
         folder.drop(name)
     m = {name: F.col("best.m")[i] for i, name in enumerate(M9)}
     return state.select("pair_id", "n", "tries", (-F.col("best.back")).alias("h"), "best.score", "best.inliers", *[v.alias(name) for name, v in m.items()])

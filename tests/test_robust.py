@@ -196,3 +196,28 @@ def test_fundamental_from_moments(spark):
     for p, r in got.items():
         np.testing.assert_allclose(model(r).ravel(), wanted[p], atol=1e-9)
         assert abs(np.linalg.det(model(r))) < 1e-12
+
+
+def test_draws_are_not_sent_through_the_driver(spark):
+    """Spark takes draws for as small as the pairs that they come from, so no exchange to all executors may hold them."""
+    rows, _ = made(3, 3, 30, 0.2, 0.5)
+    folder = Folder(spark, "test")
+    pairs = folder.save(spark.range(3).selectExpr("id AS pair_id", "30L AS n"), "pairs")
+    numbered = robust.ordinals(spark.createDataFrame(rows, COLUMNS), folder)
+    inside = None
+    for line in robust.hypotheses(numbered, pairs, 0, 64, "affine")._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        inside = None if inside is not None and depth <= inside else inside
+        assert inside is None or "Generate" not in line
+        inside = depth if inside is None and "BroadcastExchange" in line else inside
+
+
+def test_blocks_number_the_matches_of_large_pairs(spark):
+    df = spark.range(5000).selectExpr("if(id % 5 = 0, 'a', 'b') AS pair_id", "5000 - id AS idx", *[f"cast(id AS double) AS {c}" for c in ("sx", "sy", "rx", "ry")])
+    folder = Folder(spark, "test")
+    found = robust.blocks(df.repartition(7), folder)
+    assert found.selectExpr("max(size(sx))").first()[0] <= robust.BLOCK
+    for pair, ids in (("a", range(4995, -1, -5)), ("b", [k for k in range(4999, -1, -1) if k % 5])):
+        rows = sorted(found.where(F.col("pair_id") == pair).collect(), key=lambda r: r.lo)
+        assert [x for r in rows for x in r.sx] == list(map(float, ids))
+        assert [r.lo for r in rows] == np.cumsum([0, *[len(r.sx) for r in rows[:-1]]]).tolist()
