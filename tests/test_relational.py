@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from rasterloom.operators import illumination, images, points, stencil
+from rasterloom.operators import illumination, images, points, rules, stencil
 from rasterloom.plans import catalog, registration, scenes, tables
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +206,9 @@ def test_uniformity_of_an_even_grid(spark):
 
 def test_raster_table_is_whole(spark):
     assert tables.raster(spark, SF).count() == 64 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_pyramid_levels_shuffle_nothing(spark):
+    pairs = spark.range(1, 200).selectExpr("id AS pair_id", "cast(id AS double) AS s_res", "200.0D / id AS r_res")
+    for found in (rules.level_pairs(pairs), rules.level_pick(pairs)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
