@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import ClosestForest, Forest, connected_components
 from .storage import Packed, Workspace, releasing
@@ -349,7 +349,61 @@ def _class_of(hashes: np.ndarray) -> int:
     return found - (1 << 64 if found >> 63 else 0)
 
 
-def _checked(links: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, shingle: int, seed: int, num: int, den: int) -> DataFrame:
+#: Shingles that go last in every prefix at most, and documents that they are counted in, about.
+COMMON, COUNTED = 100_000, 4096
+
+
+def _common(docs: DataFrame, rows: int, shingle: int, seed: int) -> np.ndarray:
+    """Hashes (ascending, uint64) of shingles in three or more of about COUNTED documents of different text, at most COMMON of them. They only order prefixes: any choice gives the same links."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle, seed).view(np.int64))], ["s"])
+
+    some = docs.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, rows // COUNTED))) == 0).dropDuplicates(["digest"])
+    counts = some.select("text").mapInArrow(releasing(read), "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON)
+    return np.sort(np.array([r.s for r in counts.collect()], np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first elements of a set (ascending) in an order of all hashes, common ones last: so many that two sets of a likeness of num / den or more share one of them."""
+    n = len(hashes)
+    if len(common) and n:
+        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[: n - -(-n * num // den) + 1] if n else hashes
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """1024 bits: whether an odd number of the set's hashes begin with that number. Two sets' bits differ in no more places than the sets do in elements."""
+    return np.packbits((np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).tobytes()
+
+
+def _across(classes: DataFrame, roots: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of classes (id, n, prefix, odd) of different components that share an element of their prefixes, and whose sizes, places and parities allow the likeness: all links that are left are among them."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, 16) for k in (3, 4))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)  # of n elements in both, at most (n - apart) / 2 are shared
+            n = b.column(2).to_numpy()
+            yield b.select(["u", "v"]).filter(pa.array((n - apart) * (num + den) >= 2 * n * num))
+
+    of = classes.join(roots, classes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "n", F.posexplode("prefix").alias("p", "s"))
+    same = Window.partitionBy("s")
+    met = of.withColumn("mixed", F.min("root").over(same) < F.max("root").over(same)).where("mixed").drop("mixed")
+    met = ws.save(met, "met")
+    a, b = (met.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "p")]) for k in "ab")
+    # What two sets can share from their first common element on.
+    reach = f"least(n_a - p_a, n_b - p_b) * {num + den} >= (n_a + n_b) * {num}"
+    pairs = a.join(b.hint("merge"), "s").where(f"id_a < id_b AND root_a <> root_b AND least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} AND {reach}")
+    pairs = pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), (F.col("n_a") + F.col("n_b")).alias("both")).distinct()
+    odd = classes.select("id", "odd")
+    return pairs.join(odd.toDF("u", "x"), "u").join(odd.toDF("v", "y"), "v").select("u", "v", "both", "x", "y").mapInArrow(releasing(near), "u long, v long")
+
+
+def _checked(links: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, shingle: int, seed: int, num: int, den: int, name: str = "sets") -> DataFrame:
     """The links (u, v) whose shingle sets are alike; the sets are made anew from one document of each class."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +418,7 @@ def _checked(links: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspac
 
     needed = classes.join(links.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi").select("least.doc_id", "least.digest")
     sets = docs.join(needed, ["doc_id", "digest"], "left_semi").select("text").mapInArrow(releasing(read), "id long, hashes array<long>")
-    sets = ws.save(sets.dropDuplicates(["id"]), "sets")
+    sets = ws.save(sets.dropDuplicates(["id"]), name)
     both = links.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
     return both.select("u", "v", "x", "y").mapInArrow(releasing(test), "u long, v long")
 
@@ -375,7 +429,8 @@ def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, likeness: tupl
     Classes are linked where their fingerprints of ``bits`` bits, of distinct shingles, differ by so few bits that a likeness of num / den is in reach (4 standard deviations over its mean; few
     shingles spread more than many), and their sets'
     Jaccard likeness is num / den at least. Of the links that a task finds, it gives the closest spanning forest to be checked: two sets that are alike are connected by it through pairs that
-    are at least as close by fingerprint."""
+    are at least as close by fingerprint. What the orders missed, or a forest left to pairs that aren't alike, is found exactly: classes of different components whose prefixes meet are checked
+    too (``_across``), so that no link is lost. ``miss`` only says how much is left to that."""
     num, den = likeness
     words = bits // 64
 
@@ -385,16 +440,27 @@ def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, likeness: tupl
                 b = whole.slice(k, 512)
                 each = [shingle_set(t, shingle, seed) for t in b.column(2).to_pylist()]
                 fp = fingerprints_of(iter(each), len(each), words).astype(">u8")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_class_of(h) for h in each], pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary())], ["doc_id", "digest", "id", "fp"])
-
-    rows = ws.save(docs.select("doc_id", "digest", "text").mapInArrow(releasing(read), "doc_id long, digest long, id long, fp binary"), "rows")
-    classes = ws.save(rows.groupBy("id").agg(F.min(F.struct("doc_id", "digest")).alias("least"), F.first("fp").alias("fp")), "classes")
+                first = [prefix(h, common, num, den).view(np.int64) for h in each]
+                made = [pa.array([_class_of(h) for h in each], pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([len(h) for h in each], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parities(h) for h in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "digest", "id", "fp", "n", "prefix", "odd"])
+
+    common = _common(docs, docs.count(), shingle, seed)
+    read_all = ws.save(docs.select("doc_id", "digest", "text").mapInArrow(releasing(read), "doc_id long, digest long, id long, fp binary, n long, prefix array<long>, odd binary"), "rows")
+    rows = read_all.select("doc_id", "digest", "id")
+    classes = ws.save(read_all.groupBy("id").agg(F.min(F.struct("doc_id", "digest")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "odd")]), "classes")
     apart = share_apart(num / den)
     budget = math.floor(bits * apart + 4 * math.sqrt(bits * apart * (1 - apart)))
     orders = sampled_orders(bits, classes.count(), apart, budget, miss)
-    links = link_fingerprints(classes, ws, orders, budget, node_rows, closest=True, leaf=1024)
+    links = link_fingerprints(classes.select("id", "fp"), ws, orders, budget, node_rows, closest=True, leaf=1024)
     links = ws.save(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
-    return rows, classes, connected_components(_checked(links, docs, classes, ws, shingle, seed, num, den), ws)
+    alike_links = ws.save(_checked(links, docs, classes, ws, shingle, seed, num, den), "alike")
+    ws.drop("near")
+    ws.drop("sets")
+    left = _across(classes, connected_components(alike_links, ws), ws, num, den)
+    left = ws.save(left, "left")
+    ws.drop("met")
+    found = _checked(left, docs, classes, ws, shingle, seed, num, den, "sets_left")
+    return rows, classes.select("id", "fp", "least"), connected_components(alike_links.unionByName(found), ws, name="all")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

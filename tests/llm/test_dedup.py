@@ -377,3 +377,18 @@ def test_embeddings(spark):
     for block, pivots in ((4096, 4096), (40, 4096), (7, 20), (20, 1)):
         assert ordered(embeddings.near_duplicates(df, block=block, most_pivots=pivots).collect()) == wanted
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("miss", [0.01, 0.9])
+def test_keep_one_loses_no_pair_at_the_likeness(spark, miss):
+    """1500 pairs of 4 / 5 exactly, or just above: what the sampled orders miss is found by prefixes. Pairs just below aren't linked."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(1500):
+        words = [f"{k}x{x}" for x in rng.integers(0, 10**9, 76)]
+        # 72 shingles each; from t words on, all differ: shared s, union 144 - s, and 64 / 80 is 4 / 5.
+        t = [68, 69, 67][k % 3]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:t] + [f"{w}y" for w in words[t:]]))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), miss=miss).collect()}
+    wanted = {2 * k for k in range(1500)} | {2 * k + 1 for k in range(1500) if k % 3 == 2}
+    assert kept == wanted
