@@ -32,17 +32,18 @@ def ratio_match(source: DataFrame, reference: DataFrame, ratio: float = 0.75, no
     """(pair_id, source_idx, reference_idx, distance, confidence) of each source descriptor's nearest reference, if it is nearer than ``ratio`` times the second nearest.
 
     Inputs: (pair_id, idx, descriptor array<double>, or long for norm hamming). One direction; references may be taken many times; ties go to the smaller idx. A pair with one reference has no second: then all
-    match, with confidence 1 / (1 + d). Descriptors are compared in blocks by matrix products: a pair's sources are cut into ``blocks`` blocks, its references into as many (default: so that a block has about SIDE rows; a
+    match, with confidence 1 / (1 + d). Descriptors are compared in blocks by matrix products: a pair's sources are cut into ``blocks`` blocks, its references into as many (default: each side so that a block has about SIDE rows; a
     pair has as many as it needs itself), each pair of blocks is a task, and two candidates per source and block go on.
     """
     hamming = norm == "hamming"
     sizes = source.select("pair_id", F.lit(0).alias("side")).unionByName(reference.select("pair_id", F.lit(1).alias("side"))).groupBy("pair_id", "side").count()
-    n = F.ceil(F.max("count") / SIDE) if blocks is None else F.lit(blocks)
-    sizes = sizes.groupBy("pair_id").agg(n.cast("int").alias("blocks"))
-    cut = lambda df, col: df.join(sizes, "pair_id").withColumn(col, F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = cut(source, "a").withColumn("b", every).withColumn("side", F.lit(0))
-    b = cut(reference, "b").withColumn("a", every).withColumn("side", F.lit(1))
+    # Each side has blocks by its own rows: a row is copied once for each block of the other side.
+    n = lambda side: F.ceil(F.greatest(F.max(F.when(F.col("side") == side, F.col("count"))), F.lit(1)) / SIDE) if blocks is None else F.lit(blocks)
+    sizes = sizes.groupBy("pair_id").agg(n(0).cast("int").alias("of_a"), n(1).cast("int").alias("of_b"))
+    cut = lambda df, col: df.join(F.broadcast(sizes), "pair_id").withColumn(col, F.pmod(F.xxhash64("idx"), F.col(f"of_{col}")).cast("int"))
+    every = lambda col: F.explode(F.sequence(F.lit(0), F.col(f"of_{col}") - 1))
+    a = cut(source, "a").withColumn("b", every("b")).withColumn("side", F.lit(0))
+    b = cut(reference, "b").withColumn("a", every("a")).withColumn("side", F.lit(1))
     both = a.select("pair_id", "a", "b", "side", "idx", "descriptor").unionByName(b.select("pair_id", "a", "b", "side", "idx", "descriptor"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:

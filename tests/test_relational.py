@@ -212,3 +212,13 @@ def test_pyramid_levels_shuffle_nothing(spark):
     pairs = spark.range(1, 200).selectExpr("id AS pair_id", "cast(id AS double) AS s_res", "200.0D / id AS r_res")
     for found in (rules.level_pairs(pairs), rules.level_pick(pairs)):
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_are_not_copied_for_a_single_reference(spark, monkeypatch):
+    """Each side is cut by its own rows: many sources meet one reference in as many tasks as they have blocks."""
+    monkeypatch.setattr(points, "SIDE", 10)
+    d = spark.range(101).selectExpr("'p' AS pair_id", "id AS idx", "array(cast(id AS double), 1.0D) AS descriptor")
+    found = points.ratio_match(d.where("idx > 0"), d.where("idx = 0"))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "of_a" in plan and "of_b" in plan
+    assert {(r.source_idx, r.reference_idx, round(r.distance, 9)) for r in found.collect()} == {(k, 0, float(k)) for k in range(1, 101)}
