@@ -8,7 +8,7 @@ and hypothesis travel between them. A pair with very many matches is spread over
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -115,19 +115,22 @@ def through(samples: DataFrame, model: str) -> DataFrame:
     return raw.withColumns({m: F.col(f"g{k}") / F.col("g8") for k, m in enumerate(M9)})
 
 
+def _distance(model: str, m: Sequence, sx, sy, rx, ry, root=F.sqrt, size=F.abs, larger=F.greatest):
+    """``residual`` of elements m and coordinates, which are columns, or arrays with numpy's functions: the operations are the same, in the same order."""
+    if model == "fundamental":
+        there = [m[3 * i] * sx + m[3 * i + 1] * sy + m[3 * i + 2] * 1.0 for i in range(3)]
+        here = [m[i] * rx + m[3 + i] * ry + m[6 + i] * 1.0 for i in range(2)]
+        up = size(rx * there[0] + ry * there[1] + 1.0 * there[2])
+        return larger(*[up / (root(x * x + y * y) + 1e-12) for x, y in (there[:2], here)])
+    down = (m[6] * sx + m[7] * sy + m[8] + 1e-8) if model == "homography" else 1.0
+    x = (m[0] * sx + m[1] * sy + m[2]) / down - rx
+    y = (m[3] * sx + m[4] * sy + m[5]) / down - ry
+    return root(x * x + y * y)
+
+
 def residual(model: str) -> Column:
     """Distance of a match (sx, sy, rx, ry) from its model's columns m0..m8; for fundamental matrices from the epipolar lines, the larger of both sides."""
-    if model == "fundamental":
-        a, b = (F.col("sx"), F.col("sy"), F.lit(1.0)), (F.col("rx"), F.col("ry"), F.lit(1.0))
-        m = [F.col(c) for c in M9]
-        there = [m[3 * i] * a[0] + m[3 * i + 1] * a[1] + m[3 * i + 2] * a[2] for i in range(3)]
-        here = [m[i] * b[0] + m[3 + i] * b[1] + m[6 + i] * b[2] for i in range(2)]
-        up = F.abs(b[0] * there[0] + b[1] * there[1] + there[2])
-        return F.greatest(*[up / (F.sqrt(x * x + y * y) + 1e-12) for x, y in (there[:2], here)])
-    down = (F.col("m6") * F.col("sx") + F.col("m7") * F.col("sy") + F.col("m8") + 1e-8) if model == "homography" else F.lit(1.0)
-    x = (F.col("m0") * F.col("sx") + F.col("m1") * F.col("sy") + F.col("m2")) / down - F.col("rx")
-    y = (F.col("m3") * F.col("sx") + F.col("m4") * F.col("sy") + F.col("m5")) / down - F.col("ry")
-    return F.sqrt(x * x + y * y)
+    return _distance(model, [F.col(c) for c in M9], *[F.col(c) for c in POINT])
 
 
 def upper_gamma(x: Column) -> Column:
@@ -191,10 +194,85 @@ def scored(numbered: DataFrame, found: DataFrame, model: str, method: str, thres
     each = unpacked(numbered.join(packed, "pair_id"), "hs").select("pair_id", *POINT, F.inline("hs"))
     each = each.withColumn("residual", residual(model))
     inliers = F.count_if(F.col("residual") <= threshold)
-    score = {"ransac": inliers.cast("double"), "lmeds": -F.round(F.median("residual"), 9), "magsac++": F.round(F.sum(marginal_gain(F.col("residual"), threshold)), 6)}[method]
+    score = {"ransac": inliers.cast("double"), "magsac++": F.round(F.sum(marginal_gain(F.col("residual"), threshold)), 6)}[method]
     return each.groupBy("pair_id", "h", *M9).agg(score.alias("score"), inliers.alias("inliers"))
 
 
+#: Hypotheses whose residuals from a block are in memory at once, and places of a block's sorted residuals that bracket the median of a pair of many blocks.
+AT_ONCE, SAMPLED = 64, 64
+
+
+def _by_block(joined: DataFrame, model: str, each: Callable[[np.ndarray, dict[str, np.ndarray]], dict[str, np.ndarray | list]], schema: str) -> DataFrame:
+    """From blocks with their pair's n and hs (structs of h, m0..m8 and others): (pair_id, h, m0..m8) and what ``each`` makes of the residuals (a row per hypothesis) and of n and the others of hs."""
+    kind = dict(joined.dtypes)["pair_id"]
+    into = joined.select("pair_id", "n", *POINT, "hs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                point = [b.column(2 + k)[i].values.to_numpy() for k in range(4)]
+                hs = b.column(6)[i].values
+                if hs is None or not len(hs):
+                    continue
+                for lo in range(0, len(hs), AT_ONCE):
+                    some = hs.slice(lo, AT_ONCE)
+                    # flatten() keeps to the slice
+                    fields = dict(zip([f.name for f in some.type], some.flatten()))
+                    own = {c: v.to_numpy() for c, v in fields.items()}
+                    with np.errstate(all="ignore"):
+                        r = _distance(model, [own[c][:, None] for c in M9], *point, root=np.sqrt, size=np.abs, larger=np.maximum)
+                    made = each(r, own | {"n": b.column(1)[i].as_py()})
+                    at = pa.array(np.full(len(some), i, np.int32))
+                    columns = {"pair_id": b.column(0).take(at), "h": fields["h"], **{c: fields[c] for c in M9}, **made}
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
+
+    return into.mapInArrow(run, f"pair_id {kind}, h long, " + ", ".join(f"{c} double" for c in M9) + ", " + schema)
+
+
+def scored_by_median(numbered: DataFrame, found: DataFrame, counts: DataFrame, many: bool, model: str, threshold: float) -> DataFrame:
+    """``scored`` by least medians, rounded to nine places; counts: (pair_id, n); many: whether some pair has more than a block.
+
+    Residuals stay in the blocks' tasks. A pair in one block has its median there. In a pair of many, each block gives every hypothesis SAMPLED of its sorted residuals with the numbers of residuals that are surely no
+    larger and no smaller, which bracket the middle; only residuals within the bracket, a sixteenth of a pair's or so, are gathered, and one of a known rank among them is the median."""
+    def hs(*others: str) -> Column:
+        return F.collect_list(F.struct(F.col("h").cast("long").alias("h"), *M9, *others)).alias("hs")
+
+    joined = numbered.join(found.groupBy("pair_id").agg(hs()).join(counts.select("pair_id", "n"), "pair_id"), "pair_id")
+    middle = lambda n: ((n - 1) // 2, n // 2)
+
+    def whole(r: np.ndarray, own: dict[str, np.ndarray]) -> dict[str, np.ndarray | list]:
+        a, b = middle(r.shape[1])
+        r_sorted = np.partition(r, (a, b), axis=1)
+        return {"inliers": (r <= threshold).sum(1), "median": 0.5 * r_sorted[:, a] + 0.5 * r_sorted[:, b]}
+
+    def sample(r: np.ndarray, own: dict[str, np.ndarray]) -> dict[str, np.ndarray | list]:
+        size = r.shape[1]
+        at = np.unique(np.linspace(0, size - 1, min(size, SAMPLED)).astype(np.int64))
+        return {"n": np.full(len(r), own["n"]), "v": list(np.sort(r, axis=1)[:, at]), "up": [np.diff(at, prepend=-1)] * len(r), "down": [np.diff(at, append=size)] * len(r)}
+
+    def inside(r: np.ndarray, own: dict[str, np.ndarray]) -> dict[str, np.ndarray | list]:
+        # What isn't a number is larger than all numbers.
+        low, high = own["low"][:, None], own["high"][:, None]
+        below = (r < low) | (np.isnan(low) & ~np.isnan(r))
+        within = ~below & ((r <= high) | np.isnan(high))
+        return {"n": np.full(len(r), own["n"]), "inliers": (r <= threshold).sum(1), "below": below.sum(1), "values": [x[k] for x, k in zip(r, within)]}
+
+    one = _by_block(joined.where(F.size("sx") == F.col("n")), model, whole, "inliers long, median double")
+    result = lambda df: df.select("pair_id", "h", *M9, (-F.round("median", 9)).alias("score"), "inliers")
+    if not many:
+        return result(one)
+    parts = joined.where(F.size("sx") < F.col("n"))
+    samples = _by_block(parts, model, sample, "n long, v array<double>, up array<long>, down array<long>").select("pair_id", "h", *M9, "n", F.inline(F.arrays_zip("v", "up", "down")))
+    key = Window.partitionBy("pair_id", "h")
+    surely = samples.withColumns({"up": F.sum("up").over(key.orderBy("v")), "down": F.sum("down").over(key.orderBy(F.desc("v")))})
+    ends = {"low": F.max(F.when(F.col("down") >= F.col("n") - F.expr("(n - 1) div 2"), F.col("v"))), "high": F.min(F.when(F.col("up") >= F.expr("n div 2") + 1, F.col("v")))}
+    ends = surely.groupBy("pair_id", "n", "h", *M9).agg(*[v.alias(c) for c, v in ends.items()]).groupBy("pair_id", "n").agg(hs("low", "high"))
+    near = _by_block(numbered.join(ends, "pair_id"), model, inside, "n long, inliers long, below long, values array<double>")
+    near = near.groupBy("pair_id", "n", "h", *M9).agg(F.sum("inliers").alias("inliers"), F.sum("below").alias("below"), F.sort_array(F.flatten(F.collect_list("values"))).alias("values"))
+    value = lambda rank: F.get("values", (F.expr(rank) - F.col("below")).cast("int"))
+    return result(one).unionByName(result(near.withColumn("median", 0.5 * value("(n - 1) div 2") + 0.5 * value("n div 2"))))
+
+
 def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac", threshold: float = 3.0, confidence: float = 0.999, most: int = 10_000, first: int = 16, growth: int = 4) -> DataFrame:
     """(pair_id, n, tries, h, score, inliers, m0..m8), one row per pair: the best of as many hypotheses as the pair needs, ``most`` at the outside.
 
@@ -208,10 +286,15 @@ def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac"
     kinds = "struct<score: double, back: bigint, inliers: bigint, m: array<double>>"
     every = matches.select("pair_id").distinct().join(numbered.groupBy("pair_id").agg(F.sum(F.size("sx")).alias("n")), "pair_id", "left").na.fill(0, ["n"])
     state = folder.save(every.select("pair_id", "n", F.lit(0).alias("tries"), F.lit(None).cast(kinds).alias("best"), (F.col("n") < need).alias("sure")), "state0")
+    many = method == "lmeds" and not numbered.where("lo > 0").isEmpty()
     low, high, k = 0, min(first, most), 0
     while low < most and not state.where("not sure").isEmpty():
         open_now = state.where("not sure")
-        each = scored(numbered, hypotheses(numbered, open_now, low, high, model), model, method, threshold)
+        found = hypotheses(numbered, open_now, low, high, model)
+        if method == "lmeds":
+            each = scored_by_median(numbered, folder.save(found, f"drawn{k}") if many else found, open_now, many, model, threshold)
+        else:
+            each = scored(numbered, found, model, method, threshold)
         won = each.groupBy("pair_id").agg(F.max(F.struct("score", (-F.col("h")).cast("long").alias("back"), "inliers", F.array(*M9).alias("m"))).cast(kinds).alias("now"))
         # Earlier hypotheses have larger ``back``, so they win ties.
         best = F.greatest(F.col("best"), F.col("now"))
@@ -220,7 +303,7 @@ def robust_fit(matches: DataFrame, model: str = "affine", method: str = "ransac"
         k += 1
         state = folder.save(state.where("sure").unionByName(done.select(state.columns)), f"state{k}")
         low, high = high, min(high * growth, most)
-    for name in ("blocks", *[f"state{j}" for j in range(k)]):
+    for name in ("blocks", *[f"state{j}" for j in range(k)], *[f"drawn{j}" for j in range(k) if many]):
         folder.drop(name)
     m = {name: F.col("best.m")[i] for i, name in enumerate(M9)}
     return state.select("pair_id", "n", "tries", (-F.col("best.back")).alias("h"), "best.score", "best.inliers", *[v.alias(name) for name, v in m.items()])

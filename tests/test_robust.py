@@ -221,3 +221,36 @@ def test_blocks_number_the_matches_of_large_pairs(spark):
         rows = sorted(found.where(F.col("pair_id") == pair).collect(), key=lambda r: r.lo)
         assert [x for r in rows for x in r.sx] == list(map(float, ids))
         assert [r.lo for r in rows] == np.cumsum([0, *[len(r.sx) for r in rows[:-1]]]).tolist()
+
+
+def test_medians_of_pairs_of_many_blocks_and_what_is_gathered_for_them(spark, tmp_path, monkeypatch):
+    """Medians of odd and even counts, with equal residuals, in one block or in many, are those of all residuals; what is gathered is a small part of them."""
+    monkeypatch.setattr(robust, "BLOCK", 256)
+    rng = np.random.default_rng(5)
+    rows = []
+    for p, n in enumerate((3, 4, 101, 256, 257, 4000, 9001)):
+        src = rng.uniform(0, 1000, (n, 2))
+        dst = np.rint(src + rng.normal(0, 20, (n, 2)))  # idx sorts residuals, so that blocks differ
+        order = np.argsort(np.hypot(*(dst - src).T)) if p % 2 else np.arange(n)
+        rows += [(p, k, *map(float, (*src[i], *dst[i]))) for k, i in enumerate(order)]
+        rows[-1] = (*rows[-1][:2], *([1.0] * 4))
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    found = {r.pair_id: r for r in robust.robust_fit(df, method="lmeds").collect()}
+    folder = Folder(spark, "test")
+    numbered = robust.blocks(df, folder)
+    pairs = df.groupBy("pair_id").agg(F.count("*").alias("n"))
+    drawn = folder.save(robust.hypotheses(numbered, pairs, 0, 64, "affine"), "drawn")
+    scores = robust.scored_by_median(numbered, drawn, pairs, True, "affine", 3.0).collect()
+    each = {(r.pair_id, r.h): (r.score, r.inliers) for r in scores}
+    assert len(each) == len(scores) == drawn.count()
+    for r in drawn.collect():
+        x, y = (np.array([q[k] for q in rows if q[0] == r.pair_id]) for k in (slice(2, 4), slice(4, 6)))
+        off = np.hypot(*(x @ np.array([[r.m0, r.m3], [r.m1, r.m4]]) + [r.m2, r.m5] - y).T)
+        assert each[r.pair_id, r.h][0] == pytest.approx(-np.median(off), abs=2e-9)
+        assert abs(each[r.pair_id, r.h][1] - (off <= 3).sum()) <= 1
+    for p, r in found.items():
+        assert r.score == max(s for (q, _), (s, _) in each.items() if q == p)
+        assert r.h == min(h for (q, h), (s, _) in each.items() if q == p and s == r.score)
+    # No residual is shuffled to be put in order but those near the median.
+    plan = robust.scored_by_median(numbered, drawn, pairs, True, "affine", 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median(" not in plan
