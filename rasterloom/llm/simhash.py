@@ -446,8 +446,10 @@ def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, likeness: tupl
 
     common = _common(docs, docs.count(), shingle, seed)
     read_all = ws.save(docs.select("doc_id", "digest", "text").mapInArrow(releasing(read), "doc_id long, digest long, id long, fp binary, n long, prefix array<long>, odd binary"), "rows")
-    rows = read_all.select("doc_id", "digest", "id")
     classes = ws.save(read_all.groupBy("id").agg(F.min(F.struct("doc_id", "digest")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "odd")]), "classes")
+    # Prefixes and parities are a large part of the texts: they go once they are read.
+    rows = ws.save(read_all.select("doc_id", "digest", "id"), "named")
+    ws.drop("rows")
     apart = share_apart(num / den)
     budget = math.floor(bits * apart + 4 * math.sqrt(bits * apart * (1 - apart)))
     orders = sampled_orders(bits, classes.count(), apart, budget, miss)
@@ -459,8 +461,13 @@ def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, likeness: tupl
     left = _across(classes, connected_components(alike_links, ws), ws, num, den)
     left = ws.save(left, "left")
     ws.drop("met")
-    found = _checked(left, docs, classes, ws, shingle, seed, num, den, "sets_left")
-    return rows, classes.select("id", "fp", "least"), connected_components(alike_links.unionByName(found), ws, name="all")
+    slim = ws.save(classes.select("id", "fp", "least"), "slim")
+    ws.drop("classes")
+    found = _checked(left, docs, slim, ws, shingle, seed, num, den, "sets_left")
+    roots = connected_components(alike_links.unionByName(found), ws, name="all")
+    for name in ("sets_left", "left", "alike"):
+        ws.drop(name)
+    return rows, slim, roots
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -392,3 +393,24 @@ def test_keep_one_loses_no_pair_at_the_likeness(spark, miss):
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), miss=miss).collect()}
     wanted = {2 * k for k in range(1500)} | {2 * k + 1 for k in range(1500) if k % 3 == 2}
     assert kept == wanted
+
+
+def test_near_groups_drops_prefixes_before_sets_are_checked(spark, monkeypatch):
+    """Prefixes, parities and sets are not on the disk beside what is read after them; groups are as before."""
+    ws, seen, checked = Workspace(spark, "test"), [], simhash._checked
+    root = Path(ws.path.removeprefix("file:"))
+
+    def watched(*args):
+        out = checked(*args)
+        seen.append({p.name for p in root.iterdir()})
+        return out
+
+    monkeypatch.setattr(simhash, "_checked", watched)
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, 1, text), (2, 2, text + " end"), (3, 3, "another text of no likeness at all"), (4, 1, text)], "doc_id long, digest long, text string")
+    rows, classes, roots = simhash.near_groups(docs, ws)
+    assert [names & {"rows", "classes", "met", "near"} for names in seen] == [{"classes", "near"}, set()]
+    assert not {"sets", "sets_left", "left", "alike", "rows", "classes"} & {p.name for p in root.iterdir()}
+    root_of = {r.node: r.root for r in roots.collect()}
+    group = {r.doc_id: root_of.get(r.id, r.id) for r in rows.collect()}
+    assert group[1] == group[2] == group[4] != group[3] and classes.count() == 3
