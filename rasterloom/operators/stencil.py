@@ -95,9 +95,20 @@ def local_peaks(px: DataFrame, radius: int = 4, least: float = 0.005) -> DataFra
 
 
 def top_peaks(peaks: DataFrame, most: int) -> DataFrame:
-    """The ``most`` strongest of each image; ties by row, then column."""
+    """The ``most`` strongest of each image; ties by row, then column. Counts by ranges of values say which can be among them; of those, each task hands on ``most`` of an image at most."""
+    v = F.col("v").cast("double")
+    # Grows with v as it is sorted: null first, what isn't a number last.
+    place = F.when(F.isnan(v), float("inf")).otherwise(F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * 1024))
+    place = F.coalesce(place, F.lit(float("-inf")))
+    counts = peaks.groupBy("image", place.alias("place")).agg(F.count("*").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("image").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lowest = counts.withColumn("above", above).where(F.col("above") < most).groupBy("image").agg(F.min("place").alias("lowest"))
+    # One row an image is broadcast: a shuffle by image would bring a large one to one task.
+    own = F.broadcast(lowest.select(F.col("image").alias("_image"), "lowest"))
+    kept = peaks.join(own, F.col("image").eqNullSafe(F.col("_image")) & (place >= F.col("lowest"))).select(peaks.columns)
     w = Window.partitionBy("image").orderBy(F.desc("v"), "y", "x")
-    return peaks.withColumn("kp_idx", F.row_number().over(w) - 1).where(F.col("kp_idx") < most)
+    # The number itself is compared, so that the limit holds before the shuffle, too.
+    return kept.withColumn("kp_idx", F.row_number().over(w)).where(F.col("kp_idx") <= most).withColumn("kp_idx", F.col("kp_idx") - 1)
 
 
 def half(px: DataFrame) -> DataFrame:

@@ -222,3 +222,20 @@ def test_sources_are_not_copied_for_a_single_reference(spark, monkeypatch):
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     assert "of_a" in plan and "of_b" in plan
     assert {(r.source_idx, r.reference_idx, round(r.distance, 9)) for r in found.collect()} == {(k, 0, float(k)) for k in range(1, 101)}
+
+
+def test_top_peaks_keep_few_before_an_image_meets_in_a_task(spark):
+    """The rows are those of a plain sort, also among ties, negative values and values that aren't numbers; the limit holds before the shuffle."""
+    rng = np.random.default_rng(3)
+    values = [float("nan"), float("inf"), -float("inf"), None, -3.5, 0.0, 2.0, 2.0, 255.0, 1e300, -1e300, 0.3, 0.3001]
+    rows = [(None if k % 3 == 2 else f"i{k % 3}", int(k // 40), int(k % 40), values[rng.integers(len(values))] if k % 2 else float(np.round(rng.normal(0, 50)))) for k in range(3000)]
+    px = spark.createDataFrame(rows, "image string, y long, x long, v double").repartition(5)
+    for most in (1, 7, 100, 2000):
+        got = {(r.image, r.kp_idx): (r.y, r.x) for r in stencil.top_peaks(px, most).collect()}
+        wanted = {}
+        for image in ("i0", "i1", None):
+            own = [r for r in rows if r[0] == image]
+            key = lambda r: (r[3] is None, not (r[3] is not None and np.isnan(r[3])), 0 if r[3] is None or np.isnan(r[3]) else -r[3], r[1], r[2])
+            wanted |= {(image, k): (r[1], r[2]) for k, r in enumerate(sorted(own, key=key)[:most])}
+        assert got == wanted, most
+    assert "WindowGroupLimit" in stencil.top_peaks(px, 7)._jdf.queryExecution().executedPlan().toString()
