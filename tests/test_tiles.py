@@ -121,3 +121,27 @@ def test_boxes_of_all_sizes(spark):
     each = rules.listed(whole, 1.0, F.sequence(F.col("level"), F.lit(14))).groupBy("id", "at").count()
     assert each.agg(F.max("count")).first()[0] <= 4
     assert rules.overlap(spark.createDataFrame([], kinds), spark.createDataFrame(b, kinds), 1.0).count() == 0
+
+
+def test_crowded_cell_meets_in_many_tasks(spark, monkeypatch):
+    """Large boxes that nearly all others lie in: every pair once, no task has much more than its share, and boxes of one size are listed for one part only."""
+    from rasterloom.operators import rules
+
+    for name, value in (("TASK_PAIRS", 1 << 10), ("BLOCK_PAIRS", 1 << 10), ("BLOCK_BOXES", 1 << 6)):
+        monkeypatch.setattr(rules, name, value, raising=False)
+    kinds = "id long, crs string, left double, bottom double, right double, top double"
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 200, (900, 2)).astype(float)
+    boxes = [(k, "x", x, y, *((x + 250, y + 200) if k % 100 < 2 else (x + 1 + k % 3, y + 2))) for k, (x, y) in enumerate(low.tolist())]
+    df = spark.createDataFrame(boxes, kinds)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rules.overlap(df.where("id % 2 = 0"), df.where("id % 2 = 1"), 2.0).withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wanted = {(p[0], q[0]) for p in boxes[::2] for q in boxes[1::2] if min(p[4], q[4]) > max(p[2], q[2]) and min(p[5], q[5]) > max(p[3], q[3])}
+    assert len(got) == len(wanted) > 1000 and set(zip(got["a_id"], got["b_id"])) == wanted
+    assert got["task"].nunique() > 5 and got.groupby("task").size().max() < len(wanted) / 3
+    for level, others, at_home, visits in ((2, [2], 0, [(2, 0)]), (2, [2], 1, [(2, 0)]), (2, [1, 3], 0, [(2, 0), (3, 1)]), (2, [1, 3], 1, [(2, 1), (3, 0)]), (2, [3], 0, [(3, 1)]), (2, [1], 1, [(2, 1)]), (2, [], 0, [])):
+        col = rules._visits(F.lit(level), F.array(*map(F.lit, others)).cast("array<int>"), at_home)
+        assert [tuple(v) for v in spark.range(1).select(col).first()[0]] == visits
