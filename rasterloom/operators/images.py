@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import clip
 from . import stencil
-from .tiles import blocks, ends, pieces, put_together
+from .tiles import blocks, put_together, seen
 
 BICUBIC = -0.75
 #: First and last neighbour, from the floor (nearest: from the rounded place), that a method reads along an axis.
@@ -211,7 +211,7 @@ def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _patches(px: DataFrame, at: DataFrame, x: str, y: str, radius: int, name: str) -> DataFrame:
     """(image, idx, name): the values around each place as bytes of doubles, row by row. A place goes to the tile that owns it, which sees ``radius`` pixels around; each patch is cut out there and leaves as one row."""
     places = at.select("image", "idx", F.col(x).alias("px"), F.col(y).alias("py"), F.floor(F.col(y) / BLOCK).alias("ty"), F.floor(F.col(x) / BLOCK).alias("tx"))
-    parts = pieces(blocks(px, BLOCK).join(ends(px), "image"), BLOCK, radius).join(places.select("image", "ty", "tx").distinct(), ["image", "ty", "tx"], "left_semi")
+    parts = seen(px, BLOCK, radius).join(places.select("image", "ty", "tx").distinct(), ["image", "ty", "tx"], "left_semi")
     kinds = dict(at.dtypes)
 
     def cut(tile: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

@@ -145,3 +145,25 @@ def test_crowded_cell_meets_in_many_tasks(spark, monkeypatch):
     for level, others, at_home, visits in ((2, [2], 0, [(2, 0)]), (2, [2], 1, [(2, 0)]), (2, [1, 3], 0, [(2, 0), (3, 1)]), (2, [1, 3], 1, [(2, 1), (3, 0)]), (2, [3], 0, [(3, 1)]), (2, [1], 1, [(2, 1)]), (2, [], 0, [])):
         col = rules._visits(F.lit(level), F.array(*map(F.lit, others)).cast("array<int>"), at_home)
         assert [tuple(v) for v in spark.range(1).select(col).first()[0]] == visits
+
+
+def test_patches_hold_one_block_a_task(spark, images):
+    """What tiles see is cut where a block is made, so no batch of blocks passes through a task's Python; tiles put the same together."""
+    from rasterloom.operators import images as operators
+
+    px = table(spark, {"land": images["land"]})
+    got = tiles.seen(px, 64, 9).toPandas()
+    for (ty, tx), tile in got.groupby(["ty", "tx"]):
+        if ty * 64 < 310 and tx * 64 < 330:
+            y, x = max(0, ty * 64 - 9), max(0, tx * 64 - 9)
+            mine, *at = tiles.put_together(tile)
+            assert at == [y, x]
+            np.testing.assert_array_equal(mine, images["land"][y: (ty + 1) * 64 + 9, x: (tx + 1) * 64 + 9])
+    assert got.groupby(["ty", "tx"]).ngroups >= 5 * 6
+    at = spark.createDataFrame([("land", k, 20 + 14 * k, 20 + 13 * k) for k in range(20)], "image string, idx long, x long, y long")
+    patches = operators._patches(px, at, "x", "y", 7, "p")
+    for r in patches.collect():
+        x, y = 20 + 14 * r.idx, 20 + 13 * r.idx
+        np.testing.assert_array_equal(np.frombuffer(r.p).reshape(15, 15), images["land"][y - 7: y + 8, x - 7: x + 8])
+    assert patches.count() == 20
+    assert "MapIn" not in patches._jdf.queryExecution().executedPlan().toString()
