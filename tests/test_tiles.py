@@ -148,6 +148,31 @@ def test_crowded_cell_meets_in_many_tasks(spark, monkeypatch):
         assert [tuple(v) for v in spark.range(1).select(col).first()[0]] == visits
 
 
+def test_equal_boxes_meet_once(spark, monkeypatch):
+    """Copies of boxes give every pair of ids, null ids too, but are compared as one, cut where they are many; the pairs of two boxes come out one after the other, those of one b together."""
+    from rasterloom.operators import rules
+
+    monkeypatch.setattr(rules, "BUNDLE", 16, raising=False)
+    kinds = "id long, crs string, left double, bottom double, right double, top double"
+    places = [(0.0, 0.0, 6.0, 5.0), (3.0, 2.0, 9.0, 9.0), (5.0, 4.0, 7.0, 12.0)]
+    box = lambda k: (None if k == 7 else k, "x", *places[k % 3])
+    rows = [box(k) for k in range(120)]
+    a, b = (spark.createDataFrame(r, kinds).repartition(3, "id") for r in (rows, [(r[0] if r[0] is None else r[0] + 1000, *r[1:]) for r in rows]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rules.overlap(a, b, 40.0).collect()
+        bundles = rules._bundles(a.repartition(2, "crs"), ["crs"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(len(r.ids) for r in bundles) == [8, 8, 8, 16, 16, 16, 16, 16, 16]
+    meets = lambda p, q: (max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3]))
+    wanted = {(p[0], q[0] if q[0] is None else q[0] + 1000): meets(p[2:], q[2:]) for p in rows for q in rows}
+    assert all(w[2] > w[0] and w[3] > w[1] for w in wanted.values())
+    assert len(got) == len(wanted) == 14400 and {(r.a_id, r.b_id): (r.left, r.bottom, r.right, r.top) for r in got} == wanted
+    changes = lambda key: sum(key(p) != key(q) for p, q in zip(got, got[1:]))
+    assert changes(lambda r: (r.left, r.bottom, r.right, r.top)) < 81 and changes(lambda r: r.b_id) < 9 * 120
+
+
 def test_patches_hold_one_block_a_task(spark, images):
     """What tiles see is cut where a block is made, so no batch of blocks passes through a task's Python; tiles put the same together."""
     from rasterloom.operators import images as operators
