@@ -349,56 +349,91 @@ def _class_of(hashes: np.ndarray) -> int:
     return found - (1 << 64 if found >> 63 else 0)
 
 
-#: Shingles that go last in every prefix at most, and documents that they are counted in, about.
-COMMON, COUNTED = 100_000, 4096
+#: Shingles that go last in every prefix at most; they are counted in every SHARE-th document, or in COUNTED where that is more.
+COMMON, SHARE, COUNTED = 1_000_000, 8, 4096
 
 
-def _common(docs: DataFrame, rows: int, shingle: int, seed: int) -> np.ndarray:
-    """Hashes (ascending, uint64) of shingles in three or more of about COUNTED documents of different text, at most COMMON of them. They only order prefixes: any choice gives the same links."""
+def _common(docs: DataFrame, ws: Workspace, rows: int, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending, uint64) of shingles in three or more of the documents of different text that are counted, the most frequent, at most COMMON of them; and how common each is (log2 of its documents).
+    They only order prefixes: any choice gives the same links. As the share of documents is fixed, a shingle that is left out is in some two dozen documents at most, whatever the input, and pairs that
+    meet by it grow with the documents, not with their square."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle, seed).view(np.int64))], ["s"])
 
-    some = docs.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, rows // COUNTED))) == 0).dropDuplicates(["digest"])
-    counts = some.select("text").mapInArrow(releasing(read), "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "s").limit(COMMON)
-    return np.sort(np.array([r.s for r in counts.collect()], np.int64).view(np.uint64))
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    some = docs.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, min(SHARE, rows // COUNTED)))) == 0).dropDuplicates(["digest"])
+    counts = ws.save(some.select("text").mapInArrow(releasing(read), "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 3"), "common")
+    left, least = COMMON, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("many")).orderBy(F.desc("n")).collect():
+        left -= r.many
+        if left < 0:
+            break
+        least = r.n
+    got = counts.where(F.col("n") >= least).toArrow() if least else pa.table({"s": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    ws.drop("common")
+    s, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    at = np.argsort(s)
+    return s[at], np.log2(n[at]).astype(np.uint8)
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
     """The first elements of a set (ascending) in an order of all hashes, common ones last: so many that two sets of a likeness of num / den or more share one of them."""
-    n = len(hashes)
-    if len(common) and n:
-        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~last], hashes[last]])
+    n, (known, tier) = len(hashes), common
+    if len(known) and n:
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, tier[at], 0), kind="stable")]
     return hashes[: n - -(-n * num // den) + 1] if n else hashes
 
 
 def parities(hashes: np.ndarray) -> bytes:
-    """1024 bits: whether an odd number of the set's hashes begin with that number. Two sets' bits differ in no more places than the sets do in elements."""
-    return np.packbits((np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).tobytes()
+    """At least 64 bits, a power of two, and two to four for each element: whether an odd number of the set's hashes end with that number. Two sets' bits differ in no more places than the sets do in elements."""
+    size = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def parities_apart(x: bytes, y: bytes) -> int:
+    """In how many places the parities of two sets differ; the longer are folded to the shorter's length first."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+#: So many elements more than one must two prefixes share, where they are that long.
+MORE = 2
+
+
+def _met(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v, both) of classes of different roots, from rows (s, id, root, n, p) of the elements of their prefixes, that can share as many elements as the likeness asks for; both: their elements.
+
+    Two sets that must share o elements share one of their first n - o + 1, and so one more for each place more. What two sets share in these places is counted (k), at most MORE places further;
+    what else they share comes after the last of it in either set, and is outside the places of one of them, that whose places end first. All places would make more rows of groups that are almost alike."""
+    a, b = (met.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "p")]) for k in "ab")
+    asked = f">= (n_a + n_b) * {num}"
+    rows = a.join(b.hint("merge"), "s").where(f"id_a < id_b AND root_a <> root_b AND least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} AND (least(n_a - p_a, n_b - p_b) + {MORE}) * {num + den} {asked}")
+    pairs = rows.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("k"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"))
+    least = f"((n_a + n_b) * {num} + {num + den - 1}) div {num + den}"  # o
+    beyond = f"greatest((n_a * {num} + {den - 1}) div {den}, (n_b * {num} + {den - 1}) div {den}, {least} - {MORE}) - 1"
+    after = "least(n_a - p_a, n_b - p_b) - 1"
+    pairs = pairs.where(f"(k + least({beyond}, {after})) * {num + den} {asked}")
+    return pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), (F.col("n_a") + F.col("n_b")).alias("both"))
 
 
 def _across(classes: DataFrame, roots: DataFrame, ws: Workspace, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of classes (id, n, prefix, odd) of different components that share an element of their prefixes, and whose sizes, places and parities allow the likeness: all links that are left are among them."""
+    """Pairs (u, v) of classes (id, n, prefix, odd) of different components that share as much of their prefixes as the likeness asks for, and whose parities allow it: all links that are left are among them."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, 16) for k in (3, 4))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)  # of n elements in both, at most (n - apart) / 2 are shared
+            apart = np.array([parities_apart(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], np.int64)  # of n elements in both, at most (n - apart) / 2 are shared
             n = b.column(2).to_numpy()
             yield b.select(["u", "v"]).filter(pa.array((n - apart) * (num + den) >= 2 * n * num))
 
     of = classes.join(roots, classes["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "n", F.posexplode("prefix").alias("p", "s"))
     same = Window.partitionBy("s")
     met = of.withColumn("mixed", F.min("root").over(same) < F.max("root").over(same)).where("mixed").drop("mixed")
-    met = ws.save(met, "met")
-    a, b = (met.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "root", "n", "p")]) for k in "ab")
-    # What two sets can share from their first common element on.
-    reach = f"least(n_a - p_a, n_b - p_b) * {num + den} >= (n_a + n_b) * {num}"
-    pairs = a.join(b.hint("merge"), "s").where(f"id_a < id_b AND root_a <> root_b AND least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} AND {reach}")
-    pairs = pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), (F.col("n_a") + F.col("n_b")).alias("both")).distinct()
+    pairs = _met(ws.save(met, "met"), num, den)
     odd = classes.select("id", "odd")
     return pairs.join(odd.toDF("u", "x"), "u").join(odd.toDF("v", "y"), "v").select("u", "v", "both", "x", "y").mapInArrow(releasing(near), "u long, v long")
 
@@ -444,7 +479,7 @@ def near_groups(docs: DataFrame, ws: Workspace, shingle: int = 5, likeness: tupl
                 made = [pa.array([_class_of(h) for h in each], pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([len(h) for h in each], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parities(h) for h in each], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["doc_id", "digest", "id", "fp", "n", "prefix", "odd"])
 
-    common = _common(docs, docs.count(), shingle, seed)
+    common = _common(docs, ws, docs.count(), shingle, seed)
     read_all = ws.save(docs.select("doc_id", "digest", "text").mapInArrow(releasing(read), "doc_id long, digest long, id long, fp binary, n long, prefix array<long>, odd binary"), "rows")
     classes = ws.save(read_all.groupBy("id").agg(F.min(F.struct("doc_id", "digest")).alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix", "odd")]), "classes")
     # Prefixes and parities are a large part of the texts: they go once they are read.

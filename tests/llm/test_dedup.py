@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm import components, embeddings, linededup, simhash, substrings
@@ -414,3 +416,57 @@ def test_near_groups_drops_prefixes_before_sets_are_checked(spark, monkeypatch):
     root_of = {r.node: r.root for r in roots.collect()}
     group = {r.doc_id: root_of.get(r.id, r.id) for r in rows.collect()}
     assert group[1] == group[2] == group[4] != group[3] and classes.count() == 3
+
+
+def test_saved_tables_leave_no_shuffles(spark):
+    """A saved table's shuffle files go when it is written, not when the driver collects its garbage; the session's setting is as before."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, ws, key = files(), Workspace(spark, "test"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    counts = spark.range(20_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n"))
+    joined = counts.join(counts.hint("merge").select("k", F.col("n").alias("m")), "k")
+    assert ws.save(joined, "a").agg(F.sum("n"), F.sum("m")).first() == (20_000, 20_000) and spark.conf.get(key, None) == was
+    ends = time.time() + 20
+    while files() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert len(files() - before) <= 2 * 4  # of the sum just now
+    assert joined.count() == 1000
+
+
+def test_parities_follow_the_sets_size():
+    """Differing bits never exceed differing elements, whatever the two sizes; unrelated sets are told apart however large they are."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    for n in (0, 1, 20, 31, 32, 33, 300, 5000, 60_000):
+        x = draw(n)
+        for kept, more in ((n, 1), (n * 9 // 10, 0), (n * 9 // 10, n // 5), (n * 2 // 3, n // 3)):
+            y = np.union1d(x[rng.permutation(n)[:kept]], draw(more))
+            assert simhash.parities_apart(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
+        if n > 200:
+            both = 2 * n
+            assert (both - simhash.parities_apart(simhash.parities(x), simhash.parities(draw(n)))) * 9 < 2 * both * 4
+    assert len(simhash.parities(draw(300))) <= 300
+
+
+@pytest.mark.parametrize("tiers", [False, True])
+def test_prefixes_that_meet_by_chance_are_no_pairs(spark, tiers):
+    """Every pair at the likeness is given, sizes apart or not, with any order of the elements; sets of one size that share a few elements of their prefixes aren't."""
+    rng = np.random.default_rng(9)
+    sets, draw = [], lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for k in range(200):
+        n = int(rng.integers(1, 90))
+        base = draw(n)
+        more = int(rng.integers(0, n // 6 + 2))
+        sets += [np.sort(base), np.union1d(base[rng.permutation(n)[: n - int(rng.integers(0, n // 6 + 1))]], draw(more))]
+    shared = draw(2) >> np.uint64(30)  # the first elements of many sets
+    lone = len(sets)
+    sets += [np.union1d(draw(200), shared) for _ in range(40)]
+    some = np.unique(np.concatenate(sets[:lone:4])) if tiers else np.zeros(0, np.uint64)
+    common = some, rng.integers(1, 4, len(some)).astype(np.uint8)
+    of = [(k, k, len(x), [int(v) for v in simhash.prefix(x, common, 4, 5).view(np.int64)]) for k, x in enumerate(sets)]
+    met = spark.createDataFrame(of, "id long, root long, n long, prefix array<long>").select("id", "root", "n", F.posexplode("prefix").alias("p", "s"))
+    found = {(r.u, r.v) for r in simhash._met(met, 4, 5).collect()}
+    same = lambda x, y: np.array_equal(x, y)
+    wanted = {(a, b) for b in range(len(sets)) for a in range(b) if simhash.alike(sets[a], sets[b], 4, 5) and not same(sets[a], sets[b])}
+    assert len(wanted) > 50 and wanted <= found
+    assert not [p for p in found if p[0] >= lone]
