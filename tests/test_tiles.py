@@ -193,3 +193,17 @@ def test_patches_hold_one_block_a_task(spark, images):
         np.testing.assert_array_equal(np.frombuffer(r.p).reshape(15, 15), images["land"][y - 7: y + 8, x - 7: x + 8])
     assert patches.count() == 20
     assert "MapIn" not in patches._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("large", ["a", "b"])
+def test_pairs_of_a_small_box_come_out_together(spark, large):
+    """Large boxes meet many small ones, whichever side they are on: the common box and the small box's id stay the same from row to row."""
+    from rasterloom.operators import rules
+
+    small = [(k, "x", float(k % 30), float(k // 30), float(k % 30) + 1, float(k // 30) + 1) for k in range(600)]
+    wide = [(1000 + k, "x", -1.0 - k / 64, -1.0, 60.0, 60.0) for k in range(40)]
+    a, b = (spark.createDataFrame(rows, "id long, crs string, left double, bottom double, right double, top double") for rows in ((wide, small) if large == "a" else (small, wide)))
+    got = rules.overlap(a, b, 1.0).collect()
+    assert {(r.a_id, r.b_id) for r in got} == {(x[0], y[0]) if large == "a" else (y[0], x[0]) for x in wide for y in small} and len(got) == 24_000
+    of = [(r.b_id if large == "a" else r.a_id, *r[2:]) for r in got]
+    assert sum(x != y for x, y in zip(of, of[1:])) < 2 * 600
